@@ -3,13 +3,13 @@
 Severity grades 0..G are ordered. One weight vector w scores a text, ordered thresholds c_1 < ... < c_G cut the score:
 P(grade >= k) = sigmoid(w.x - c_k), and the expected severity is the sum of these over k.
 
-Features: presence of a hashed word (lower-cased runs of letters and digits). The fit uses a bounded, deterministic
+Features: presence of a hashed word (lower-cased runs of letters and digits) or of a word's beginning. The fit uses a bounded, deterministic
 sample of labelled rows (`max_rows`, least hashes of the id first); of the hashed words it keeps the `max_features` with the
 greatest log-odds ratio to its error, so rare words of one document carry no weight. Scoring is one pass without a
 shuffle; what is broadcast is the weight vector, of fixed size 2**bits.
 
-Labels that only say toxic or not are graded by their strength: 1 for a toxic row with one of the words that mark
-toxic rows, 2 with two or three, 3 with more (toxic rows without any are grade 1). A `severity` column is used as it is."""
+Labels that only say toxic or not are graded by their strength: 1 for a toxic row with at most one of the words that
+mark toxic rows, 2 with two or three, 3 with more. A `severity` column is used as it is."""
 
 from __future__ import annotations
 
@@ -21,12 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.words import NOT_ALNUM, slices, word_hashes
+from corvane.llm.words import NOT_ALNUM, bounds, buffers, hashes, mix, slices
+
+
+#: Lengths in bytes of the word beginnings that are features too: in inflected languages a stem marks a text, not a form.
+STEMS = (4, 5, 6)
 
 
 def buckets(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h, first = word_hashes(texts, NOT_ALNUM)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), first
+    """(hashed features of the batch, for each text the first of its features): words and their beginnings."""
+    data, offsets = buffers(texts)
+    s, e = bounds(data, offsets, NOT_ALNUM)
+    kinds = [hashes(data, s, e), *(mix(hashes(data, s, np.minimum(e, s + n)) + np.uint64(n)) for n in STEMS)]
+    return (np.column_stack(kinds).ravel() >> np.uint64(64 - bits)).astype(np.int64), np.searchsorted(s, offsets) * len(kinds)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -43,7 +50,7 @@ class Ordinal:
         return sigmoid(score[:, None] - self.cuts[None, :])
 
 
-def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, l2: float = 1e-3, steps: int = 400, rate: float = 0.05) -> Ordinal:
+def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_features: int, l2: float = 2e-5, steps: int = 400, rate: float = 0.05) -> Ordinal:
     """Penalised maximum likelihood by Adam. doc, feature: the nonzero entries; grade: one per document.
     The gaps between thresholds are exponentials, so they stay ordered."""
     n, g = len(grade), max(int(grade.max(initial=0)), 1)
@@ -93,7 +100,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, bits: int, max_rows: int
     return np.array([r[2] for r in got], np.int64), [np.frombuffer(r[1], "<i4").astype(np.int64) for r in got]
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 8000, max_features: int = 2000, least_z: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
+def train(docs: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 8000, max_features: int = 2000, least_z: float = 3.0, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
     """Without labelled rows, or with one class only, the model grades everything 0."""
     graded = "severity" in labels.columns
     y, rows = sample_features(docs, labels, bits, max_rows, id_col, text_col, "severity" if graded else "toxic")
@@ -108,7 +115,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 80
     keep = keep[np.abs(z[keep]) >= least_z]
     if not graded:
         marks = np.bincount(doc, weights=z[feature] >= least_z, minlength=len(rows))
-        y = np.where(y > 0, 1 + (marks >= 2) + (marks >= 4), 0)
+        one = 1 + len(STEMS)  # features of one word
+        y = np.where(y > 0, 1 + (marks > one) + (marks > 3 * one), 0)
         y = np.searchsorted(np.unique(y), y)
     index = np.full(1 << bits, -1)
     index[keep] = np.arange(len(keep))
