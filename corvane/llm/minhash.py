@@ -3,8 +3,9 @@
 1. Rows of equal text become one class; only classes go on.
 2. A class's set of k-word shingles gives a signature of `bands * rows` minhashes, one pass over the texts.
 3. Classes that agree in a whole band are candidates. Of a band's bucket each member is first paired with the
-   bucket's least class only. Members of a bucket that this leaves in different components are then paired with each
-   other, so no link between components is missed, while a bucket of n near copies costs n pairs and not n * n.
+   bucket's least class only, its star. In buckets that this leaves in several components, the members outside the
+   star's are then compared with all others in tiles of bounded size, each of which returns only links that join
+   components. So no link between components is missed, and n near copies cost n rows, not n * n.
 4. Candidates' signatures are compared batch by batch. With a uniform prior the similarity's posterior after n hashes,
    m of them equal, is Beta(m + 1, n - m + 1); a pair goes as soon as P(similarity >= t) < miss.
 5. Survivors are verified on the whole shingle sets, of strings and not of hashes.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Tables
+from corvane.llm.common import Tables, slots
 from corvane.llm.graph import components
 from corvane.llm.words import shingles, slices, word_hashes
 
@@ -108,6 +109,93 @@ def exact_filter(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def text_of(base: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
+    """(c, text) of the needed classes, one row each."""
+    return base.join(classes.select("cls", "c").join(needed, "c"), "cls").groupBy("c").agg(F.first("text").alias("text"))
+
+
+def tiles(labelled: DataFrame, queries: int = 512, targets: int = 1024) -> DataFrame:
+    """The comparisons left open: in a bucket whose members lie in several components, each member outside the
+    star's component (a query) with every member (a target). Buckets are dealt in tiles of about queries x targets
+    members, so no bucket is gathered. (key, band, i, j, query, c, comp, inner)."""
+    by_comp = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.max(F.col("c") == F.col("star")).alias("own"))
+    stats = by_comp.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("n"))).alias("n_in"), F.max(F.when(F.col("own"), F.col("comp"))).alias("home"), F.count("*").alias("k"))
+    stats = stats.filter("k > 1 and n > 2").select("key", "home", F.ceil((F.col("n") - F.col("n_in")) / queries).cast("int").alias("ni"), F.ceil(F.col("n") / targets).cast("int").alias("nj"))
+    # The star has met every member already.
+    left = labelled.filter("c <> star").join(stats, "key").withColumn("inner", F.col("comp") == F.col("home"))
+    cols = ["key", "band", "i", "j", "query", "c", "comp", "inner"]
+    q = left.filter("not inner").withColumn("i", F.expr("cast(pmod(xxhash64(c), ni) as int)")).withColumn("j", F.explode(F.expr("sequence(0, nj - 1)"))).withColumn("query", F.lit(True)).select(cols)
+    return q.union(left.withColumn("j", F.expr("cast(pmod(xxhash64(c), nj) as int)")).withColumn("i", F.explode(F.expr("sequence(0, ni - 1)"))).withColumn("query", F.lit(False)).select(cols))
+
+
+def compare(rows: list[dict], k: int, num: int, den: int, rule: list[tuple[int, int]], n_hashes: int, bands: int, width: int) -> list[tuple[int, int]]:
+    """Links of one tile that join components: for each query the targets of other components, likeliest first."""
+    qs, ts = [r for r in rows if r["query"]], [r for r in rows if not r["query"]]
+    if not qs or not ts:
+        return []
+    batch = rule[0][0]
+    sig = np.frombuffer(b"".join(r["sig"] for r in ts), "<u4").reshape(-1, n_hashes)
+    ids, inner = np.array([r["c"] for r in ts]), np.array([r["inner"] for r in ts])
+    least = np.array([m for _, m in rule])
+    parent: dict[int, int] = {}
+    sets: dict[int, np.ndarray] = {}
+    out = []
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    def shingle_set(r: dict) -> np.ndarray:
+        if r["c"] not in sets:
+            h, _ = word_hashes(pa.array([r["text"]]))
+            sets[r["c"]] = shingles(h, k)
+        return sets[r["c"]]
+
+    for q in qs:
+        same = sig == np.frombuffer(q["sig"], "<u4")
+        counts = same.reshape(len(ts), -1, batch).sum(axis=2).cumsum(axis=1)
+        here = same[:, : bands * width].reshape(len(ts), bands, width).all(axis=2).argmax(axis=1) == q["band"]  # a pair meets in its first common band only
+        ok = np.flatnonzero((counts >= least).all(axis=1) & here & (ids != q["c"]) & (inner | (ids > q["c"])))
+        for i in ok[np.argsort(-counts[ok, -1], kind="stable")].tolist():
+            x, y = root(q["comp"]), root(ts[i]["comp"])
+            if x == y:
+                continue
+            a, b = shingle_set(q), shingle_set(ts[i])
+            if den * min(len(a), len(b)) < num * max(len(a), len(b)):
+                continue
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if den * both >= num * (len(a) + len(b) - both):
+                parent[max(x, y)] = min(x, y)
+                out.append((min(q["c"], ts[i]["c"]), max(q["c"], ts[i]["c"])))
+    return out
+
+
+def tile_links(members: DataFrame, k: int, num: int, den: int, t: float, miss: float, n_hashes: int, bands: int, width: int) -> DataFrame:
+    """(a, b): links between components, at most one fewer than a tile has components."""
+    rule = least_matches(t, miss, n_hashes, 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for x in batches:
+            found = []
+            for r in x.to_pylist():
+                tile = (r["key"], r["i"], r["j"])
+                if tile != at:
+                    found += compare(held, k, num, den, rule, n_hashes, bands, width)
+                    held, at = [], tile
+                held.append(r)
+            yield links_batch(found)
+        yield links_batch(compare(held, k, num, den, rule, n_hashes, bands, width))
+
+    dealt = members.repartition(slots(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def near_components(docs: DataFrame, tables: Tables, k: int = 5, num: int = 80, den: int = 100, bands: int = 28, rows: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, cls, n_shingles, component_id."""
     t, n_hashes = num / den, bands * rows
@@ -118,32 +206,31 @@ def near_components(docs: DataFrame, tables: Tables, k: int = 5, num: int = 80,
     reps = tables.write(reps.withColumn("c", F.monotonically_increasing_id()), "classes")
     sets = reps.filter("sig is not null")
     band = F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {4 * rows} + 1, {4 * rows})))")
-    keys = sets.select("c", F.explode(band).alias("key"))
+    keys = sets.select("c", F.posexplode(band).alias("band", "key"))
     buckets = tables.write(keys.groupBy("key").agg(F.min("c").alias("star"), F.count("*").alias("n")).filter("n > 1").select("key", "star"), "buckets")
-    members = tables.write(keys.join(buckets, "key").select("key", "star", "c"), "members")
+    members = tables.write(keys.join(buckets, "key").select("key", "band", "star", "c"), "members")
     sig_of = sets.select("c", "sig")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = tables.write(pairs, f"{name}-pairs")
-        a, b = (sig_of.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-        alive = tables.write(bayes_filter(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b"), t, miss, n_hashes), f"{name}-alive")
-        needed = alive.select(F.col("a").alias("c")).union(alive.select("b")).distinct()
-        texts = tables.write(base.join(reps.select("cls", "c").join(needed, "c"), "cls").select("c", "cls", "text").dropDuplicates(["c"]).select("c", "text"), f"{name}-texts")
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+        texts = tables.write(text_of(base, reps, needed), f"{name}-texts")
         a, b = (texts.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        out = tables.write(exact_filter(alive.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b"), k, num, den), f"{name}-links")
-        tables.release(f"{name}-pairs", f"{name}-alive", f"{name}-texts")
+        out = tables.write(exact_filter(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b"), k, num, den), f"{name}-links")
+        tables.release(f"{name}-texts")
         return out
 
-    first = linked(members.filter("c <> star").select(F.col("star").alias("a"), F.col("c").alias("b")).distinct(), "star")
+    stars = tables.write(members.filter("c <> star").select(F.col("star").alias("a"), F.col("c").alias("b")).distinct(), "stars")
+    a, b = (sig_of.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    alive = tables.write(bayes_filter(stars.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b"), t, miss, n_hashes), "alive")
+    first = confirmed(alive, "star")
     comp = components(first, tables, "near1")
-    labelled = tables.write(members.join(comp.select(F.col("node").alias("c"), "comp"), "c", "left").select("key", "c", F.coalesce("comp", "c").alias("comp"), "star"), "labelled")
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("key")
-    left = labelled.join(open_keys, "key")
-    a, b = left.select("key", F.col("c").alias("a"), F.col("comp").alias("x")), left.select("key", F.col("c").alias("b"), F.col("comp").alias("y"), "star")
-    # The bucket's star was compared with every member before.
-    rest = a.join(b, "key").filter("x <> y and a < b and a <> star and b <> star").select("a", "b").distinct()
-    second = linked(rest, "rest")
+    labelled = tables.write(members.join(comp.select(F.col("node").alias("c"), "comp"), "c", "left").select("key", "band", "c", F.coalesce("comp", "c").alias("comp"), "star"), "labelled")
+    tiled = tables.write(tiles(labelled), "tiles")
+    texts = tables.write(text_of(base, reps, tiled.select("c").distinct()), "tile-texts")
+    found = tile_links(tiled.join(sig_of.join(texts, "c"), "c"), k, num, den, t, miss, n_hashes, bands, rows)
+    second = confirmed(tables.write(found.distinct(), "found"), "tile")
     comp = tables.write(components(first.union(second), tables, "near2"), "components")
+    tables.release("members", "stars", "alive", "tiles", "tile-texts", "found", "buckets", "labelled")
     labels = comp.join(reps.select(F.col("c").alias("node"), "least_doc"), "node")
     ids = labels.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     known = labels.join(ids, "comp").select(F.col("node").alias("c"), "component_id")
