@@ -27,6 +27,12 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.line_dedup import removed_lines
+
+    return removed_lines(table(spark, sf_dir, "documents"), 80, 100)
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.html_text import extract
 
