@@ -63,6 +63,19 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(table(spark, sf_dir, "documents"), k=3, num=85, den=100, bands=24, rows=6)
 
 
+def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits a document, placed by its id: a word put in, seven characters taken out, four replaced."""
+    from pyspark.sql import functions as F
+
+    from corvane.llm.edit_counts import edited_counts
+
+    docs = table(spark, sf_dir, "documents")
+    place = "cast(pmod(xxhash64(coalesce(doc_id, 0), {}), length(coalesce(text, '')) + 1) as int)"
+    edit = "named_struct('at', {}, 'cut', {}, 'text', '{}')"
+    edits = ", ".join(edit.format(place.format(k), cut, text) for k, (cut, text) in enumerate(((0, " anew"), (7, ""), (4, "12 x"))))
+    return edited_counts(docs.withColumn("edits", F.expr(f"array({edits})")), tokenizer_file("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op")}
 
