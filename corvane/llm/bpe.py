@@ -7,6 +7,7 @@ here; all other texts go to the library whole."""
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -24,7 +25,7 @@ _UNSURE = re.compile("[^\\t\\n\\r -~ -ɏ‐-‧‰-⁞€]")
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. Memory: at most `words` cached pre-tokens."""
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 900_000):
         env_single_thread()
         from tokenizers import Tokenizer
 
@@ -54,10 +55,8 @@ class Encoder:
             if len(at) != len(some) - 1:
                 rest += some
                 continue
-            raw, lo = ids.tobytes(), 0
-            for w, hi in zip(some, [*(at * 4).tolist(), len(raw)]):
-                self.cache[w] = raw[lo:hi]
-                lo = hi + 4
+            raw, ends = ids.tobytes(), (at * 4).tolist()
+            self.cache.update(zip(some, [raw[a:z] for a, z in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)])]))
         for w in rest:
             self.cache[w] = self.ids(w)
 
@@ -73,6 +72,12 @@ class Encoder:
         return [self.ids(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 
 
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> Encoder:
+    """The Python worker's own: what one task has learnt serves the next."""
+    return Encoder(path)
+
+
 def groups(texts, most: int = 2_000_000):
     """Runs of texts of about `most` characters: (start, list)."""
     start, size, run = 0, 0, []

@@ -12,6 +12,7 @@ falls on an old one behind the edit, all that follows is as it was."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +45,11 @@ class Counter(Encoder):
         return [len(get(w)) >> 2 for w in words]
 
 
+@lru_cache(maxsize=2)
+def shared_counter(path: str) -> Counter:
+    return Counter(path)
+
+
 class CountTree:
     """Token counts of one text under edits. total: tokens; encoded: pre-tokens encoded so far."""
 
@@ -179,7 +185,7 @@ def edited_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = shared_counter(tokenizer)
         for b in batches:
             edits = b.column(2)
             for k, texts in groups(b.column(1).to_pylist()):

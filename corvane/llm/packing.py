@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.bpe import Encoder, groups
+from corvane.llm.bpe import groups, shared_encoder
 from corvane.llm.common import Tables
 
 Pattern = tuple[tuple[int, int], ...]
@@ -194,7 +194,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     end = np.array([end_id], "<u4").tobytes()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, block, seen = Encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        enc, block, seen = shared_encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             ids = b.column(0).to_pylist()
             for k, texts in groups(b.column(1).to_pylist()):

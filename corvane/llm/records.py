@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.bpe import Encoder, groups
+from corvane.llm.bpe import groups, shared_encoder
 from corvane.llm.common import input_bytes, new_path, slots
 
 MASK = 0xA282EAD8  # fixed value
@@ -97,7 +97,7 @@ def write_token_records(docs: DataFrame, out_uri: str, tokenizer: str, end_id: i
             ids = b.column(0).to_pylist()
             for k, texts in groups(b.column(1).to_pylist()):
                 if files is None:
-                    enc = Encoder(tokenizer)
+                    enc = shared_encoder(tokenizer)
                     fs, path = store(out_uri)
                     fs.create_dir(path, recursive=True)
                     names = [f"{path}/shard-{shard:06d}.{x}" for x in ("rec", "idx")]

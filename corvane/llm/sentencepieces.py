@@ -15,6 +15,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -234,6 +235,12 @@ class Pieces:
         return b"".join(map(get, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")[1:]
 
 
+@lru_cache(maxsize=2)
+def shared_pieces(model: str) -> Pieces:
+    """The Python worker's own: what one task has learnt serves the next."""
+    return Pieces(model)
+
+
 def encode_documents(docs: DataFrame, model: str, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (little-endian u32 ids), decoded_crc32 (UTF-8 of the decoded text), round_trip
     (it equals the text, U+2581 read as space), and the ids if asked. One row per row of docs, in one pass.
@@ -242,7 +249,7 @@ def encode_documents(docs: DataFrame, model: str, keep_ids: bool = False, id_col
     empty table gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Pieces(model)
+        p = shared_pieces(model)
         for b in batches:
             for k, texts in groups(b.column(1).to_pylist(), 4_000_000):
                 ids = p.encode(texts)
