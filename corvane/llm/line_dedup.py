@@ -8,8 +8,8 @@ by (doc_id, line number), has a Jaccard similarity of `num / den` or more with i
 2. Lines of equal token sets are one class; its first line is its representative. Each task lists a class once.
 3. Prefix filter: a line of n tokens lists itself under its n - ceil(t n) + 1 rarest; tokens of count 1 list nothing.
    Within a token's list, sorted by length, a pair stays if it passes the length filter (n_x >= t n_y), the positional
-   filter (what is left after the token can reach the needed overlap) and the bitmap filter (64-bit images of the sets
-   differ in no more bits than the sets may differ in tokens). A token whose count is large has its list dealt over tiles.
+   filter (what is left after the token can reach the needed overlap) and the bitmap filter (128-bit images of the sets' not
+   too common tokens differ in no more bits than the sets may differ in tokens). A token whose count is large has its list dealt over tiles.
 4. The lines of the pairs that stay are fetched and their Jaccard verified on their words.
 5. A class that is linked with a class of an earlier first line loses all its lines, others all but their first.
 
@@ -28,7 +28,12 @@ from corvane.llm.common import Tables, slots
 from corvane.llm.words import SPACE, bounds, buffers, hashes, mix, slices
 
 NEWLINE = 10
-LINES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("seq", pa.int64()), ("sa", pa.int64()), ("sb", pa.int64()), ("bits", pa.int64()), ("keys", pa.list_(pa.int64()))])
+#: Names of line_rows' columns.
+LINES = ["row", "doc_id", "text_hash", "line", "n", "sa", "sb", "image_a", "image_b", "keys"]
+#: A list entry is one long: 32 bits of the list, 20 of the line's size, 12 of the token's place. A place that doesn't
+#: fit is given as less, which lets more pairs stay; a line whose size doesn't fit passes every filter.
+SIZE_BITS, PLACE_BITS = 20, 12
+HUGE = (1 << SIZE_BITS) - 1
 
 
 def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,31 +65,23 @@ def lines_slow(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, lines, docs, numbers))
 
 
-def sequence_hash(h: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
-    """A hash of each line's words in order."""
-    first = np.searchsorted(line, np.arange(n_lines))
-    place = (np.arange(len(h)) - first[line]).astype(np.uint64)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h + place * np.uint64(0x9E3779B97F4A7C15)), out=sums[1:])
-    return mix(sums[np.append(first[1:], len(h))] - sums[first]).view(np.int64) if n_lines else np.zeros(0, np.int64)
-
-
 def count_tokens(docs: DataFrame, bits: int) -> np.ndarray:
     """Words per hash bucket, over all texts: at most 2**bits numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for whole in batches:
             for b in slices(whole, 0):
                 data, off = buffers(b.column(0))
                 s, e = bounds(data, off, SPACE)
-                total += np.bincount((hashes(data, s, e) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                at, n = np.unique(hashes(data, s, e) >> np.uint64(64 - bits), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.int32)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["bucket", "n"])
 
-    got = docs.select("t").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << bits, np.int64)
-    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    got = docs.select("t").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.int32)
+    out[got["bucket"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
     return out
 
 
@@ -93,19 +90,46 @@ def needed(nx, ny, num: int, den: int):
     return -(-num * (nx + ny) // (num + den))
 
 
-def line_rows(docs: DataFrame, counts, bits: int, num: int, den: int, seen_most: int = 200_000) -> DataFrame:
-    """One row per line with its class (sa, sb), and for the task's first line of a class the tokens of its prefix."""
-    kind = "row long, doc_id long, line int, n int, seq long, sa long, sb long, bits long, keys array<long>"
+def ordered_tokens(h: np.ndarray, count: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order by line, then rarity (steps of a quarter of a power of two), then hash."""
+    rarity = np.minimum(np.log2(np.maximum(count, 1)) * 4, 255).astype(np.uint64)
+    if len(line) and line[-1] < 1 << 20:
+        key = (line.astype(np.uint64) << np.uint64(44)) | (rarity << np.uint64(36)) | (h >> np.uint64(28))
+        order = np.argsort(key, kind="stable")
+        k, x = key[order], h[order]
+        if not ((k[1:] == k[:-1]) & (x[1:] != x[:-1])).any():
+            return order
+    return np.lexsort((h, rarity, line))
+
+
+def listings(h: np.ndarray, count: np.ndarray, n: np.ndarray, place: np.ndarray, sa: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which token occurrence, its entry), once for each list it goes to. A token of count c > tile has
+    ceil(c / tile) blocks of lines, and each pair of blocks meets in a list of its own."""
+    blocks = np.maximum(-(-count // tile), 1)
+    again = np.repeat(np.arange(len(h)), blocks)
+    name = h[again]
+    if len(again) > len(h):
+        other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        mine = (mix(sa.view(np.uint64) + np.uint64(5)) % blocks.astype(np.uint64)).astype(np.int64)[again]
+        pair = (np.minimum(mine, other) << 24) | np.maximum(mine, other)
+        name = np.where(blocks[again] > 1, mix(name + mix(pair.astype(np.uint64) + np.uint64(1))), name)
+    entry = (name & ~np.uint64(0xFFFFFFFF)) | (np.minimum(n, HUGE).astype(np.uint64) << np.uint64(PLACE_BITS))[again] | np.minimum(place, (1 << PLACE_BITS) - 1).astype(np.uint64)[again]
+    return again, entry.view(np.int64)
+
+
+def line_rows(docs: DataFrame, counts, bits: int, num: int, den: int, tile: int, seen_most: int = 200_000) -> DataFrame:
+    """One row per line with its class (sa, sb), and for the task's first line of a class its list entries."""
+    kind = "row long, doc_id long, text_hash long, line int, n int, sa long, sb long, image_a long, image_b long, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare, seen = counts.value, set()
+        common = int(rare.sum(dtype=np.int64)) // 2000
         for whole in batches:
-            for b in slices(whole, 2, 2_000_000):
-                h, line, doc, number = lines_of(b.column(2))
+            for b in slices(whole, 3, 2_000_000):
+                h, line, doc, number = lines_of(b.column(3))
                 n_lines = len(doc)
-                seq = sequence_hash(h, line, n_lines)
-                count = rare[(h >> np.uint64(64 - bits)).astype(np.int64)]
-                order = np.lexsort((h, count, line))
+                count = rare[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
+                order = ordered_tokens(h, count, line)
                 h, line, count = h[order], line[order], count[order]
                 keep = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])]) if len(h) else np.zeros(0, bool)
                 h, line, count = h[keep], line[keep], count[keep]
@@ -113,83 +137,73 @@ def line_rows(docs: DataFrame, counts, bits: int, num: int, den: int, seen_most:
                 first = np.concatenate([[0], np.cumsum(n)])
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(k)), dtype=np.uint64)]) for k in (1, 2)]
                 sa, sb = (mix(s[first[1:]] - s[first[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums)
-                image = np.zeros(n_lines, np.uint64)
                 full = np.flatnonzero(n)
-                if len(full):
-                    image[full] = np.bitwise_or.reduceat(np.uint64(1) << (mix(h + np.uint64(3)) & np.uint64(63)), first[full])
+                spot = mix(h + np.uint64(3))
+                images = []
+                for half in (0, 1):
+                    image = np.zeros(n_lines, np.uint64)
+                    if len(full):
+                        inside = (count <= common) & ((spot >> np.uint64(6)) & np.uint64(1) == half)
+                        image[full] = np.bitwise_or.reduceat(np.where(inside, np.uint64(1) << (spot & np.uint64(63)), np.uint64(0)), first[full])
+                    images.append(pa.array(image.view(np.int64)))
                 prefix = n - (num * n + den - 1) // den + 1
                 place = np.arange(len(h)) - first[line]
-                listed = (place < prefix[line]) & (count > 1)
                 fresh = np.zeros(n_lines, bool)
-                for i in full.tolist():
-                    if (s := int(sa[i])) not in seen:
+                for i, s in zip(full.tolist(), sa[full].tolist()):
+                    if s not in seen:
                         fresh[i] = True
                         seen.add(s)
                 if len(seen) > seen_most:
                     seen.clear()
-                listed &= fresh[line]
-                # A key's low 16 bits are the place, the rest is the token.
-                keys = ((h[listed] & ~np.uint64(0xFFFF)) | np.minimum(place[listed], 0xFFFF).astype(np.uint64)).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(line[listed], minlength=n_lines))]).astype(np.int32)
-                cols = [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(seq), pa.array(sa), pa.array(sb), pa.array(image.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
-                yield pa.RecordBatch.from_arrays(cols, names=LINES.names)
-
-    return docs.select("row", "doc_id", "t").mapInArrow(run, kind)
-
-
-def pairs_in_lists(key: np.ndarray, sa: np.ndarray, image: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: int) -> set[tuple[int, int]]:
-    """Pairs of one or more whole lists, sorted by (key, n), that pass the filters. Neighbours at distance 1, 2, ... are compared all at once."""
-    out: set[tuple[int, int]] = set()
-    i, d = np.arange(len(key)), 1
+                listed = np.flatnonzero((place < prefix[line]) & (count > 1) & fresh[line])
+                at, keys = listings(h[listed], count[listed], n[line[listed]], place[listed], sa[line[listed]], tile)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(line[listed][at], minlength=n_lines))]).astype(np.int32)
+                mine = pa.array(doc)
+                cols = [*(b.column(c).take(mine) for c in range(3)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sa), pa.array(sb), *images, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
+                yield pa.RecordBatch.from_arrays(cols, names=LINES)
+
+    return docs.select("row", "doc_id", "text_hash", "t").mapInArrow(run, kind)
+
+
+def pairs_in_lists(entry: np.ndarray, sa: np.ndarray, image_a: np.ndarray, image_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Pairs of one or more whole lists, sorted by entry (so by list, then size), that pass the filters, as (2, n).
+    Neighbours at distance 1, 2, ... are compared all at once."""
+    found = [np.zeros((2, 0), np.int64)]
+    n, place = (entry >> PLACE_BITS) & HUGE, entry & ((1 << PLACE_BITS) - 1)
+    name = entry >> 32
+    i, d = np.arange(len(entry)), 1
     while True:
-        i = i[i + d < len(key)]
+        i = i[i + d < len(entry)]
         j = i + d
-        ok = (key[i] == key[j]) & (den * n[i] >= num * n[j])  # sorted by length: later rows of the list are longer
+        ok = (name[i] == name[j]) & ((den * n[i] >= num * n[j]) | (n[j] == HUGE))
         i, j = i[ok], j[ok]
         if not len(i):
-            return out
+            return np.unique(np.concatenate(found, axis=1), axis=1)
         need = needed(n[i], n[j], num, den)
-        ok = (1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 >= need) & (np.bitwise_count(image[i] ^ image[j]) <= n[i] + n[j] - 2 * need) & (sa[i] != sa[j])
+        apart = np.bitwise_count(image_a[i] ^ image_a[j]).astype(np.int64) + np.bitwise_count(image_b[i] ^ image_b[j])
+        ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (apart <= n[i] + n[j] - 2 * need)
+        ok = (ok | (n[j] == HUGE)) & (sa[i] != sa[j])
         if ok.any():
             a, b = sa[i[ok]], sa[j[ok]]
-            out.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
         d += 1
 
 
-def candidates(lines: DataFrame, counts, bits: int, num: int, den: int, tile: int) -> DataFrame:
-    """(x, y) by class hash sa. Rows of a token whose count exceeds `tile` go to the tiles of their block: with count
-    c there are ceil(c / tile) blocks, and each pair of blocks meets in one tile."""
-    spark = lines.sparkSession
-    rows = lines.filter("size(keys) > 0").select(F.explode("keys").alias("k"), "sa", "bits", "n")
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = counts.value
-        for b in batches:
-            k, sa, image, n = (b.column(c).to_numpy() for c in range(4))
-            token = k.view(np.uint64) & ~np.uint64(0xFFFF)
-            blocks = -(-rare[(token >> np.uint64(64 - bits)).astype(np.int64)] // tile)
-            at = np.arange(len(k))
-            again = np.repeat(at, np.maximum(blocks, 1))
-            other = np.arange(len(again)) - np.repeat(np.concatenate([[0], np.cumsum(np.maximum(blocks, 1))[:-1]]), np.maximum(blocks, 1))
-            mine = (mix(sa.view(np.uint64) + np.uint64(5)) % np.maximum(blocks, 1).astype(np.uint64)).astype(np.int64)[again]
-            pair = (np.minimum(mine, other) << 20) | np.maximum(mine, other)
-            key = np.where(blocks[again] > 1, mix(token[again] + mix(pair.astype(np.uint64) + np.uint64(1))), token[again])
-            where = (n[again].astype(np.int64) << 16) | (k[again] & 0xFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sa[again]), pa.array(image[again]), pa.array(where)], names=["key", "sa", "bits", "at"])
-
-    dealt = rows.select("k", "sa", "bits", "n").mapInArrow(deal, "key long, sa long, bits long, at long")
-    spread = dealt.repartition(slots(spark), "key").sortWithinPartitions("key", "at")
+def candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) by class hash sa: pairs that stay after the filters."""
+    rows = lines.filter("size(keys) > 0").select(F.explode("keys").alias("k"), "sa", "image_a", "image_b")
+    spread = rows.repartition(slots(lines.sparkSession), F.shiftright("k", 32)).sortWithinPartitions("k")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
 
         def solve(x: list[np.ndarray]) -> pa.RecordBatch:
-            got = pairs_in_lists(x[0], x[1], x[2].view(np.uint64), x[3] >> 16, x[3] & 0xFFFF, num, den)
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["x", "y"])
+            got = pairs_in_lists(x[0], x[1], x[2].view(np.uint64), x[3].view(np.uint64), num, den)
+            return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["x", "y"])
 
         for b in batches:
             held = [np.concatenate([h, b.column(c).to_numpy()]) for c, h in enumerate(held)]
-            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            cut = int(np.searchsorted(held[0] >> 32, held[0][-1] >> 32)) if len(held[0]) else 0
             if cut:
                 yield solve([h[:cut] for h in held])
                 held = [h[cut:] for h in held]
@@ -199,40 +213,25 @@ def candidates(lines: DataFrame, counts, bits: int, num: int, den: int, tile: in
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, set_bits: int) -> DataFrame:
-    """(seq, text) of the wanted lines (seq), one row each. The texts are read again; only lines whose bit is set in
-    a bit set of fixed size are shuffled."""
+    """wanted (text_hash, line) -> (text_hash, line, text). The texts are read again; only those whose hash's bit is
+    set in a bit set of fixed size are looked at."""
     spark = docs.sparkSession
-    words = wanted.select(F.expr(f"shiftrightunsigned(seq, {64 - set_bits})").alias("b")).select(F.expr("cast(b div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m"))
-    got = words.groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    words = wanted.select(F.expr(f"shiftrightunsigned(text_hash, {64 - set_bits})").alias("b")).select(F.expr("cast(b div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m"))
+    got = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     bitset = np.zeros(1 << (set_bits - 6), np.uint64)
     bitset[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(bitset)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has, seen = shared.value, set()
-        for whole in batches:
-            for b in slices(whole, 0, 2_000_000):
-                h, line, doc, number = lines_of(b.column(0))
-                seq = sequence_hash(h, line, len(doc))
-                bit = seq.view(np.uint64) >> np.uint64(64 - set_bits)
-                hit = np.flatnonzero((has[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-                out: tuple[list, list] = ([], [])
-                at, parts = -1, []
-                for i in hit.tolist():
-                    s = int(seq[i])
-                    if s in seen:
-                        continue
-                    seen.add(s)
-                    if doc[i] != at:
-                        at, parts = doc[i], (b.column(0)[int(doc[i])].as_py() or "").split("\n")
-                    out[0].append(s)
-                    out[1].append(parts[number[i]])
-                if len(seen) > 200_000:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], names=["seq", "text"])
+        has = shared.value
+        for b in batches:
+            bit = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - set_bits)
+            hit = np.flatnonzero((has[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+            yield b.take(pa.array(hit))
 
-    found = docs.select("t").mapInArrow(run, "seq long, text string")
-    return found.join(wanted.select("seq").distinct(), "seq", "left_semi").groupBy("seq").agg(F.first("text").alias("text"))
+    found = docs.select("text_hash", "t").mapInArrow(run, "text_hash long, t string")
+    lines = found.select("text_hash", F.posexplode(F.split("t", "\n", -1)).alias("line", "text"))
+    return lines.join(wanted.distinct(), ["text_hash", "line"]).groupBy("text_hash", "line").agg(F.first("text").alias("text"))
 
 
 def verify(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -251,7 +250,7 @@ def verify(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "x long, y long")
 
 
-def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 18, set_bits: int = 24, tile: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20, set_bits: int = 24, tile: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of the lines that go, from 0): one row per row of docs.
 
     Defined results: lines are parted by newline only, so null and empty texts have one empty line, which stays; null
@@ -259,28 +258,27 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 18
     one loses its lines; an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     tables = Tables(spark, "lines")
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("text_hash", F.xxhash64("t"))
     counts = spark.sparkContext.broadcast(count_tokens(base, bits))
-    lines = tables.write(line_rows(base, counts, bits, num, den), "rows")
+    lines = tables.write(line_rows(base, counts, bits, num, den, tile), "rows")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row").alias("r"), F.col("line").alias("l"))
-    # seq is not part of the order: a place has one line.
-    classes = lines.filter("n > 0").groupBy("sa", "sb").agg(F.min(F.struct(order.alias("at"), F.col("seq").alias("seq"))).alias("first"), F.count("*").alias("copies"))
-    classes = tables.write(classes.select("sa", "sb", F.col("first.at").alias("at"), F.col("first.seq").alias("seq"), "copies"), "classes")
-    pairs = tables.write(candidates(lines, counts, bits, num, den, tile), "pairs")
-    x, y = (classes.select(F.col("sa").alias(c), F.col("seq").alias(f"seq_{c}"), F.col("at").alias(f"at_{c}"), F.struct("sa", "sb").alias(f"id_{c}")) for c in "xy")
-    placed = tables.write(pairs.join(x, "x").join(y, "y"), "placed")
-    texts = tables.write(fetch(base, placed.select(F.col("seq_x").alias("seq")).union(placed.select("seq_y")), set_bits), "texts")
-    tx, ty = (texts.select(F.col("seq").alias(f"seq_{c}"), F.col("text").alias(f"text_{c}")) for c in "xy")
-    later = F.col("at_x") > F.col("at_y")
-    numbered = tables.write(placed.select(F.monotonically_increasing_id().alias("p"), "seq_x", "seq_y", F.when(later, F.col("id_x")).otherwise(F.col("id_y")).alias("loser")), "numbered")
-    good = verify(numbered.join(tx, "seq_x").join(ty, "seq_y").select("p", F.lit(0).cast("long").alias("z"), "text_x", "text_y"), num, den)
-    losers = tables.write(numbered.join(good.select(F.col("x").alias("p")), "p").select("loser.sa", "loser.sb").distinct().withColumn("lost", F.lit(True)), "losers")
-    tables.release("pairs", "placed", "texts", "numbered")
+    classes = lines.filter("n > 0").groupBy("sa", "sb").agg(F.min(F.struct(order.alias("at"), F.col("text_hash").alias("h"))).alias("first"), F.count("*").alias("copies"))
+    classes = tables.write(classes.select("sa", "sb", F.col("first.at").alias("at"), F.col("first.h").alias("text_hash"), "copies"), "classes")
+    pairs = tables.write(candidates(lines, num, den), "pairs")
+    x, y = (classes.select(F.col("sa").alias(c), F.struct("text_hash", F.col("at.l").alias("line")).alias(f"at_{c}"), F.col("at").alias(f"order_{c}"), F.struct("sa", "sb").alias(f"id_{c}")) for c in "xy")
+    later = F.col("order_x") > F.col("order_y")
+    placed = pairs.join(x, "x").join(y, "y").select(F.monotonically_increasing_id().alias("p"), "at_x", "at_y", F.when(later, F.col("id_x")).otherwise(F.col("id_y")).alias("loser"))
+    placed = tables.write(placed, "placed")
+    texts = tables.write(fetch(base, placed.select("at_x.*").union(placed.select("at_y.*")), set_bits), "texts")
+    tx, ty = (texts.select(F.struct("text_hash", "line").alias(f"at_{c}"), F.col("text").alias(f"text_{c}")) for c in "xy")
+    good = verify(placed.join(tx, "at_x").join(ty, "at_y").select("p", F.lit(0).cast("long").alias("z"), "text_x", "text_y"), num, den)
+    losers = tables.write(placed.join(good.select(F.col("x").alias("p")), "p").select("loser.sa", "loser.sb").distinct().withColumn("lost", F.lit(True)), "losers")
+    tables.release("pairs", "placed", "texts")
     # Classes of one line that lose nothing need no look at their lines.
     fate = classes.join(losers, ["sa", "sb"], "left").filter("lost or copies > 1").select("sa", "sb", "at", F.coalesce("lost", F.lit(False)).alias("lost"))
     gone = lines.filter("n > 0").select("row", "doc_id", "line", "sa", "sb").join(fate, ["sa", "sb"]).filter(F.col("lost") | (F.col("row") != F.col("at.r")) | (F.col("line") != F.col("at.l"))).select("row", "line")
     per_row = gone.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    sizes = lines.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("n_lines"))
+    sizes = lines.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_lines"))
     out = sizes.join(per_row, "row", "left")
     return out.select("doc_id", "n_lines", F.greatest(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
