@@ -5,23 +5,513 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.functions import clock as C
+from corvane.functions import frames as N
+from corvane.functions import text as T
+from corvane.operators import consistency as K
+from corvane.operators import medoid as M
+from corvane.operators import pairing as J
+from corvane.operators import pools as P
+from corvane.operators import repair as R
+from corvane.operators import split as S
+from corvane.operators import tiers as Q
+from corvane.operators import vote as V
 
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corvane.operators.vote import majority
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
-    v = t(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("event_type").alias("value"), F.col("event_id").alias("pos"))
-    return majority(v, "item")
+    return add
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"majority_vote": majority_vote}
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- votes --------------------------------------------------------------------------------------------------
+
+MAJORITY = """counts AS (SELECT item, value, count(*) AS k, min(pos) AS p FROM votes WHERE value <> '' GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY k DESC, p) AS r, max(k) OVER (PARTITION BY item) AS top,
+  CAST(sum(k) OVER (PARTITION BY item) AS BIGINT) AS n FROM counts)"""
+
+
+def event_votes(spark, d) -> DataFrame:
+    return t(spark, d, "events").select(F.col("user_id").alias("item"), F.col("event_type").alias("value"), F.col("event_id").alias("pos"))
+
+
+@query(f"""WITH votes AS (SELECT user_id AS item, event_type AS value, event_id AS pos FROM events), {MAJORITY}
+SELECT item, value, top, n, (2 * top - n)::DOUBLE / n AS margin_a, top::DOUBLE / n AS margin_b FROM ranked WHERE r = 1""")
+def majority_vote(spark, d):
+    return V.majority(event_votes(spark, d))
+
+
+@query(f"""WITH votes AS (SELECT user_id AS item, event_type AS value, event_id AS pos FROM events WHERE event_type <> 'click' AND value > 50), {MAJORITY},
+items AS (SELECT DISTINCT user_id AS item FROM events)
+SELECT items.item, value, top, n, coalesce((2 * top - n)::DOUBLE / n, 1.0::DOUBLE) AS margin_a, coalesce(top::DOUBLE / n, 0.0::DOUBLE) AS margin_b
+FROM items LEFT JOIN (SELECT * FROM ranked WHERE r = 1) w ON w.item = items.item""")
+def vote_margins_with_empty(spark, d):
+    e = t(spark, d, "events")
+    some = e.filter((F.col("event_type") != "click") & (F.col("value") > 50)).select(F.col("user_id").alias("item"), F.col("event_type").alias("value"), F.col("event_id").alias("pos"))
+    return V.margins_with_empty(e.select(F.col("user_id").alias("item")), some)
+
+
+@query("""SELECT user_id AS item, list(event_type ORDER BY event_id) AS pool FROM events WHERE value > 90 GROUP BY 1""")
+def vote_pool_arrays(spark, d):
+    e = t(spark, d, "events").filter("value > 90")
+    return V.pool_arrays(e.select(F.col("user_id").alias("item"), F.col("event_type").alias("value"), F.col("event_id").alias("pos")))
+
+
+@query(f"""WITH both_ AS (SELECT o_custkey AS item, o_orderpriority AS value, o_orderkey AS pos FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL SELECT o_custkey, o_orderpriority, 2147483648 + o_orderkey FROM orders WHERE o_orderstatus = 'O'),
+has AS (SELECT DISTINCT item FROM both_),
+votes AS (SELECT * FROM both_ UNION ALL SELECT o_custkey, o_orderpriority, 4294967296 + o_orderkey FROM orders
+  WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT item FROM has)), {MAJORITY}
+SELECT item, value, top, n FROM ranked WHERE r = 1""")
+def pooled_vote_with_orphans(spark, d):
+    o = t(spark, d, "orders")
+    part = lambda s: o.filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("value"))
+    first, second = part("F"), part("O")
+    has = first.select("item").union(second.select("item")).distinct()
+    return V.majority(P.ordered([first, second, part("P").join(has, "item", "left_anti")])).select("item", "value", "top", "n")
+
+
+@query("""WITH v AS (SELECT o_custkey AS item, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS k, o_orderpriority AS value,
+  CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS src FROM orders WHERE o_orderstatus IN ('F', 'O')),
+m AS (SELECT item, least(coalesce(max(k) FILTER (src = 0), 0), coalesce(max(k) FILTER (src = 1), 0)) AS m FROM v GROUP BY 1)
+SELECT item, value, CAST(row_number() OVER (PARTITION BY item ORDER BY least(k, m + 1), CASE WHEN k > m THEN 0 ELSE src END, src, k) - 1 AS INTEGER) AS pos FROM v JOIN m USING (item)""")
+def interleave_pools(spark, d):
+    o = t(spark, d, "orders")
+    part = lambda s: o.filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("item"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("value"))
+    return V.interleaved(part("F"), part("O")).select("item", "value", "pos")
+
+
+# --- signals and tiers ----------------------------------------------------------------------------------------
+
+def _count_sql(words) -> str:
+    return " + ".join(f"(length(l) - length(replace(l, '{w}', ''))) // {len(w)}" for w in words)
+
+
+SIGNALS = f"""base AS (SELECT *, doc_id % 100 AS grp, concat(text, ' at ', doc_id % 60, ':', lpad((doc_id % 55)::VARCHAR, 2, '0'), ' near the crosswalk, probably') AS r FROM documents),
+one AS (SELECT *, lower(r) AS l FROM base),
+sig AS (SELECT grp, CAST(sum(len(regexp_extract_all(r, '[0-9]{{1,2}}:[0-9]{{2}}(\\.[0-9]{{1,3}})?'))) AS BIGINT) AS timestamp_hits,
+  CAST(sum({_count_sql(T.PLACE_WORDS)}) AS BIGINT) AS spatial_hits, avg(length(r)) AS avg_reasoning_len,
+  sum(({_count_sql(T.HEDGES)})::DOUBLE / len(list_filter(regexp_split_to_array(r, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''))) AS h, count(*) AS n FROM one GROUP BY grp)"""
+
+
+def doc_items(spark, d) -> DataFrame:
+    seconds = F.lpad((F.col("doc_id") % 55).cast("string"), 2, "0")
+    r = F.concat("text", F.lit(" at "), (F.col("doc_id") % 60).cast("string"), F.lit(":"), seconds, F.lit(" near the crosswalk, probably"))
+    return t(spark, d, "documents").select((F.col("doc_id") % 100).alias("grp"), r.alias("reasoning"))
+
+
+@query(f"WITH {SIGNALS} SELECT grp, timestamp_hits, spatial_hits, avg_reasoning_len FROM sig")
+def doc_signals(spark, d):
+    return Q.signals(doc_items(spark, d), "grp").drop("generic_ratio")
+
+
+@query(f"""WITH {SIGNALS}, med AS (SELECT quantile_cont(avg_reasoning_len, 0.5) AS m FROM sig),
+sc AS (SELECT grp, round(least(timestamp_hits / 6.0::DOUBLE, 2) * 1.2::DOUBLE + least(spatial_hits / 4.0::DOUBLE, 2) + CASE WHEN avg_reasoning_len >= m THEN 0.6::DOUBLE ELSE 0 END, 6) AS main FROM sig, med)
+SELECT grp, main FROM sc""")
+def tier_scores(spark, d):
+    s = Q.scored(Q.signals(doc_items(spark, d), "grp"))
+    return s.select("grp", F.round(F.col("s_score") + 5 * F.col("generic_ratio"), 6).alias("main"))
+
+
+@query("""WITH g AS (SELECT o_custkey, avg(o_totalprice) AS s FROM orders GROUP BY 1),
+c AS (SELECT quantile_cont(s, 0.75) AS hi, quantile_cont(s, 0.25) AS lo FROM g)
+SELECT CASE WHEN s >= hi THEN 'S' WHEN s >= lo THEN 'A' ELSE 'B' END AS tier, count(*) AS n FROM g, c GROUP BY 1""")
+def percentile_tiers(spark, d):
+    g = t(spark, d, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("s"))
+    cuts = g.agg(F.expr("percentile(s, 0.75)").alias("hi"), F.expr("percentile(s, 0.25)").alias("lo"))
+    return g.join(F.broadcast(cuts)).groupBy(F.when(F.col("s") >= F.col("hi"), "S").when(F.col("s") >= F.col("lo"), "A").otherwise("B").alias("tier")).agg(F.count("*").alias("n"))
+
+
+TIERED = "CASE doc_id % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE 'X' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {TIERED} AS tier FROM documents)
+SELECT doc_id, tier, CAST(unnest(generate_series(1, CASE tier WHEN 'S' THEN 3 WHEN 'A' THEN 2 ELSE 1 END)) AS INTEGER) AS copy FROM d""")
+def tier_replication(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", F.expr(TIERED).alias("tier"))
+    return Q.replicate(rows, N.REPEATS)
+
+
+# --- consistency -------------------------------------------------------------------------------------------------
+
+TALK = """SELECT conv_id AS video_id, turn AS ord, CASE turn % 6 WHEN 0 THEN 'bcq' WHEN 1 THEN 'causal_linkage' WHEN 2 THEN 'temporal_localization'
+  WHEN 3 THEN 'temporal_description' WHEN 4 THEN 'scene_description' ELSE 'video_summarization' END AS task,
+  CASE turn % 6 WHEN 0 THEN CASE WHEN conv_id % 3 = 0 THEN 'No.' ELSE 'Yes, it is' END WHEN 1 THEN CASE conv_id % 4 WHEN 0 THEN 'There was no accident.' WHEN 3 THEN 'Nothing said' ELSE 'The cars crash.' END
+  WHEN 2 THEN concat('{"start": "00:', lpad((conv_id % 60)::VARCHAR, 2, '0'), '", "end": "01:00"}') WHEN 3 THEN concat('It begins at 0:', lpad((conv_id % 25 + 10)::VARCHAR, 2, '0'), ' here')
+  ELSE text END AS answer FROM conversations"""
+
+
+def talk_items(spark, d) -> DataFrame:
+    c = t(spark, d, "conversations")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    k, conv = F.col("turn") % 6, F.col("conv_id")
+    task = F.when(k == 0, "bcq").when(k == 1, "causal_linkage").when(k == 2, "temporal_localization").when(k == 3, "temporal_description").when(k == 4, "scene_description").otherwise("video_summarization")
+    answer = (
+        F.when(k == 0, F.when(conv % 3 == 0, "No.").otherwise("Yes, it is"))
+        .when(k == 1, F.when(conv % 4 == 0, "There was no accident.").when(conv % 4 == 3, "Nothing said").otherwise("The cars crash."))
+        .when(k == 2, F.concat(F.lit('{"start": "00:'), two(conv % 60), F.lit('", "end": "01:00"}')))
+        .when(k == 3, F.concat(F.lit("It begins at 0:"), two(conv % 25 + 10), F.lit(" here")))
+        .otherwise(F.col("text"))
+    )
+    return c.select(conv.alias("video_id"), F.col("turn").alias("ord"), task.alias("task"), F.lit("").alias("question"), answer.alias("answer"), F.lit("").alias("reasoning"))
+
+
+@query(f"""WITH i AS ({TALK}),
+f AS (SELECT video_id, task, arg_min(answer, ord) AS a FROM i GROUP BY 1, 2),
+y AS (SELECT video_id, count(*) FILTER (task = 'bcq' AND answer LIKE 'Yes%') AS ny, count(*) FILTER (task = 'bcq' AND answer LIKE 'No%') AS nn FROM i GROUP BY 1),
+w AS (SELECT y.*, (SELECT a FROM f WHERE f.video_id = y.video_id AND task = 'causal_linkage') AS c, (SELECT a FROM f WHERE f.video_id = y.video_id AND task = 'temporal_localization') AS l,
+  (SELECT a FROM f WHERE f.video_id = y.video_id AND task = 'temporal_description') AS td, (SELECT a FROM f WHERE f.video_id = y.video_id AND task = 'scene_description') AS s,
+  (SELECT a FROM f WHERE f.video_id = y.video_id AND task = 'video_summarization') AS v FROM y),
+k AS (SELECT *, list_distinct(regexp_extract_all(lower(s), '[a-z]{{4,}}')) AS ws, list_distinct(regexp_extract_all(lower(v), '[a-z]{{4,}}')) AS wv FROM w)
+SELECT video_id,
+  CASE WHEN c IS NULL OR ny + nn = 0 OR c = 'Nothing said' THEN 0.5 WHEN (ny >= nn) = (c = 'The cars crash.') THEN 1 ELSE 0 END::DOUBLE AS polar,
+  CASE WHEN l IS NULL OR td IS NULL THEN 0.5 WHEN abs(substr(l, 15, 2)::INT - substr(td, 16, 2)::INT) <= 10 THEN 1 ELSE 0 END::DOUBLE AS timed,
+  CASE WHEN s IS NULL OR v IS NULL OR len(ws) = 0 OR len(wv) = 0 THEN 0.5 WHEN len(list_intersect(ws, wv))::DOUBLE / len(list_distinct(list_concat(ws, wv))) >= 0.15 THEN 1 ELSE 0 END::DOUBLE AS texts FROM k""")
+def consistency_rules(spark, d):
+    c = K.consistency(talk_items(spark, d))
+    s = F.col("pair_scores")
+    return c.select("video_id", s["bcq|causal_linkage"].alias("polar"), s["temporal_localization|temporal_description"].alias("timed"), s["scene_description|video_summarization"].alias("texts"))
+
+
+@query(f"""WITH i AS ({TALK}),
+f AS (SELECT video_id, task, arg_min(answer, ord) AS a FROM i GROUP BY 1, 2),
+y AS (SELECT video_id, count(*) FILTER (task = 'bcq' AND answer LIKE 'Yes%') AS ny, count(*) FILTER (task = 'bcq' AND answer LIKE 'No%') AS nn FROM i GROUP BY 1),
+w AS (SELECT y.*, (SELECT a FROM f WHERE f.video_id = y.video_id AND task = 'causal_linkage') AS c FROM y),
+p AS (SELECT video_id, CASE WHEN c IS NULL OR ny + nn = 0 OR c = 'Nothing said' THEN 0.5 WHEN (ny >= nn) = (c = 'The cars crash.') THEN 1 ELSE 0 END::DOUBLE AS m FROM w)
+SELECT video_id, m AS mean_score, CASE WHEN m < 0.4 THEN 0.5 ELSE 1.0 END::DOUBLE AS downweight FROM p""")
+def consistency_downweight(spark, d):
+    return K.consistency(talk_items(spark, d), pairs=(("bcq", "causal_linkage"),)).drop("pair_scores")
+
+
+# --- splits, ids, summaries ------------------------------------------------------------------------------------------
+
+SPLIT = """ids AS (SELECT DISTINCT conv_id FROM conversations),
+val AS (SELECT conv_id FROM ids ORDER BY md5(concat('42:', conv_id)), conv_id LIMIT (SELECT greatest(1, floor(count(*) * 0.05))::BIGINT FROM ids))"""
+
+
+@query(f"""WITH {SPLIT} SELECT conv_id, turn, CASE WHEN conv_id IN (SELECT conv_id FROM val) THEN 'val' ELSE 'train' END AS split FROM conversations""")
+def grouped_split(spark, d):
+    return S.by_hash(t(spark, d, "conversations").select("conv_id", "turn"), "conv_id")
+
+
+@query("""SELECT concat(conv_id, '::', role, '::', row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1) AS id, conv_id, turn FROM conversations""")
+def record_ids(spark, d):
+    c = t(spark, d, "conversations").withColumn("task", F.col("role"))
+    return S.record_ids(c, "conv_id", "turn").select("id", "conv_id", "turn")
+
+
+@query(f"""WITH r AS (SELECT {TIERED} AS tier, lang AS task, CASE WHEN doc_id % 20 = 0 THEN 'val' ELSE 'train' END AS split, 1.0::DOUBLE + doc_id % 3 AS init_weight FROM documents)
+SELECT CASE grouping(tier, task, split) WHEN 3 THEN 'tier' WHEN 5 THEN 'task' WHEN 6 THEN 'split' ELSE 'all' END AS kind, coalesce(tier, task, split) AS value, count(*) AS n, avg(init_weight) AS mean_weight
+FROM r GROUP BY GROUPING SETS ((tier), (task), (split), ())""")
+def stage_summary(spark, d):
+    r = t(spark, d, "documents").select(F.expr(TIERED).alias("tier"), F.col("lang").alias("task"), F.expr("if(doc_id % 20 = 0, 'val', 'train')").alias("split"), (1.0 + F.col("doc_id") % 3).cast("double").alias("init_weight"))
+    return S.summary(r)
+
+
+@query("""SELECT conv_id AS video, arg_min(text, turn) AS first_text, arg_max(text, turn) AS last_text FROM conversations WHERE role = 'user' GROUP BY 1""")
+def first_last_context(spark, d):
+    items = t(spark, d, "conversations").select(F.col("conv_id").alias("video"), F.col("turn").alias("item"), F.col("role").alias("task"), F.col("text").alias("question"), F.col("turn").alias("ord"))
+    a, z = J.context_rows(items, "user"), J.context_rows(items, "user", last=True)
+    return a.select("video", F.col("question").alias("first_text")).join(z.select("video", F.col("question").alias("last_text")), "video")
+
+
+# --- parsers --------------------------------------------------------------------------------------------------------------
+
+def wrapped(spark, d) -> DataFrame:
+    """Conversation texts with answer and thought tags put in, in five ways."""
+    k = F.col("turn") % 5
+    s = F.col("text")
+    tag = (
+        F.when(k == 0, F.concat(F.lit("<think>why\nso</think> <answer> "), s, F.lit(" </answer> end")))
+        .when(k == 1, F.concat(F.lit("<think>x</think>"), s))
+        .when(k == 2, F.concat(F.lit("lost</think>"), s))
+        .when(k == 3, F.concat(F.lit("<answer>a<think>t</think>"), s, F.lit("</answer>")))
+        .otherwise(s)
+    )
+    return t(spark, d, "conversations").select("conv_id", "turn", tag.alias("s"))
+
+
+WRAPPED = """w AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN concat('<think>why\nso</think> <answer> ', text, ' </answer> end') WHEN 1 THEN concat('<think>x</think>', text)
+  WHEN 2 THEN concat('lost</think>', text) WHEN 3 THEN concat('<answer>a<think>t</think>', text, '</answer>') ELSE text END AS s FROM conversations)"""
+_TRIM = "regexp_replace({}, '^[ \\t\\n\\x0b\\f\\r]+|[ \\t\\n\\x0b\\f\\r]+$', '', 'g')"
+_TAG = "CASE WHEN regexp_matches(s, '(?s)<answer>(.*?)</answer>') THEN regexp_extract(s, '(?s)<answer>(.*?)</answer>', 1) ELSE {} END"
+_UNTHINK = "regexp_replace({}, '(?s)<think>.*?</think>', '', 'g')"
+
+
+@query(f"""WITH {WRAPPED} SELECT conv_id, turn, {_TRIM.format(_UNTHINK.format(_TAG.format('s')))} AS a, {_TRIM.format(_TAG.format('s'))} AS b,
+  {_TRIM.format(_TAG.format("regexp_replace(" + _UNTHINK.format('s') + ", '(?s)^.*?</think>', '')"))} AS c FROM w""")
+def answer_unwrap(spark, d):
+    s = F.col("s")
+    return wrapped(spark, d).select("conv_id", "turn", T.unwrap_then_unthink(s).alias("a"), T.unwrap_or_whole(s).alias("b"), T.unwrap_or_unthink(s).alias("c"))
+
+
+@query("""WITH w AS (SELECT event_id, concat(CASE event_id % 4 WHEN 0 THEN 'Yes, ' WHEN 1 THEN 'No: ' WHEN 2 THEN 'Nothing, yes ' ELSE 'It is B) ' END, event_type) AS s FROM events)
+SELECT event_id, CASE WHEN starts_with(lower(s), 'yes') THEN 'yes' WHEN starts_with(lower(s), 'no') THEN 'no' END AS prefix_reader, nullif(regexp_extract(lower(s), '\\b(yes|no)\\b', 1), '') AS word_reader,
+  CASE WHEN starts_with(lower(s), 'yes') THEN 'yes' ELSE 'no' END AS truth, nullif(regexp_extract(upper(s), '\\b([A-D])\\b', 1), '') AS letter FROM w""")
+def answer_readers(spark, d):
+    k = F.col("event_id") % 4
+    s = F.concat(F.when(k == 0, "Yes, ").when(k == 1, "No: ").when(k == 2, "Nothing, yes ").otherwise("It is B) "), F.col("event_type"))
+    return t(spark, d, "events").select("event_id", T.prefix_polarity(s).alias("prefix_reader"), T.yes_no(s).alias("word_reader"), T.true_polarity(s).alias("truth"), T.letter_standalone(s).alias("letter"))
+
+
+QUESTION = r"concat('What is part ', p_size % 7, '?\nA. ', p_name, '\nB. ', p_brand, '\nC. ', p_type, '\nD. none of these?\nChoose the correct one')"
+
+
+@query(f"""WITH p AS (SELECT *, regexp_replace(trim(p_name), '\\?+$', '') AS a FROM part) SELECT p_partkey, a, p_brand AS b, p_type AS c, 'none of these' AS d, substr(regexp_replace(lower(a), '[^a-z0-9 ]', '', 'g'), 1, 55) AS na,
+  concat('what is part ', p_size % 7) AS stem FROM p""")
+def option_parsing(spark, d):
+    q = F.expr(QUESTION.replace("\\n", "\\n"))
+    o = T.options(q)
+    return t(spark, d, "part").select("p_partkey", o["A"].alias("a"), o["B"].alias("b"), o["C"].alias("c"), o["D"].alias("d"), T.normal_option(o["A"]).alias("na"), T.stem(q).alias("stem"))
+
+
+@query("""SELECT p_partkey, concat('What is it?\nA. ', p_brand, '\nB. none\nC. ', p_name, '\nD. ', p_type, '\nChoose the correct option.') AS asked, substr(regexp_replace(lower(p_name), '[^a-z0-9 ]', '', 'g'), 1, 55) AS picked FROM part""")
+def option_permutations(spark, d):
+    o = F.struct(F.col("p_name").alias("A"), F.col("p_brand").alias("B"), F.col("p_type").alias("C"), F.lit("none").alias("D"))
+    perm = [1, 3, 0, 2]
+    return t(spark, d, "part").select("p_partkey", T.permuted_question(F.lit("What is it?"), o, F.lit(T.DEFAULT_ORDER), perm).alias("asked"), T.permuted_pick(o, F.lit("C"), perm).alias("picked"))
+
+
+@query("""WITH e AS (SELECT event_id, (event_id % 50)::INT AS m, (event_id % 60)::INT AS s, (event_id % 100)::INT AS c FROM events)
+SELECT event_id, m * 60.0::DOUBLE + s + c / 100.0::DOUBLE AS cc, m * 3600.0::DOUBLE + s * 60 + c AS hh, m * 60.0::DOUBLE + s AS first_,
+  CASE WHEN m * 3600.0::DOUBLE + s * 60 + c > 2000 * 1.05::DOUBLE AND m * 60.0::DOUBLE + s + c / 100.0::DOUBLE <= 2000 * 1.05::DOUBLE THEN m * 60.0::DOUBLE + s + c / 100.0::DOUBLE ELSE m * 3600.0::DOUBLE + s * 60 + c END AS fit FROM e""")
+def clock_readings(spark, d):
+    s = F.format_string("%02d:%02d:%02d", F.col("event_id") % 50, F.col("event_id") % 60, F.col("event_id") % 100)
+    return t(spark, d, "events").select("event_id", C.hundredths_clock(s).alias("cc"), C.hours_clock(s).alias("hh"), C.first_clock(s).alias("first_"), C.clock_within(s, F.lit(2000)).alias("fit"))
+
+
+@query("""WITH e AS (SELECT event_id, (event_id % 50 * 60 + event_id % 60)::DOUBLE AS a, (event_id % 50 * 60 + event_id % 60 + event_id % 7)::DOUBLE AS b FROM events)
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS n, a AS s, b AS e, CASE WHEN b > a THEN a END AS w FROM e""")
+def clock_pairs(spark, d):
+    clock = lambda x: F.format_string("%02d:%02d.00", F.floor(x / 60), x % 60)
+    k = F.col("event_id")
+    a = (k % 50) * 60 + k % 60
+    s = F.concat(F.lit("from "), clock(a), F.lit(" to "), clock(a + k % 7), F.when(k % 3 == 0, " or 59:59").otherwise(""))
+    p = C.clock_pairs(s)
+    return t(spark, d, "events").select("event_id", F.size(p).alias("n"), p[0]["s"].alias("s"), p[0]["e"].alias("e"), C.question_window(s)["s"].alias("w"))
+
+
+@query("""SELECT event_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k FROM events""")
+def json_props(spark, d):
+    return t(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+# --- frames and grids ----------------------------------------------------------------------------------------------------------
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 97 + 1 AS total FROM orders), c AS (SELECT *, least(32, total) AS n FROM o)
+SELECT o_orderkey, list_distinct_sorted AS idx FROM (SELECT o_orderkey, list_sort(list_distinct([CASE WHEN n = 1 THEN 0 WHEN i = n - 1 THEN total - 1 ELSE floor(i * ((total - 1)::DOUBLE / (n - 1)))::BIGINT END FOR i IN range(n)])) AS list_distinct_sorted FROM c)""")
+def frame_plan_uniform(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", N.uniform(F.col("o_orderkey") % 97 + 1, F.lit(N.N_FRAMES)).alias("idx"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 300 + 40 AS total, o_orderkey % 9 AS a FROM orders),
+s AS (SELECT *, greatest(0, least(total - 1, round_even(greatest(0, a - 1) * 10.0, 0)::BIGINT)) AS sf, greatest(0, least(total - 1, round_even((a + 3) * 10.0, 0)::BIGINT)) AS ef FROM o),
+n AS (SELECT *, least(16, ef - sf + 1) AS k FROM s),
+de AS (SELECT *, list_distinct([CASE WHEN k = 1 THEN sf WHEN i = k - 1 THEN ef ELSE floor(sf + i * ((ef - sf)::DOUBLE / (k - 1)))::BIGINT END FOR i IN range(k)]) AS d FROM n),
+po AS (SELECT *, [i FOR i IN range(total) IF i < sf OR i > ef] AS pool FROM de),
+un AS (SELECT *, least(32 - len(d), len(pool)) AS m FROM po)
+SELECT o_orderkey, list_sort(list_distinct(list_concat(d, [pool[(CASE WHEN m = 1 THEN 0 WHEN i = m - 1 THEN len(pool) - 1 ELSE floor(i * ((len(pool) - 1)::DOUBLE / (m - 1)))::BIGINT END) + 1] FOR i IN range(m)]))) AS idx FROM un""")
+def frame_plan_window(spark, d):
+    k = F.col("o_orderkey")
+    a = (k % 9).cast("double")
+    pair = F.array(F.struct(a.alias("s"), (a + 2).alias("e")))
+    none = F.lit(None).cast("struct<s:double,e:double>")
+    return t(spark, d, "orders").select("o_orderkey", N.plan(F.lit("mcq"), pair, none, k % 300 + 40, F.lit(10.0)).alias("idx"))
+
+
+GRID = "[0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE, 2.0::DOUBLE]"
+
+
+@query(f"""WITH e AS (SELECT event_id, (event_id % 21) / 10.0::DOUBLE AS s, (event_id % 21) / 10.0::DOUBLE + (event_id % 4) / 10.0::DOUBLE AS e FROM events),
+o AS (SELECT *, coalesce(list_max([g FOR g IN {GRID} IF g <= s + 1e-6]), 0.0::DOUBLE) AS os, coalesce(list_min([g FOR g IN {GRID} IF g >= e - 1e-6]), 2.0::DOUBLE) AS oe FROM e)
+SELECT event_id, os, CASE WHEN oe <= os THEN coalesce(list_min([g FOR g IN {GRID} IF g > os]), 2.0::DOUBLE) ELSE oe END AS oe FROM o""")
+def snap_outward(spark, d):
+    grid = F.array(*(F.lit(x) for x in (0.0, 0.5, 1.0, 1.5, 2.0)))
+    s = (F.col("event_id") % 21) / 10.0
+    x = N.snap_outward(grid, s, s + (F.col("event_id") % 4) / 10.0)
+    return t(spark, d, "events").select("event_id", x["s"].alias("os"), x["e"].alias("oe"))
+
+
+@query("""WITH k AS (SELECT user_id, list_sort(list_distinct(list(event_id))) AS ks FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+SELECT event_id, (SELECT arg_min(x, (abs(x - event_id), x)) FROM (SELECT unnest(ks) AS x)) AS near FROM events JOIN k USING (user_id) WHERE event_id % 3 <> 0""")
+def nearest_detection(spark, d):
+    e = t(spark, d, "events")
+    keys = e.filter("event_id % 3 = 0").groupBy("user_id").agg(F.collect_set("event_id").alias("ks"))
+    return e.filter("event_id % 3 <> 0").join(keys, "user_id").select("event_id", N.nearest(F.col("ks"), F.col("event_id")).alias("near"))
+
+
+# --- pairing, medoids, repair ---------------------------------------------------------------------------------------------
+
+@query("""WITH q AS (SELECT l_orderkey AS video, l_linenumber AS ord, l_partkey, CASE WHEN l_linenumber % 2 = 1 THEN 'bcq' ELSE 'bcq_openended' END AS task, l_quantity::INT % 3 AS k FROM lineitem),
+m AS (SELECT x.video, x.ord AS ox, y.ord AS oy, row_number() OVER (PARTITION BY x.video, x.ord ORDER BY y.ord) AS r FROM q x JOIN q y ON x.video = y.video AND x.k = y.k AND x.task = 'bcq' AND y.task = 'bcq_openended'),
+f AS (SELECT * FROM m WHERE r = 1), b AS (SELECT *, row_number() OVER (PARTITION BY video, oy ORDER BY ox DESC) AS rr FROM f)
+SELECT concat(video, '-', ox) AS item, concat(video, '-', oy) AS sibling FROM f UNION ALL SELECT concat(video, '-', oy), concat(video, '-', ox) FROM b WHERE rr = 1""")
+def sibling_pairs(spark, d):
+    l = t(spark, d, "lineitem")
+    q = F.concat(F.lit("Is it case "), (F.col("l_quantity").cast("int") % 3).cast("string"), F.lit("? "), F.when(F.col("l_linenumber") % 2 == 1, "Answer with yes or no").otherwise("Provide a reason"))
+    items = l.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item"), F.col("l_orderkey").alias("video"), F.when(F.col("l_linenumber") % 2 == 1, "bcq").otherwise("bcq_openended").alias("task"), q.alias("question"), F.col("l_linenumber").alias("ord"))
+    return J.stance_siblings(items)
+
+
+MEDOID = """c AS (SELECT user_id AS item, event_id AS pos, concat(event_type, ' k', event_id % 7, ' m', event_id % 3) AS value FROM events WHERE value > 60)"""
+_F1 = "2.0::DOUBLE * len(list_intersect(string_split(lower(a.value), ' '), string_split(lower(b.value), ' '))) / (len(list_distinct(string_split(lower(a.value), ' '))) + len(list_distinct(string_split(lower(b.value), ' '))))"
+
+
+def _medoid_sql(pool: str) -> str:
+    return f"""WITH {MEDOID}, p AS ({pool}),
+u AS (SELECT a.item, a.pos, any_value(a.value) AS v, list_reduce(list_concat([0.0::DOUBLE], list(CASE WHEN a.pos <> b.pos THEN {_F1} ELSE 0 END ORDER BY b.pos)), lambda m, n: m + n) AS u FROM p a JOIN p b ON a.item = b.item GROUP BY 1, 2)
+SELECT item, arg_max(v, (u, -pos)) AS value FROM u GROUP BY 1"""
+
+
+def medoid_pool(spark, d) -> DataFrame:
+    v = F.concat_ws(" ", "event_type", F.concat(F.lit("k"), (F.col("event_id") % 7).cast("string")), F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")))
+    return t(spark, d, "events").filter("value > 60").select(F.col("user_id").alias("item"), F.col("event_id").alias("pos"), v.alias("value"))
+
+
+@query(_medoid_sql("SELECT item, value, min(pos) AS pos FROM c GROUP BY 1, 2"))
+def medoid_token(spark, d):
+    return M.medoid(medoid_pool(spark, d))
+
+
+@query(_medoid_sql("SELECT item, value, pos FROM c"))
+def medoid_nodedup(spark, d):
+    return M.medoid(medoid_pool(spark, d), distinct=False)
+
+
+@query("""WITH m AS (SELECT o_custkey AS grp, o_orderkey AS item, CASE WHEN o_orderkey % 3 = 0 THEN 'No' ELSE 'Yes' END AS p, (o_orderkey % 11) / 11.0::DOUBLE AS m, CASE o_orderkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS v FROM orders),
+n AS (SELECT *, count(*) OVER w AS c, row_number() OVER (PARTITION BY grp ORDER BY item) AS r, lead(p) OVER o AS p2, lag(p) OVER o AS p0, lead(m) OVER o AS m2, lag(m) OVER o AS m0, lead(v) OVER o AS v2, lag(v) OVER o AS v0
+  FROM m WINDOW w AS (PARTITION BY grp), o AS (PARTITION BY grp ORDER BY item)),
+d AS (SELECT *, (v IN ('yes', 'no') AND v <> lower(p)) AS dis, (coalesce(v2, v0) IN ('yes', 'no') AND coalesce(v2, v0) <> lower(coalesce(p2, p0))) AS odis, coalesce(m2, m0) AS om FROM n)
+SELECT grp AS "group", item, CASE WHEN c = 2 AND p = coalesce(p2, p0) AND (CASE WHEN dis AND NOT odis THEN true WHEN odis AND NOT dis THEN false WHEN r = 1 THEN m <= om ELSE m < om END)
+  THEN CASE WHEN p = 'Yes' THEN 'No' ELSE 'Yes' END ELSE p END AS prediction FROM d""")
+def pair_repair(spark, d):
+    k = F.col("o_orderkey")
+    rows = t(spark, d, "orders").select(F.col("o_custkey").alias("group"), k.alias("item"), k.alias("ord"), F.when(k % 3 == 0, "No").otherwise("Yes").alias("prediction"), ((k % 11) / 11.0).alias("margin_a"), F.when(k % 5 == 0, "yes").when(k % 5 == 1, "no").otherwise("unknown").alias("verdict"))
+    return R.pair_repair(rows)
+
+
+@query("""SELECT d.doc_id AS item, CASE WHEN l.toxic IS NOT NULL AND d.doc_id % 4 <= 2 THEN CASE WHEN l.toxic = 1 THEN 'Yes' ELSE 'No' END ELSE 'Yes' END AS prediction FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def uncertain_override(spark, d):
+    docs, labels = t(spark, d, "documents"), t(spark, d, "labels")
+    pred = docs.select(F.col("doc_id").alias("item"), F.lit("Yes").alias("prediction"))
+    verdicts = labels.select(F.col("doc_id").alias("item"), F.when(F.col("toxic") == 1, "yes").otherwise("no").alias("verdict"))
+    margins = docs.select(F.col("doc_id").alias("item"), ((F.col("doc_id") % 4) / 4.0).alias("margin_a"))
+    return R.override(pred, verdicts, margins)
+
+
+@query("""SELECT o_orderkey AS item, CASE o_orderkey % 4 WHEN 0 THEN o_orderstatus WHEN 1 THEN o_orderpriority WHEN 2 THEN 'No' ELSE o_orderpriority END AS prediction FROM orders""")
+def blank_guard(spark, d):
+    k = F.col("o_orderkey")
+    o = t(spark, d, "orders")
+    pred = o.select(k.alias("item"), F.when(k % 4 == 0, F.col("o_orderstatus")).when(k % 4 == 1, "  ").when(k % 4 == 2, None).otherwise("").alias("prediction"))
+    fall = o.select(k.alias("item"), F.when(k % 4 == 2, "").otherwise(F.col("o_orderpriority")).alias("value"))
+    return R.guard(pred, fall)
+
+
+@query("""SELECT o_orderkey, o_orderpriority FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R')""")
+def resume_anti_join(spark, d):
+    done = t(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return P.resume(t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), done, item="o_orderkey")
+
+
+@query("""WITH l AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) SELECT user_id, event_type, event_id FROM l WHERE r = 1""")
+def last_wins(spark, d):
+    e = t(spark, d, "events").select("user_id", "event_type", "event_id")
+    return P.last_wins(e, "user_id", F.col("event_id"))
+
+
+@query("""WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark), p AS (SELECT a.item_id AS x, b.item_id AS y, a.w AS wx, b.w AS wy FROM b a JOIN b b ON b.item_id = a.item_id + 1)
+SELECT x, y, len(list_intersect(wx, wy))::DOUBLE / greatest(len(list_distinct(list_concat(wx, wy))), 1) AS jaccard FROM p""")
+def token_jaccard(spark, d):
+    b = t(spark, d, "benchmark").select("item_id", T.long_words(F.col("text")).alias("w"))
+    y = b.select((F.col("item_id") - 1).alias("x"), F.col("item_id").alias("y"), F.col("w").alias("wy"))
+    return b.select(F.col("item_id").alias("x"), F.col("w").alias("wx")).join(y, "x").select("x", "y", T.jaccard(F.col("wx"), F.col("wy")).alias("jaccard"))
+
+
+@query("""WITH l AS (SELECT doc_id, toxic, CASE WHEN doc_id % 3 = 0 THEN 'Yes it is' WHEN doc_id % 3 = 1 THEN 'no' ELSE 'unclear' END AS p FROM labels)
+SELECT 'bcq' AS task, count(*) AS n, avg((CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END IS NOT DISTINCT FROM nullif(regexp_extract(lower(p), '\\b(yes|no)\\b', 1), ''))::INT::DOUBLE) AS score FROM l""")
+def exact_match_eval(spark, d):
+    from corvane.operators.evaluate import scores
+
+    k = F.col("doc_id") % 3
+    rows = t(spark, d, "labels").select(F.lit("bcq").alias("task"), F.when(F.col("toxic") == 1, "Yes").otherwise("No").alias("answer"), F.when(k == 0, "Yes it is").when(k == 1, "no").otherwise("unclear").alias("prediction"))
+    return scores(rows)
+
+
+@query("""SELECT 0 AS src_ord, doc_id AS id, lang AS task, 'documents' AS source FROM documents UNION ALL SELECT 1, conv_id * 1000 + turn, role, 'conversations' FROM conversations""")
+def union_corpus(spark, d):
+    a = t(spark, d, "documents").select(F.lit(0).alias("src_ord"), F.col("doc_id").alias("id"), F.col("lang").alias("task"), F.lit("documents").alias("source"))
+    return a.unionByName(t(spark, d, "conversations").select(F.lit(1).alias("src_ord"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("task"), F.lit("conversations").alias("source")))
+
+
+@query("""SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS INTEGER) AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 4""")
+def top_n_by_score(spark, d):
+    w = W.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    return t(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("k")).filter("k <= 4")
+
+
+@query(f"""WITH v AS (SELECT user_id AS item, event_type AS value, event_id AS pos, time_bucket(INTERVAL 1 hour, ts) AS w FROM events),
+c AS (SELECT w, item, value, count(*) AS k, min(pos) AS p FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY w, item ORDER BY k DESC, p) AS r, CAST(sum(k) OVER (PARTITION BY w, item) AS BIGINT) AS n FROM c)
+SELECT w AS start, item, value, n FROM r WHERE r = 1""")
+def windowed_vote(spark, d):
+    from corvane.streaming.votes import windowed_counts, winners
+
+    out = winners(windowed_counts(t(spark, d, "events"), "user_id", "event_type", "ts", "event_id"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "item", "value", "n")
+
+
+# --- no SQL: model calls behind fakes, whole plans ---------------------------------------------------------------------
+
+@query()
+def generate_with_resume(spark, d):
+    from corvane.sources.generate import SCHEMA, fake_client, generate
+
+    work = t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("item"), F.col("role").alias("task"), F.col("text").alias("prompt"))
+    done = spark.createDataFrame([], SCHEMA)
+    return generate(work, done, fake_client, n=3)
+
+
+@query()
+def build_corpus(spark, d):
+    from corvane.plans.corpus import build_records
+
+    return build_records(talk_items(spark, d).withColumn("reasoning", F.col("answer")))
+
+
+@query()
+def assembled_answers(spark, d):
+    """Choice assembly over pools dealt from orders: two sources vote on each customer's questions."""
+    from corvane.plans.assemble import choices
+
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 3).alias("k"))
+    task = F.when(F.col("k") == 0, "bcq").when(F.col("k") == 1, "bcq_openended").otherwise("open_qa")
+    items = o.select(F.col("o_orderkey").cast("string").alias("item"), F.col("o_custkey").alias("video"), task.alias("task"), F.lit("Is it there? Answer with yes or no").alias("question"), F.col("o_orderkey").alias("ord"))
+    l = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("item"), "l_linenumber", "l_returnflag", "l_shipdate", (F.col("l_orderkey") % 3).alias("k"))
+    said = F.when(F.col("l_returnflag") == "N", "no").otherwise("yes")
+    source = F.when(F.col("k") == 0, "base").when(F.col("k") == 1, "second").otherwise("second_desc")
+    pools = l.select(source.alias("source"), F.lit(0).alias("src_ord"), "item", F.when(F.col("k") == 0, "votes").otherwise("samples").alias("kind"), F.col("l_linenumber").alias("pos"), F.when(F.col("k") == 0, said).otherwise(F.concat(said, F.lit(" because "), F.col("l_returnflag"))).alias("value"))
+    pred, _ = choices(items, pools, J.stance_siblings(items), items.select("item", F.lit("").alias("prediction")))
+    return pred
