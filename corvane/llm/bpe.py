@@ -25,7 +25,7 @@ _UNSURE = re.compile("[^\\t\\n\\r -~ -ɏ‐-‧‰-⁞€]")
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. Memory: at most `words` cached pre-tokens."""
 
-    def __init__(self, path: str, words: int = 900_000):
+    def __init__(self, path: str, words: int = 600_000):
         env_single_thread()
         from tokenizers import Tokenizer
 

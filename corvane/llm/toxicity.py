@@ -91,7 +91,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, bits: int, max_rows: int
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 2):
+            for b in slices(whole, 2, 2_000_000):
                 x, first = buckets(b.column(2), bits)
                 found = [np.unique(x[first[i] : first[i + 1]]).astype("<i4").tobytes() for i in range(len(b))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["k", "y", "x"])
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Ordinal, keep: list[str], text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, cuts = shared.value
         for whole in batches:
-            for b in slices(whole, n):
+            for b in slices(whole, n, 2_000_000):
                 x, first = buckets(b.column(n), bits)
                 hit = np.flatnonzero(w[x])
                 d = np.searchsorted(first, hit, side="right") - 1
