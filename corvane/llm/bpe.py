@@ -60,14 +60,18 @@ class Encoder:
         for w in rest:
             self.cache[w] = self.ids(w)
 
+    def know(self, words: set[str]) -> None:
+        """After this the cache holds all of the words."""
+        for _ in range(2):  # learning may drop others when the cache is full
+            have = self.cache
+            new = {w for w in words if w not in have}
+            if not new:
+                return
+            self.learn(new)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.split(t) for t in texts]
-        new = set().union(*(p for p in parts if p)) - self.cache.keys()
-        if new:
-            keep = self.cache
-            self.learn(new)
-            if self.cache is not keep:  # some words went
-                self.learn(set().union(*(p for p in parts if p)) - self.cache.keys())
+        self.know(set().union(*(p for p in parts if p)))
         get = self.cache.__getitem__
         return [self.ids(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 

@@ -35,12 +35,7 @@ class Counter(Encoder):
         return p
 
     def counts(self, words: list[str]) -> list[int]:
-        new = set(words) - self.cache.keys()
-        if new:
-            self.learn(new)
-            left = set(words) - self.cache.keys()
-            if left:
-                self.learn(left)
+        self.know(set(words))
         get = self.cache.__getitem__
         return [len(get(w)) >> 2 for w in words]
 

@@ -214,11 +214,12 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.chunk.findall(self.normalise(t)) for t in texts]
-        new = set().union(*parts) - self.cache.keys()
+        every, have = set().union(*parts), self.cache
+        new = {w for w in every if w not in have}
         if new:
             if len(self.cache) + len(new) > self.words:
                 self.cache = {w: v for w, v in self.cache.items() if len(w) <= 6} if len(self.cache) < 4 * self.words else {}
-                new = set().union(*parts) - self.cache.keys()
+                new = {w for w in every if w not in self.cache}
             todo, at = list(new), 0
             while at < len(todo):  # about a million letters are indexed at once
                 z, size = at, 0
