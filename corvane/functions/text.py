@@ -215,8 +215,12 @@ def options(q: Column) -> Column:
     tail = F.regexp_extract(text(q), r"(?sm)^\s*A[.)]\s.*\z", 0)
     names = F.regexp_extract_all(tail, F.lit(MARK), F.lit(1))
     bodies = F.slice(F.split(tail, MARK), 2, 1 << 20)
-    both = F.arrays_zip(names.alias("l"), bodies.alias("b"))
-    last = [F.try_element_at(F.filter(both, lambda x, l=l: x["l"] == l), F.lit(-1))["b"] for l in LETTERS]
+    both = F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("n"), b.alias("b")))
+
+    def last_of(letter: str) -> Column:
+        return F.try_element_at(F.filter(both, lambda x: x["n"] == letter), F.lit(-1))["b"]
+
+    last = [last_of(l) for l in LETTERS]
     last[3] = F.element_at(F.split(last[3], r"\n\s*\n|\bChoose the correct\b|\bAnswer with\b", 2), 1)
     tidy = [strip(F.regexp_replace(squeeze(x), r"\?+$", "")) for x in last]
     whole = last[0].isNotNull() & last[1].isNotNull() & last[2].isNotNull() & last[3].isNotNull()

@@ -12,13 +12,14 @@ KINDS = ("votes", "picks", "samples")
 
 def from_nested(df: DataFrame, source: str, src_ord: int) -> DataFrame:
     """Rows (item, task, votes, picks, samples, greedy, err) to the long form; greedy has position -1."""
-    parts = []
-    for kind in KINDS:
-        if kind in df.columns:
-            parts.append(F.transform(F.col(kind), lambda x, i, k=kind: F.struct(F.lit(k).alias("kind"), i.alias("pos"), x.alias("value"))))
+
+    def cells_of(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.alias("value")))
+
+    parts = [cells_of(kind) for kind in KINDS if kind in df.columns]
     if "greedy" in df.columns:
         parts.append(F.array(F.struct(F.lit("samples").alias("kind"), F.lit(-1).alias("pos"), F.col("greedy").alias("value"))))
-    cells = F.concat(*(F.coalesce(p, F.slice(p, 1, 0), F.array().cast("array<struct<kind:string,pos:int,value:string>>")) for p in parts))
+    cells = F.concat(*(F.coalesce(p, F.array().cast("array<struct<kind:string,pos:int,value:string>>")) for p in parts))
     opt = lambda c: (F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c)
     long = df.select(F.col("item").cast("string"), opt("task"), opt("err"), F.explode_outer(cells).alias("x"))
     return long.select(F.lit(source).alias("source"), F.lit(src_ord).alias("src_ord"), "item", "x.kind", "x.pos", "x.value", "task", "err")

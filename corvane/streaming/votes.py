@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def windowed_counts(stream: DataFrame, item: str, value: str, ts: str, pos: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    w = stream.withWatermark(ts, late).groupBy(F.window(ts, width), F.col(item).alias("item"), F.col(value).alias("value"))
+    w = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), F.col(item).alias("item"), F.col(value).alias("value"))
     return w.agg(F.count("*").alias("k"), F.min(pos).alias("p"))
 
 
