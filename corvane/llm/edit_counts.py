@@ -2,12 +2,13 @@
 
 A document is kept as a segment tree over its pre-tokens: leaves hold runs of pre-tokens with their token counts,
 inner nodes the sums of characters and tokens below. An edit descends to the leaf it touches, re-splits only the
-pre-tokens it touches with one pre-token before them, until the new boundaries meet the old ones, re-encodes only
+pre-tokens it touches with two pre-tokens before them, until the new boundaries meet the old ones, re-encodes only
 pre-tokens that are new there, and updates the sums on the way up.
 
 Why that is enough: the splitting pattern reads left to right, starts afresh at each boundary, and looks one
-character ahead. So the pre-token before the edited one may change, an earlier one can't; and where a new boundary
-falls on an old one behind the edit, all that follows is as it was."""
+character ahead, or past a run of white space, which is at most two pre-tokens. So the two before the edited one may
+change, an earlier one can't; and where a new boundary falls on an old one behind the edit, all that follows is as it
+was."""
 
 from __future__ import annotations
 
@@ -107,6 +108,8 @@ class CountTree:
         if not cut and not text:
             return
         leaf, i, start = self.words_before(at)
+        if start:
+            leaf, i, start = self.words_before(start)
         # Old pre-tokens are taken until the new splitting meets one of their boundaries behind the edit.
         old: list[str] = []
         bounds, size, more = [], 0, 8
