@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 
@@ -25,7 +26,7 @@ _UNSURE = re.compile("[^\\t\\n\\r -~ -ɏ‐-‧‰-⁞€]")
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes. Memory: at most `words` cached pre-tokens."""
 
-    def __init__(self, path: str, words: int = 600_000):
+    def __init__(self, path: str, words: int = 800_000):
         env_single_thread()
         from tokenizers import Tokenizer
 
@@ -45,9 +46,8 @@ class Encoder:
         are pre-tokens of their own there, and cut apart again at the newline's id."""
         if len(self.cache) + len(new) > self.words:
             self.cache = {w: v for w, v in self.cache.items() if len(w) <= 6} if len(self.cache) < 4 * self.words else {}
-        plain, rest = [], []
-        for w in new:
-            (plain if w.strip() and len(self.newline) == 4 else rest).append(w)
+        rest = [w for w in new if w.isspace() or not w] if len(self.newline) == 4 else list(new)
+        plain = list(new.difference(rest))
         for k in range(0, len(plain), 20_000):
             some = plain[k : k + 20_000]
             ids = np.array(self.lib.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -60,18 +60,18 @@ class Encoder:
         for w in rest:
             self.cache[w] = self.ids(w)
 
-    def know(self, words: set[str]) -> None:
-        """After this the cache holds all of the words."""
+    def know(self, parts: list[list[str]]) -> None:
+        """After this the cache holds all words of the parts."""
+        words = set().union(*parts)  # a small set first: looking each occurrence up in the large cache is slower
         for _ in range(2):  # learning may drop others when the cache is full
-            have = self.cache
-            new = {w for w in words if w not in have}
+            new = set(filterfalse(self.cache.__contains__, words))
             if not new:
                 return
             self.learn(new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.split(t) for t in texts]
-        self.know(set().union(*(p for p in parts if p)))
+        self.know([p for p in parts if p])
         get = self.cache.__getitem__
         return [self.ids(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
 

@@ -36,7 +36,7 @@ class Counter(Encoder):
         return p
 
     def counts(self, words: list[str]) -> list[int]:
-        self.know(set(words))
+        self.know([words])
         get = self.cache.__getitem__
         return [len(get(w)) >> 2 for w in words]
 
@@ -188,7 +188,7 @@ def edited_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             edits = b.column(2)
             for k, texts in groups(b.column(1).to_pylist()):
                 parts = [counter.pre_tokens(t) for t in texts]
-                counter.counts(list(set().union(*parts)))
+                counter.know(parts)
                 rows = []
                 for j, (t, words) in enumerate(zip(texts, parts)):
                     tree = CountTree(counter, t, words)
