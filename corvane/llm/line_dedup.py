@@ -10,10 +10,12 @@ by (doc_id, line number), has a Jaccard similarity of `num / den` or more with i
    Within a token's list, sorted by length, a pair stays if it passes the length filter (n_x >= t n_y), the positional
    filter (what is left after the token can reach the needed overlap) and the bitmap filter (128-bit images of the sets' not
    too common tokens differ in no more bits than the sets may differ in tokens). A token whose count is large has its list dealt over tiles.
-4. The lines of the pairs that stay are fetched and their Jaccard verified on their words.
+4. Each pair that stays is given to the least list it was found in, and every list gets the text of each of its lines
+   once, so that a family of near-equal lines moves each of its texts a few times and not once a pair. There the Jaccard
+   of every pair is verified on the words.
 5. A class that is linked with a class of an earlier first line loses all its lines, others all but their first.
 
-What is broadcast has a fixed size: the counts (2**bits) and a bit set of wanted lines (2**set_bits)."""
+What is broadcast has a fixed size: the counts (2**bits) and bit sets of wanted classes, texts and lines (2**set_bits each)."""
 
 from __future__ import annotations
 
@@ -65,8 +67,8 @@ def lines_slow(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, lines, docs, numbers))
 
 
-def count_tokens(docs: DataFrame, bits: int) -> np.ndarray:
-    """Words per hash bucket, over all texts: at most 2**bits numbers reach the driver."""
+def count_tokens(docs: DataFrame, bits: int, block_bits: int = 12) -> np.ndarray:
+    """Words per hash bucket, over all texts: 2**bits numbers reach the driver. Tasks send whole blocks of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int32)
@@ -74,15 +76,25 @@ def count_tokens(docs: DataFrame, bits: int) -> np.ndarray:
             for b in slices(whole, 0):
                 data, off = buffers(b.column(0))
                 s, e = bounds(data, off, SPACE)
-                at, n = np.unique(hashes(data, s, e) >> np.uint64(64 - bits), return_counts=True)
-                total[at.astype(np.int64)] += n.astype(np.int32)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["bucket", "n"])
-
-    got = docs.select("t").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, np.int32)
-    out[got["bucket"].to_numpy()] = np.minimum(got["n"].to_numpy(), np.iinfo(np.int32).max)
-    return out
+                total += np.bincount((hashes(data, s, e) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+        if total.any():
+            blocks = total.reshape(-1, 1 << min(bits, block_bits))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, n in zip(b.column(0).to_pylist(), b.column(1)):
+                part = np.frombuffer(n.as_buffer(), np.int32)
+                sums[block] = sums.get(block, np.zeros(len(part), np.int64)) + part
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, np.iinfo(np.int32).max).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], names=["block", "n"])
+
+    kind = "block int, n binary"
+    got = docs.select("t").mapInArrow(run, kind).repartition(slots(docs.sparkSession), "block").mapInArrow(add, kind).toArrow()
+    out = np.zeros((max(1 << (bits - block_bits), 1) if bits > block_bits else 1, 1 << min(bits, block_bits)), np.int32)
+    for block, n in zip(got["block"].to_pylist(), got["n"].to_pylist()):
+        out[block] = np.frombuffer(n, np.int32)
+    return out.reshape(-1)
 
 
 def needed(nx, ny, num: int, den: int):
@@ -166,31 +178,40 @@ def line_rows(docs: DataFrame, counts, bits: int, num: int, den: int, tile: int,
 
 
 def pairs_in_lists(entry: np.ndarray, sa: np.ndarray, image_a: np.ndarray, image_b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Pairs of one or more whole lists, sorted by entry (so by list, then size), that pass the filters, as (2, n).
-    Neighbours at distance 1, 2, ... are compared all at once."""
-    found = [np.zeros((2, 0), np.int64)]
-    n, place = (entry >> PLACE_BITS) & HUGE, entry & ((1 << PLACE_BITS) - 1)
-    name = entry >> 32
+    """Pairs of one or more whole lists, sorted by entry (so by list, then size), that pass the filters, as (3, n):
+    both classes and the least list they meet in. Neighbours at distance 1, 2, ... are compared all at once."""
+    found = [np.zeros((3, 0), np.int64)]
+    n = ((entry >> PLACE_BITS) & HUGE).astype(np.int32)
+    left = n - (entry & ((1 << PLACE_BITS) - 1)).astype(np.int32)
+    name = (entry >> 32).astype(np.int32)
     i, d = np.arange(len(entry)), 1
     while True:
-        i = i[i + d < len(entry)]
+        i = i[: np.searchsorted(i, len(entry) - d)]
         j = i + d
-        ok = (name[i] == name[j]) & ((den * n[i] >= num * n[j]) | (n[j] == HUGE))
+        nj = n[j]
+        ok = (name[i] == name[j]) & ((den * n[i] >= num * nj) | (nj == HUGE))
         i, j = i[ok], j[ok]
         if not len(i):
-            return np.unique(np.concatenate(found, axis=1), axis=1)
-        need = needed(n[i], n[j], num, den)
-        apart = np.bitwise_count(image_a[i] ^ image_a[j]).astype(np.int64) + np.bitwise_count(image_b[i] ^ image_b[j])
-        ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (apart <= n[i] + n[j] - 2 * need)
-        ok = (ok | (n[j] == HUGE)) & (sa[i] != sa[j])
-        if ok.any():
-            a, b = sa[i[ok]], sa[j[ok]]
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            break
+        ni, nj = n[i], n[j]
+        need = needed(ni, nj, num, den)
+        ok = np.flatnonzero((np.minimum(left[i], left[j]) >= need) | (nj == HUGE))
+        a, b, nj = i[ok], j[ok], nj[ok]
+        apart = np.bitwise_count(image_a[a] ^ image_a[b]) + np.bitwise_count(image_b[a] ^ image_b[b])
+        ok = ((apart <= ni[ok] + nj - 2 * need[ok]) | (nj == HUGE)) & (sa[a] != sa[b])
+        a, b = a[ok], b[ok]
+        if len(a):
+            found.append(np.stack([np.minimum(sa[a], sa[b]), np.maximum(sa[a], sa[b]), name[a].astype(np.int64)]))
         d += 1
+    pairs = np.concatenate(found, axis=1)
+    pairs = pairs[:, np.lexsort(pairs[::-1])]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
+    return pairs[:, new]
 
 
 def candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y) by class hash sa: pairs that stay after the filters."""
+    """(x, y, k) by class hash sa: pairs that stay after the filters, once each, with the least list they meet in."""
     rows = lines.filter("size(keys) > 0").select(F.explode("keys").alias("k"), "sa", "image_a", "image_b")
     spread = rows.repartition(slots(lines.sparkSession), F.shiftright("k", 32)).sortWithinPartitions("k")
 
@@ -199,7 +220,7 @@ def candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
 
         def solve(x: list[np.ndarray]) -> pa.RecordBatch:
             got = pairs_in_lists(x[0], x[1], x[2].view(np.uint64), x[3].view(np.uint64), num, den)
-            return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["x", "y"])
+            return pa.RecordBatch.from_arrays([pa.array(g) for g in got], names=["x", "y", "k"])
 
         for b in batches:
             held = [np.concatenate([h, b.column(c).to_numpy()]) for c, h in enumerate(held)]
@@ -209,45 +230,94 @@ def candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
                 held = [h[cut:] for h in held]
         yield solve(held)
 
-    return spread.mapInArrow(join, "x long, y long").distinct()
+    return spread.mapInArrow(join, "x long, y long, k long").groupBy("x", "y").agg(F.min("k").alias("k"))
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, set_bits: int) -> DataFrame:
-    """wanted (text_hash, line) -> (text_hash, line, text). The texts are read again; only those whose hash's bit is
-    set in a bit set of fixed size are looked at."""
-    spark = docs.sparkSession
-    words = wanted.select(F.expr(f"shiftrightunsigned(text_hash, {64 - set_bits})").alias("b")).select(F.expr("cast(b div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m"))
-    got = words.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    bitset = np.zeros(1 << (set_bits - 6), np.uint64)
-    bitset[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast(bitset)
+def place_hash(text_hash: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(text_hash.view(np.uint64) + mix(line.astype(np.uint64) + np.uint64(9)))
+
+
+def bit_set(keys: DataFrame, bits: int, hashed) -> np.ndarray:
+    """A bit set of 2**bits bits in which hashed(batch) of all rows is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(hashed(b) >> np.uint64(64 - bits))
+            word, first = np.unique((at >> np.uint64(6)).astype(np.int32), return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["w", "m"])
+
+    got = keys.mapInArrow(run, "w int, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def in_set(have: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    bit = h >> np.uint64(64 - bits)
+    return (have[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def wanted_classes(classes: DataFrame, members: DataFrame, bits: int) -> DataFrame:
+    """The rows of classes whose sa is in members (v). Most others are dropped by a bit set before the shuffle."""
+    shared = classes.sparkSession.sparkContext.broadcast(bit_set(members.select("v"), bits, lambda b: mix(b.column(0).to_numpy().view(np.uint64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = shared.value
         for b in batches:
-            bit = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - set_bits)
-            hit = np.flatnonzero((has[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
-            yield b.take(pa.array(hit))
+            yield b.filter(pa.array(in_set(shared.value, bits, mix(b.column(0).to_numpy().view(np.uint64)))))
 
-    found = docs.select("text_hash", "t").mapInArrow(run, "text_hash long, t string")
-    lines = found.select("text_hash", F.posexplode(F.split("t", "\n", -1)).alias("line", "text"))
-    return lines.join(wanted.distinct(), ["text_hash", "line"]).groupBy("text_hash", "line").agg(F.first("text").alias("text"))
+    near = classes.select("sa", "sb", "text_hash", "at.d", "at.r", "at.l")
+    return near.mapInArrow(run, near.schema).join(members.select(F.col("v").alias("sa")).distinct(), "sa", "left_semi")
 
 
-def verify(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, text_x, text_y) -> (x, y) whose word sets are similar enough."""
+def fetch(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """wanted (text_hash, l, ...) with the line's text. The texts are read again; only lines whose text's and whose own
+    bit is set, in bit sets of fixed size, are shuffled."""
+    spark = docs.sparkSession
+    text_bits = spark.sparkContext.broadcast(bit_set(wanted.select("text_hash"), bits, lambda b: b.column(0).to_numpy().view(np.uint64)))
+    line_bits = spark.sparkContext.broadcast(bit_set(wanted.select("text_hash", "l"), bits, lambda b: place_hash(b.column(0).to_numpy(), b.column(1).to_numpy())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for i, (s, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                s, t = (set(x.encode().lower().split()) for x in (s, t))
-                both = len(s & t)
-                if both and den * both >= num * (len(s) + len(t) - both):
-                    ok.append(i)
-            yield b.select([0, 1]).take(pa.array(ok, pa.int64()))
+            keys = b.column(0).to_numpy()
+            for i in np.flatnonzero(in_set(text_bits.value, bits, keys.view(np.uint64))).tolist():
+                parts = b.column(1)[i].as_py().split("\n")
+                at = np.flatnonzero(in_set(line_bits.value, bits, place_hash(np.full(len(parts), keys[i]), np.arange(len(parts)))))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), keys[i])), pa.array(at.astype(np.int32)), pa.array([parts[k] for k in at.tolist()], pa.string())], names=["text_hash", "l", "text"])
+
+    lines = docs.select("text_hash", "t").mapInArrow(run, "text_hash long, l int, text string")
+    return lines.groupBy("text_hash", "l").agg(F.first("text").alias("text")).join(wanted, ["text_hash", "l"])
+
+
+def verify(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """The (sa, sb) of classes that have a similar class with an earlier first line. Every pair is verified on the
+    words of both lines, in the list named by its k; a list gets each of its lines' texts once."""
+    members = pairs.select("k", F.col("x").alias("sa")).union(pairs.select("k", F.col("y").alias("sa"))).distinct()
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("sb", "long"), ("d", "long"), ("r", "long"), ("l", "int"), ("text", "string"))]
+    given = members.join(texts, "sa").select("k", F.lit(None).cast("long").alias("y"), "sa", "sb", "d", "r", "l", "text")
+    asked = pairs.select("k", "y", F.col("x").alias("sa"), *none)
+    rows = given.union(asked).repartition(slots(pairs.sparkSession), "k").sortWithinPartitions(F.col("k"), F.col("y").asc_nulls_first())
 
-    return pairs.mapInArrow(run, "x long, y long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, have, word_of = None, {}, {}
+        for b in batches:
+            lost = set()
+            for k, y, sa, sb, d, r, l, text in zip(*(c.to_pylist() for c in b.columns)):
+                if k != now:
+                    now, have, word_of = k, {}, {}
+                if y is None:
+                    words = frozenset(word_of.setdefault(w, len(word_of)) for w in text.encode().lower().split())
+                    have.setdefault(sa, []).append((words, (d, r, l), sb))
+                    continue
+                for s, at_s, sb_s in have[sa]:
+                    for t, at_t, sb_t in have[y]:
+                        both = len(s & t)
+                        if both and den * both >= num * (len(s) + len(t) - both):
+                            lost.add((sa, sb_s) if at_s > at_t else (y, sb_t))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in lost], pa.int64()) for c in (0, 1)], names=["sa", "sb"])
+
+    return rows.mapInArrow(run, "sa long, sb long").distinct()
 
 
 def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20, set_bits: int = 24, tile: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,15 +335,11 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20
     classes = lines.filter("n > 0").groupBy("sa", "sb").agg(F.min(F.struct(order.alias("at"), F.col("text_hash").alias("h"))).alias("first"), F.count("*").alias("copies"))
     classes = tables.write(classes.select("sa", "sb", F.col("first.at").alias("at"), F.col("first.h").alias("text_hash"), "copies"), "classes")
     pairs = tables.write(candidates(lines, num, den), "pairs")
-    x, y = (classes.select(F.col("sa").alias(c), F.struct("text_hash", F.col("at.l").alias("line")).alias(f"at_{c}"), F.col("at").alias(f"order_{c}"), F.struct("sa", "sb").alias(f"id_{c}")) for c in "xy")
-    later = F.col("order_x") > F.col("order_y")
-    placed = pairs.join(x, "x").join(y, "y").select(F.monotonically_increasing_id().alias("p"), "at_x", "at_y", F.when(later, F.col("id_x")).otherwise(F.col("id_y")).alias("loser"))
-    placed = tables.write(placed, "placed")
-    texts = tables.write(fetch(base, placed.select("at_x.*").union(placed.select("at_y.*")), set_bits), "texts")
-    tx, ty = (texts.select(F.struct("text_hash", "line").alias(f"at_{c}"), F.col("text").alias(f"text_{c}")) for c in "xy")
-    good = verify(placed.join(tx, "at_x").join(ty, "at_y").select("p", F.lit(0).cast("long").alias("z"), "text_x", "text_y"), num, den)
-    losers = tables.write(placed.join(good.select(F.col("x").alias("p")), "p").select("loser.sa", "loser.sb").distinct().withColumn("lost", F.lit(True)), "losers")
-    tables.release("pairs", "placed", "texts")
+    members = tables.write(pairs.select(F.col("x").alias("v")).union(pairs.select("y")).distinct(), "members")
+    wanted = tables.write(wanted_classes(classes, members, set_bits), "wanted")
+    texts = tables.write(fetch(base, wanted, set_bits).select("sa", "sb", "d", "r", "l", "text"), "texts")
+    losers = tables.write(verify(pairs, texts, num, den).withColumn("lost", F.lit(True)), "losers")
+    tables.release("pairs", "members", "wanted", "texts")
     # Classes of one line that lose nothing need no look at their lines.
     fate = classes.join(losers, ["sa", "sb"], "left").filter("lost or copies > 1").select("sa", "sb", "at", F.coalesce("lost", F.lit(False)).alias("lost"))
     gone = lines.filter("n > 0").select("row", "doc_id", "line", "sa", "sb").join(fate, ["sa", "sb"]).filter(F.col("lost") | (F.col("row") != F.col("at.r")) | (F.col("line") != F.col("at.l"))).select("row", "line")
