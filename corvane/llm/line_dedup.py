@@ -8,22 +8,32 @@ by (doc_id, line number), has a Jaccard similarity of `num / den` or more with i
 2. Lines of equal token sets are one class; its first line is its representative. Each task lists a class once.
 3. Prefix filter: a line of n tokens lists itself under its n - ceil(t n) + 1 rarest; tokens of count 1 list nothing.
    Within a token's list, sorted by length, a pair stays if it passes the length filter (n_x >= t n_y), the positional
-   filter (what is left after the token can reach the needed overlap) and the bitmap filter (128-bit images of the sets' not
+   filter (what is left after the token can reach the needed overlap) and the bitmap filter (96-bit images of the sets' not
    too common tokens differ in no more bits than the sets may differ in tokens). A token whose count is large has its list dealt over tiles.
-4. Each pair that stays is given to the least list it was found in, and every list gets the text of each of its lines
-   once, so that a family of near-equal lines moves each of its texts a few times and not once a pair. There the Jaccard
-   of every pair is verified on the words.
-5. A class that is linked with a class of an earlier first line loses all its lines, others all but their first.
-
-What is broadcast has a fixed size: the counts (2**bits) and bit sets of wanted classes, texts and lines (2**set_bits each)."""
+4. One earlier similar line is enough for a line to go. So a pair belongs to its later line, and of each line's pairs in
+   a list the `most` likeliest (least apart) are given first; a line with more of them is open there. n near-equal
+   lines make n rows, not n * n.
+5. Each pair is given to the least list it was found in, and every list gets the text of each of its lines once, so that
+   a family of near-equal lines moves each of its texts a few times and not once a pair. There the Jaccard of every pair
+   is verified on the words.
+6. Lines that are open in a list and haven't been lost get all their pairs there, which are verified likewise. So no
+   link that decides about a line is missed.
+7. A class that is linked with a class of an earlier first line loses all its lines, others all but their first.
+
+The order of lines inside a list is a hint, of 32 bits: the document's, then the line's, of the line that the task saw
+first. Documents that it can't tell apart hold each other's pairs; a lost line stays open unless its hint agrees with
+its class's first line.
+
+What is broadcast has a fixed size: the counts (2**bits) and bit sets of wanted classes, texts, lines and lists (2**set_bits each)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Tables, slots
@@ -36,6 +46,8 @@ LINES = ["row", "doc_id", "text_hash", "line", "n", "sa", "sb", "image_a", "imag
 #: fit is given as less, which lets more pairs stay; a line whose size doesn't fit passes every filter.
 SIZE_BITS, PLACE_BITS = 20, 12
 HUGE = (1 << SIZE_BITS) - 1
+#: Stands for a null id, which orders last.
+LAST = (1 << 63) - 1
 
 
 def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,8 +141,38 @@ def listings(h: np.ndarray, count: np.ndarray, n: np.ndarray, place: np.ndarray,
     return again, entry.view(np.int64)
 
 
-def line_rows(docs: DataFrame, counts, bits: int, num: int, den: int, tile: int, seen_most: int = 200_000) -> DataFrame:
-    """One row per line with its class (sa, sb), and for the task's first line of a class its list entries."""
+@dataclass(frozen=True)
+class Hint:
+    """32 bits that order lines: a document's part, (doc_id >> shift) - base, above line_bits of the line's number.
+    The part never orders two documents wrongly, but can be the same for both. Null ids (LAST) have the greatest."""
+
+    shift: int
+    base: int
+    line_bits: int
+
+    @property
+    def last(self) -> int:
+        return (1 << (32 - self.line_bits)) - 1
+
+    def of(self, doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+        part = np.where(doc_id == LAST, self.last, (np.where(doc_id == LAST, self.base << self.shift, doc_id) >> self.shift) - self.base)
+        return (part << self.line_bits) | np.minimum(line, (1 << self.line_bits) - 1)
+
+    def part(self, doc_id: Column) -> Column:
+        return F.when(doc_id == LAST, F.lit(self.last)).otherwise(F.shiftright(doc_id, self.shift) - F.lit(self.base))
+
+
+def hint_of(docs: DataFrame) -> Hint:
+    lo, hi = docs.filter(F.col("doc_id") < LAST).agg(F.min("doc_id"), F.max("doc_id")).first()
+    lo, hi = lo or 0, hi or 0
+    shift = max(((hi - lo) + 2).bit_length() - 31, 0)
+    base = lo >> shift
+    return Hint(shift, base, 32 - ((hi >> shift) - base + 1).bit_length())
+
+
+def line_rows(docs: DataFrame, counts, bits: int, hint: Hint, num: int, den: int, tile: int, seen_most: int = 200_000) -> DataFrame:
+    """One row per line with its class (sa, sb), and for the task's first line of a class its list entries. image_b is
+    32 bits of image above the line's hint."""
     kind = "row long, doc_id long, text_hash long, line int, n int, sa long, sb long, image_a long, image_b long, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +193,16 @@ def line_rows(docs: DataFrame, counts, bits: int, num: int, den: int, tile: int,
                 sa, sb = (mix(s[first[1:]] - s[first[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums)
                 full = np.flatnonzero(n)
                 spot = mix(h + np.uint64(3))
-                images = []
-                for half in (0, 1):
-                    image = np.zeros(n_lines, np.uint64)
+                bit = (spot >> np.uint64(8)) % np.uint64(96)
+                ids = b.column(1).fill_null(LAST).to_numpy()[doc]
+                images = [np.zeros(n_lines, np.uint64), np.zeros(n_lines, np.uint64)]
+                for image, low, high in zip(images, (0, 64), (64, 96)):
                     if len(full):
-                        inside = (count <= common) & ((spot >> np.uint64(6)) & np.uint64(1) == half)
-                        image[full] = np.bitwise_or.reduceat(np.where(inside, np.uint64(1) << (spot & np.uint64(63)), np.uint64(0)), first[full])
-                    images.append(pa.array(image.view(np.int64)))
+                        inside = (count <= common) & (bit >= low) & (bit < high)
+                        at = np.where(inside, bit - np.uint64(low), np.uint64(0)) + np.uint64(low // 2)
+                        image[full] = np.bitwise_or.reduceat(np.where(inside, np.uint64(1) << at, np.uint64(0)), first[full])
+                images[1] |= hint.of(ids, number).astype(np.uint64)
+                images = [pa.array(x.view(np.int64)) for x in images]
                 prefix = n - (num * n + den - 1) // den + 1
                 place = np.arange(len(h)) - first[line]
                 fresh = np.zeros(n_lines, bool)
@@ -177,13 +222,48 @@ def line_rows(docs: DataFrame, counts, bits: int, num: int, den: int, tile: int,
     return docs.select("row", "doc_id", "text_hash", "t").mapInArrow(run, kind)
 
 
-def pairs_in_lists(entry: np.ndarray, sa: np.ndarray, image_a: np.ndarray, image_b: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Pairs of one or more whole lists, sorted by entry (so by list, then size), that pass the filters, as (3, n):
-    both classes and the least list they meet in. Neighbours at distance 1, 2, ... are compared all at once."""
-    found = [np.zeros((3, 0), np.int64)]
+def likeliest(z: np.ndarray, x: np.ndarray, apart: np.ndarray, sa: np.ndarray, hint: np.ndarray, most: int, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each z's pairs the `most` with the least apart, earlier lines first; cut is set for a z that loses pairs."""
+    many = np.bincount(z, minlength=len(sa))[z] > most
+    if not many.any():
+        return z, x, apart
+    zm, xm, am = z[many], x[many], apart[many]
+    o = np.lexsort((sa[xm], am, hint[xm] > hint[zm], zm))
+    zm, xm, am = zm[o], xm[o], am[o]
+    new = np.ones(len(zm), bool)
+    new[1:] = (zm[1:] != zm[:-1]) | (sa[xm[1:]] != sa[xm[:-1]])
+    zm, xm, am = zm[new], xm[new], am[new]
+    rank = np.arange(len(zm)) - np.searchsorted(zm, zm)
+    cut[zm[rank >= most]] = True
+    ok = rank < most
+    return np.concatenate([z[~many], zm[ok]]), np.concatenate([x[~many], xm[ok]]), np.concatenate([apart[~many], am[ok]])
+
+
+def pairs_in_lists(entry: np.ndarray, sa: np.ndarray, image_a: np.ndarray, image_b: np.ndarray, num: int, den: int, line_bits: int, most: int, asked: np.ndarray | None = None, held_most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (z, x) of one or more whole lists, sorted by entry (so by list, then size), that pass the filters, as
+    (pairs, open): pairs is (3, n), both classes and the least list they meet in; open is (3, n), the classes that have
+    more than `most` pairs in a list, the list and the class's least hint there. With `asked`, all pairs of the asked
+    entries, a part at a time, and none open. Neighbours at distance 1, 2, ... are compared all at once."""
+    none = np.zeros(0, np.int64)
     n = ((entry >> PLACE_BITS) & HUGE).astype(np.int32)
     left = n - (entry & ((1 << PLACE_BITS) - 1)).astype(np.int32)
     name = (entry >> 32).astype(np.int32)
+    hint = (image_b & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    part, image_b = hint >> line_bits, image_b >> np.uint64(32)
+    cut = np.zeros(len(entry), bool)
+    found: list[tuple[np.ndarray, ...]] = [(none, none, none)]
+    held = 0
+
+    def merged() -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def given(z: np.ndarray, x: np.ndarray) -> np.ndarray:
+        pairs = np.stack([np.minimum(sa[z], sa[x]), np.maximum(sa[z], sa[x]), name[z].astype(np.int64)])
+        pairs = pairs[:, np.lexsort(pairs[::-1])]
+        new = np.ones(pairs.shape[1], bool)
+        new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
+        return pairs[:, new]
+
     i, d = np.arange(len(entry)), 1
     while True:
         i = i[: np.searchsorted(i, len(entry) - d)]
@@ -195,42 +275,100 @@ def pairs_in_lists(entry: np.ndarray, sa: np.ndarray, image_a: np.ndarray, image
             break
         ni, nj = n[i], n[j]
         need = needed(ni, nj, num, den)
-        ok = np.flatnonzero((np.minimum(left[i], left[j]) >= need) | (nj == HUGE))
+        ok = (np.minimum(left[i], left[j]) >= need) | (nj == HUGE)
+        if asked is not None:
+            ok &= asked[i] | asked[j]
+        ok = np.flatnonzero(ok)
         a, b, nj = i[ok], j[ok], nj[ok]
         apart = np.bitwise_count(image_a[a] ^ image_a[b]) + np.bitwise_count(image_b[a] ^ image_b[b])
         ok = ((apart <= ni[ok] + nj - 2 * need[ok]) | (nj == HUGE)) & (sa[a] != sa[b])
-        a, b = a[ok], b[ok]
+        a, b, apart = a[ok], b[ok], apart[ok].astype(np.int64)
         if len(a):
-            found.append(np.stack([np.minimum(sa[a], sa[b]), np.maximum(sa[a], sa[b]), name[a].astype(np.int64)]))
+            later, both = part[b] >= part[a], part[a] >= part[b]
+            z, x, apart = np.concatenate([b[later], a[both]]), np.concatenate([a[later], b[both]]), np.concatenate([apart[later], apart[both]])
+            if asked is not None:
+                mine = asked[z]
+                z, x, apart = z[mine], x[mine], apart[mine]
+            found.append((z, x, apart))
+            held += len(z)
+            if held > held_most:
+                if asked is not None:
+                    yield given(*merged()[:2]), np.zeros((3, 0), np.int64)
+                    found = [(none, none, none)]
+                else:
+                    found = [likeliest(*merged(), sa, hint, most, cut)]
+                held = 0
         d += 1
-    pairs = np.concatenate(found, axis=1)
-    pairs = pairs[:, np.lexsort(pairs[::-1])]
-    new = np.ones(pairs.shape[1], bool)
-    new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
-    return pairs[:, new]
+    if asked is not None:
+        yield given(*merged()[:2]), np.zeros((3, 0), np.int64)
+        return
+    z, x, _ = likeliest(*merged(), sa, hint, most, cut)
+    at = np.flatnonzero(cut)
+    if len(at):  # the least hint of a class in its list: tasks list the same class with different ones
+        at = np.flatnonzero(np.isin(sa, sa[at]))
+        at = at[np.lexsort((hint[at], sa[at], name[at]))]
+        first = np.ones(len(at), bool)
+        first[1:] = (sa[at[1:]] != sa[at[:-1]]) | (name[at[1:]] != name[at[:-1]])
+        first = np.flatnonzero(first)
+        at = at[first[np.logical_or.reduceat(cut[at], first)]]
+    yield given(z, x), np.stack([sa[at], name[at].astype(np.int64), hint[at]])
+
 
+PAIRS = "x long, y long, k long, open long, hint long"
 
-def candidates(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y, k) by class hash sa: pairs that stay after the filters, once each, with the least list they meet in."""
-    rows = lines.filter("size(keys) > 0").select(F.explode("keys").alias("k"), "sa", "image_a", "image_b")
-    spread = rows.repartition(slots(lines.sparkSession), F.shiftright("k", 32)).sortWithinPartitions("k")
+
+def joined(entries: DataFrame, num: int, den: int, line_bits: int, most: int) -> DataFrame:
+    """(x, y, k) of pairs that stay, (x, open, hint) of lines that are open in a list: entries (k, sa, image_a,
+    image_b), dealt by list. Rows without a size ask for all pairs of a class in a list; lists that have them give no others."""
+    dealt = entries.repartition(slots(entries.sparkSession), F.shiftright("k", 32)).sortWithinPartitions("k")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 4
 
-        def solve(x: list[np.ndarray]) -> pa.RecordBatch:
-            got = pairs_in_lists(x[0], x[1], x[2].view(np.uint64), x[3].view(np.uint64), num, den)
-            return pa.RecordBatch.from_arrays([pa.array(g) for g in got], names=["x", "y", "k"])
+        def solve(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            ask = (x[0] & 0xFFFFFFFF) == 0
+            asked = None
+            if ask.any():
+                wanted = set(zip((x[0][ask] >> 32).tolist(), x[1][ask].tolist()))
+                x = [c[~ask] for c in x]
+                asked = np.fromiter(((k, s) in wanted for k, s in zip((x[0] >> 32).tolist(), x[1].tolist())), bool, len(x[0]))
+            for pairs, opened in pairs_in_lists(x[0], x[1], x[2].view(np.uint64), x[3].view(np.uint64), num, den, line_bits, most, asked):
+                p, o = pairs.shape[1], opened.shape[1]
+                gap = [pa.nulls(c, pa.int64()) for c in (p, o)]
+                columns = [[pairs[0], opened[0]], [pairs[1], gap[1]], [pairs[2], gap[1]], [gap[0], opened[1]], [gap[0], opened[2]]]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in two]) for two in columns], names=["x", "y", "k", "open", "hint"])
 
         for b in batches:
             held = [np.concatenate([h, b.column(c).to_numpy()]) for c, h in enumerate(held)]
             cut = int(np.searchsorted(held[0] >> 32, held[0][-1] >> 32)) if len(held[0]) else 0
             if cut:
-                yield solve([h[:cut] for h in held])
+                yield from solve([h[:cut] for h in held])
                 held = [h[cut:] for h in held]
-        yield solve(held)
+        yield from solve(held)
+
+    return dealt.mapInArrow(join, PAIRS).groupBy("x", "y", "open", "hint").agg(F.min("k").alias("k"))
+
+
+def entries_of(lines: DataFrame) -> DataFrame:
+    return lines.filter("size(keys) > 0").select(F.explode("keys").alias("k"), "sa", "image_a", "image_b")
+
 
-    return spread.mapInArrow(join, "x long, y long, k long").groupBy("x", "y").agg(F.min("k").alias("k"))
+def open_entries(lines: DataFrame, still: DataFrame, bits: int) -> DataFrame:
+    """The entries of the lists in which a line is still open (a bit set of fixed size drops most others before the
+    shuffle), and a row for each line that is open there."""
+    shared = lines.sparkSession.sparkContext.broadcast(bit_set(still.select("open"), bits, lambda b: mix(b.column(0).to_numpy().view(np.uint64))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0)
+            k, size = keys.flatten().to_numpy(), keys.value_lengths().to_numpy()
+            ok = in_set(shared.value, bits, mix((k >> 32).view(np.uint64)))
+            own = pa.array(np.repeat(np.arange(len(b)), size)[ok])
+            yield pa.RecordBatch.from_arrays([pa.array(k[ok]), *(b.column(c).take(own) for c in (1, 2, 3))], names=["k", "sa", "image_a", "image_b"])
+
+    kind = "k long, sa long, image_a long, image_b long"
+    asking = still.select(F.shiftleft("open", 32).alias("k"), "sa", F.lit(0).cast("long").alias("image_a"), F.lit(0).cast("long").alias("image_b")).distinct()
+    return lines.filter("size(keys) > 0").select("keys", "sa", "image_a", "image_b").mapInArrow(run, kind).union(asking)
 
 
 def place_hash(text_hash: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -320,7 +458,7 @@ def verify(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "sa long, sb long").distinct()
 
 
-def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20, set_bits: int = 24, tile: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20, set_bits: int = 24, tile: int = 20_000, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of the lines that go, from 0): one row per row of docs.
 
     Defined results: lines are parted by newline only, so null and empty texts have one empty line, which stays; null
@@ -330,16 +468,32 @@ def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20
     tables = Tables(spark, "lines")
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("text_hash", F.xxhash64("t"))
     counts = spark.sparkContext.broadcast(count_tokens(base, bits))
-    lines = tables.write(line_rows(base, counts, bits, num, den, tile), "rows")
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row").alias("r"), F.col("line").alias("l"))
+    hint = hint_of(base)
+    lines = tables.write(line_rows(base, counts, bits, hint, num, den, tile), "rows")
+    order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("row").alias("r"), F.col("line").alias("l"))
     classes = lines.filter("n > 0").groupBy("sa", "sb").agg(F.min(F.struct(order.alias("at"), F.col("text_hash").alias("h"))).alias("first"), F.count("*").alias("copies"))
     classes = tables.write(classes.select("sa", "sb", F.col("first.at").alias("at"), F.col("first.h").alias("text_hash"), "copies"), "classes")
-    pairs = tables.write(candidates(lines, num, den), "pairs")
-    members = tables.write(pairs.select(F.col("x").alias("v")).union(pairs.select("y")).distinct(), "members")
-    wanted = tables.write(wanted_classes(classes, members, set_bits), "wanted")
-    texts = tables.write(fetch(base, wanted, set_bits).select("sa", "sb", "d", "r", "l", "text"), "texts")
-    losers = tables.write(verify(pairs, texts, num, den).withColumn("lost", F.lit(True)), "losers")
-    tables.release("pairs", "members", "wanted", "texts")
+
+    def decide(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The classes in pairs with their first lines, and those that an earlier class is similar to."""
+        members = tables.write(pairs.select(F.col("x").alias("v")).union(pairs.select("y")).distinct(), "members")
+        wanted = tables.write(wanted_classes(classes, members, set_bits), "wanted")
+        texts = tables.write(fetch(base, wanted, set_bits).select("sa", "sb", "d", "r", "l", "text"), "texts")
+        losers = tables.write(verify(pairs, texts, num, den).withColumn("lost", F.lit(True)), "losers")
+        tables.release("members", "texts")
+        return wanted, losers
+
+    found = tables.write(joined(entries_of(lines), num, den, hint.line_bits, most), "pairs")
+    wanted, losers = decide(found.filter("y is not null").select("x", "y", "k"))
+    agrees = F.shiftright("hint", hint.line_bits) == hint.part(F.col("d"))
+    opened = found.filter("y is null").select(F.col("x").alias("sa"), "open", "hint")
+    still = opened.join(wanted.select("sa", "sb", "d"), "sa").join(losers, ["sa", "sb"], "left").filter(F.col("lost").isNull() | ~agrees)
+    still = tables.write(still.select("sa", "open").distinct(), "open")
+    tables.release("pairs", "wanted")
+    if not still.isEmpty():
+        rest = tables.write(joined(open_entries(lines, still, set_bits), num, den, hint.line_bits, most).select("x", "y", "k"), "pairs")
+        losers = losers.union(decide(rest)[1]).distinct()
+        tables.release("pairs", "wanted")
     # Classes of one line that lose nothing need no look at their lines.
     fate = classes.join(losers, ["sa", "sb"], "left").filter("lost or copies > 1").select("sa", "sb", "at", F.coalesce("lost", F.lit(False)).alias("lost"))
     gone = lines.filter("n > 0").select("row", "doc_id", "line", "sa", "sb").join(fate, ["sa", "sb"]).filter(F.col("lost") | (F.col("row") != F.col("at.r")) | (F.col("line") != F.col("at.l"))).select("row", "line")

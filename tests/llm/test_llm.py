@@ -171,6 +171,33 @@ def test_line_dedup(spark, tile):
     assert {x["doc_id"]: x["text"] for x in drop_lines(one, removed_lines(one)).collect()} == {1: "a b c", 2: "x\ny"}
 
 
+@pytest.mark.parametrize("most,tile", [(1, 20_000), (2, 9), (4, 20_000)])
+def test_line_dedup_families(spark, most, tile):
+    """Families of near-equal lines in which a line's likeliest pairs often fail: open lists, equal hints, ids in any order."""
+    from corvane.llm.line_dedup import removed_lines
+
+    r = random.Random(most)
+    families = [[f"w{f}x{i}" for i in range(12)] for f in range(4)]
+
+    def near():
+        line = [w for w in r.choice(families) if r.random() > 0.06] + [f"y{r.randrange(9)}" for _ in range(r.randrange(3))]
+        r.shuffle(line)
+        return " ".join(line)
+
+    ids = r.sample(range(-50, 200), 60)
+    rows = [(d, "\n".join(near() for _ in range(r.randrange(1, 7)))) for d in ids] + [(None, near()), (1 << 62, near() + "\n" + near())]
+    out = {x["doc_id"]: x["removed"] for x in removed_lines(frame(spark, rows).repartition(5), tile=tile, most=most).collect()}
+    seen = []
+    for d, t in sorted(rows, key=lambda x: (x[0] is None, x[0])):
+        want = []
+        for i, line in enumerate(t.split("\n")):
+            s = set(line.split())
+            if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                want.append(i)
+            seen.append(s)
+        assert out[d] == want
+
+
 # --- 5
 
 def test_html(spark):
