@@ -458,7 +458,7 @@ def verify(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "sa long, sb long").distinct()
 
 
-def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20, set_bits: int = 24, tile: int = 20_000, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20, set_bits: int = 24, tile: int = 20_000, most: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of the lines that go, from 0): one row per row of docs.
 
     Defined results: lines are parted by newline only, so null and empty texts have one empty line, which stays; null
