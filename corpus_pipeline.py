@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import Tables, table, tokenizer_file
 from corvane.llm.exact_dedup import exact_dedup
-from corvane.llm.minhash import minhash_dedup
+from corvane.llm.minhash import near_survivors
 from corvane.llm.packing import pack
 from corvane.llm.toxicity import score, train
 
 TOKENIZER = "byte_bpe_50k.json"
+ROW = "corvane_row"
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +31,25 @@ def keep_ids(docs: DataFrame, decided: DataFrame) -> DataFrame:
     return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number for each row. Written, so that every later read finds the same numbers."""
+    return Tables(docs.sparkSession, "pipeline").write(docs.withColumn(ROW, F.monotonically_increasing_id()), f"{name}-rows")
+
+
+def keep_rows(rows: DataFrame, survivors: DataFrame) -> DataFrame:
+    """The numbered rows whose number is among the survivors' (row), without the number."""
+    return rows.join(survivors.select(F.col("row").alias(ROW)), ROW, "left_semi").drop(ROW)
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with equal text the one with the largest doc_id stays."""
     return keep_ids(docs, exact_dedup(docs))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
-    return keep_ids(docs, minhash_dedup(docs, k=5, num=80, den=100, bands=28, rows=5))
+    """One row of each group of near duplicates stays: five-word shingles, similarity 0.8 or more."""
+    rows = numbered(docs, "near")
+    return keep_rows(rows, near_survivors(rows, ROW, k=5, num=80, den=100, bands=28, rows=5))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,8 +39,8 @@ def signature(x: np.ndarray, mult: np.ndarray) -> np.ndarray:
 
 
 def signatures(base: DataFrame, k: int, n_hashes: int) -> DataFrame:
-    """(doc_id, cls, n_shingles, sig) of each row; sig is null for an empty set."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
+    """(doc_id, cls, n_shingles, sig, row) of each row; sig is null for an empty set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("row", pa.int64())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult = multipliers(n_hashes)
@@ -49,9 +49,9 @@ def signatures(base: DataFrame, k: int, n_hashes: int) -> DataFrame:
                 h, first = word_hashes(b.column(2))
                 sets = [shingles(h[first[i] : first[i + 1]], k) for i in range(len(b))]
                 sigs = [signature(x, mult).tobytes() if len(x) else None for x in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sigs, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sigs, pa.binary()), b.column(3)], schema=schema)
 
-    return base.select("doc_id", "cls", "text").mapInArrow(make, "doc_id long, cls binary, n_shingles long, sig binary")
+    return base.select("doc_id", "cls", "text", "row").mapInArrow(make, "doc_id long, cls binary, n_shingles long, sig binary, row long")
 
 
 def least_matches(t: float, miss: float, n_hashes: int, batch: int) -> list[tuple[int, int]]:
@@ -196,13 +196,16 @@ def links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def near_components(docs: DataFrame, tables: Tables, k: int = 5, num: int = 80, den: int = 100, bands: int = 28, rows: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, cls, n_shingles, component_id."""
+def linked_classes(docs: DataFrame, tables: Tables, k: int = 5, num: int = 80, den: int = 100, bands: int = 28, rows: int = 5, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (doc_id, cls, n_shingles, sig, row), their classes (cls, c, least_doc, least, n_shingles, sig) and the
+    components (node, comp) of the classes that have links. row is row_col, null without one; least is the class's
+    first (no_id, doc_id, row): the least id, the least row among equals, rows without an id last."""
     t, n_hashes = num / den, bands * rows
     n_hashes += -n_hashes % 16
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("cls", F.unhex(F.sha2("text", 256)))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")).withColumn("cls", F.unhex(F.sha2("text", 256)))
     sigs = tables.write(signatures(base, k, n_hashes), "sigs")
-    reps = sigs.groupBy("cls").agg(F.min("doc_id").alias("least_doc"), F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("least")
+    reps = sigs.groupBy("cls").agg(F.min("doc_id").alias("least_doc"), first_row, F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
     reps = tables.write(reps.withColumn("c", F.monotonically_increasing_id()), "classes")
     sets = reps.filter("sig is not null")
     band = F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {4 * rows} + 1, {4 * rows})))")
@@ -231,6 +234,12 @@ def near_components(docs: DataFrame, tables: Tables, k: int = 5, num: int = 80,
     second = confirmed(tables.write(found.distinct(), "found"), "tile")
     comp = tables.write(components(first.union(second), tables, "near2"), "components")
     tables.release("members", "stars", "alive", "tiles", "tile-texts", "found", "buckets", "labelled")
+    return sigs, reps, comp
+
+
+def near_components(docs: DataFrame, tables: Tables, **options) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id."""
+    sigs, reps, comp = linked_classes(docs, tables, **options)
     labels = comp.join(reps.select(F.col("c").alias("node"), "least_doc"), "node")
     ids = labels.groupBy("comp").agg(F.min("least_doc").alias("component_id"))
     known = labels.join(ids, "comp").select(F.col("node").alias("c"), "component_id")
@@ -239,6 +248,17 @@ def near_components(docs: DataFrame, tables: Tables, k: int = 5, num: int = 80,
     return sigs.join(of_class, "cls").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def near_survivors(docs: DataFrame, row_col: str, **options) -> DataFrame:
+    """(row): the number of the one row that stays of each component, by row_col, which numbers the rows of docs.
+
+    It is the row with the least id, of several the least row number; a row without an id stays only where no row has
+    one. Blank texts link with nothing, so each of their rows stays."""
+    sigs, reps, comp = linked_classes(docs, Tables(docs.sparkSession, "minhash"), row_col=row_col, **options)
+    labels = reps.filter("sig is not null").join(comp.withColumnRenamed("node", "c"), "c", "left")
+    of_group = labels.groupBy(F.coalesce("comp", "c").alias("g")).agg(F.min("least").alias("least"))
+    return of_group.select("least.row").union(sigs.filter("sig is null").select("row"))
+
+
 def minhash_dedup(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id): one row per row of docs.
 

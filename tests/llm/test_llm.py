@@ -405,3 +405,21 @@ def test_pipeline(spark):
     want = {rows[i][0] for i in range(len(rows)) if root[i] == i}
     assert {r["doc_id"] for r in cp.run(spark, SF).select("doc_id").distinct().collect()} == want
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "minhash_near_dedup", "best_fit_packing"]
+
+
+def tagged(spark, rows):
+    return spark.createDataFrame([(d, t, f"r{k}") for k, (d, t) in enumerate(rows)], "doc_id long, text string, tag string").repartition(3)
+
+
+def test_near_stage_keeps_rows_without_ids(spark):
+    """Rows without ids: unique ones stay, and of a group one, that with the least id if any has an id."""
+    import corpus_pipeline as cp
+
+    texts = [" ".join(f"w{g}x{i}" for i in range(60)) for g in range(4)]
+    near = [t + " tail" for t in texts]
+    rows = [(None, texts[0]), (None, texts[1]), (None, near[1]), (7, texts[2]), (None, near[2]), (None, near[2]), (None, None), (None, " "), (8, texts[3]), (9, near[3])]
+    df = tagged(spark, rows)
+    out = cp.near_stage(spark, df, SF)
+    assert out.columns == df.columns
+    got = {r["tag"] for r in out.collect()}
+    assert out.count() == len(got) == 6 and len(got & {"r1", "r2"}) == 1 and got - {"r1", "r2"} == {"r0", "r3", "r6", "r7", "r8"}
