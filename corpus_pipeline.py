@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Tables, table, tokenizer_file
-from corvane.llm.exact_dedup import exact_dedup
+from corvane.llm.exact_dedup import exact_survivors
 from corvane.llm.minhash import near_survivors
 from corvane.llm.packing import pack
 from corvane.llm.toxicity import score, train
@@ -25,12 +25,6 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return score(docs, model, docs.columns).filter(~F.col("toxic")).select(docs.columns)
 
 
-def keep_ids(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Rows of docs whose id was kept, one row per kept id. Ids without a keeper (null) stay."""
-    kept = decided.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi")
-
-
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """docs with a number for each row. Written, so that every later read finds the same numbers."""
     return Tables(docs.sparkSession, "pipeline").write(docs.withColumn(ROW, F.monotonically_increasing_id()), f"{name}-rows")
@@ -42,8 +36,9 @@ def keep_rows(rows: DataFrame, survivors: DataFrame) -> DataFrame:
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal text the one with the largest doc_id stays."""
-    return keep_ids(docs, exact_dedup(docs))
+    """Of rows with equal text the one with the largest doc_id stays, of several the first by row number."""
+    rows = numbered(docs, "exact")
+    return keep_rows(rows, exact_survivors(rows, ROW))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

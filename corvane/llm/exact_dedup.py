@@ -29,15 +29,16 @@ def number(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(slots(rows.sparkSession), *keys).sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def block_names(docs: DataFrame, tables: Tables, block_size: int, text_col: str = "text", id_col: str = "doc_id", hash_sql: str = "xxhash64({})") -> DataFrame:
-    """(row, doc_id, sha, level, name) for each row of docs: (level, name) is its text's identity."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def block_names(docs: DataFrame, tables: Tables, block_size: int, text_col: str = "text", id_col: str = "doc_id", hash_sql: str = "xxhash64({})", row_col: str | None = None) -> DataFrame:
+    """(row, doc_id, sha, level, name) for each row of docs: (level, name) is its text's identity, row its row_col or,
+    without one, a new number."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *([F.col(row_col).cast("long").alias("row")] if row_col else []))
     n_blocks = f"greatest(1, cast(ceil(octet_length(t) / {block_size}) as int))"
     blocks = f"transform(sequence(0, {n_blocks} - 1), i -> {block_of('b', 'i', block_size)})"
     cutted = base.withColumn("b", F.col("t").cast("binary"))
     rows = tables.write(
         cutted.select(
-            F.monotonically_increasing_id().alias("row"),
+            F.col("row") if row_col else F.monotonically_increasing_id().alias("row"),
             "doc_id",
             F.sha2("b", 256).alias("sha"),
             F.expr(f"transform({blocks}, x -> {hash_sql.format('x')})").alias("hashes"),
@@ -90,6 +91,19 @@ def by_content(cutted: DataFrame, rows: DataFrame, checked: DataFrame, blocks: s
     return got.join(ids, (got.doc_id.eqNullSafe(ids.doc_id)) & (got.sha == ids.sha)).select("row", "pos", "name")
 
 
+def exact_survivors(docs: DataFrame, row_col: str, block_size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row): the number of the one row that stays of equal texts, by row_col, which numbers the rows of docs.
+
+    It is the row with the largest id, of several the least row number; a row without an id stays only where no row
+    has one."""
+    tables = Tables(docs.sparkSession, "exact")
+    named = block_names(docs, tables, block_size, text_col, id_col, row_col=row_col)
+    best = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", (-F.col("row")).alias("back"))).alias("best"))
+    out = tables.write(best.select((-F.col("best.back")).alias("row")), "survivors")
+    tables.release(*[k for k in list(tables.paths) if k != "survivors"])
+    return out
+
+
 def exact_dedup(docs: DataFrame, block_size: int = 4096, id_col: str = "doc_id", text_col: str = "text", hash_sql: str = "xxhash64({})") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs; the largest id of equal texts stays.
 

@@ -253,10 +253,13 @@ def near_survivors(docs: DataFrame, row_col: str, **options) -> DataFrame:
 
     It is the row with the least id, of several the least row number; a row without an id stays only where no row has
     one. Blank texts link with nothing, so each of their rows stays."""
-    sigs, reps, comp = linked_classes(docs, Tables(docs.sparkSession, "minhash"), row_col=row_col, **options)
+    tables = Tables(docs.sparkSession, "minhash")
+    sigs, reps, comp = linked_classes(docs, tables, row_col=row_col, **options)
     labels = reps.filter("sig is not null").join(comp.withColumnRenamed("node", "c"), "c", "left")
     of_group = labels.groupBy(F.coalesce("comp", "c").alias("g")).agg(F.min("least").alias("least"))
-    return of_group.select("least.row").union(sigs.filter("sig is null").select("row"))
+    out = tables.write(of_group.select("least.row").union(sigs.filter("sig is null").select("row")), "survivors")
+    tables.release(*[k for k in list(tables.paths) if k != "survivors"])
+    return out
 
 
 def minhash_dedup(docs: DataFrame, **options) -> DataFrame:

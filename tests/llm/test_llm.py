@@ -423,3 +423,31 @@ def test_near_stage_keeps_rows_without_ids(spark):
     assert out.columns == df.columns
     got = {r["tag"] for r in out.collect()}
     assert out.count() == len(got) == 6 and len(got & {"r1", "r2"}) == 1 and got - {"r1", "r2"} == {"r0", "r3", "r6", "r7", "r8"}
+
+
+def test_stages_decide_by_row_where_ids_repeat(spark):
+    """A kept row doesn't keep the other rows of its id, and rows equal in id and text are one."""
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, b), (9, b), *[(5, c)] * 6, (None, b), (None, "alone"), (None, "alone too")]
+    df = tagged(spark, rows)
+    got = [r["tag"] for r in cp.exact_stage(spark, df, SF).collect()]
+    assert len(got) == 5 and {"r0", "r2", "r10", "r11"} < set(got) and set(got) & {f"r{k}" for k in range(3, 9)}
+    rows = [(7, a), (7, b + " tail"), (3, b), *[(5, c)] * 6]
+    got = [r["tag"] for r in cp.near_stage(spark, tagged(spark, rows), SF).collect()]
+    assert len(got) == 3 and {"r0", "r2"} < set(got)
+
+
+def test_pipeline_packs_one_row_of_a_group(spark, tmp_path):
+    """The whole pipeline on repeated ids, with equal and unequal texts, and on rows without ids."""
+    import corpus_pipeline as cp
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(7, a), (7, b), (9, b), (9, b), *[(5, c)] * 6, (4, c + " tail"), (None, d), (None, d), (None, "alone")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    made = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id") + (1 << 40))
+    docs.unionByName(made, allowMissingColumns=True).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    out = cp.run(spark, str(tmp_path)).filter(F.col("doc_id").isNull() | (F.col("doc_id") >= 1 << 40)).collect()
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] - (1 << 40) for r in out) == [-1, -1, 4, 7, 9]
