@@ -1,9 +1,11 @@
 """Main-text extraction with site template removal (operator 5).
 
 1. Each page is parsed into elements. Every element subtree that could be template (menus, headers, boxes, lists,
-   forms and the like; the running text of an article never is) is hashed with its markup.
-2. Spark counts in how many pages of its host each hash occurs, combining before the shuffle, so a host with a third
-   of all pages is no hot key.
+   forms and the like; paragraphs of an article and what holds most of the main text never are) is hashed with its
+   markup.
+2. Spark counts in how many distinct pages of its host each hash occurs: pages equal in <article>, else <main>, else
+   <body> are copies and count as one. Both the copies and the counts are combined before the shuffle, so a host with a third of all pages
+   is no hot key.
 3. Subtrees on at least `min_pages` pages and `min_share` of the pages of the host are deleted, with those that HTML
    itself marks as no main text (nav, header, footer, aside, form, script, style, ...; class or role of a menu,
    advert, notice, sidebar, comment). Main text is what is left of <article>, else <main>, else <body>.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -112,22 +115,58 @@ def may_be_template(e: Element) -> bool:
     return e.tag in BOXES or e.tag in TEXT and not e.in_main
 
 
-def subtree_hashes(page: str) -> list[int]:
-    return list({key(page, e) for e in parse(page)[0] if may_be_template(e)})
+def main_roots(page: str, elements: list[Element]) -> list[tuple[int, int]]:
+    """Spans of what holds the main text: <article>, else <main>, else <body>, else the whole page."""
+    roots = [e for e in elements if e.tag == "article" and not e.in_main] or [e for e in elements if e.tag == "main" and not e.in_main] or [e for e in elements if e.tag == "body"]
+    return [(e.start, e.end) for e in roots] or [(0, len(page))]
+
+
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def main_chars(page: str, elements: list[Element], tags: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """(starts of the texts between tags that belong to the main text, their lengths without spaces, summed up from
+    the left, with a 0 before)."""
+    roots, junk = merged(main_roots(page, elements)), merged([(e.start, e.end) for e in elements if e.junk])
+    starts, sums = [], [0]
+    at, r, j = 0, 0, 0
+    for s, e, _ in [*tags, (len(page), len(page), "")]:
+        if s > at:
+            while r < len(roots) and roots[r][1] <= at:
+                r += 1
+            while j < len(junk) and junk[j][1] <= at:
+                j += 1
+            if r < len(roots) and roots[r][0] <= at and not (j < len(junk) and junk[j][0] <= at):
+                starts.append(at)
+                sums.append(sums[-1] + sum(map(len, page[at:s].split())))
+        at = max(at, e)
+    return starts, sums
+
+
+def subtree_hashes(page: str) -> tuple[bytes, list[int]]:
+    """(hash of the main roots, hashes of the subtrees that may be template). A subtree with more than half of the
+    main text is the page's own text, not its template."""
+    elements, tags = parse(page)
+    starts, sums = main_chars(page, elements, tags)
+
+    def own(e: Element) -> bool:
+        return 2 * (sums[bisect_left(starts, e.end)] - sums[bisect_left(starts, e.start)]) > sums[-1]
+
+    roots = "".join(page[s:e] for s, e in main_roots(page, elements))
+    return xxhash.xxh3_128_digest(roots.encode("utf-8", "surrogatepass")), list({key(page, e) for e in elements if may_be_template(e) and not own(e)})
 
 
 def main_text(page: str, template: frozenset | set = frozenset()) -> str:
     elements, tags = parse(page)
     gone = [(e.start, e.end) for e in elements if e.junk or template and may_be_template(e) and key(page, e) in template]
-    roots = [e for e in elements if e.tag == "article" and not e.in_main] or [e for e in elements if e.tag == "main" and not e.in_main] or [e for e in elements if e.tag == "body"]
-    spans = [(e.start, e.end) for e in roots] or [(0, len(page))]
-    gone.sort()
-    cuts: list[list[int]] = []
-    for s, e in gone:
-        if cuts and s < cuts[-1][1]:
-            cuts[-1][1] = max(cuts[-1][1], e)
-        else:
-            cuts.append([s, e])
+    spans, cuts = main_roots(page, elements), merged(gone)
     blocks: list[str] = []
     for lo, hi in spans:
         part: list[str] = []
@@ -163,17 +202,19 @@ def main_text(page: str, template: frozenset | set = frozenset()) -> str:
     return " ".join(x for x in (" ".join(html_lib.unescape(b).split()) for b in blocks) if x)
 
 
-def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int, min_share: float, tables: Tables) -> DataFrame:
     """(host, template): the hashes of a host's recurring subtrees; at most elements-per-page / min_share of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [subtree_hashes(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in found], pa.binary()), pa.array([h for _, h in found], pa.list_(pa.int64()))], names=["host", "page", "hashes"])
 
-    hashed = pages.select("host", "html").mapInArrow(run, "host string, hashes array<long>")
-    seen = hashed.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    total = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    hashed = pages.select("host", "html").mapInArrow(run, "host string, page binary, hashes array<long>")
+    # Copies may differ outside their main roots, which their texts don't show; the least list stands for them all.
+    distinct = tables.write(hashed.groupBy("host", "page").agg(F.min("hashes").alias("hashes")), "distinct")
+    seen = distinct.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    total = distinct.groupBy("host").agg(F.count("*").alias("pages"))
     return seen.join(total, "host").filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("h").alias("template"))
 
 
@@ -181,11 +222,12 @@ def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.02, broad
     """page_id, url, text, n_chars: one row per row of pages.
 
     Defined results: null or empty html, or a page without main text, gives ''; a page whose url is null or has no
-    host belongs to the host '' ; repeated rows each get a row, and count as pages of their host; an empty table gives
-    no rows; other columns are ignored."""
+    host belongs to the host '' ; repeated rows each get a row, and count as one page of their host; an empty table
+    gives no rows; other columns are ignored."""
     tables = Tables(pages.sparkSession, "html")
     given = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.lower(F.regexp_extract(url_col, HOST, 1)), F.lit("")).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    found = tables.write(templates(given, min_pages, min_share), "templates")
+    found = tables.write(templates(given, min_pages, min_share, tables), "templates")
+    tables.release("distinct")
     size = found.agg(F.sum(F.size("template") * 8 + 64)).first()[0] or 0
     if size <= broadcast_bytes:
         found = F.broadcast(found)

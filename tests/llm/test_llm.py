@@ -224,6 +224,23 @@ def test_html(spark):
     no_rows(extract(df.limit(0)))
 
 
+def test_html_keeps_the_text_of_copies(spark):
+    """Copies of a page on a host, and pages that share most of their main text, keep it; a shared box still goes."""
+    from corvane.llm.html_text import extract
+
+    box, items = '<div><a href="/x">same</a></div>', "<ul><li>one</li><li>two</li></ul>"
+    copied = f'<article><div class="body"><p>first words of it</p>{items}<p>last words of it</p></div></article>'
+    plain = f"<body><div><div>a body of divs</div>{items}</div><div>end of it</div></body>"
+    mirror = "<article><div class='text'><p>the same long text in all of them</p></div><p>no {}</p></article>"
+    pages = [copied] * 6 + [plain] * 6 + [f"<title>{k}</title>{copied}" for k in range(6)] + [mirror.format(k) for k in range(6)]
+    pages += [f"<body>{box}<p>own page {k}</p></body>" for k in range(6)]
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in extract(df).collect()}
+    article = "first words of it one two last words of it"
+    want = [article] * 6 + ["a body of divs one two end of it"] * 6 + [article] * 6 + [f"the same long text in all of them no {k}" for k in range(6)] + [f"own page {k}" for k in range(6)]
+    assert [got[k] for k in range(len(pages))] == want
+
+
 # --- 6, 8
 
 def brute_ids(rows):
