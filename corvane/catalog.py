@@ -386,9 +386,9 @@ u AS (SELECT a.item, a.pos, any_value(a.value) AS v, list_reduce(list_concat([0.
 SELECT item, arg_max(v, (u, -pos)) AS value FROM u GROUP BY 1"""
 
 
-def medoid_pool(spark, d) -> DataFrame:
+def medoid_pool(spark, d, where: str = "value > 60") -> DataFrame:
     v = F.concat_ws(" ", "event_type", F.concat(F.lit("k"), (F.col("event_id") % 7).cast("string")), F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")))
-    return t(spark, d, "events").filter("value > 60").select(F.col("user_id").alias("item"), F.col("event_id").alias("pos"), v.alias("value"))
+    return t(spark, d, "events").filter(where).select(F.col("user_id").alias("item"), F.col("event_id").alias("pos"), v.alias("value"))
 
 
 @query(_medoid_sql("SELECT item, value, min(pos) AS pos FROM c GROUP BY 1, 2"))
@@ -401,6 +401,20 @@ def medoid_nodedup(spark, d):
     return M.medoid(medoid_pool(spark, d), distinct=False)
 
 
+# Over the whole table, with the cap of 48 in the SQL too. The queries above see the events with value > 60 only.
+_CAPPED = "SELECT item, value, pos FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY pos) AS k FROM (SELECT item, value, min(pos) AS pos FROM c GROUP BY 1, 2)) WHERE k <= 48"
+
+
+@query(_medoid_sql(_CAPPED).replace(" WHERE value > 60", ""))
+def medoid_token_whole(spark, d):
+    return M.medoid(medoid_pool(spark, d, "true"))
+
+
+@query(_medoid_sql("SELECT item, value, pos FROM c").replace(" WHERE value > 60", ""))
+def medoid_nodedup_whole(spark, d):
+    return M.medoid(medoid_pool(spark, d, "true"), distinct=False)
+
+
 @query("""WITH m AS (SELECT o_custkey AS grp, o_orderkey AS item, CASE WHEN o_orderkey % 3 = 0 THEN 'No' ELSE 'Yes' END AS p, (o_orderkey % 11) / 11.0::DOUBLE AS m, CASE o_orderkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS v FROM orders),
 n AS (SELECT *, count(*) OVER w AS c, row_number() OVER (PARTITION BY grp ORDER BY item) AS r, lead(p) OVER o AS p2, lag(p) OVER o AS p0, lead(m) OVER o AS m2, lag(m) OVER o AS m0, lead(v) OVER o AS v2, lag(v) OVER o AS v0
   FROM m WINDOW w AS (PARTITION BY grp), o AS (PARTITION BY grp ORDER BY item)),

@@ -38,3 +38,17 @@ def test_query(spark, duck, name):
     if name in catalog.oracle_sql():
         want = duck.sql(catalog.oracle_sql()[name])
         assert got == rows_of(want.fetchall(), want.columns)
+
+
+def test_whole_medoids(spark, tmp_path):
+    """Every user has a row, low values or not, and the cap of 48 distinct candidates bites in query and SQL."""
+    rows = [(k, 1, "abcde"[k % 5] + "type", float(k % 100)) for k in range(400)] + [(1000, 2, "atype", 3.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("medoid_token_whole", "medoid_nodedup_whole"):
+        df, want = catalog.queries()[name](spark, str(tmp_path)), c.sql(catalog.oracle_sql()[name])
+        got = rows_of(df.collect(), df.columns)
+        assert [r[0] for r in got] == [1, 2] and got == rows_of(want.fetchall(), want.columns)
+    pool = catalog.medoid_pool(spark, str(tmp_path), "true")
+    assert pool.filter("item = 1").select("value").distinct().count() > 48
