@@ -80,6 +80,11 @@ def vote_pool_arrays(spark, d):
     return V.pool_arrays(e.select(F.col("user_id").alias("item"), F.col("event_type").alias("value"), F.col("event_id").alias("pos")))
 
 
+@query("""SELECT user_id AS item, list(event_type ORDER BY event_id) AS pool FROM events GROUP BY 1""")
+def vote_pool_arrays_whole(spark, d):
+    return V.pool_arrays(event_votes(spark, d))
+
+
 @query(f"""WITH both_ AS (SELECT o_custkey AS item, o_orderpriority AS value, o_orderkey AS pos FROM orders WHERE o_orderstatus = 'F'
   UNION ALL SELECT o_custkey, o_orderpriority, 2147483648 + o_orderkey FROM orders WHERE o_orderstatus = 'O'),
 has AS (SELECT DISTINCT item FROM both_),

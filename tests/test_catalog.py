@@ -52,3 +52,10 @@ def test_whole_medoids(spark, tmp_path):
         assert [r[0] for r in got] == [1, 2] and got == rows_of(want.fetchall(), want.columns)
     pool = catalog.medoid_pool(spark, str(tmp_path), "true")
     assert pool.filter("item = 1").select("value").distinct().count() > 48
+
+
+def test_whole_vote_pools(spark):
+    """Every event's vote is in its user's pool."""
+    pools = catalog.queries()["vote_pool_arrays_whole"](spark, SF).collect()
+    events = catalog.t(spark, SF, "events")
+    assert sum(len(r["pool"]) for r in pools) == events.count() and len(pools) == events.select("user_id").distinct().count()
