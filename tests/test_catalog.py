@@ -59,3 +59,12 @@ def test_whole_vote_pools(spark):
     pools = catalog.queries()["vote_pool_arrays_whole"](spark, SF).collect()
     events = catalog.t(spark, SF, "events")
     assert sum(len(r["pool"]) for r in pools) == events.count() and len(pools) == events.select("user_id").distinct().count()
+
+
+def test_bench_names_what_it_skips():
+    import json
+
+    import bench
+
+    out = json.loads(bench.line({"a": 1.0, "b": 2.5}, "/x/sf0.1"))
+    assert out["value"] == 3.5 and out["skipped"] == ["generate_with_resume", "medoid_nodedup"] and out["sf"] == "0.1"
