@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm.words import mix
 
 _LOCAL: dict[str, str] = {}
 
@@ -17,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (tests on one machine), a temporary folder of this process."""
+    and Spark runs on one machine (tests), a temporary folder of this process. ValueError elsewhere."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = _LOCAL.get("d") or _LOCAL.setdefault("d", "file://" + tempfile.mkdtemp(prefix="corvane-"))
     return d.rstrip("/")
 
@@ -35,9 +44,9 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
 
-    def write(self, df: DataFrame, key: str) -> DataFrame:
+    def write(self, df: DataFrame, key: str, **options) -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{key}")
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         self.paths.setdefault(key, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -53,6 +62,39 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bit_set(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit set of 2**bits bits, of fixed size whatever the input, in which the hashes of a column of longs are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(mix(b.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits))
+            word, first = np.unique((at >> np.uint64(6)).astype(np.int32), return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["w", "m"])
+
+    got = keys.select(column).mapInArrow(run, "w int, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def in_set(have: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
+    """Which of these hashes are set: all that were put in, and some others."""
+    bit = h >> np.uint64(64 - bits)
+    return (have[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def keep_in_set(rows: DataFrame, column: str, have: np.ndarray, bits: int) -> DataFrame:
+    """The rows whose column, of longs, may be in the bit set."""
+    shared, at = rows.sparkSession.sparkContext.broadcast(have), rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(in_set(shared.value, bits, mix(b.column(at).to_numpy().view(np.uint64)))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the files behind a frame, by the optimizer's statistics (0 if unknown)."""
     try:

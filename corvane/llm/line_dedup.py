@@ -3,83 +3,95 @@
 A line's tokens are its distinct words (ASCII lower case, split at ASCII white space). A line goes if an earlier line,
 by (doc_id, line number), has a Jaccard similarity of `num / den` or more with it; empty lines stay.
 
-1. Words are counted over the whole corpus in 2**bits hash buckets. The counts give one order of all tokens, rare
-   ones first; it only has to be the same everywhere, so shared buckets cost selectivity and never a link.
-2. Lines of equal token sets are one class; its first line is its representative. Each task lists a class once.
+1. Lines of equal token sets are one class, named by a cryptographic hash of their words, so that no two different sets
+   share a name. Each task keeps the text of a class's first line it sees and goes on with that line only.
+2. Words of those lines are counted in 2**bits hash buckets. The counts give one order of all tokens, rare ones first;
+   it only has to be the same everywhere, so shared buckets cost selectivity and never a link.
 3. Prefix filter: a line of n tokens lists itself under its n - ceil(t n) + 1 rarest; tokens of count 1 list nothing.
-   Within a token's list, sorted by length, a pair stays if it passes the length filter (n_x >= t n_y), the positional
-   filter (what is left after the token can reach the needed overlap) and the bitmap filter (96-bit images of the sets' not
-   too common tokens differ in no more bits than the sets may differ in tokens). A token whose count is large has its list dealt over tiles.
-4. One earlier similar line is enough for a line to go. So a pair belongs to its later line, and of each line's pairs in
-   a list the `most` likeliest (least apart) are given first; a line with more of them is open there. n near-equal
-   lines make n rows, not n * n.
-5. Each pair is given to the least list it was found in, and every list gets the text of each of its lines once, so that
-   a family of near-equal lines moves each of its texts a few times and not once a pair. There the Jaccard of every pair
-   is verified on the words.
-6. Lines that are open in a list and haven't been lost get all their pairs there, which are verified likewise. So no
-   link that decides about a line is missed.
-7. A class that is linked with a class of an earlier first line loses all its lines, others all but their first.
+   Entries travel packed, some hundred in a row. Within a token's list, sorted by length, a pair stays if it passes the
+   length filter (n_x >= t n_y), the positional filter (what is left after the token can reach the needed overlap) and
+   the bitmap filter (64-bit parities of the sets differ in no more bits than the sets may differ in tokens). A token
+   whose count is large has its list dealt over tiles.
+4. One earlier similar line is enough for a line to go. So a pair belongs to its later line, and a list gives each line
+   its likeliest pair only (least apart, then earliest) and says whether there are others. n near-equal lines make n
+   rows, not n * n. Over all lists a line keeps its likeliest pair, which is verified on the words of both.
+5. Lines that this hasn't decided and that had other pairs get all their pairs of those lists. There every list gets
+   the text of each of its lines once, and pairs are verified in it. So no link that decides about a line is missed.
+6. A class that is linked with a class of an earlier first line loses all its lines, others all but their first.
 
 The order of lines inside a list is a hint, of 32 bits: the document's, then the line's, of the line that the task saw
 first. Documents that it can't tell apart hold each other's pairs; a lost line stays open unless its hint agrees with
 its class's first line.
 
-What is broadcast has a fixed size: the counts (2**bits) and bit sets of wanted classes, texts, lines and lists (2**set_bits each)."""
+What is broadcast has a fixed size: the counts (2**bits) and bit sets of wanted classes and lists (2**set_bits each)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Tables, slots
-from corvane.llm.words import SPACE, bounds, buffers, hashes, mix, slices
+from corvane.llm.common import Tables, bit_set, in_set, keep_in_set, slots
+from corvane.llm.words import LOWER, SPACE, bounds, buffers, hashes, mix, slices
 
 NEWLINE = 10
 #: Names of line_rows' columns.
-LINES = ["row", "doc_id", "text_hash", "line", "n", "sa", "sb", "image_a", "image_b", "keys"]
-#: A list entry is one long: 32 bits of the list, 20 of the line's size, 12 of the token's place. A place that doesn't
-#: fit is given as less, which lets more pairs stay; a line whose size doesn't fit passes every filter.
+LINES = ["row", "doc_id", "line", "n", "ca", "cb", "hint", "text"]
+#: The key of a list entry is one long: 32 bits of the list, 20 of the line's size, 12 of the token's place. A place that
+#: doesn't fit is given as less, which lets more pairs stay; a line whose size doesn't fit passes every filter.
 SIZE_BITS, PLACE_BITS = 20, 12
 HUGE = (1 << SIZE_BITS) - 1
+#: What an entry holds: its key, its line's class, the parity of the line's tokens, the line's hint.
+ENTRY = np.dtype([("k", "<i8"), ("sa", "<i8"), ("image", "<u8"), ("hint", "<u4")])
 #: Stands for a null id, which orders last.
 LAST = (1 << 63) - 1
 
 
-def lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, line of each word, text of each line, number of each line in its text)."""
-    data, off = buffers(texts)
-    cuts = np.flatnonzero(data == NEWLINE) + 1
-    starts = np.sort(np.concatenate([off[:-1], cuts]), kind="stable")  # a text's start and a cut never coincide wrongly: both begin a line
-    doc = np.searchsorted(off[:-1], starts, side="right") - 1
-    # Texts that are empty share their start with the next text; give each start back to its own text.
-    same = np.concatenate([[False], starts[1:] == starts[:-1]]) if len(starts) else np.zeros(0, bool)
-    if same.any() or (np.diff(off) == 0).any() or (len(cuts) and np.isin(cuts, off).any()):
-        return lines_slow(data, off)
-    s, e = bounds(data, np.append(starts, len(data)), SPACE)
-    return hashes(data, s, e), np.searchsorted(starts, s, side="right") - 1, doc, np.arange(len(doc)) - np.searchsorted(doc, doc)
-
-
-def lines_slow(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The same where texts are empty or end with a newline, text by text."""
-    h, lines, docs, numbers, total = [], [], [], [], 0
-    for d in range(len(off) - 1):
-        part = data[off[d] : off[d + 1]]
-        starts = np.concatenate([[0], np.flatnonzero(part == NEWLINE) + 1])
-        s, e = bounds(part, np.array([0, len(part)]), SPACE)
-        h.append(hashes(part, s, e))
-        lines.append(np.searchsorted(starts, s, side="right") - 1 + total)
-        docs.append(np.full(len(starts), d))
-        numbers.append(np.arange(len(starts)))
-        total += len(starts)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, lines, docs, numbers))
-
-
-def count_tokens(docs: DataFrame, bits: int, block_bits: int = 12) -> np.ndarray:
+def lines_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text of each line, its number there, where it starts, where it ends, where words start and end, each word's line)."""
+    cuts = np.flatnonzero(data == NEWLINE)
+    before = np.searchsorted(cuts, off)
+    size = before[1:] - before[:-1] + 1
+    doc = np.repeat(np.arange(len(size)), size)
+    first = np.concatenate([[0], np.cumsum(size)])
+    number = np.arange(len(doc)) - first[doc]
+    inner = number > 0
+    start, end = off[doc], np.empty(len(doc), np.int64)
+    start[inner] = cuts + 1
+    last = number == size[doc] - 1
+    end[last], end[~last] = off[1:], cuts
+    s, e = bounds(data, np.append(start, len(data)), SPACE)
+    own = np.searchsorted(off[1:], s, side="right")
+    return doc, number, start, end, s, e, first[own] + np.searchsorted(cuts, s) - before[own]
+
+
+def distinct_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hash, start, end, line) of each line's distinct words, by line, then hash. Words are told apart by their hash."""
+    h = hashes(data, s, e)
+    order = by_line(h, np.zeros(len(h), np.uint64), line)
+    h, line = h[order], line[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    order = order[keep]
+    return h[keep], s[order], e[order], line[keep]
+
+
+def joined_words(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(the words in lower case, a space after each; where each word's part ends)."""
+    size = e - s + 1
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(s - (ends - size), size)
+    out = LOWER[data[np.minimum(at, max(len(data) - 1, 0))]] if len(at) else np.zeros(0, np.uint8)
+    out[ends - 1] = 0x20
+    return out.tobytes(), ends
+
+
+def count_tokens(lines: DataFrame, bits: int, block_bits: int = 12) -> np.ndarray:
     """Words per hash bucket, over all texts: 2**bits numbers reach the driver. Tasks send whole blocks of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +114,7 @@ def count_tokens(docs: DataFrame, bits: int, block_bits: int = 12) -> np.ndarray
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, np.iinfo(np.int32).max).astype(np.int32).tobytes() for x in sums.values()], pa.binary())], names=["block", "n"])
 
     kind = "block int, n binary"
-    got = docs.select("t").mapInArrow(run, kind).repartition(slots(docs.sparkSession), "block").mapInArrow(add, kind).toArrow()
+    got = lines.filter("text is not null").select("text").mapInArrow(run, kind).repartition(slots(lines.sparkSession), "block").mapInArrow(add, kind).toArrow()
     out = np.zeros((max(1 << (bits - block_bits), 1) if bits > block_bits else 1, 1 << min(bits, block_bits)), np.int32)
     for block, n in zip(got["block"].to_pylist(), got["n"].to_pylist()):
         out[block] = np.frombuffer(n, np.int32)
@@ -114,9 +126,8 @@ def needed(nx, ny, num: int, den: int):
     return -(-num * (nx + ny) // (num + den))
 
 
-def ordered_tokens(h: np.ndarray, count: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """The order by line, then rarity (steps of a quarter of a power of two), then hash."""
-    rarity = np.minimum(np.log2(np.maximum(count, 1)) * 4, 255).astype(np.uint64)
+def by_line(h: np.ndarray, rarity: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order by line, then rarity (below 256), then hash."""
     if len(line) and line[-1] < 1 << 20:
         key = (line.astype(np.uint64) << np.uint64(44)) | (rarity << np.uint64(36)) | (h >> np.uint64(28))
         order = np.argsort(key, kind="stable")
@@ -126,8 +137,13 @@ def ordered_tokens(h: np.ndarray, count: np.ndarray, line: np.ndarray) -> np.nda
     return np.lexsort((h, rarity, line))
 
 
+def rarity_of(count: np.ndarray) -> np.ndarray:
+    """Steps of a quarter of a power of two."""
+    return np.minimum(np.log2(np.maximum(count, 1)) * 4, 255).astype(np.uint64)
+
+
 def listings(h: np.ndarray, count: np.ndarray, n: np.ndarray, place: np.ndarray, sa: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray]:
-    """(which token occurrence, its entry), once for each list it goes to. A token of count c > tile has
+    """(which token occurrence, its entry's key), once for each list it goes to. A token of count c > tile has
     ceil(c / tile) blocks of lines, and each pair of blocks meets in a list of its own."""
     blocks = np.maximum(-(-count // tile), 1)
     again = np.repeat(np.arange(len(h)), blocks)
@@ -137,8 +153,8 @@ def listings(h: np.ndarray, count: np.ndarray, n: np.ndarray, place: np.ndarray,
         mine = (mix(sa.view(np.uint64) + np.uint64(5)) % blocks.astype(np.uint64)).astype(np.int64)[again]
         pair = (np.minimum(mine, other) << 24) | np.maximum(mine, other)
         name = np.where(blocks[again] > 1, mix(name + mix(pair.astype(np.uint64) + np.uint64(1))), name)
-    entry = (name & ~np.uint64(0xFFFFFFFF)) | (np.minimum(n, HUGE).astype(np.uint64) << np.uint64(PLACE_BITS))[again] | np.minimum(place, (1 << PLACE_BITS) - 1).astype(np.uint64)[again]
-    return again, entry.view(np.int64)
+    key = (name & ~np.uint64(0xFFFFFFFF)) | (np.minimum(n, HUGE).astype(np.uint64) << np.uint64(PLACE_BITS))[again] | np.minimum(place, (1 << PLACE_BITS) - 1).astype(np.uint64)[again]
+    return again, key.view(np.int64)
 
 
 @dataclass(frozen=True)
@@ -170,270 +186,252 @@ def hint_of(docs: DataFrame) -> Hint:
     return Hint(shift, base, 32 - ((hi >> shift) - base + 1).bit_length())
 
 
-def line_rows(docs: DataFrame, counts, bits: int, hint: Hint, num: int, den: int, tile: int, seen_most: int = 200_000) -> DataFrame:
-    """One row per line with its class (sa, sb), and for the task's first line of a class its list entries. image_b is
-    32 bits of image above the line's hint."""
-    kind = "row long, doc_id long, text_hash long, line int, n int, sa long, sb long, image_a long, image_b long, keys array<long>"
+def line_rows(docs: DataFrame, hint: Hint, seen_most: int = 200_000) -> DataFrame:
+    """One row per line with its class (ca, cb), and with its text if it is the first of its class that the task sees."""
+    kind = "row long, doc_id long, line int, n int, ca long, cb long, hint long, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, seen = counts.value, set()
-        common = int(rare.sum(dtype=np.int64)) // 2000
+        seen: set[bytes] = set()
         for whole in batches:
-            for b in slices(whole, 3, 2_000_000):
-                h, line, doc, number = lines_of(b.column(3))
-                n_lines = len(doc)
-                count = rare[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
-                order = ordered_tokens(h, count, line)
-                h, line, count = h[order], line[order], count[order]
-                keep = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])]) if len(h) else np.zeros(0, bool)
-                h, line, count = h[keep], line[keep], count[keep]
-                n = np.bincount(line, minlength=n_lines)
-                first = np.concatenate([[0], np.cumsum(n)])
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h + np.uint64(k)), dtype=np.uint64)]) for k in (1, 2)]
-                sa, sb = (mix(s[first[1:]] - s[first[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums)
-                full = np.flatnonzero(n)
-                spot = mix(h + np.uint64(3))
-                bit = (spot >> np.uint64(8)) % np.uint64(96)
-                ids = b.column(1).fill_null(LAST).to_numpy()[doc]
-                images = [np.zeros(n_lines, np.uint64), np.zeros(n_lines, np.uint64)]
-                for image, low, high in zip(images, (0, 64), (64, 96)):
-                    if len(full):
-                        inside = (count <= common) & (bit >= low) & (bit < high)
-                        at = np.where(inside, bit - np.uint64(low), np.uint64(0)) + np.uint64(low // 2)
-                        image[full] = np.bitwise_or.reduceat(np.where(inside, np.uint64(1) << at, np.uint64(0)), first[full])
-                images[1] |= hint.of(ids, number).astype(np.uint64)
-                images = [pa.array(x.view(np.int64)) for x in images]
-                prefix = n - (num * n + den - 1) // den + 1
-                place = np.arange(len(h)) - first[line]
-                fresh = np.zeros(n_lines, bool)
-                for i, s in zip(full.tolist(), sa[full].tolist()):
-                    if s not in seen:
-                        fresh[i] = True
-                        seen.add(s)
+            for b in slices(whole, 2, 2_000_000):
+                data, off = buffers(b.column(2))
+                doc, number, start, end, s, e, line = lines_of(data, off)
+                _, s, e, line = distinct_words(data, s, e, line)
+                n = np.bincount(line, minlength=len(doc))
+                words, at = joined_words(data, s, e)
+                ends = np.concatenate([[0], at])[np.cumsum(n)].tolist()
+                names, texts, raw, lo = bytearray(), [], data.tobytes(), 0
+                for z, a, c in zip(ends, start.tolist(), end.tolist()):
+                    name = blake2b(words[lo:z], digest_size=16).digest()
+                    names += name
+                    fresh = z > lo and name not in seen
+                    texts.append(raw[a:c] if fresh else None)
+                    if fresh:
+                        seen.add(name)
+                    lo = z
                 if len(seen) > seen_most:
                     seen.clear()
-                listed = np.flatnonzero((place < prefix[line]) & (count > 1) & fresh[line])
-                at, keys = listings(h[listed], count[listed], n[line[listed]], place[listed], sa[line[listed]], tile)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(line[listed][at], minlength=n_lines))]).astype(np.int32)
+                ca, cb = np.frombuffer(bytes(names), "<i8").reshape(-1, 2).T
                 mine = pa.array(doc)
-                cols = [*(b.column(c).take(mine) for c in range(3)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sa), pa.array(sb), *images, pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
+                ids = b.column(1).fill_null(LAST).to_numpy()[doc]
+                cols = [*(b.column(c).take(mine) for c in (0, 1)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(ca), pa.array(cb), pa.array(hint.of(ids, number)), pa.array(texts, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=LINES)
 
-    return docs.select("row", "doc_id", "text_hash", "t").mapInArrow(run, kind)
-
-
-def likeliest(z: np.ndarray, x: np.ndarray, apart: np.ndarray, sa: np.ndarray, hint: np.ndarray, most: int, cut: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each z's pairs the `most` with the least apart, earlier lines first; cut is set for a z that loses pairs."""
-    many = np.bincount(z, minlength=len(sa))[z] > most
-    if not many.any():
-        return z, x, apart
-    zm, xm, am = z[many], x[many], apart[many]
-    o = np.lexsort((sa[xm], am, hint[xm] > hint[zm], zm))
-    zm, xm, am = zm[o], xm[o], am[o]
-    new = np.ones(len(zm), bool)
-    new[1:] = (zm[1:] != zm[:-1]) | (sa[xm[1:]] != sa[xm[:-1]])
-    zm, xm, am = zm[new], xm[new], am[new]
-    rank = np.arange(len(zm)) - np.searchsorted(zm, zm)
-    cut[zm[rank >= most]] = True
-    ok = rank < most
-    return np.concatenate([z[~many], zm[ok]]), np.concatenate([x[~many], xm[ok]]), np.concatenate([apart[~many], am[ok]])
-
-
-def pairs_in_lists(entry: np.ndarray, sa: np.ndarray, image_a: np.ndarray, image_b: np.ndarray, num: int, den: int, line_bits: int, most: int, asked: np.ndarray | None = None, held_most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (z, x) of one or more whole lists, sorted by entry (so by list, then size), that pass the filters, as
-    (pairs, open): pairs is (3, n), both classes and the least list they meet in; open is (3, n), the classes that have
-    more than `most` pairs in a list, the list and the class's least hint there. With `asked`, all pairs of the asked
-    entries, a part at a time, and none open. Neighbours at distance 1, 2, ... are compared all at once."""
-    none = np.zeros(0, np.int64)
-    n = ((entry >> PLACE_BITS) & HUGE).astype(np.int32)
-    left = n - (entry & ((1 << PLACE_BITS) - 1)).astype(np.int32)
-    name = (entry >> 32).astype(np.int32)
-    hint = (image_b & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    part, image_b = hint >> line_bits, image_b >> np.uint64(32)
-    cut = np.zeros(len(entry), bool)
-    found: list[tuple[np.ndarray, ...]] = [(none, none, none)]
-    held = 0
-
-    def merged() -> tuple[np.ndarray, ...]:
-        return tuple(np.concatenate(c) for c in zip(*found))
-
-    def given(z: np.ndarray, x: np.ndarray) -> np.ndarray:
-        pairs = np.stack([np.minimum(sa[z], sa[x]), np.maximum(sa[z], sa[x]), name[z].astype(np.int64)])
-        pairs = pairs[:, np.lexsort(pairs[::-1])]
-        new = np.ones(pairs.shape[1], bool)
-        new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
-        return pairs[:, new]
-
-    i, d = np.arange(len(entry)), 1
+    return docs.select("row", "doc_id", "t").mapInArrow(run, kind)
+
+
+def packed_entries(lines: DataFrame, counts, bits: int, num: int, den: int, tile: int, lists=None, set_bits: int = 0, held_most: int = 500_000) -> DataFrame:
+    """(bucket, entries): the list entries of the lines that have a text, all entries of a list in one bucket, packed.
+    With `lists`, a bit set, those of its lists only."""
+    buckets = 16 * slots(lines.sparkSession)
+
+    def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(held) if held else np.zeros(0, ENTRY)
+        if not len(x):
+            return
+        bucket = (mix((x["k"] >> 32).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        x, bucket = x[order], bucket[order]
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        ends = np.append(at[1:], len(x)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array([x[a:z].tobytes() for a, z in zip(at.tolist(), ends)], pa.binary())], names=["bucket", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rare, held, size = counts.value, [], 0
+        for whole in batches:
+            for b in slices(whole, 2, 2_000_000):
+                data, off = buffers(b.column(2))
+                s, e = bounds(data, off, SPACE)
+                h, _, _, line = distinct_words(data, s, e, np.searchsorted(off[1:], s, side="right"))
+                count = rare[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
+                sa, hint = b.column(0).to_numpy(), b.column(1).to_numpy()
+                n = np.bincount(line, minlength=len(b))
+                first = np.concatenate([[0], np.cumsum(n)])
+                bit = np.uint64(1) << (mix(h + np.uint64(3)) >> np.uint64(58))
+                image = np.zeros(len(b), np.uint64)
+                full = np.flatnonzero(n)
+                if len(full):
+                    image[full] = np.bitwise_xor.reduceat(bit, first[full])
+                order = by_line(h, rarity_of(count), line)
+                h, count = h[order], count[order]
+                place = np.arange(len(h)) - first[line]
+                prefix = n - (num * n + den - 1) // den + 1
+                listed = np.flatnonzero((place < prefix[line]) & (count > 1))
+                own = line[listed]
+                again, keys = listings(h[listed], count[listed], n[own], place[listed], sa[own], tile)
+                own = own[again]
+                if lists is not None:
+                    ok = in_set(lists.value, set_bits, mix((keys >> 32).view(np.uint64)))
+                    keys, own = keys[ok], own[ok]
+                x = np.empty(len(keys), ENTRY)
+                x["k"], x["sa"], x["image"], x["hint"] = keys, sa[own], image[own], hint[own]
+                held.append(x)
+                size += len(x)
+                if size > held_most:
+                    yield from pack(held)
+                    held, size = [], 0
+        yield from pack(held)
+
+    return lines.filter("text is not null").select("ca", "hint", "text").mapInArrow(run, "bucket int, entries binary")
+
+
+def pairs_in_lists(x: np.ndarray, num: int, den: int, line_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (z, x, apart) of entries of whole lists, sorted by key (so by list, then size), that pass the filters, z not
+    earlier than x. Neighbours at distance 1, 2, ... are compared all at once; in a part no z and x comes twice."""
+    n = ((x["k"] >> PLACE_BITS) & HUGE).astype(np.int32)
+    left = n - (x["k"] & ((1 << PLACE_BITS) - 1)).astype(np.int32)
+    name = (x["k"] >> 32).astype(np.int32)
+    part, image, sa = x["hint"] >> np.uint32(line_bits), x["image"], x["sa"]
+    i, d = np.arange(len(x)), 1
     while True:
-        i = i[: np.searchsorted(i, len(entry) - d)]
+        i = i[: np.searchsorted(i, len(x) - d)]
         j = i + d
         nj = n[j]
-        ok = (name[i] == name[j]) & ((den * n[i] >= num * nj) | (nj == HUGE))
+        ok = (name[i] == name[j]) & ((den * n[i].astype(np.int64) >= num * nj.astype(np.int64)) | (nj == HUGE))
         i, j = i[ok], j[ok]
         if not len(i):
-            break
-        ni, nj = n[i], n[j]
+            return
+        ni, nj = n[i].astype(np.int64), n[j].astype(np.int64)
         need = needed(ni, nj, num, den)
-        ok = (np.minimum(left[i], left[j]) >= need) | (nj == HUGE)
-        if asked is not None:
-            ok &= asked[i] | asked[j]
-        ok = np.flatnonzero(ok)
+        ok = np.flatnonzero((np.minimum(left[i], left[j]) >= need) | (nj == HUGE))
         a, b, nj = i[ok], j[ok], nj[ok]
-        apart = np.bitwise_count(image_a[a] ^ image_a[b]) + np.bitwise_count(image_b[a] ^ image_b[b])
+        apart = np.bitwise_count(image[a] ^ image[b])
         ok = ((apart <= ni[ok] + nj - 2 * need[ok]) | (nj == HUGE)) & (sa[a] != sa[b])
         a, b, apart = a[ok], b[ok], apart[ok].astype(np.int64)
         if len(a):
             later, both = part[b] >= part[a], part[a] >= part[b]
-            z, x, apart = np.concatenate([b[later], a[both]]), np.concatenate([a[later], b[both]]), np.concatenate([apart[later], apart[both]])
-            if asked is not None:
-                mine = asked[z]
-                z, x, apart = z[mine], x[mine], apart[mine]
-            found.append((z, x, apart))
-            held += len(z)
-            if held > held_most:
-                if asked is not None:
-                    yield given(*merged()[:2]), np.zeros((3, 0), np.int64)
-                    found = [(none, none, none)]
-                else:
-                    found = [likeliest(*merged(), sa, hint, most, cut)]
-                held = 0
+            yield b[later], a[later], apart[later]
+            yield a[both], b[both], apart[both]
         d += 1
-    if asked is not None:
-        yield given(*merged()[:2]), np.zeros((3, 0), np.int64)
-        return
-    z, x, _ = likeliest(*merged(), sa, hint, most, cut)
-    at = np.flatnonzero(cut)
-    if len(at):  # the least hint of a class in its list: tasks list the same class with different ones
-        at = np.flatnonzero(np.isin(sa, sa[at]))
-        at = at[np.lexsort((hint[at], sa[at], name[at]))]
-        first = np.ones(len(at), bool)
-        first[1:] = (sa[at[1:]] != sa[at[:-1]]) | (name[at[1:]] != name[at[:-1]])
-        first = np.flatnonzero(first)
-        at = at[first[np.logical_or.reduceat(cut[at], first)]]
-    yield given(z, x), np.stack([sa[at], name[at].astype(np.int64), hint[at]])
-
-
-PAIRS = "x long, y long, k long, open long, hint long"
-
-
-def joined(entries: DataFrame, num: int, den: int, line_bits: int, most: int) -> DataFrame:
-    """(x, y, k) of pairs that stay, (x, open, hint) of lines that are open in a list: entries (k, sa, image_a,
-    image_b), dealt by list. Rows without a size ask for all pairs of a class in a list; lists that have them give no others."""
-    dealt = entries.repartition(slots(entries.sparkSession), F.shiftright("k", 32)).sortWithinPartitions("k")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
-
-        def solve(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            ask = (x[0] & 0xFFFFFFFF) == 0
-            asked = None
-            if ask.any():
-                wanted = set(zip((x[0][ask] >> 32).tolist(), x[1][ask].tolist()))
-                x = [c[~ask] for c in x]
-                asked = np.fromiter(((k, s) in wanted for k, s in zip((x[0] >> 32).tolist(), x[1].tolist())), bool, len(x[0]))
-            for pairs, opened in pairs_in_lists(x[0], x[1], x[2].view(np.uint64), x[3].view(np.uint64), num, den, line_bits, most, asked):
-                p, o = pairs.shape[1], opened.shape[1]
-                gap = [pa.nulls(c, pa.int64()) for c in (p, o)]
-                columns = [[pairs[0], opened[0]], [pairs[1], gap[1]], [pairs[2], gap[1]], [gap[0], opened[1]], [gap[0], opened[2]]]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in two]) for two in columns], names=["x", "y", "k", "open", "hint"])
 
-        for b in batches:
-            held = [np.concatenate([h, b.column(c).to_numpy()]) for c, h in enumerate(held)]
-            cut = int(np.searchsorted(held[0] >> 32, held[0][-1] >> 32)) if len(held[0]) else 0
-            if cut:
-                yield from solve([h[:cut] for h in held])
-                held = [h[cut:] for h in held]
-        yield from solve(held)
 
-    return dealt.mapInArrow(join, PAIRS).groupBy("x", "y", "open", "hint").agg(F.min("k").alias("k"))
+def likeliest(x: np.ndarray, num: int, den: int, line_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(z, its likeliest x, how likely, whether z has others) for each entry that has a pair: the one least apart, then earliest."""
+    best, at, times = np.full(len(x), LAST, np.int64), np.zeros(len(x), np.int64), np.zeros(len(x), np.int32)
+    for z, y, apart in pairs_in_lists(x, num, den, line_bits):
+        score = (apart << 32) | x["hint"][y].astype(np.int64)
+        times[z] += 1
+        ok = score < best[z]
+        best[z[ok]], at[z[ok]] = score[ok], y[ok]
+    z = np.flatnonzero(times)
+    return z, at[z], best[z], times[z] > 1
 
 
-def entries_of(lines: DataFrame) -> DataFrame:
-    return lines.filter("size(keys) > 0").select(F.explode("keys").alias("k"), "sa", "image_a", "image_b")
+def in_buckets(entries: DataFrame, solve, kind: str) -> DataFrame:
+    """solve(entries of a bucket, sorted by key, one per list and class) for each bucket, which comes whole to one task."""
+    dealt = entries.repartition(slots(entries.sparkSession), "bucket").sortWithinPartitions("bucket")
 
-
-def open_entries(lines: DataFrame, still: DataFrame, bits: int) -> DataFrame:
-    """The entries of the lists in which a line is still open (a bit set of fixed size drops most others before the
-    shuffle), and a row for each line that is open there."""
-    shared = lines.sparkSession.sparkContext.broadcast(bit_set(still.select("open"), bits, lambda b: mix(b.column(0).to_numpy().view(np.uint64))))
+    def whole(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if held:
+            x = np.frombuffer(b"".join(held), ENTRY)
+            x = x[np.lexsort((x["hint"], x["image"], x["sa"], x["k"]))]
+            same = np.ones(len(x), bool)
+            same[1:] = (x["k"][1:] != x["k"][:-1]) | (x["sa"][1:] != x["sa"][:-1]) | (x["image"][1:] != x["image"][:-1])
+            yield from solve(x[same])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
         for b in batches:
-            keys = b.column(0)
-            k, size = keys.flatten().to_numpy(), keys.value_lengths().to_numpy()
-            ok = in_set(shared.value, bits, mix((k >> 32).view(np.uint64)))
-            own = pa.array(np.repeat(np.arange(len(b)), size)[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(k[ok]), *(b.column(c).take(own) for c in (1, 2, 3))], names=["k", "sa", "image_a", "image_b"])
-
-    kind = "k long, sa long, image_a long, image_b long"
-    asking = still.select(F.shiftleft("open", 32).alias("k"), "sa", F.lit(0).cast("long").alias("image_a"), F.lit(0).cast("long").alias("image_b")).distinct()
-    return lines.filter("size(keys) > 0").select("keys", "sa", "image_a", "image_b").mapInArrow(run, kind).union(asking)
+            for bucket, part in zip(b.column(0).to_pylist(), b.column(1)):
+                if bucket != now:
+                    yield from whole(held)
+                    held, now = [], bucket
+                held.append(part.as_py())
+        yield from whole(held)
 
+    return dealt.mapInArrow(run, kind)
 
-def place_hash(text_hash: np.ndarray, line: np.ndarray) -> np.ndarray:
-    return mix(text_hash.view(np.uint64) + mix(line.astype(np.uint64) + np.uint64(9)))
 
+def first_choices(entries: DataFrame, num: int, den: int, line_bits: int) -> DataFrame:
+    """(z, x, score, others, hint, list) of each line that has a pair in a list, and its likeliest pair there."""
 
-def bit_set(keys: DataFrame, bits: int, hashed) -> np.ndarray:
-    """A bit set of 2**bits bits in which hashed(batch) of all rows is set."""
+    def solve(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        z, y, score, others = likeliest(x, num, den, line_bits)
+        cols = [x["sa"][z], x["sa"][y], score, others, x["hint"][z].astype(np.int64), (x["k"][z] >> 32).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["z", "x", "score", "others", "hint", "list"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(hashed(b) >> np.uint64(64 - bits))
-            word, first = np.unique((at >> np.uint64(6)).astype(np.int32), return_index=True)
-            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["w", "m"])
+    return in_buckets(entries, solve, "z long, x long, score long, others boolean, hint long, list int")
 
-    got = keys.mapInArrow(run, "w int, m long").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
 
+def all_choices(entries: DataFrame, asked: DataFrame, num: int, den: int, line_bits: int, held_most: int = 500_000) -> DataFrame:
+    """(x, y, k): all pairs of the asked (list, z), each with the least list that it was found in."""
+    buckets = 16 * slots(entries.sparkSession)
 
-def in_set(have: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    bit = h >> np.uint64(64 - bits)
-    return (have[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-
-
-def wanted_classes(classes: DataFrame, members: DataFrame, bits: int) -> DataFrame:
-    """The rows of classes whose sa is in members (v). Most others are dropped by a bit set before the shuffle."""
-    shared = classes.sparkSession.sparkContext.broadcast(bit_set(members.select("v"), bits, lambda b: mix(b.column(0).to_numpy().view(np.uint64))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Questions as entries without a size."""
         for b in batches:
-            yield b.filter(pa.array(in_set(shared.value, bits, mix(b.column(0).to_numpy().view(np.uint64)))))
+            x = np.zeros(len(b), ENTRY)
+            x["k"], x["sa"] = b.column(0).to_numpy().astype(np.int64) << 32, b.column(1).to_numpy()
+            bucket = (mix((x["k"] >> 32).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([r.tobytes() for r in x], pa.binary())], names=["bucket", "entries"])
+
+    def solve(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        question = (x["k"] & 0xFFFFFFFF) == 0
+        wanted = set(zip((x["k"][question] >> 32).tolist(), x["sa"][question].tolist()))
+        x = x[~question]
+        asked_here = np.fromiter(((k, s) in wanted for k, s in zip((x["k"] >> 32).tolist(), x["sa"].tolist())), bool, len(x))
+        held, size = [], 0
+
+        def given() -> pa.RecordBatch:
+            z, y = (np.concatenate(c) for c in zip(*held))
+            a, b, k = np.minimum(x["sa"][z], x["sa"][y]), np.maximum(x["sa"][z], x["sa"][y]), x["k"][z] >> 32
+            order = np.lexsort((k, b, a))
+            a, b, k = a[order], b[order], k[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (a, b, k)], names=["x", "y", "k"])
+
+        for z, y, _ in pairs_in_lists(x, num, den, line_bits):
+            mine = asked_here[z]
+            held.append((z[mine], y[mine]))
+            size += len(held[-1][0])
+            if size > held_most:
+                yield given()
+                held, size = [], 0
+        if held:
+            yield given()
+
+    questions = asked.select("list", "z").mapInArrow(ask, "bucket int, entries binary")
+    return in_buckets(entries.union(questions), solve, "x long, y long, k long").groupBy("x", "y").agg(F.min("k").alias("k"))
+
+
+def classes_of(lines: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    """(sa, sb, d, r, l, text): first line and a text of each class whose sa is among wanted's (v). A bit set of fixed size
+    drops most others before the shuffle."""
+    order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("row").alias("r"), F.col("line").alias("l"))
+    near = keep_in_set(lines.filter("n > 0").select(F.col("ca").alias("sa"), F.col("cb").alias("sb"), order.alias("at"), "text"), "sa", bit_set(wanted, "v", bits), bits)
+    one = near.groupBy("sa", "sb").agg(F.min("at").alias("at"), F.max("text").alias("text"))
+    return one.select("sa", "sb", "at.d", "at.r", "at.l", "text")
+
 
-    near = classes.select("sa", "sb", "text_hash", "at.d", "at.r", "at.l")
-    return near.mapInArrow(run, near.schema).join(members.select(F.col("v").alias("sa")).distinct(), "sa", "left_semi")
+def similar(a: str, b: str, num: int, den: int) -> bool:
+    s, t = set(a.encode().lower().split()), set(b.encode().lower().split())
+    both = len(s & t)
+    return bool(both) and den * both >= num * (len(s) + len(t) - both)
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
-    """wanted (text_hash, l, ...) with the line's text. The texts are read again; only lines whose text's and whose own
-    bit is set, in bit sets of fixed size, are shuffled."""
-    spark = docs.sparkSession
-    text_bits = spark.sparkContext.broadcast(bit_set(wanted.select("text_hash"), bits, lambda b: b.column(0).to_numpy().view(np.uint64)))
-    line_bits = spark.sparkContext.broadcast(bit_set(wanted.select("text_hash", "l"), bits, lambda b: place_hash(b.column(0).to_numpy(), b.column(1).to_numpy())))
+def lost_by_pair(best: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The (sa, sb) of classes that a verified pair of best (z, x) shows to have an earlier similar class."""
+    cols = ["sa", "sb", "d", "r", "l", "text"]
+    z = best.select("z", "x").join(classes.select(*(F.col(c).alias(f"z_{c}") for c in cols)), F.col("z") == F.col("z_sa"))
+    both = z.join(classes.select(*(F.col(c).alias(f"x_{c}") for c in cols)), F.col("x") == F.col("x_sa"))
+    z_later = F.struct("z_d", "z_r", "z_l") > F.struct(F.col("x_d").alias("z_d"), F.col("x_r").alias("z_r"), F.col("x_l").alias("z_l"))
+    loser = [F.when(z_later, F.col(f"z_{c}")).otherwise(F.col(f"x_{c}")).alias(c) for c in ("sa", "sb")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_numpy()
-            for i in np.flatnonzero(in_set(text_bits.value, bits, keys.view(np.uint64))).tolist():
-                parts = b.column(1)[i].as_py().split("\n")
-                at = np.flatnonzero(in_set(line_bits.value, bits, place_hash(np.full(len(parts), keys[i]), np.arange(len(parts)))))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), keys[i])), pa.array(at.astype(np.int32)), pa.array([parts[k] for k in at.tolist()], pa.string())], names=["text_hash", "l", "text"])
+            ok = [i for i, (s, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())) if similar(s, t, num, den)]
+            yield b.select([0, 1]).take(pa.array(ok, pa.int64()))
 
-    lines = docs.select("text_hash", "t").mapInArrow(run, "text_hash long, l int, text string")
-    return lines.groupBy("text_hash", "l").agg(F.first("text").alias("text")).join(wanted, ["text_hash", "l"])
+    return both.select(*loser, "z_text", "x_text").mapInArrow(run, "sa long, sb long").distinct()
 
 
-def verify(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """The (sa, sb) of classes that have a similar class with an earlier first line. Every pair is verified on the
-    words of both lines, in the list named by its k; a list gets each of its lines' texts once."""
+def lost_in_lists(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The (sa, sb) of classes that have a similar class with an earlier first line. Every pair (x, y, k) is verified on
+    the words of both lines, in the list named by its k; a list gets each of its lines' texts once."""
     members = pairs.select("k", F.col("x").alias("sa")).union(pairs.select("k", F.col("y").alias("sa"))).distinct()
     none = [F.lit(None).cast(t).alias(c) for c, t in (("sb", "long"), ("d", "long"), ("r", "long"), ("l", "int"), ("text", "string"))]
-    given = members.join(texts, "sa").select("k", F.lit(None).cast("long").alias("y"), "sa", "sb", "d", "r", "l", "text")
+    given = members.join(classes, "sa").select("k", F.lit(None).cast("long").alias("y"), "sa", "sb", "d", "r", "l", "text")
     asked = pairs.select("k", "y", F.col("x").alias("sa"), *none)
     rows = given.union(asked).repartition(slots(pairs.sparkSession), "k").sortWithinPartitions(F.col("k"), F.col("y").asc_nulls_first())
 
@@ -458,45 +456,49 @@ def verify(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(run, "sa long, sb long").distinct()
 
 
-def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20, set_bits: int = 24, tile: int = 20_000, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lost_classes(lines: DataFrame, base: DataFrame, hint: Hint, tables: Tables, num: int, den: int, bits: int, set_bits: int, tile: int) -> DataFrame:
+    """(sa, sb): the classes that lose all their lines."""
+    spark = lines.sparkSession
+    counts = spark.sparkContext.broadcast(count_tokens(lines, bits))
+    found = tables.write(first_choices(packed_entries(lines, counts, bits, num, den, tile), num, den, hint.line_bits), "found")
+    one = found.groupBy("z").agg(F.min(F.struct("score", "x")).alias("b"), F.max("others").alias("others"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("hint").alias("hint"))
+    best = tables.write(one.select("z", F.col("b.x").alias("x"), (F.col("others") | (F.col("lo") != F.col("hi"))).alias("open"), "hint"), "best")
+    classes = tables.write(classes_of(lines, best.select(F.col("z").alias("v")).union(best.select("x")), set_bits), "near")
+    losers = tables.write(lost_by_pair(best, classes, num, den).withColumn("lost", F.lit(True)), "losers")
+    agrees = F.shiftright("hint", hint.line_bits) == hint.part(F.col("d"))
+    still = best.filter("open").join(classes.select(F.col("sa").alias("z"), "sb", "d"), "z").join(losers.withColumnRenamed("sa", "z"), ["z", "sb"], "left").filter(F.col("lost").isNull() | ~agrees)
+    # A list in which the line's only pair is the one just verified holds nothing else for it.
+    asked = found.join(still.select("z", F.col("x").alias("tried")).distinct(), "z").filter("others or x <> tried").select("list", "z").distinct()
+    asked = tables.write(asked, "asked")
+    tables.release("found", "best", "near")
+    if asked.isEmpty():
+        return losers
+    lists = spark.sparkContext.broadcast(bit_set(asked.select(F.col("list").cast("long").alias("list")), "list", set_bits))
+    entries = packed_entries(lines, counts, bits, num, den, tile, lists, set_bits)
+    pairs = tables.write(all_choices(entries, asked, num, den, hint.line_bits), "pairs")
+    classes = tables.write(classes_of(lines, pairs.select(F.col("x").alias("v")).union(pairs.select("y")), set_bits), "near")
+    more = tables.write(lost_in_lists(pairs, classes, num, den).withColumn("lost", F.lit(True)), "losers")
+    tables.release("pairs", "near", "asked")
+    return losers.union(more).distinct()
+
+
+def removed_lines(docs: DataFrame, num: int = 80, den: int = 100, bits: int = 20, set_bits: int = 24, tile: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of the lines that go, from 0): one row per row of docs.
 
     Defined results: lines are parted by newline only, so null and empty texts have one empty line, which stays; null
     ids order last; equal ids are ordered by their place in the input; repeated rows each get a row, and the later
     one loses its lines; an empty table gives no rows; other columns are ignored."""
-    spark = docs.sparkSession
-    tables = Tables(spark, "lines")
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("text_hash", F.xxhash64("t"))
-    counts = spark.sparkContext.broadcast(count_tokens(base, bits))
+    tables = Tables(docs.sparkSession, "lines")
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     hint = hint_of(base)
-    lines = tables.write(line_rows(base, counts, bits, hint, num, den, tile), "rows")
+    lines = tables.write(line_rows(base, hint), "rows", compression="zstd")
+    lost = lost_classes(lines, base, hint, tables, num, den, bits, set_bits, tile)
+    full = lines.filter("n > 0")
     order = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("row").alias("r"), F.col("line").alias("l"))
-    classes = lines.filter("n > 0").groupBy("sa", "sb").agg(F.min(F.struct(order.alias("at"), F.col("text_hash").alias("h"))).alias("first"), F.count("*").alias("copies"))
-    classes = tables.write(classes.select("sa", "sb", F.col("first.at").alias("at"), F.col("first.h").alias("text_hash"), "copies"), "classes")
-
-    def decide(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The classes in pairs with their first lines, and those that an earlier class is similar to."""
-        members = tables.write(pairs.select(F.col("x").alias("v")).union(pairs.select("y")).distinct(), "members")
-        wanted = tables.write(wanted_classes(classes, members, set_bits), "wanted")
-        texts = tables.write(fetch(base, wanted, set_bits).select("sa", "sb", "d", "r", "l", "text"), "texts")
-        losers = tables.write(verify(pairs, texts, num, den).withColumn("lost", F.lit(True)), "losers")
-        tables.release("members", "texts")
-        return wanted, losers
-
-    found = tables.write(joined(entries_of(lines), num, den, hint.line_bits, most), "pairs")
-    wanted, losers = decide(found.filter("y is not null").select("x", "y", "k"))
-    agrees = F.shiftright("hint", hint.line_bits) == hint.part(F.col("d"))
-    opened = found.filter("y is null").select(F.col("x").alias("sa"), "open", "hint")
-    still = opened.join(wanted.select("sa", "sb", "d"), "sa").join(losers, ["sa", "sb"], "left").filter(F.col("lost").isNull() | ~agrees)
-    still = tables.write(still.select("sa", "open").distinct(), "open")
-    tables.release("pairs", "wanted")
-    if not still.isEmpty():
-        rest = tables.write(joined(open_entries(lines, still, set_bits), num, den, hint.line_bits, most).select("x", "y", "k"), "pairs")
-        losers = losers.union(decide(rest)[1]).distinct()
-        tables.release("pairs", "wanted")
+    first = full.groupBy("ca", "cb").agg(F.min(order).alias("at"), F.count("*").alias("copies"))
+    fate = first.join(lost.select(F.col("sa").alias("ca"), F.col("sb").alias("cb"), "lost"), ["ca", "cb"], "left").filter("lost or copies > 1")
     # Classes of one line that lose nothing need no look at their lines.
-    fate = classes.join(losers, ["sa", "sb"], "left").filter("lost or copies > 1").select("sa", "sb", "at", F.coalesce("lost", F.lit(False)).alias("lost"))
-    gone = lines.filter("n > 0").select("row", "doc_id", "line", "sa", "sb").join(fate, ["sa", "sb"]).filter(F.col("lost") | (F.col("row") != F.col("at.r")) | (F.col("line") != F.col("at.l"))).select("row", "line")
+    gone = full.select("row", "line", "ca", "cb").join(fate, ["ca", "cb"]).filter(F.coalesce("lost", F.lit(False)) | (F.col("row") != F.col("at.r")) | (F.col("line") != F.col("at.l"))).select("row", "line")
     per_row = gone.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     sizes = lines.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_lines"))
     out = sizes.join(per_row, "row", "left")

@@ -173,7 +173,7 @@ def test_line_dedup(spark, tile):
 
 @pytest.mark.parametrize("most,tile", [(1, 20_000), (2, 9), (4, 20_000)])
 def test_line_dedup_families(spark, most, tile):
-    """Families of near-equal lines in which a line's likeliest pairs often fail: open lists, equal hints, ids in any order."""
+    """Families of near-equal lines in which a line's likeliest pair often fails: open lists, equal hints, ids in any order."""
     from corvane.llm.line_dedup import removed_lines
 
     r = random.Random(most)
@@ -186,7 +186,7 @@ def test_line_dedup_families(spark, most, tile):
 
     ids = r.sample(range(-50, 200), 60)
     rows = [(d, "\n".join(near() for _ in range(r.randrange(1, 7)))) for d in ids] + [(None, near()), (1 << 62, near() + "\n" + near())]
-    out = {x["doc_id"]: x["removed"] for x in removed_lines(frame(spark, rows).repartition(5), tile=tile, most=most).collect()}
+    out = {x["doc_id"]: x["removed"] for x in removed_lines(frame(spark, rows).repartition(5), tile=tile).collect()}
     seen = []
     for d, t in sorted(rows, key=lambda x: (x[0] is None, x[0])):
         want = []
@@ -198,6 +198,39 @@ def test_line_dedup_families(spark, most, tile):
         assert out[d] == want
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_structured_words(spark):
+    """Long words that differ in structure only are different words: lines, shingle sets and word hashes."""
+    from corvane.llm.line_dedup import removed_lines
+    from corvane.llm.minhash import minhash_dedup
+    from corvane.llm.words import buffers, bounds, hashes, SPACE
+    import pyarrow as pa
+
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    assert {r["doc_id"]: r["n_removed"] for r in removed_lines(frame(spark, [(1, x), (2, y), (3, x)])).collect()} == {1: 0, 2: 0, 3: 1}
+    text = " ".join([x, y, x, y, y, x, x])
+    out = minhash_dedup(frame(spark, [(1, text)]), k=3, num=85, den=100, bands=24, rows=6).collect()
+    assert out[0]["n_shingles"] == 5
+    words = [thue_morse(n, "a", "b") for n in range(1, 700)] + [thue_morse(n, "b", "a") for n in range(1, 700)] + ["A" * n for n in range(2, 30)]
+    data, off = buffers(pa.array([" ".join(words)]))
+    s, e = bounds(data, off, SPACE)
+    assert len(set(hashes(data, s, e).tolist())) == len({w.lower() for w in words})
+    assert (hashes(data, s, e) == np.concatenate([hashes(data, s[k : k + 1], e[k : k + 1]) for k in range(len(s))])).all()
+
+
+def test_line_dedup_long_and_odd(spark):
+    """A line of very many words, a word of very many letters, lines that end in white space, carriage returns."""
+    from corvane.llm.line_dedup import removed_lines
+
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, long), (2, long + " more"), (3, "z" * 100_000 + "\n" + "z" * 100_001), (4, "a b c d e \r"), (5, "\ta b c d e\n\n"), (6, "a b c d e f\v")]
+    out = {r["doc_id"]: r["removed"] for r in removed_lines(frame(spark, rows)).collect()}
+    assert out == {1: [], 2: [0], 3: [], 4: [], 5: [0], 6: [0]}
+
+
 # --- 5
 
 def test_html(spark):
