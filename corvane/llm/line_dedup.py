@@ -10,7 +10,7 @@ by (doc_id, line number), has a Jaccard similarity of `num / den` or more with i
 3. Prefix filter: a line of n tokens lists itself under its n - ceil(t n) + 1 rarest; tokens of count 1 list nothing.
    Entries travel packed, some hundred in a row. Within a token's list, sorted by length, a pair stays if it passes the
    length filter (n_x >= t n_y), the positional filter (what is left after the token can reach the needed overlap) and
-   the bitmap filter (64-bit parities of the sets differ in no more bits than the sets may differ in tokens). A token
+   the bitmap filter (128-bit parities of the sets differ in no more bits than the sets may differ in tokens). A token
    whose count is large has its list dealt over tiles.
 4. One earlier similar line is enough for a line to go. So a pair belongs to its later line, and a list gives each line
    its likeliest pair only (least apart, then earliest) and says whether there are others. n near-equal lines make n
@@ -46,8 +46,8 @@ LINES = ["row", "doc_id", "line", "n", "ca", "cb", "hint", "text"]
 #: doesn't fit is given as less, which lets more pairs stay; a line whose size doesn't fit passes every filter.
 SIZE_BITS, PLACE_BITS = 20, 12
 HUGE = (1 << SIZE_BITS) - 1
-#: What an entry holds: its key, its line's class, the parity of the line's tokens, the line's hint.
-ENTRY = np.dtype([("k", "<i8"), ("sa", "<i8"), ("image", "<u8"), ("hint", "<u4")])
+#: What an entry holds: its key, its line's class, parities of the line's tokens (128 bits), the line's hint.
+ENTRY = np.dtype([("k", "<i8"), ("sa", "<i8"), ("image_a", "<u8"), ("image_b", "<u8"), ("hint", "<u4")])
 #: Stands for a null id, which orders last.
 LAST = (1 << 63) - 1
 
@@ -247,11 +247,13 @@ def packed_entries(lines: DataFrame, counts, bits: int, num: int, den: int, tile
                 sa, hint = b.column(0).to_numpy(), b.column(1).to_numpy()
                 n = np.bincount(line, minlength=len(b))
                 first = np.concatenate([[0], np.cumsum(n)])
-                bit = np.uint64(1) << (mix(h + np.uint64(3)) >> np.uint64(58))
-                image = np.zeros(len(b), np.uint64)
+                spot = mix(h + np.uint64(3)) >> np.uint64(57)
+                bit = np.uint64(1) << (spot & np.uint64(63))
+                images = np.zeros((2, len(b)), np.uint64)
                 full = np.flatnonzero(n)
                 if len(full):
-                    image[full] = np.bitwise_xor.reduceat(bit, first[full])
+                    for image, half in zip(images, (spot < 64, spot > 63)):
+                        image[full] = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), first[full])
                 order = by_line(h, rarity_of(count), line)
                 h, count = h[order], count[order]
                 place = np.arange(len(h)) - first[line]
@@ -264,7 +266,7 @@ def packed_entries(lines: DataFrame, counts, bits: int, num: int, den: int, tile
                     ok = in_set(lists.value, set_bits, mix((keys >> 32).view(np.uint64)))
                     keys, own = keys[ok], own[ok]
                 x = np.empty(len(keys), ENTRY)
-                x["k"], x["sa"], x["image"], x["hint"] = keys, sa[own], image[own], hint[own]
+                x["k"], x["sa"], x["image_a"], x["image_b"], x["hint"] = keys, sa[own], images[0][own], images[1][own], hint[own]
                 held.append(x)
                 size += len(x)
                 if size > held_most:
@@ -281,7 +283,7 @@ def pairs_in_lists(x: np.ndarray, num: int, den: int, line_bits: int) -> Iterato
     n = ((x["k"] >> PLACE_BITS) & HUGE).astype(np.int32)
     left = n - (x["k"] & ((1 << PLACE_BITS) - 1)).astype(np.int32)
     name = (x["k"] >> 32).astype(np.int32)
-    part, image, sa = x["hint"] >> np.uint32(line_bits), x["image"], x["sa"]
+    part, image_a, image_b, sa = (np.ascontiguousarray(c) for c in (x["hint"] >> np.uint32(line_bits), x["image_a"], x["image_b"], x["sa"]))
     i, d = np.arange(len(x)), 1
     while True:
         i = i[: np.searchsorted(i, len(x) - d)]
@@ -295,7 +297,7 @@ def pairs_in_lists(x: np.ndarray, num: int, den: int, line_bits: int) -> Iterato
         need = needed(ni, nj, num, den)
         ok = np.flatnonzero((np.minimum(left[i], left[j]) >= need) | (nj == HUGE))
         a, b, nj = i[ok], j[ok], nj[ok]
-        apart = np.bitwise_count(image[a] ^ image[b])
+        apart = np.bitwise_count(image_a[a] ^ image_a[b]) + np.bitwise_count(image_b[a] ^ image_b[b])
         ok = ((apart <= ni[ok] + nj - 2 * need[ok]) | (nj == HUGE)) & (sa[a] != sa[b])
         a, b, apart = a[ok], b[ok], apart[ok].astype(np.int64)
         if len(a):
@@ -324,9 +326,9 @@ def in_buckets(entries: DataFrame, solve, kind: str) -> DataFrame:
     def whole(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         if held:
             x = np.frombuffer(b"".join(held), ENTRY)
-            x = x[np.lexsort((x["hint"], x["image"], x["sa"], x["k"]))]
+            x = x[np.lexsort((x["hint"], x["image_a"], x["sa"], x["k"]))]
             same = np.ones(len(x), bool)
-            same[1:] = (x["k"][1:] != x["k"][:-1]) | (x["sa"][1:] != x["sa"][:-1]) | (x["image"][1:] != x["image"][:-1])
+            same[1:] = (x["k"][1:] != x["k"][:-1]) | (x["sa"][1:] != x["sa"][:-1]) | (x["image_a"][1:] != x["image_a"][:-1])
             yield from solve(x[same])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
