@@ -70,15 +70,13 @@ def lines_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc, number, start, end, s, e, first[own] + np.searchsorted(cuts, s) - before[own]
 
 
-def distinct_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, start, end, line) of each line's distinct words, by line, then hash. Words are told apart by their hash."""
-    h = hashes(data, s, e)
-    order = by_line(h, np.zeros(len(h), np.uint64), line)
-    h, line = h[order], line[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    order = order[keep]
-    return h[keep], s[order], e[order], line[keep]
+def distinct_words(h: np.ndarray, line: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Which words are the distinct ones of each line, by line, then rarity, then hash. Words are told apart by their hash."""
+    order = by_line(h, rarity, line)
+    x, at = h[order], line[order]
+    keep = np.ones(len(x), bool)
+    keep[1:] = (x[1:] != x[:-1]) | (at[1:] != at[:-1])
+    return order[keep]
 
 
 def joined_words(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -196,9 +194,9 @@ def line_rows(docs: DataFrame, hint: Hint, seen_most: int = 200_000) -> DataFram
             for b in slices(whole, 2, 2_000_000):
                 data, off = buffers(b.column(2))
                 doc, number, start, end, s, e, line = lines_of(data, off)
-                _, s, e, line = distinct_words(data, s, e, line)
-                n = np.bincount(line, minlength=len(doc))
-                words, at = joined_words(data, s, e)
+                own = distinct_words(hashes(data, s, e), line, np.zeros(len(s), np.uint64))
+                n = np.bincount(line[own], minlength=len(doc))
+                words, at = joined_words(data, s[own], e[own])
                 ends = np.concatenate([[0], at])[np.cumsum(n)].tolist()
                 names, texts, raw, lo = bytearray(), [], data.tobytes(), 0
                 for z, a, c in zip(ends, start.tolist(), end.tolist()):
@@ -242,8 +240,14 @@ def packed_entries(lines: DataFrame, counts, bits: int, num: int, den: int, tile
             for b in slices(whole, 2, 2_000_000):
                 data, off = buffers(b.column(2))
                 s, e = bounds(data, off, SPACE)
-                h, _, _, line = distinct_words(data, s, e, np.searchsorted(off[1:], s, side="right"))
+                h, line = hashes(data, s, e), np.searchsorted(off[1:], s, side="right")
                 count = rare[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
+                if lists is not None:  # only lines with a word that may name one of the lists
+                    hit = np.zeros(len(b), bool)
+                    hit[line[in_set(lists.value, set_bits, mix((h.view(np.int64) >> 32).view(np.uint64))) | (count > tile)]] = True
+                    h, line, count = h[hit[line]], line[hit[line]], count[hit[line]]
+                own = distinct_words(h, line, rarity_of(count))
+                h, line, count = h[own], line[own], count[own]
                 sa, hint = b.column(0).to_numpy(), b.column(1).to_numpy()
                 n = np.bincount(line, minlength=len(b))
                 first = np.concatenate([[0], np.cumsum(n)])
@@ -254,8 +258,6 @@ def packed_entries(lines: DataFrame, counts, bits: int, num: int, den: int, tile
                 if len(full):
                     for image, half in zip(images, (spot < 64, spot > 63)):
                         image[full] = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), first[full])
-                order = by_line(h, rarity_of(count), line)
-                h, count = h[order], count[order]
                 place = np.arange(len(h)) - first[line]
                 prefix = n - (num * n + den - 1) // den + 1
                 listed = np.flatnonzero((place < prefix[line]) & (count > 1))
@@ -319,6 +321,14 @@ def likeliest(x: np.ndarray, num: int, den: int, line_bits: int) -> tuple[np.nda
     return z, at[z], best[z], times[z] > 1
 
 
+def one_each(x: np.ndarray) -> np.ndarray:
+    """One entry of each class in a list, of those that tasks have listed, with the least hint; sorted by key."""
+    x = x[np.lexsort((x["hint"], x["image_a"], x["sa"], x["k"]))]
+    new = np.ones(len(x), bool)
+    new[1:] = (x["k"][1:] != x["k"][:-1]) | (x["sa"][1:] != x["sa"][:-1]) | (x["image_a"][1:] != x["image_a"][:-1])
+    return x[new]
+
+
 def in_buckets(entries: DataFrame, solve, kind: str) -> DataFrame:
     """solve(entries of a bucket, sorted by key, one per list and class) for each bucket, which comes whole to one task."""
     dealt = entries.repartition(slots(entries.sparkSession), "bucket").sortWithinPartitions("bucket")
@@ -326,10 +336,8 @@ def in_buckets(entries: DataFrame, solve, kind: str) -> DataFrame:
     def whole(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         if held:
             x = np.frombuffer(b"".join(held), ENTRY)
-            x = x[np.lexsort((x["hint"], x["image_a"], x["sa"], x["k"]))]
-            same = np.ones(len(x), bool)
-            same[1:] = (x["k"][1:] != x["k"][:-1]) | (x["sa"][1:] != x["sa"][:-1]) | (x["image_a"][1:] != x["image_a"][:-1])
-            yield from solve(x[same])
+            x = x[np.argsort(x["k"], kind="stable")]
+            yield from solve(x if (x["k"][1:] != x["k"][:-1]).all() else one_each(x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -356,7 +364,8 @@ def first_choices(entries: DataFrame, num: int, den: int, line_bits: int) -> Dat
 
 
 def all_choices(entries: DataFrame, asked: DataFrame, num: int, den: int, line_bits: int, held_most: int = 500_000) -> DataFrame:
-    """(x, y, k): all pairs of the asked (list, z), each with the least list that it was found in."""
+    """(x, y, k): all pairs of the asked (list, z), each in the least list that it was found in, of which k is one of
+    16 parts, so that a long list isn't one task's."""
     buckets = 16 * slots(entries.sparkSession)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +403,7 @@ def all_choices(entries: DataFrame, asked: DataFrame, num: int, den: int, line_b
             yield given()
 
     questions = asked.select("list", "z").mapInArrow(ask, "bucket int, entries binary")
-    return in_buckets(entries.union(questions), solve, "x long, y long, k long").groupBy("x", "y").agg(F.min("k").alias("k"))
+    return in_buckets(entries.union(questions), solve, "x long, y long, k long").groupBy("x", "y").agg(F.min("k").alias("k")).withColumn("k", F.shiftleft("k", 4) + F.expr("pmod(xxhash64(x), 16)"))
 
 
 def classes_of(lines: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:

@@ -4,11 +4,14 @@
 2. A class's set of k-word shingles gives a signature of `bands * rows` minhashes, one pass over the texts.
 3. Classes that agree in a whole band are candidates. Of a band's bucket each member is first paired with the
    bucket's least class only, its star. In buckets that this leaves in several components, the members outside the
-   star's are then compared with all others in tiles of bounded size, each of which returns only links that join
-   components. So no link between components is missed, and n near copies cost n rows, not n * n.
+   star's are then compared with all others in tiles of bounded size: first the signatures alone, which says whose
+   texts are needed, then those texts; a tile returns only links that join components. So no link between components
+   is missed, and n near copies cost n rows, not n * n.
 4. Candidates' signatures are compared batch by batch. With a uniform prior the similarity's posterior after n hashes,
    m of them equal, is Beta(m + 1, n - m + 1); a pair goes as soon as P(similarity >= t) < miss.
-5. Survivors are verified on the whole shingle sets, of strings and not of hashes.
+5. Survivors are verified on the whole shingle sets, of strings and not of hashes. Only the texts of classes in
+   question are fetched: by a broadcast of their names while these are few (counted), beyond that a bit set of fixed
+   size drops most other texts before the shuffle.
 6. Components by label propagation; the classes' documents take their component.
 
 Of pairs at the threshold, 1 - (1 - t**rows)**bands become candidates: 0.99999 for t = 0.85 with 24 bands of 6."""
@@ -23,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Tables, slots
+from corvane.llm.common import Tables, bit_set, keep_in_set, slots
 from corvane.llm.graph import components
 from corvane.llm.words import shingles, slices, word_hashes
 
+#: A signature has 16 bits of each minhash: two that differ agree in them once in 65,536 times, which prunes no pair.
+SIG = np.dtype("<u2")
+
+
 def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(20240229).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -35,7 +42,7 @@ def signature(x: np.ndarray, mult: np.ndarray) -> np.ndarray:
     low = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(x), 512):
         np.minimum(low, (x[k : k + 512, None] * mult).min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype("<u4")
+    return (low >> np.uint64(48)).astype(SIG)
 
 
 def signatures(base: DataFrame, k: int, n_hashes: int) -> DataFrame:
@@ -74,7 +81,7 @@ def bayes_filter(pairs: DataFrame, t: float, miss: float, n_hashes: int, batch:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), "<u4").reshape(-1, n_hashes) for c in (2, 3))
+            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), SIG).reshape(-1, n_hashes) for c in (2, 3))
             alive, same = np.arange(len(a)), np.zeros(len(a), np.int64)
             for n, least in rule:
                 same = same + (a[alive, n - batch : n] == b[alive, n - batch : n]).sum(axis=1)
@@ -109,9 +116,15 @@ def exact_filter(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def text_of(base: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
-    """(c, text) of the needed classes, one row each."""
-    return base.join(classes.select("cls", "c").join(needed, "c"), "cls").groupBy("c").agg(F.first("text").alias("text"))
+def text_of(base: DataFrame, classes: DataFrame, needed: DataFrame, few: int = 500_000, bits: int = 24) -> DataFrame:
+    """(c, text) of the needed classes (c), one row each."""
+    named = classes.join(needed, "c").select("cls", "c", F.xxhash64("cls").alias("h"))
+    texts = base.select("cls", "text")
+    if needed.count() <= few:  # 48 bytes each
+        got = texts.join(F.broadcast(named.drop("h")), "cls")
+    else:
+        got = keep_in_set(texts.withColumn("h", F.xxhash64("cls")), "h", bit_set(named, "h", bits), bits).drop("h").join(named.drop("h"), "cls")
+    return got.groupBy("c").agg(F.first("text").alias("text"))
 
 
 def tiles(labelled: DataFrame, queries: int = 512, targets: int = 1024) -> DataFrame:
@@ -128,18 +141,43 @@ def tiles(labelled: DataFrame, queries: int = 512, targets: int = 1024) -> DataF
     return q.union(left.withColumn("j", F.expr("cast(pmod(xxhash64(c), nj) as int)")).withColumn("i", F.explode(F.expr("sequence(0, ni - 1)"))).withColumn("query", F.lit(False)).select(cols))
 
 
-def compare(rows: list[dict], k: int, num: int, den: int, rule: list[tuple[int, int]], n_hashes: int, bands: int, width: int) -> list[tuple[int, int]]:
-    """Links of one tile that join components: for each query the targets of other components, likeliest first."""
-    qs, ts = [r for r in rows if r["query"]], [r for r in rows if not r["query"]]
-    if not qs or not ts:
-        return []
-    batch = rule[0][0]
-    sig = np.frombuffer(b"".join(r["sig"] for r in ts), "<u4").reshape(-1, n_hashes)
-    ids, inner = np.array([r["c"] for r in ts]), np.array([r["inner"] for r in ts])
-    least = np.array([m for _, m in rule])
+class Tile:
+    """The queries and targets of one tile."""
+
+    def __init__(self, rows: list[dict], rule: list[tuple[int, int]], n_hashes: int, bands: int, width: int):
+        self.queries, self.targets = [r for r in rows if r["query"]], [r for r in rows if not r["query"]]
+        self.sig = np.frombuffer(b"".join(r["sig"] for r in self.targets), SIG).reshape(-1, n_hashes)
+        self.ids, self.inner, self.comp = (np.array([r[c] for r in self.targets]) for c in ("c", "inner", "comp"))
+        self.least, self.batch, self.bands, self.width = np.array([m for _, m in rule]), rule[0][0], bands, width
+
+    def likely(self, q: dict) -> np.ndarray:
+        """The targets of other components that no batch of hashes prunes, likeliest first."""
+        if not len(self.targets):
+            return np.zeros(0, np.int64)
+        same = self.sig == np.frombuffer(q["sig"], SIG)
+        counts = same.reshape(len(same), -1, self.batch).sum(axis=2).cumsum(axis=1)
+        here = same[:, : self.bands * self.width].reshape(len(same), self.bands, self.width).all(axis=2).argmax(axis=1) == q["band"]  # a pair meets in its first common band only
+        ok = np.flatnonzero((counts >= self.least).all(axis=1) & here & (self.ids != q["c"]) & (self.comp != q["comp"]) & (self.inner | (self.ids > q["c"])))
+        return ok[np.argsort(-counts[ok, -1], kind="stable")]
+
+
+def in_question(tile: Tile) -> list[dict]:
+    """The members of a tile that have a likely partner."""
+    asked, met = [], set()
+    for q in tile.queries:
+        likely = tile.likely(q)
+        if len(likely):
+            asked.append(q)
+            met.update(likely.tolist())
+    return asked + [tile.targets[i] for i in sorted(met)]
+
+
+def joining_links(tile: Tile, k: int, num: int, den: int, sets_most: int = 8_000_000) -> list[tuple[int, int]]:
+    """Links of a tile that join components. Sets of hashes find them, at most `sets_most` kept at a time; each link is
+    verified on the words."""
     parent: dict[int, int] = {}
     sets: dict[int, np.ndarray] = {}
-    out = []
+    out, size = [], 0
 
     def root(x: int) -> int:
         while parent.get(x, x) != x:
@@ -147,49 +185,79 @@ def compare(rows: list[dict], k: int, num: int, den: int, rule: list[tuple[int,
         return x
 
     def shingle_set(r: dict) -> np.ndarray:
+        nonlocal size
         if r["c"] not in sets:
+            if size > sets_most:
+                sets.clear()
+                size = 0
             h, _ = word_hashes(pa.array([r["text"]]))
             sets[r["c"]] = shingles(h, k)
+            size += len(sets[r["c"]])
         return sets[r["c"]]
 
-    for q in qs:
-        same = sig == np.frombuffer(q["sig"], "<u4")
-        counts = same.reshape(len(ts), -1, batch).sum(axis=2).cumsum(axis=1)
-        here = same[:, : bands * width].reshape(len(ts), bands, width).all(axis=2).argmax(axis=1) == q["band"]  # a pair meets in its first common band only
-        ok = np.flatnonzero((counts >= least).all(axis=1) & here & (ids != q["c"]) & (inner | (ids > q["c"])))
-        for i in ok[np.argsort(-counts[ok, -1], kind="stable")].tolist():
-            x, y = root(q["comp"]), root(ts[i]["comp"])
+    for q in tile.queries:
+        for i in tile.likely(q).tolist():
+            t = tile.targets[i]
+            x, y = root(q["comp"]), root(t["comp"])
             if x == y:
                 continue
-            a, b = shingle_set(q), shingle_set(ts[i])
+            a, b = shingle_set(q), shingle_set(t)
             if den * min(len(a), len(b)) < num * max(len(a), len(b)):
                 continue
             both = len(np.intersect1d(a, b, assume_unique=True))
-            if den * both >= num * (len(a) + len(b) - both):
+            if den * both >= num * (len(a) + len(b) - both) and similar(q["text"], t["text"], k, num, den):
                 parent[max(x, y)] = min(x, y)
-                out.append((min(q["c"], ts[i]["c"]), max(q["c"], ts[i]["c"])))
+                out.append((min(q["c"], t["c"]), max(q["c"], t["c"])))
     return out
 
 
-def tile_links(members: DataFrame, k: int, num: int, den: int, t: float, miss: float, n_hashes: int, bands: int, width: int) -> DataFrame:
-    """(a, b): links between components, at most one fewer than a tile has components."""
-    rule = least_matches(t, miss, n_hashes, 16)
+def similar(a: str, b: str, k: int, num: int, den: int) -> bool:
+    s, t = word_set(a, k), word_set(b, k)
+    both = len(s & t)
+    return bool(both) and den * both >= num * (len(s) + len(t) - both)
+
+
+def over_tiles(members: DataFrame, solve, kind: str) -> DataFrame:
+    """solve(rows of a tile, as dicts) -> a batch, for each tile; a tile comes whole to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for x in batches:
-            found = []
-            for r in x.to_pylist():
-                tile = (r["key"], r["i"], r["j"])
-                if tile != at:
-                    found += compare(held, k, num, den, rule, n_hashes, bands, width)
-                    held, at = [], tile
-                held.append(r)
-            yield links_batch(found)
-        yield links_batch(compare(held, k, num, den, rule, n_hashes, bands, width))
+            for part in slices(x, x.schema.get_field_index("text")) if "text" in x.schema.names else (x,):
+                for r in part.to_pylist():
+                    tile = (r["key"], r["i"], r["j"])
+                    if tile != at:
+                        if held:
+                            yield solve(held)
+                        held, at = [], tile
+                    held.append(r)
+        if held:
+            yield solve(held)
 
     dealt = members.repartition(slots(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, kind)
+
+
+TILE = "key long, band int, i int, j int, query boolean, c long, comp long, inner boolean"
+
+
+def tile_links(tiled: DataFrame, sig_of: DataFrame, texts_of, tables: Tables, k: int, num: int, den: int, t: float, miss: float, n_hashes: int, bands: int, width: int) -> DataFrame:
+    """(a, b): links between components, at most one fewer than a tile has components. texts_of(classes) -> (c, text)."""
+    rule = least_matches(t, miss, n_hashes, 16)
+    names = [x.split(" ")[0] for x in TILE.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[x.split(" ")[1]] for x in TILE.split(", ")]
+
+    def members(rows: list[dict]) -> pa.RecordBatch:
+        some = in_question(Tile(rows, rule, n_hashes, bands, width))
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in some], x) for c, x in zip(names, types)], names=names)
+
+    def links(rows: list[dict]) -> pa.RecordBatch:
+        return links_batch(joining_links(Tile(rows, rule, n_hashes, bands, width), k, num, den))
+
+    some = tables.write(over_tiles(tiled.select(*names).join(sig_of, "c"), members, TILE), "in-question")
+    if some.isEmpty():
+        return some.select(F.col("c").alias("a"), F.col("c").alias("b"))
+    return over_tiles(some.join(sig_of.join(texts_of(some.select("c").distinct()), "c"), "c"), links, "a long, b long")
 
 
 def links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -208,7 +276,7 @@ def linked_classes(docs: DataFrame, tables: Tables, k: int = 5, num: int = 80, d
     reps = sigs.groupBy("cls").agg(F.min("doc_id").alias("least_doc"), first_row, F.min("n_shingles").alias("n_shingles"), F.min("sig").alias("sig"))
     reps = tables.write(reps.withColumn("c", F.monotonically_increasing_id()), "classes")
     sets = reps.filter("sig is not null")
-    band = F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {4 * rows} + 1, {4 * rows})))")
+    band = F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {SIG.itemsize * rows} + 1, {SIG.itemsize * rows})))")
     keys = sets.select("c", F.posexplode(band).alias("band", "key"))
     buckets = tables.write(keys.groupBy("key").agg(F.min("c").alias("star"), F.count("*").alias("n")).filter("n > 1").select("key", "star"), "buckets")
     members = tables.write(keys.join(buckets, "key").select("key", "band", "star", "c"), "members")
@@ -229,11 +297,10 @@ def linked_classes(docs: DataFrame, tables: Tables, k: int = 5, num: int = 80, d
     comp = components(first, tables, "near1")
     labelled = tables.write(members.join(comp.select(F.col("node").alias("c"), "comp"), "c", "left").select("key", "band", "c", F.coalesce("comp", "c").alias("comp"), "star"), "labelled")
     tiled = tables.write(tiles(labelled), "tiles")
-    texts = tables.write(text_of(base, reps, tiled.select("c").distinct()), "tile-texts")
-    found = tile_links(tiled.join(sig_of.join(texts, "c"), "c"), k, num, den, t, miss, n_hashes, bands, rows)
-    second = confirmed(tables.write(found.distinct(), "found"), "tile")
+    found = tile_links(tiled, sig_of, lambda needed: tables.write(text_of(base, reps, needed), "tile-texts"), tables, k, num, den, t, miss, n_hashes, bands, rows)
+    second = tables.write(found.distinct(), "found")
     comp = tables.write(components(first.union(second), tables, "near2"), "components")
-    tables.release("members", "stars", "alive", "tiles", "tile-texts", "found", "buckets", "labelled")
+    tables.release("members", "stars", "alive", "tiles", "tile-texts", "found", "buckets", "labelled", "in-question")
     return sigs, reps, comp
 
 
