@@ -17,6 +17,7 @@ square of a label's distinct vectors, in independent tiles; rows shuffled grow w
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import comb, erf, sqrt
 
 import numpy as np
@@ -28,6 +29,7 @@ from corvane.llm.common import Tables, slots
 from corvane.llm.graph import components
 
 
+@lru_cache(maxsize=4)
 def directions(dim: int, m: int) -> np.ndarray:
     return np.random.default_rng([77, dim]).standard_normal((dim, m))
 
@@ -65,8 +67,14 @@ def collisions(q: np.ndarray, t: np.ndarray, width: float) -> np.ndarray:
     return counts
 
 
+def moderate(v: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two, which rounds nothing, so that their largest component lies in [0.5, 1)."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def tile_links(q: dict, t: dict, same: bool, threshold: float, m: int, width: float, least: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Link weights of the queries and the targets, and links that span the tile's components."""
+    q, t = ({**x, "v": moderate(x["v"])} for x in (q, t))  # squares neither overflow nor vanish
     qn, tn = (np.sqrt((x["v"] ** 2).sum(axis=1)) for x in (q, t))
     way = directions(q["v"].shape[1], m)
     counts = collisions((q["v"] / qn[:, None]) @ way, (t["v"] / tn[:, None]) @ way, width)
@@ -112,8 +120,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, m: int = 24, width
         for b in batches:
             cells = []
             for v in b.column(1).to_pylist():
-                x = np.array(v)
-                x = x / np.abs(x).max()  # no overflow in the square
+                x = moderate(np.array([v]))[0]
                 cells.append(int(np.floor(x @ directions(len(x), m)[:, 0] / np.sqrt((x * x).sum()) / step)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.int32())], names=[*b.schema.names, "cell"])
 

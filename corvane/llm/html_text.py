@@ -36,11 +36,24 @@ CLOSES_P = BLOCK - {"br", "body", "html"}
 #: Subtrees that may be template. Headings, paragraphs and quotations of an article may recur without being template.
 BOXES = frozenset("nav header footer aside form menu dialog div section ul ol dl table figure address details".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
-MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|masthead|header|footer|comments?|respond|notice|cookies?|consent|gdpr|popup|modal|newsletter|subscribe|social|share|sharing|related|toolbar|pagination|complementary|contentinfo)(?:$|[\s_-])", re.I)
+#: Words that, as a class, id or role or as its last part ("site-header"), mark what is no main text.
+MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar masthead header footer comment comments respond notice cookie cookies consent gdpr popup modal newsletter subscribe social share sharing related toolbar pagination complementary contentinfo".split())
+#: What may follow such a word ("comment-list"), and what before it says that the element isn't one itself ("has-sidebar").
+BOX_WORDS = frozenset("area bar block body box buttons container content form footer header icons inner item items left link links list main menu nav overlay panel primary right row secondary section slot thread top unit widget wrap wrapper".split())
+NOT_ITSELF = frozenset("has hide hides no not show shows with without".split())
 ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+def is_mark(value: str) -> bool:
+    """Whether one of an attribute's names, taken whole, marks what is no main text."""
+    for name in value.lower().split():
+        parts = [x for x in re.split("[-_]+", name) if x]
+        if parts and parts[0] not in NOT_ITSELF and (parts[-1] in MARKS or parts[0] in MARKS and parts[-1] in BOX_WORDS):
+            return True
+    return False
+
+
 class Element:
     __slots__ = ("tag", "start", "end", "junk", "in_main")
 
@@ -90,8 +103,8 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, int, str]]]:
                 close(k, m.start())
         if name in VOID or m[3].endswith("/") and name in ("path", "circle", "rect", "use"):
             continue
-        marked = name not in ("html", "body", "article", "main") and any(MARK.search(x[0] or x[1] or x[2]) for x in ATTR.findall(m[3]))
-        if name == "article" and main and any(MARK.search(x[0] or x[1] or x[2]) for x in ATTR.findall(m[3])):
+        marked = name not in ("html", "body", "article", "main") and any(is_mark(x[0] or x[1] or x[2]) for x in ATTR.findall(m[3]))
+        if name == "article" and main and any(is_mark(x[0] or x[1] or x[2]) for x in ATTR.findall(m[3])):
             marked = True
         e = Element(name, m.start(), name in JUNK or marked, main > 0)
         elements.append(e)
@@ -104,9 +117,24 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, int, str]]]:
             if end:
                 tags.append((end.start(), end.end(), name))
     close(0, size)
+    lift(page, elements)
     return elements, tags
 
 
+def lift(page: str, elements: list[Element]) -> None:
+    """A form or a marked element that holds the whole main text is none to be cut: the page would be left without text."""
+    holders: list[Element] = []
+    for s, e in main_roots(page, elements):
+        around = [x for x in elements if x.junk and x.start < s and x.end >= e]
+        if not around or any(x.tag in JUNK and x.tag != "form" for x in around):
+            if not around:
+                return
+            continue
+        holders += around
+    for x in holders:
+        x.junk = False
+
+
 def key(page: str, e: Element) -> int:
     return xxhash.xxh3_64_intdigest(page[e.start : e.end].encode("utf-8", "surrogatepass")) - (1 << 63)
 

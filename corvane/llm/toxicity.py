@@ -84,10 +84,12 @@ def log_odds(doc: np.ndarray, feature: np.ndarray, toxic: np.ndarray, n: int) ->
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, bits: int, max_rows: int, id_col: str, text_col: str, target: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The grades or flags of the sample and each row's features. At most max_rows rows reach the driver."""
+    """The grades or flags of the sample and each row's features. At most max_rows rows reach the driver: of the rows
+    that repeat an id one stands for all, that whose text has the least hash."""
     rows = labels.select(F.col("doc_id").cast("long").alias("k"), F.col(target).cast("int").alias("y")).dropna().groupBy("k").agg(F.max("y").alias("y"))
     some = rows.orderBy(F.xxhash64("k"), "k").limit(max_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).join(F.broadcast(some), "k").select("k", "y", "t")
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).join(F.broadcast(some), "k")
+    texts = texts.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("least")).select("k", "y", "least.t")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,8 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 80
     return Ordinal(w, m.cuts)
 
 
-def score(docs: DataFrame, model: Ordinal, keep: list[str], text_col: str = "text", reject_at: float = 0.5) -> DataFrame:
-    """Columns `keep` of docs and expected_severity double, grade int (most likely), p_toxic double, toxic boolean."""
+FOUND = ["expected_severity", "grade", "p_toxic", "toxic"]
+
+
+def score(docs: DataFrame, model: Ordinal, keep: list[str], text_col: str = "text", reject_at: float = 0.5, prefix: str = "") -> DataFrame:
+    """Columns `keep` of docs and, their names behind `prefix`, expected_severity double, grade int (most likely),
+    p_toxic double, toxic boolean. Columns of docs with one of these four names are passed through as docs_<name>."""
     from pyspark.sql import types as T
 
     spark, bits = docs.sparkSession, int(np.log2(len(model.weights)))
@@ -149,13 +155,14 @@ def score(docs: DataFrame, model: Ordinal, keep: list[str], text_col: str = "tex
                 up = sigmoid(s[:, None] - cuts[None, :])
                 levels = np.column_stack([np.ones(len(b)), up, np.zeros(len(b))])
                 grade = np.argmax(levels[:, :-1] - levels[:, 1:], axis=1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(up.sum(axis=1)), pa.array(grade), pa.array(up[:, 0]), pa.array(up[:, 0] >= reject_at)], names=[*(f"k{i}" for i in range(n)), "expected_severity", "grade", "p_toxic", "toxic"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(up.sum(axis=1)), pa.array(grade), pa.array(up[:, 0]), pa.array(up[:, 0] >= reject_at)], names=[*(f"k{i}" for i in range(n)), *FOUND])
 
-    given = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    given = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     out = T.StructType([*fields, T.StructField("expected_severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
     scored = given.mapInArrow(run, out)
-    return scored.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "expected_severity", "grade", "p_toxic", "toxic")
+    taken = {f"{prefix}{c}".lower() for c in FOUND}
+    return scored.select(*(F.col(f"k{i}").alias(f"docs_{c}" if c.lower() in taken else c) for i, c in enumerate(keep)), *(F.col(c).alias(f"{prefix}{c}") for c in FOUND))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -163,5 +170,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
 
     Defined results: null and empty texts have no features and score grade 0 unless toxic rows are the rule; null
     ids and labels aren't trained on, of a repeated label the greatest counts; repeated rows are scored each; an
-    empty table gives no rows; `keep` names the columns passed through (the id by default)."""
+    empty table gives no rows; `keep` names the columns passed through (the id by default), those with a name of the
+    result as docs_<name>."""
     return score(docs, train(docs, labels, id_col=id_col, text_col=text_col, **options), keep or [id_col], text_col)

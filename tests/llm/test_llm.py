@@ -82,6 +82,26 @@ def test_toxicity_held_out(spark):
     no_rows(toxicity(frame(spark, []), lab))
 
 
+def test_toxicity_odd_rows(spark):
+    """Columns that clash with the result's, rows without an id, repeated labelled ids, a very long text."""
+    from corvane.llm.toxicity import sample_features, score, toxicity, train
+
+    rows = [(k, f"good words number {k}" if k % 5 else f"vileword crudeword {k}", "t", 5) for k in range(200)]
+    rows += [(None, "vileword crudeword", "t", 5), (None, None, None, None), (3, "another text of it", "t", 5), (300, "plain " * 200_000 + "vileword crudeword", "t", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic string, Grade int").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(150)], "doc_id long, toxic int")
+    out = toxicity(df, labels, keep=["doc_id", "toxic", "Grade"])
+    assert out.columns == ["doc_id", "docs_toxic", "docs_Grade", "expected_severity", "grade", "p_toxic", "toxic"]
+    got = out.collect()
+    assert len(got) == 204 and {r["docs_Grade"] for r in got} == {5, None} and [r["toxic"] for r in got if r["doc_id"] == 300] == [True]
+    assert sorted(r["toxic"] for r in got if r["doc_id"] is None) == [False, True]
+    assert all(r["toxic"] == (r["doc_id"] % 5 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 200)
+    y, x = sample_features(df, labels, 12, 40, "doc_id", "text", "toxic")
+    assert len(y) == len(x) == 40
+    kept = score(df, train(df, labels), df.columns, prefix="own_").filter("not own_toxic").select(df.columns)
+    assert kept.columns == df.columns and kept.count() == 162
+
+
 def test_ordinal_thresholds_are_ordered():
     from corvane.llm.toxicity import fit
 
@@ -143,6 +163,8 @@ def test_near_vectors(spark):
     want = sorted((rows[k][0] if rows[k][0] is not None else -1, int(n[k]), low(root[k])) for k in range(len(rows)))
     got = sorted((x["vec_id"] if x["vec_id"] is not None else -1, x["n_links"], x["component_id"]) for x in out)
     assert len(links) > 100 and got == want
+    far = spark.createDataFrame([(k, [s * x for x in (3.0, 4.0, k * 1e-3)], 1) for k, s in enumerate((1e200, 1e-200, 1.0, 1e300))], "vec_id long, embedding array<double>, label int")
+    assert {r["component_id"] for r in near_vectors(far).collect()} == {0} and {r["n_links"] for r in near_vectors(far).collect()} == {3}
     no_rows(near_vectors(df.limit(0)))
 
 
@@ -245,6 +267,14 @@ def test_html(spark):
         "<article>open <div>never closed": "open never closed",
         "": "",
     }
+    cases |= {
+        '<body><div class="content has-sidebar"><article><p>a</p></article><div class="sidebar-left">s</div></div>': "a",
+        '<body><div class="page-wrapper no-sidebar" id="social-history"><main>b</main></div>': "b",
+        '<body><form id="aspnetForm"><div class="site-header">h</div><main>c</main></form>': "c",
+        '<body><div class="banner"><article>d</article></div><aside><article>teaser</article></aside>': "d",
+        '<body><div class="comment-list">x</div><div id="main-nav">y</div><div class="post ad-slot">z</div><p>e': "e",
+        "<p>" + "long &amp; wide " * 50_000: " ".join(["long & wide"] * 50_000),
+    }
     for page, want in cases.items():
         assert main_text(page) == want
     box = '<div><a href="/x">same</a></div>'
