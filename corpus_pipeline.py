@@ -22,7 +22,7 @@ ROW = "corvane_row"
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the ordinal model calls toxic go. One pass, no shuffle of texts."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, docs.columns).filter(~F.col("toxic")).select(docs.columns)
+    return score(docs, model, docs.columns, prefix="corvane_").filter(~F.col("corvane_toxic")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
