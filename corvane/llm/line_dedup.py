@@ -42,10 +42,11 @@ from corvane.llm.words import LOWER, SPACE, bounds, buffers, hashes, mix, slices
 NEWLINE = 10
 #: Names of line_rows' columns.
 LINES = ["row", "doc_id", "line", "n", "ca", "cb", "hint", "text"]
-#: The key of a list entry is one long: 32 bits of the list, 20 of the line's size, 12 of the token's place. A place that
+#: The key of a list entry is one long: 32 bits of the list (the first of them set in lists that are dealt over tiles), 20 of the line's size, 12 of the token's place. A place that
 #: doesn't fit is given as less, which lets more pairs stay; a line whose size doesn't fit passes every filter.
 SIZE_BITS, PLACE_BITS = 20, 12
 HUGE = (1 << SIZE_BITS) - 1
+TILED = np.uint64(1 << 63)
 #: What an entry holds: its key, its line's class, parities of the line's tokens (128 bits), the line's hint.
 ENTRY = np.dtype([("k", "<i8"), ("sa", "<i8"), ("image_a", "<u8"), ("image_b", "<u8"), ("hint", "<u4")])
 #: Stands for a null id, which orders last.
@@ -145,12 +146,12 @@ def listings(h: np.ndarray, count: np.ndarray, n: np.ndarray, place: np.ndarray,
     ceil(c / tile) blocks of lines, and each pair of blocks meets in a list of its own."""
     blocks = np.maximum(-(-count // tile), 1)
     again = np.repeat(np.arange(len(h)), blocks)
-    name = h[again]
+    name = h[again] & ~TILED
     if len(again) > len(h):
         other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         mine = (mix(sa.view(np.uint64) + np.uint64(5)) % blocks.astype(np.uint64)).astype(np.int64)[again]
         pair = (np.minimum(mine, other) << 24) | np.maximum(mine, other)
-        name = np.where(blocks[again] > 1, mix(name + mix(pair.astype(np.uint64) + np.uint64(1))), name)
+        name = np.where(blocks[again] > 1, mix(name + mix(pair.astype(np.uint64) + np.uint64(1))) | TILED, name)
     key = (name & ~np.uint64(0xFFFFFFFF)) | (np.minimum(n, HUGE).astype(np.uint64) << np.uint64(PLACE_BITS))[again] | np.minimum(place, (1 << PLACE_BITS) - 1).astype(np.uint64)[again]
     return again, key.view(np.int64)
 
@@ -218,9 +219,9 @@ def line_rows(docs: DataFrame, hint: Hint, seen_most: int = 200_000) -> DataFram
     return docs.select("row", "doc_id", "t").mapInArrow(run, kind)
 
 
-def packed_entries(lines: DataFrame, counts, bits: int, num: int, den: int, tile: int, lists=None, set_bits: int = 0, held_most: int = 500_000) -> DataFrame:
+def packed_entries(lines: DataFrame, counts, bits: int, num: int, den: int, tile: int, lists=None, set_bits: int = 0, tiled: bool = True, held_most: int = 500_000) -> DataFrame:
     """(bucket, entries): the list entries of the lines that have a text, all entries of a list in one bucket, packed.
-    With `lists`, a bit set, those of its lists only."""
+    With `lists`, a bit set, those of its lists only; `tiled` says whether any of them is dealt over tiles."""
     buckets = 16 * slots(lines.sparkSession)
 
     def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +245,8 @@ def packed_entries(lines: DataFrame, counts, bits: int, num: int, den: int, tile
                 count = rare[(h >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
                 if lists is not None:  # only lines with a word that may name one of the lists
                     hit = np.zeros(len(b), bool)
-                    hit[line[in_set(lists.value, set_bits, mix((h.view(np.int64) >> 32).view(np.uint64))) | (count > tile)]] = True
+                    own = in_set(lists.value, set_bits, mix((h & ~TILED) >> np.uint64(32)))
+                    hit[line[own | (count > tile) if tiled else own]] = True
                     h, line, count = h[hit[line]], line[hit[line]], count[hit[line]]
                 own = distinct_words(h, line, rarity_of(count))
                 h, line, count = h[own], line[own], count[own]
@@ -485,7 +487,7 @@ def lost_classes(lines: DataFrame, base: DataFrame, hint: Hint, tables: Tables,
     if asked.isEmpty():
         return losers
     lists = spark.sparkContext.broadcast(bit_set(asked.select(F.col("list").cast("long").alias("list")), "list", set_bits))
-    entries = packed_entries(lines, counts, bits, num, den, tile, lists, set_bits)
+    entries = packed_entries(lines, counts, bits, num, den, tile, lists, set_bits, not asked.filter("list < 0").isEmpty())
     pairs = tables.write(all_choices(entries, asked, num, den, hint.line_bits), "pairs")
     classes = tables.write(classes_of(lines, pairs.select(F.col("x").alias("v")).union(pairs.select("y")), set_bits), "near")
     more = tables.write(lost_in_lists(pairs, classes, num, den).withColumn("lost", F.lit(True)), "losers")
