@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +21,26 @@ from corvane.llm.words import mix
 _LOCAL: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most so many rows, unless the session has a size of its own: ten thousand long texts are too
+    many at once for a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
+def lean_worker() -> None:
+    """Give back what tasks of the tokenizing operators left in this Python worker."""
+    bpe = sys.modules.get("corvane.llm.bpe")
+    if bpe and bpe.shared_encoder.cache_info().currsize:
+        bpe.shared_encoder.cache_clear()
+        gc.collect()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,6 +65,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
+        small_batches(spark)
 
     def write(self, df: DataFrame, key: str, **options) -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{key}")

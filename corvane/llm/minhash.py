@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Tables, bit_set, keep_in_set, slots
+from corvane.llm.common import Tables, bit_set, keep_in_set, lean_worker, slots
 from corvane.llm.graph import components
 from corvane.llm.words import shingles, slices, word_hashes
 
@@ -50,6 +50,7 @@ def signatures(base: DataFrame, k: int, n_hashes: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("row", pa.int64())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         mult = multipliers(n_hashes)
         for whole in batches:
             for b in slices(whole, 2):

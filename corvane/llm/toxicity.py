@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import lean_worker
 from corvane.llm.words import NOT_ALNUM, bounds, buffers, hashes, mix, slices
 
 
@@ -143,11 +144,14 @@ def score(docs: DataFrame, model: Ordinal, keep: list[str], text_col: str = "tex
     shared = spark.sparkContext.broadcast((model.weights, model.cuts))
     n = len(keep)
 
+    at = keep.index(text_col) if text_col in keep else n  # the text travels once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         w, cuts = shared.value
         for whole in batches:
-            for b in slices(whole, n, 2_000_000):
-                x, first = buckets(b.column(n), bits)
+            for b in slices(whole, at, 2_000_000):
+                x, first = buckets(b.column(at), bits)
                 hit = np.flatnonzero(w[x])
                 d = np.searchsorted(first, hit, side="right") - 1
                 one = np.unique((d << bits) + x[hit])
@@ -157,7 +161,7 @@ def score(docs: DataFrame, model: Ordinal, keep: list[str], text_col: str = "tex
                 grade = np.argmax(levels[:, :-1] - levels[:, 1:], axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(up.sum(axis=1)), pa.array(grade), pa.array(up[:, 0]), pa.array(up[:, 0] >= reject_at)], names=[*(f"k{i}" for i in range(n)), *FOUND])
 
-    given = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    given = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), *([F.col(f"`{text_col}`").alias("t")] if at == n else []))
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     out = T.StructType([*fields, T.StructField("expected_severity", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
     scored = given.mapInArrow(run, out)
