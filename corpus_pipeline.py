@@ -30,9 +30,16 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return Tables(docs.sparkSession, "pipeline").write(docs.withColumn(ROW, F.monotonically_increasing_id()), f"{name}-rows")
 
 
-def keep_rows(rows: DataFrame, survivors: DataFrame) -> DataFrame:
-    """The numbered rows whose number is among the survivors' (row), without the number."""
-    return rows.join(survivors.select(F.col("row").alias(ROW)), ROW, "left_semi").drop(ROW)
+def keep_rows(rows: DataFrame, survivors: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """The numbered rows whose number is among the survivors' (row), without the number.
+
+    The numbers of the others are counted: while they are few they are broadcast (8 bytes each) and the texts stay where
+    they are; beyond that, rows and survivors meet by a shuffle."""
+    kept = survivors.select(F.col("row").alias(ROW))
+    gone = Tables(rows.sparkSession, "pipeline").write(rows.select(ROW).join(kept, ROW, "left_anti"), "gone")
+    if gone.count() <= few:
+        return rows.join(F.broadcast(gone), ROW, "left_anti").drop(ROW)
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
