@@ -74,14 +74,8 @@ def vote_margins_with_empty(spark, d):
     return V.margins_with_empty(e.select(F.col("user_id").alias("item")), some)
 
 
-@query("""SELECT user_id AS item, list(event_type ORDER BY event_id) AS pool FROM events WHERE value > 90 GROUP BY 1""")
-def vote_pool_arrays(spark, d):
-    e = t(spark, d, "events").filter("value > 90")
-    return V.pool_arrays(e.select(F.col("user_id").alias("item"), F.col("event_type").alias("value"), F.col("event_id").alias("pos")))
-
-
 @query("""SELECT user_id AS item, list(event_type ORDER BY event_id) AS pool FROM events GROUP BY 1""")
-def vote_pool_arrays_whole(spark, d):
+def vote_pool_arrays(spark, d):
     return V.pool_arrays(event_votes(spark, d))
 
 
@@ -128,17 +122,22 @@ def doc_items(spark, d) -> DataFrame:
     return t(spark, d, "documents").select((F.col("doc_id") % 100).alias("grp"), r.alias("reasoning"))
 
 
-@query(f"WITH {SIGNALS} SELECT grp, timestamp_hits, spatial_hits, avg_reasoning_len FROM sig")
+@query(f"WITH {SIGNALS} SELECT grp, timestamp_hits, spatial_hits, avg_reasoning_len, round(h / n, 9) AS generic_ratio FROM sig")
 def doc_signals(spark, d):
-    return Q.signals(doc_items(spark, d), "grp").drop("generic_ratio")
+    return Q.signals(doc_items(spark, d), "grp").withColumn("generic_ratio", F.round("generic_ratio", 9))
 
 
 @query(f"""WITH {SIGNALS}, med AS (SELECT quantile_cont(avg_reasoning_len, 0.5) AS m FROM sig),
-sc AS (SELECT grp, round(least(timestamp_hits / 6.0::DOUBLE, 2) * 1.2::DOUBLE + least(spatial_hits / 4.0::DOUBLE, 2) + CASE WHEN avg_reasoning_len >= m THEN 0.6::DOUBLE ELSE 0 END, 6) AS main FROM sig, med)
-SELECT grp, main FROM sc""")
+sc AS (SELECT grp, least(timestamp_hits / 6.0::DOUBLE, 2) * 1.2::DOUBLE + least(spatial_hits / 4.0::DOUBLE, 2) + CASE WHEN avg_reasoning_len >= m THEN 0.6::DOUBLE ELSE 0 END - 5 * (h / n) AS s FROM sig, med)
+SELECT grp, round(s, 9) AS s_score FROM sc""")
 def tier_scores(spark, d):
-    s = Q.scored(Q.signals(doc_items(spark, d), "grp"))
-    return s.select("grp", F.round(F.col("s_score") + 5 * F.col("generic_ratio"), 6).alias("main"))
+    return Q.scored(Q.signals(doc_items(spark, d), "grp")).select("grp", F.round("s_score", 9).alias("s_score"))
+
+
+@query(_SQL["tier_scores"].replace("SELECT grp, round(s, 9) AS s_score FROM sc", """, cut AS (SELECT quantile_cont(s, 0.75) AS hi, quantile_cont(s, 0.25) AS lo FROM sc)
+SELECT grp, CASE WHEN s >= hi THEN 'S' WHEN s >= lo THEN 'A' ELSE 'B' END AS tier FROM sc, cut"""))
+def tier_assignment(spark, d):
+    return Q.tiers(Q.signals(doc_items(spark, d), "grp")).select("grp", "tier")
 
 
 @query("""WITH g AS (SELECT o_custkey, avg(o_totalprice) AS s FROM orders GROUP BY 1),
@@ -381,7 +380,7 @@ def sibling_pairs(spark, d):
     return J.stance_siblings(items)
 
 
-MEDOID = """c AS (SELECT user_id AS item, event_id AS pos, concat(event_type, ' k', event_id % 7, ' m', event_id % 3) AS value FROM events WHERE value > 60)"""
+MEDOID = """c AS (SELECT user_id AS item, event_id AS pos, concat(event_type, ' k', event_id % 7, ' m', event_id % 3) AS value FROM events)"""
 _F1 = "2.0::DOUBLE * len(list_intersect(string_split(lower(a.value), ' '), string_split(lower(b.value), ' '))) / (len(list_distinct(string_split(lower(a.value), ' '))) + len(list_distinct(string_split(lower(b.value), ' '))))"
 
 
@@ -391,12 +390,16 @@ u AS (SELECT a.item, a.pos, any_value(a.value) AS v, list_reduce(list_concat([0.
 SELECT item, arg_max(v, (u, -pos)) AS value FROM u GROUP BY 1"""
 
 
-def medoid_pool(spark, d, where: str = "value > 60") -> DataFrame:
+def medoid_pool(spark, d) -> DataFrame:
     v = F.concat_ws(" ", "event_type", F.concat(F.lit("k"), (F.col("event_id") % 7).cast("string")), F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")))
-    return t(spark, d, "events").filter(where).select(F.col("user_id").alias("item"), F.col("event_id").alias("pos"), v.alias("value"))
+    return t(spark, d, "events").select(F.col("user_id").alias("item"), F.col("event_id").alias("pos"), v.alias("value"))
 
 
-@query(_medoid_sql("SELECT item, value, min(pos) AS pos FROM c GROUP BY 1, 2"))
+#: The cap of 48 distinct candidates is the operator's own.
+_CAPPED = "SELECT item, value, pos FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY pos) AS k FROM (SELECT item, value, min(pos) AS pos FROM c GROUP BY 1, 2)) WHERE k <= 48"
+
+
+@query(_medoid_sql(_CAPPED))
 def medoid_token(spark, d):
     return M.medoid(medoid_pool(spark, d))
 
@@ -406,20 +409,6 @@ def medoid_nodedup(spark, d):
     return M.medoid(medoid_pool(spark, d), distinct=False)
 
 
-# Over the whole table, with the cap of 48 in the SQL too. The queries above see the events with value > 60 only.
-_CAPPED = "SELECT item, value, pos FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY pos) AS k FROM (SELECT item, value, min(pos) AS pos FROM c GROUP BY 1, 2)) WHERE k <= 48"
-
-
-@query(_medoid_sql(_CAPPED).replace(" WHERE value > 60", ""))
-def medoid_token_whole(spark, d):
-    return M.medoid(medoid_pool(spark, d, "true"))
-
-
-@query(_medoid_sql("SELECT item, value, pos FROM c").replace(" WHERE value > 60", ""))
-def medoid_nodedup_whole(spark, d):
-    return M.medoid(medoid_pool(spark, d, "true"), distinct=False)
-
-
 @query("""WITH m AS (SELECT o_custkey AS grp, o_orderkey AS item, CASE WHEN o_orderkey % 3 = 0 THEN 'No' ELSE 'Yes' END AS p, (o_orderkey % 11) / 11.0::DOUBLE AS m, CASE o_orderkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS v FROM orders),
 n AS (SELECT *, count(*) OVER w AS c, row_number() OVER (PARTITION BY grp ORDER BY item) AS r, lead(p) OVER o AS p2, lag(p) OVER o AS p0, lead(m) OVER o AS m2, lag(m) OVER o AS m0, lead(v) OVER o AS v2, lag(v) OVER o AS v0
   FROM m WINDOW w AS (PARTITION BY grp), o AS (PARTITION BY grp ORDER BY item)),
@@ -502,6 +491,98 @@ def windowed_vote(spark, d):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "item", "value", "n")
 
 
+# --- readers and formats ----------------------------------------------------------------------------------------------
+
+def said(spark, d) -> DataFrame:
+    """Answers of many shapes made of the orders: k, a text."""
+    k = F.col("o_orderkey")
+    forms = ["(b) it is", "A. the car", "It was option C, not D", "d", "unknown to me", "No, the van", "it cannot be told", "Yes.", "none of them"]
+    text = F.lit(forms[-1])
+    for j, x in enumerate(forms[:-1]):
+        text = F.when(k % len(forms) == j, x).otherwise(text)
+    return t(spark, d, "orders").select(k.alias("k"), text.alias("x"), "o_orderpriority")
+
+
+@query("""SELECT o_orderkey AS k, CASE o_orderkey % 9 WHEN 0 THEN 'B' WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 3 THEN 'D' END AS leading,
+  CASE o_orderkey % 9 WHEN 0 THEN 'B' WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 3 THEN 'D' END AS standalone,
+  CASE o_orderkey % 9 WHEN 5 THEN 'no' WHEN 7 THEN 'yes' ELSE 'unknown' END AS verdict, CASE o_orderkey % 9 WHEN 5 THEN 'no' WHEN 7 THEN 'yes' END AS yes_no FROM orders""")
+def answer_letters(spark, d):
+    x = F.col("x")
+    return said(spark, d).select("k", T.letter_leading(x).alias("leading"), T.letter_standalone(x).alias("standalone"), T.verdict(x).alias("verdict"), T.yes_no(x).alias("yes_no"))
+
+
+@query("""SELECT o_orderkey AS k, concat('<think>', o_orderpriority, '</think>', chr(10), '<answer>', o_orderstatus, '</answer>') AS thought,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('{"start": "00:0', o_orderkey % 7, '", "end": ', o_orderkey % 11, '.5}') ELSE o_orderstatus END AS plain,
+  concat(CASE WHEN o_orderkey % 2 = 0 THEN concat('<think>', o_orderpriority, '</think>', chr(10), '<answer>') ELSE '' END,
+    CASE WHEN o_orderkey % 3 = 0 THEN concat('{"start": "00:0', o_orderkey % 7, '", "end": ', o_orderkey % 11, '.5}') ELSE o_orderstatus END, CASE WHEN o_orderkey % 2 = 0 THEN '</answer>' ELSE '' END) AS target FROM orders""")
+def training_targets(spark, d):
+    k = F.col("o_orderkey")
+    answer = F.when(k % 3 == 0, F.concat(F.lit('{"start":"00:0'), (k % 7).cast("string"), F.lit('" ,\n "end" :'), (k % 11).cast("string"), F.lit(".5 }"))).otherwise(F.col("o_orderstatus"))
+    task = F.when(k % 3 == 0, "temporal_localization").otherwise("open_qa")
+    why = F.when(k % 2 == 0, F.col("o_orderpriority"))
+    return t(spark, d, "orders").select(k.alias("k"), T.thought_answer(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("thought"), T.target(task, why, answer, False).alias("plain"), T.target(task, why, answer, True).alias("target"))
+
+
+@query("""SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN '{"start": "0:05", "end": "0:1' || o_orderkey % 10 || '"}' WHEN 1 THEN '{"start": "1.5", "end": "' || o_orderkey % 50 || '"}'
+  WHEN 2 THEN '{"start": "00:01.20", "end": "0:02"}' WHEN 3 THEN '{"start": "0:05", "end": "0:03.1"}' WHEN 4 THEN '{"start": "a", "end": "True"}'
+  ELSE concat('{"start": "00:00", "end": "', lpad(CAST((o_orderkey % 200) // 60 AS VARCHAR), 2, '0'), ':', format('{:05.2f}', (o_orderkey % 200) % 60 + 0.125::DOUBLE), '"}') END AS interval FROM orders""")
+def answer_intervals(spark, d):
+    """JSON alone, in a fence, as a list's head; clocks in any order; nothing of use (JSON with text around it, one clock)."""
+    k = F.col("o_orderkey")
+    forms = [F.concat(F.lit(' {"start": "0:05", "end": "0:1'), (k % 10).cast("string"), F.lit('"} ')), F.concat(F.lit('So:\n```json\n[{"end": '), (k % 50).cast("string"), F.lit(', "start": 1.5}, 3]\n``` 0:09 0:10')), F.lit("from 00:01.20 on, till 0:02, not 0:07"), F.lit("ends 0:05 begins 0:03.1"), F.lit('{"start": "a", "end": true}'), F.lit('it is {"start": "9", "end": "8"} or so')]
+    x = F.lit("about 0:04")
+    for j, form in enumerate(forms):
+        x = F.when(k % 7 == j, form).otherwise(x)
+    return t(spark, d, "orders").select(k.alias("k"), C.interval_json(x, k % 200 + F.lit(0.125)).alias("interval"))
+
+
+_CLOCK = "concat(lpad(CAST(CAST(floor({0}) AS BIGINT) // 60 AS VARCHAR), 2, '0'), ':', format('{{:05.2f}}', {0} - 60 * (CAST(floor({0}) AS BIGINT) // 60)))"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS k, (o_orderkey % 4001) / 16.0::DOUBLE AS s, (o_orderkey % 997) / 20.0::DOUBLE AS g, (o_orderkey % 5000) / 1000.0::DOUBLE AS h FROM orders)
+SELECT k, CAST(format('{{:.1f}}', g) AS DOUBLE) AS tenth, CAST(format('{{:.1f}}', -1 - g) AS DOUBLE) AS negative, CAST(format('{{:.2f}}', h) AS DOUBLE) AS hundredth, CAST(format('{{:.4f}}', h / 7) AS DOUBLE) AS fourth, {_CLOCK.format("s")} AS clock,
+  concat(lpad(CAST(CAST(round_even(s, 0) AS BIGINT) // 60 AS VARCHAR), 2, '0'), ':', lpad(CAST(CAST(round_even(s, 0) AS BIGINT) % 60 AS VARCHAR), 2, '0')) AS whole FROM x""")
+def rounded_numbers(spark, d):
+    from corvane.functions.rounding import python_round
+
+    k = F.col("o_orderkey")
+    s, g, h = (k % 4001) / 16.0, (k % 997) / 20.0, (k % 5000) / 1000.0
+    cols = {"tenth": python_round(g, 1), "negative": python_round(-1 - g, 1), "hundredth": python_round(h, 2), "fourth": python_round(h / 7, 4), "clock": C.minutes_hundredths(s), "whole": C.minutes_seconds(s)}
+    return t(spark, d, "orders").select(k.alias("k"), *(c.alias(n) for n, c in cols.items()))
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS k, [o_orderkey % 50, o_orderkey % 50 + 7, o_orderkey % 50 + 8, o_orderkey % 50 + 1303] AS idx, o_orderpriority AS q FROM orders)
+SELECT k, list_sort(list_distinct(list_transform(idx, lambda i: CAST(format('{{:.1f}}', i / 20.0::DOUBLE) AS DOUBLE)))) AS grid,
+  concat('Video duration: ', {_CLOCK.format("(idx[4] / 20.0::DOUBLE)")}, '. 4 frames sampled:', chr(10), list_aggregate(list_transform(idx, lambda i: concat('[t=', {_CLOCK.format("(i / 20.0::DOUBLE)")}, '] <image>')), 'string_agg', chr(10)), chr(10), q) AS prompt FROM x""")
+def timed_prompts(spark, d):
+    k = F.col("o_orderkey")
+    idx = F.array(k % 50, k % 50 + 7, k % 50 + 8, k % 50 + 1303)
+    return t(spark, d, "orders").select(k.alias("k"), N.shown_grid(idx, F.lit(20.0)).alias("grid"), N.timed_prompt(idx, F.lit(20.0), F.col("o_orderpriority")).alias("prompt"))
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber AS n, concat('clips__', l_orderkey, '__', substring(md5(concat('clips/', l_orderkey, '.mp4', l_returnflag)), 1, 8)) AS slug, CAST(l_orderkey AS VARCHAR) AS stem FROM lineitem""")
+def file_names(spark, d):
+    path = F.concat(F.lit("clips/"), F.col("l_orderkey").cast("string"), F.lit(".mp4"))
+    return t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), T.slug(path, F.col("l_returnflag")).alias("slug"), T.file_stem(path).alias("stem"))
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN 'why ' || o_orderpriority ELSE '' END AS reasoning, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE concat('raw ', o_orderstatus) END AS answer FROM orders""")
+def external_answers(spark, d):
+    k = F.col("o_orderkey")
+    think = F.when(k % 2 == 0, F.concat(F.lit("<think> why "), F.col("o_orderpriority"), F.lit("\n</think>"))).otherwise(F.col("o_orderpriority"))
+    answer = F.when(k % 3 == 0, F.concat(F.lit("so <answer>"), F.col("o_orderstatus"), F.lit(" </answer> end"))).otherwise(F.concat(F.lit(" raw "), F.col("o_orderstatus")))
+    return t(spark, d, "orders").select(k.alias("k"), T.unwrap_external(think, answer).alias("u")).select("k", "u.reasoning", "u.answer")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, o_orderkey % 97 + 1 AS total FROM orders)
+SELECT k, CASE WHEN total <= 8 THEN range(0, total) ELSE list_transform(range(0, 8), lambda i: CAST(round_even(i * (total - 1) / 7.0::DOUBLE, 0) AS BIGINT)) END AS rounded,
+  list_transform(range(0, 6), lambda i: i * total // 6) AS even, CAST(greatest(8, least(40, total // 2)) + greatest(8, least(40, total // 2)) % 2 AS BIGINT) AS adaptive FROM x""")
+def frame_counts(spark, d):
+    k = F.col("o_orderkey")
+    total = k % 97 + 1
+    return t(spark, d, "orders").select(k.alias("k"), N.uniform_rounded(total, 8).alias("rounded"), N.uniform_even(total, 6).alias("even"), N.adaptive_count(total.cast("double"), F.lit(0.5), 40).alias("adaptive"))
+
+
 # --- no SQL: model calls behind fakes, whole plans ---------------------------------------------------------------------
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.rounding import hundredths
 from corvane.functions.text import find, strip, text
 
 
@@ -76,10 +77,27 @@ def start_text(c: Column) -> Column:
     return find(c, r'"start"\s*:\s*"([^"]+)"')
 
 
+def interval_json(c: Column, duration: Column) -> Column:
+    """An interval as JSON of two texts: that of a JSON object (or a list's first) with start and end, which is the whole
+    text or a ```json fence, else the first two clocks as they stand, else the whole clip."""
+    s = strip(text(c))
+    body = F.coalesce(find(s, r"(?s)```json\s*(.*?)\s*```"), s)
+    whole = F.when(F.try_parse_json(body).isNotNull(), body)
+    one = F.when(F.startswith(F.ltrim(whole), F.lit("[")), F.get_json_object(whole, "$[0]")).otherwise(whole)
+    keys = F.json_object_keys(one)
+    has = F.array_contains(keys, "start") & F.array_contains(keys, "end")
+    said = lambda k: F.coalesce(F.initcap(F.when(F.get_json_object(one, f"$.{k}").isin("true", "false"), F.get_json_object(one, f"$.{k}"))), F.get_json_object(one, f"$.{k}"), F.lit("None"))
+    clocks = F.regexp_extract_all(s, F.lit(r"(\d{1,2}:\d{2}(?:\.\d+)?)"), F.lit(1))
+    last = F.concat(F.format_string("%02d", F.floor(duration / 60).cast("long")), F.lit(":"), hundredths(F.pmod(duration.cast("double"), F.lit(60.0))))
+    start = F.when(has, said("start")).when(F.size(clocks) >= 2, F.try_element_at(clocks, F.lit(1))).otherwise("00:00")
+    end = F.when(has, said("end")).when(F.size(clocks) >= 2, F.try_element_at(clocks, F.lit(2))).otherwise(last)
+    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)\A\[(.*)\]\z", 1)
+    return F.concat(F.lit('{"start": '), quoted(start), F.lit(', "end": '), quoted(end), F.lit("}"))
+
+
 def interval_or_clip(c: Column, duration: Column) -> Column:
-    """An interval from JSON (in a code fence or a list's head too), else the first two clocks, else the whole clip."""
-    body = F.coalesce(find(text(c), r"(?s)(\{[^{}]*\})"), F.lit(""))
-    return F.coalesce(answer_window(body), question_window(c), F.struct(F.lit(0.0).alias("s"), duration.cast("double").alias("e")))
+    """interval_json in seconds: struct(s, e); null where its texts are no clocks."""
+    return answer_window(interval_json(c, duration))
 
 
 def minutes_seconds(c: Column) -> Column:
@@ -88,8 +106,8 @@ def minutes_seconds(c: Column) -> Column:
 
 
 def minutes_hundredths(c: Column) -> Column:
-    m = F.floor(c / 60)
-    return F.format_string("%02d:%05.2f", m, c - m * 60)
+    m = F.floor(c.cast("long") / 60)
+    return F.concat(F.format_string("%02d", m), F.lit(":"), hundredths(c - m * 60))
 
 
 def clip_seconds(frames: Column, fps: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.rounding import python_round
+
 # Fixed values.
 N_FRAMES, DENSE_MAIN, DENSE_LOCAL, DENSE_CAUSAL, BUFFER = 32, 16, 12, 8, 1.0
 REPEATS = {"S": 3, "A": 2, "B": 1}
@@ -144,7 +146,7 @@ def fit_size(width: Column, height: Column, longest: int) -> Column:
 # --- grids
 
 def shown_grid(idx: Column, fps: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(idx, lambda i: F.bround(i / F.when(fps > 0, fps).otherwise(30.0), 1))))
+    return F.array_sort(F.array_distinct(F.transform(idx, lambda i: python_round(i / F.when(fps > 0, fps).otherwise(30.0), 1))))
 
 
 def _after(grid: Column, s: Column, e: Column) -> Column:
@@ -173,7 +175,7 @@ def snap_nearest(grid: Column, start: Column, end: Column) -> Column:
 def scaled_boxes(boxes: Column, width: Column, height: Column, brightness: Column, classes, least: float = 0.25, dark: float = 12.0, most: int = 20) -> Column:
     """Boxes of a frame scaled to 0-1: none in a dark or overfull frame; only allowed classes with enough confidence."""
     ok = F.filter(boxes, lambda b: (b["conf"] >= least) & b["cls"].isin(*classes))
-    small = F.transform(ok, lambda b: F.struct(b["cls"].alias("cls"), F.bround(b["x1"] / width, 4).alias("x1"), F.bround(b["y1"] / height, 4).alias("y1"), F.bround(b["x2"] / width, 4).alias("x2"), F.bround(b["y2"] / height, 4).alias("y2"), F.bround(b["conf"], 3).alias("conf")))
+    small = F.transform(ok, lambda b: F.struct(b["cls"].alias("cls"), python_round(b["x1"] / width, 4).alias("x1"), python_round(b["y1"] / height, 4).alias("y1"), python_round(b["x2"] / width, 4).alias("x2"), python_round(b["y2"] / height, 4).alias("y2"), python_round(b["conf"], 3).alias("conf")))
     return F.when((brightness < dark) | (F.size(ok) > most), F.slice(small, 1, 0)).otherwise(small)
 
 
@@ -184,5 +186,8 @@ def pixel_boxes(boxes: Column, width: Column, height: Column) -> Column:
 def timed_prompt(idx: Column, fps: Column, question: Column) -> Column:
     from corvane.functions.clock import minutes_hundredths
 
-    marks = F.transform(idx, lambda i: F.concat(F.lit("<image> "), minutes_hundredths(i / fps)))
-    return F.concat(F.lit("Duration: "), minutes_hundredths(F.array_max(idx) / fps), F.lit("\n"), F.array_join(marks, "\n"), F.lit("\n"), question)
+    # The wording of the header and of the marks is a training format.
+    marks = F.transform(idx, lambda i: F.concat(F.lit("[t="), minutes_hundredths(i / fps), F.lit("] <image>")))
+    length = F.when(F.size(idx) > 0, F.try_element_at(idx, F.lit(-1)) / fps).otherwise(0.0)
+    header = F.concat(F.lit("Video duration: "), minutes_hundredths(length), F.lit(". "), F.size(idx).cast("string"), F.lit(" frames sampled:\n"))
+    return F.concat(header, F.array_join(marks, "\n"), F.lit("\n"), question)

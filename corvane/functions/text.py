@@ -289,11 +289,17 @@ def file_stem(path: Column) -> Column:
 
 
 def thought_answer(reasoning: Column, answer: Column) -> Column:
-    return F.concat(F.lit("<think>"), text(reasoning), F.lit("</think><answer>"), text(answer), F.lit("</answer>"))
+    # Fixed value: a training format.
+    return F.concat(F.lit("<think>"), text(reasoning), F.lit("</think>\n<answer>"), text(answer), F.lit("</answer>"))
+
+
+def json_spaced(c: Column) -> Column:
+    """JSON with one space behind commas and colons and none elsewhere, strings and numbers as they stand."""
+    tokens = F.regexp_extract_all(c, F.lit(r'(?s)("(?:[^"\\]|\\.)*"|[^\s",:]+|[,:])'), F.lit(1))
+    return F.array_join(F.transform(tokens, lambda x: F.when(x.isin(",", ":"), F.concat(x, F.lit(" "))).otherwise(x)), "")
 
 
 def target(task: Column, reasoning: Column, answer: Column, with_thought: bool) -> Column:
     """The training target; an interval answer is written anew as JSON, a thought only if asked for and there."""
-    j = F.from_json(answer, "map<string,string>")
-    a = F.when((task == "temporal_localization") & j.isNotNull(), F.to_json(j)).otherwise(text(answer))
-    return F.when(F.lit(with_thought) & (strip(text(reasoning)) != ""), F.concat(F.lit("<think>"), text(reasoning), F.lit("</think>\n"), a)).otherwise(a)
+    a = F.when(task == "temporal_localization", json_spaced(answer)).otherwise(text(answer))
+    return F.when(F.lit(with_thought) & (text(reasoning) != ""), thought_answer(reasoning, a)).otherwise(a)

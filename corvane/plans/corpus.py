@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.rounding import python_round
 from corvane.operators.consistency import consistency
 from corvane.operators.split import by_hash, by_shuffle, record_ids
 from corvane.operators.tiers import signals, tiers
@@ -24,7 +25,7 @@ def build_records(items: DataFrame, settings: Settings | None = None, exact_spli
     rows = (by_shuffle if exact_split else by_hash)(rows, "video_id", s.val_ratio, s.seed)
     first = rows.groupBy("video_id").agg(F.min("ord").alias("video_ord"))
     rows = rows.join(first, "video_id")
-    return rows.select("id", "video_id", "task", "question", "answer", "reasoning", "tier", F.bround("mean_score", 4).alias("consistency_score"), F.bround(w * F.col("downweight"), 4).alias("init_weight"), "split", "video_ord", "ord")
+    return rows.select("id", "video_id", "task", "question", "answer", "reasoning", "tier", python_round(F.col("mean_score"), 4).alias("consistency_score"), python_round(w * F.col("downweight"), 4).alias("init_weight"), "split", "video_ord", "ord")
 
 
 def merge(train: DataFrame, external: DataFrame, video_dir: str) -> DataFrame:

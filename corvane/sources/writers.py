@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.rounding import python_round
+
 
 def jsonl(rows: DataFrame, path: str, order: list[str] | None = None, single: bool = False) -> None:
     """One JSON object a line, fields that are null left out, non-ASCII kept."""
@@ -32,8 +34,8 @@ def append_pool(rows: DataFrame, path: str) -> None:
 
 def reports(tier: DataFrame, consistency: DataFrame, summary: DataFrame, path: str) -> None:
     jsonl(tier, f"{path}/tiers", single=True)
-    jsonl(consistency.withColumn("mean_score", F.bround("mean_score", 4)), f"{path}/consistency", single=True)
-    jsonl(summary.withColumn("mean_weight", F.bround("mean_weight", 3)), f"{path}/summary", single=True)
+    jsonl(consistency.withColumn("mean_score", python_round(F.col("mean_score"), 4)), f"{path}/consistency", single=True)
+    jsonl(summary.withColumn("mean_weight", python_round(F.col("mean_weight"), 3)), f"{path}/summary", single=True)
 
 
 def conversations(records: DataFrame) -> DataFrame:

@@ -46,25 +46,25 @@ def test_whole_medoids(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     c = duckdb.connect()
     c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
-    for name in ("medoid_token_whole", "medoid_nodedup_whole"):
+    for name in ("medoid_token", "medoid_nodedup"):
         df, want = catalog.queries()[name](spark, str(tmp_path)), c.sql(catalog.oracle_sql()[name])
         got = rows_of(df.collect(), df.columns)
         assert [r[0] for r in got] == [1, 2] and got == rows_of(want.fetchall(), want.columns)
-    pool = catalog.medoid_pool(spark, str(tmp_path), "true")
+    pool = catalog.medoid_pool(spark, str(tmp_path))
     assert pool.filter("item = 1").select("value").distinct().count() > 48
 
 
 def test_whole_vote_pools(spark):
     """Every event's vote is in its user's pool."""
-    pools = catalog.queries()["vote_pool_arrays_whole"](spark, SF).collect()
+    pools = catalog.queries()["vote_pool_arrays"](spark, SF).collect()
     events = catalog.t(spark, SF, "events")
     assert sum(len(r["pool"]) for r in pools) == events.count() and len(pools) == events.select("user_id").distinct().count()
 
 
-def test_bench_names_what_it_skips():
+def test_bench_times_all():
     import json
 
     import bench
 
     out = json.loads(bench.line({"a": 1.0, "b": 2.5}, "/x/sf0.1"))
-    assert out["value"] == 3.5 and out["skipped"] == ["generate_with_resume", "medoid_nodedup"] and out["sf"] == "0.1"
+    assert out["value"] == 3.5 and "skipped" not in out and out["sf"] == "0.1"

@@ -68,3 +68,39 @@ def test_best_option(spark):
     o = F.struct(L("the red car").alias("A"), L("blue").alias("B"), L("red").alias("C"), L("x").alias("D"))
     assert one(spark, T.best_option(L("a red car"), o)) == "A"
     assert one(spark, T.best_option(L("nothing"), o)) is None
+
+
+def test_python_round(spark):
+    """Equal to Python's round() and its "%.2f" on ties, near ties, long fractions, negative and large numbers."""
+    import random
+
+    from corvane.functions.clock import minutes_hundredths
+    from corvane.functions.rounding import python_round
+
+    r = random.Random(6)
+    xs = [0.35, 0.25, 0.125, 2.675, 1.005, 0.5, 1.5, -0.35, -2.5, 3e17, 0.1 + 0.2, 7 / 20] + [r.choice((r.random() * 10**r.randrange(6), r.randrange(10**6) / 8, r.randrange(10**5) / 1000)) * r.choice((1, -1)) for _ in range(3000)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, x double")
+    for row in df.select("k", "x", *(python_round(F.col("x"), d).alias(f"r{d}") for d in (1, 2, 3, 4)), minutes_hundredths(F.abs("x")).alias("clock")).collect():
+        for d in (1, 2, 3, 4):
+            assert row[f"r{d}"] == round(row["x"], d), (row["x"], d)
+        t = abs(row["x"])
+        m = int(t) // 60
+        assert t > 1e9 or row["clock"] == f"{m:02d}:{t - m * 60:05.2f}", t
+
+
+def test_interval_and_targets(spark):
+    from corvane.functions.clock import interval_json, interval_or_clip
+    from corvane.functions.frames import timed_prompt
+    from corvane.functions.text import json_spaced, target
+
+    rows = [("from 0:05 to 0:10", '{"start": "0:05", "end": "0:10"}'), ('{"start": 1, "end": 2.50, "x": [1]}', None), ('x {"start": "1", "end": "2"}', '{"start": "00:00", "end": "01:15.50"}'), ('```json\n{"start": "a\\"b", "end": null}\n```', '{"start": "a\\"b", "end": "None"}'), (None, '{"start": "00:00", "end": "01:15.50"}'), ("", '{"start": "00:00", "end": "01:15.50"}'), ('[{"start": "0:01", "end": "0:02"}]', '{"start": "0:01", "end": "0:02"}'), ("[]", '{"start": "00:00", "end": "01:15.50"}')]
+    df = spark.createDataFrame([(a,) for a, _ in rows], "x string")
+    got = [r[0] for r in df.select(interval_json(F.col("x"), F.lit(75.5))).collect()]
+    assert all(g == w for g, (_, w) in zip(got, rows) if w) and got[1].startswith('{"start": "1", "end": "2.5')
+    assert tuple(df.limit(1).select(interval_or_clip(F.col("x"), F.lit(75.5)).alias("i")).first()["i"]) == (5.0, 10.0)
+    one = spark.createDataFrame([('{ "a":1.50,\n"b" : "x, y: \\"z\\"" ,"c":[1,2]}', "t")], "j string, r string")
+    row = one.select(json_spaced(F.col("j")), target(F.lit("temporal_localization"), F.col("r"), F.col("j"), True), target(F.lit("open_qa"), F.lit(""), F.col("j"), True) == F.col("j")).first()
+    spaced = '{"a": 1.50, "b": "x, y: \\"z\\"", "c": [1, 2]}'
+    assert tuple(row) == (spaced, f"<think>t</think>\n<answer>{spaced}</answer>", True)
+    prompts = spark.createDataFrame([([0, 7, 1303],), ([],)], "i array<long>").select(timed_prompt(F.col("i"), F.lit(20.0), F.lit("Q?"))).collect()
+    assert prompts[0][0] == "Video duration: 01:05.15. 3 frames sampled:\n[t=00:00.00] <image>\n[t=00:00.35] <image>\n[t=01:05.15] <image>\nQ?" and prompts[1][0] == "Video duration: 00:00.00. 0 frames sampled:\n\nQ?"
