@@ -77,9 +77,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def shared_encoder(path: str) -> Encoder:
+def shared_encoder(path: str, words: int = 800_000) -> Encoder:
     """The Python worker's own: what one task has learnt serves the next."""
-    return Encoder(path)
+    return Encoder(path, words)
 
 
 def groups(texts, most: int = 2_000_000):

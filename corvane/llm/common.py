@@ -30,13 +30,15 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def lean_worker() -> None:
-    """Give back what tasks of the tokenizing operators left in this Python worker."""
+    """Give back to the system what this Python worker has free, and what tokenizing tasks left in it: workers outlive
+    their tasks, and idle ones count too."""
     bpe = sys.modules.get("corvane.llm.bpe")
     if bpe and bpe.shared_encoder.cache_info().currsize:
         bpe.shared_encoder.cache_clear()
         gc.collect()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -50,7 +50,6 @@ def signatures(base: DataFrame, k: int, n_hashes: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("row", pa.int64())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_worker()
         mult = multipliers(n_hashes)
         for whole in batches:
             for b in slices(whole, 2):
@@ -58,6 +57,7 @@ def signatures(base: DataFrame, k: int, n_hashes: int) -> DataFrame:
                 sets = [shingles(h[first[i] : first[i + 1]], k) for i in range(len(b))]
                 sigs = [signature(x, mult).tobytes() if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sigs, pa.binary()), b.column(3)], schema=schema)
+        lean_worker()
 
     return base.select("doc_id", "cls", "text", "row").mapInArrow(make, "doc_id long, cls binary, n_shingles long, sig binary, row long")
 
@@ -113,6 +113,7 @@ def exact_filter(pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 if both and den * both >= num * (len(last[1]) + len(s) - both):
                     ok.append(i)
             yield x.select([0, 1]).take(pa.array(ok, pa.int64()))
+        lean_worker()
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -234,6 +235,8 @@ def over_tiles(members: DataFrame, solve, kind: str) -> DataFrame:
                     held.append(r)
         if held:
             yield solve(held)
+        held = []
+        lean_worker()
 
     dealt = members.repartition(slots(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
     return dealt.mapInArrow(run, kind)

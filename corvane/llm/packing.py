@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import groups, shared_encoder
-from corvane.llm.common import Tables
+from corvane.llm.common import Tables, lean_worker
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -189,12 +189,13 @@ def intervals(bins: dict[Pattern, int]) -> dict[str, np.ndarray]:
 # --- the passes over the corpus ------------------------------------------------------------------------------
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece; block: the task, place: how many pieces of this length the task made before."""
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", words: int | None = None) -> DataFrame:
+    """One row per piece; block: the task, place: how many pieces of this length the task made before. With `words`, a
+    task keeps so many pre-tokens at most and leaves none in its worker: slower, for executors that do more than this."""
     end = np.array([end_id], "<u4").tobytes()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, block, seen = shared_encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        enc, block, seen = shared_encoder(tokenizer, *([words] if words else [])), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             ids = b.column(0).to_pylist()
             for k, texts in groups(b.column(1).to_pylist()):
@@ -205,19 +206,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
                         rows.append((d, j, s, n, zlib.crc32(e[4 * s : 4 * (s + n)]), block, seen[n]))
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), PIECES)], schema=PIECES)
+        if words:
+            del enc
+            lean_worker()
 
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return rows.mapInArrow(make, "doc_id long, piece int, start long, length long, ids_crc32 long, block int, place long")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, **search_options) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, words: int | None = None, **search_options) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every row.
 
     Defined results: null text counts as empty (one piece holding the end id); null doc_ids stay null; repeated rows
     are packed each; an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     tables = Tables(spark, "packing")
-    pieces = tables.write(token_pieces(docs, tokenizer, capacity, end_id), "pieces")
+    pieces = tables.write(token_pieces(docs, tokenizer, capacity, end_id, words=words), "pieces")
     counts = tables.write(pieces.groupBy("block", "length").agg(F.count("*").alias("n")), "counts")
     offsets = counts.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("block")) - F.col("n")).drop("n")
     hist = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -147,7 +147,6 @@ def score(docs: DataFrame, model: Ordinal, keep: list[str], text_col: str = "tex
     at = keep.index(text_col) if text_col in keep else n  # the text travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean_worker()
         w, cuts = shared.value
         for whole in batches:
             for b in slices(whole, at, 2_000_000):
@@ -160,6 +159,7 @@ def score(docs: DataFrame, model: Ordinal, keep: list[str], text_col: str = "tex
                 levels = np.column_stack([np.ones(len(b)), up, np.zeros(len(b))])
                 grade = np.argmax(levels[:, :-1] - levels[:, 1:], axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(n)), pa.array(up.sum(axis=1)), pa.array(grade), pa.array(up[:, 0]), pa.array(up[:, 0] >= reject_at)], names=[*(f"k{i}" for i in range(n)), *FOUND])
+        lean_worker()
 
     given = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), *([F.col(f"`{text_col}`").alias("t")] if at == n else []))
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
