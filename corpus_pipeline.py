@@ -55,7 +55,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, tokenizer_file(TOKENIZER), 1024, 2)
+    """Executors that run all stages keep fewer pre-tokens, and none between tasks."""
+    return pack(docs, tokenizer_file(TOKENIZER), 1024, 2, words=200_000)
 
 
 STAGES = [
