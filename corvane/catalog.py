@@ -583,6 +583,185 @@ def frame_counts(spark, d):
     return t(spark, d, "orders").select(k.alias("k"), N.uniform_rounded(total, 8).alias("rounded"), N.uniform_even(total, 6).alias("even"), N.adaptive_count(total.cast("double"), F.lit(0.5), 40).alias("adaptive"))
 
 
+# --- the other operators ----------------------------------------------------------------------------------------------
+
+@query("""WITH q AS (SELECT l_orderkey AS video, l_linenumber AS ord, l_partkey % 3 AS p FROM lineitem),
+m AS (SELECT x.video, x.ord AS ox, y.ord AS oy, row_number() OVER (PARTITION BY x.video, x.ord ORDER BY y.ord) AS r FROM q x JOIN q y ON x.video = y.video AND x.ord % 2 = 1 AND y.ord % 2 = 0 AND abs(x.p - y.p) <= 1),
+f AS (SELECT * FROM m WHERE r = 1), b AS (SELECT *, row_number() OVER (PARTITION BY video, oy ORDER BY ox DESC) AS rr FROM f)
+SELECT concat(video, '-', ox) AS item, concat(video, '-', oy) AS sibling FROM f UNION ALL SELECT concat(video, '-', oy), concat(video, '-', ox) FROM b WHERE rr = 1""")
+def choice_pairs(spark, d):
+    """Options are four neighbours of a row of six, so questions share three or more if they start at most one apart."""
+    l = t(spark, d, "lineitem")
+    rows = [F.concat(F.lit(f"{x}. Option no "), (F.col("l_partkey") % 3 + k).cast("string")) for k, x in enumerate(T.LETTERS)]
+    q = F.concat_ws("\n", F.lit("Which one?"), *rows, F.lit("Choose the correct option."))
+    return J.choice_siblings(l.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("item"), F.col("l_orderkey").alias("video"), F.when(F.col("l_linenumber") % 2 == 1, "mcq").otherwise("mcq_openended").alias("task"), q.alias("question"), F.col("l_linenumber").alias("ord")))
+
+
+@query("""SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_type WHEN 2 THEN p_name || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' Choose one now' END ELSE '' END AS listed,
+  CASE WHEN p_partkey % 4 = 1 THEN p_type || ' C. ' || p_name || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' Choose one now' END ELSE '' END AS bracket,
+  CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_type WHEN 2 THEN p_name END AS line, 'Which is it?' AS stem, CASE WHEN p_partkey % 5 = 0 THEN 'Choose the correct option.' ELSE 'Choose one now' END AS ask FROM part""")
+def option_readings(spark, d):
+    k = F.col("p_partkey")
+    q = F.concat(F.lit("Which is it?\nA. "), F.col("p_brand"), F.lit("\n B) "), F.col("p_type"), F.lit("\nC. "), F.col("p_name"), F.when(k % 5 == 0, "").otherwise("\nChoose one now"))
+    letter = F.element_at(F.array(*map(F.lit, ("A", "b", " C", "E"))), (k % 4 + 1).cast("int"))
+    parts = T.question_parts(q)
+    return t(spark, d, "part").select(k.alias("k"), T.option_text(q, letter).alias("listed"), T.option_text_bracket(q, letter).alias("bracket"), T.option_line(q, F.upper(letter)).alias("line"), parts["stem"].alias("stem"), parts["order"].alias("ask"))
+
+
+@query("""SELECT o_orderkey AS k, 'Is ' || o_orderpriority || ' there?' AS cut, lower('Is ' || regexp_replace(o_orderpriority, '[^A-Za-z0-9 ]', '', 'g') || ' there') AS stem,
+  CASE WHEN o_orderkey % 3 = 2 THEN ['car', 'red'] ELSE ['red', 'car'] END AS tokens, CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'C' END AS best FROM orders""")
+def question_cuts(spark, d):
+    k = F.col("o_orderkey")
+    q = F.concat(F.lit(" Is "), F.col("o_orderpriority"), F.lit(" there? \n"), F.when(k % 2 == 0, "Provide the result as JSON").otherwise("Answer with yes or no. Provide the reason"))
+    said = F.when(k % 3 == 2, "Car, (red) CAR").otherwise("Red car; red")
+    o = F.struct(F.when(k % 3 == 0, "a red car").otherwise("a van").alias("A"), F.when(k % 3 == 0, "the red car").otherwise("bus").alias("B"), F.when(k % 3 == 1, "one car").otherwise("tram").alias("C"), F.when(k % 3 == 1, "that car").otherwise("tree").alias("D"))
+    return t(spark, d, "orders").select(k.alias("k"), T.cut_format(q).alias("cut"), T.stem(T.cut_format(q)).alias("stem"), T.token_set(said).alias("tokens"), T.best_option(said, o).alias("best"))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, o_orderkey % 50 AS m, o_orderkey % 41 AS c FROM orders)
+SELECT k, m * 60 + 7 + c / 100.0::DOUBLE AS qs, CASE WHEN k % 3 = 0 THEN NULL ELSE m * 60 + 9 + c / 100.0::DOUBLE END AS ds, (k % 900) / CASE WHEN k % 2 = 0 THEN 25.0::DOUBLE ELSE 30.0::DOUBLE END AS clip,
+  concat('{"start": ', CAST(CAST(CASE WHEN k % 2 = 0 THEN m * 60 + 7 ELSE m * 3600 + 7 * 60 END AS DOUBLE) AS VARCHAR), ', "end": ', CAST(m * 60 + 7 + 0.25::DOUBLE AS VARCHAR), '}') AS target FROM x""")
+def clock_targets(spark, d):
+    """Windows that a question names, and targets in seconds, whose three-part clocks are read by the clip's length."""
+    k = F.col("o_orderkey")
+    n = lambda c: F.format_string("%02d", c)
+    m, c = n(k % 50), n(k % 41)
+    q = F.concat(F.lit("from "), m, F.lit(":07."), c, F.lit(" to "), m, F.lit(":09"), F.when(k % 3 == 0, ":").otherwise("."), c)
+    answer = F.concat(F.lit('{"start": "'), m, F.lit(':07:00", "end": "'), m, F.lit(':07.25"}'))
+    length = F.when(k % 2 == 0, F.greatest((k % 50 * 60 + 8), F.lit(1)).cast("double")).otherwise(1e9)
+    return t(spark, d, "orders").select(k.alias("k"), C.question_window(q)["s"].alias("qs"), C.question_window_dot(F.concat(q, F.lit(" "))).getField("e").alias("ds"), C.clip_seconds(k % 900, F.when(k % 2 == 0, 25.0).otherwise(0.0)).alias("clip"), C.seconds_target(answer, length).alias("target"))
+
+
+def _spread_sql(a: str, z: str, n: str) -> str:
+    return f"list_transform(range(0, {n}), lambda i: CASE WHEN {n} = 1 THEN {a} WHEN i = {n} - 1 THEN {z} ELSE CAST(floor({a} + i * (({z} - {a}) / CAST({n} - 1 AS DOUBLE))) AS BIGINT) END)"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 300 + 40 AS total, o_orderkey % 9 AS a, o_orderkey % 5 AS form FROM orders),
+w AS (SELECT *, CASE form WHEN 0 THEN [a] WHEN 1 THEN [a] WHEN 2 THEN [a, a + 12] ELSE CAST([] AS BIGINT[]) END AS ws, CASE form WHEN 0 THEN 12 WHEN 1 THEN 16 ELSE 8 END AS n FROM o),
+s AS (SELECT *, list_transform(ws, lambda x: {{'s': least(total - 1, greatest(0, (x - 1) * 10)), 'e': least(total - 1, (x + 3) * 10)}}) AS spans FROM w),
+b AS (SELECT *, flatten(list_transform(spans, lambda v: {_spread_sql("v.s", "v.e", "least(n, v.e - v.s + 1)")})) AS near,
+  list_filter(range(0, total), lambda f: len(list_filter(spans, lambda v: f >= v.s AND f <= v.e)) = 0) AS rest FROM s),
+c AS (SELECT *, least(32 - len(near), len(rest)) AS more, len(rest) - 1 AS top FROM b),
+p AS (SELECT k, total, list_sort(list_distinct(list_concat(near, CASE WHEN more <= 0 THEN CAST([] AS BIGINT[]) ELSE list_transform({_spread_sql("0", "top", "more")}, lambda j: rest[j + 1]) END))) AS idx FROM c),
+e AS (SELECT *, least(32, total) AS m, total - 1 AS z FROM p)
+SELECT k, idx, CASE WHEN len(idx) < 32 THEN list_sort(list_distinct(list_concat(idx, {_spread_sql("0", "z", "m")})))[1:32] ELSE list_sort(idx)[1:32] END AS filled FROM e""")
+def frame_plan_tasks(spark, d):
+    """All branches: around the answer's window, the question's, two of the question's, and none."""
+    k = F.col("o_orderkey")
+    a, total, form = (k % 9).cast("double"), k % 300 + 40, k % 5
+    win = lambda x: F.struct(x.alias("s"), (x + 2).alias("e"))
+    task = F.element_at(F.array(*map(F.lit, ("temporal_localization", "temporal_description", "causal_linkage", "causal_linkage", "bcq"))), (form + 1).cast("int"))
+    pairs = F.when(form == 1, F.array(win(a))).when(form == 2, F.array(win(a), win(a + 12))).when(form == 4, F.array(win(a))).otherwise(F.slice(F.array(win(a)), 1, 0))
+    idx = N.plan(task, pairs, F.when(form == 0, win(a)), total, F.lit(10.0))
+    return t(spark, d, "orders").select(k.alias("k"), total.alias("total"), idx.alias("idx")).select("k", "idx", N.filled(F.col("idx"), F.col("total")).alias("filled"))
+
+
+_RINT = "CAST(round_even({0}, 0) AS BIGINT)"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS k, o_orderkey % 300 + 40 AS total, greatest(0, least(o_orderkey % 300 + 39, {_RINT.format("(o_orderkey % 7) * 12.5::DOUBLE")})) AS a, least(o_orderkey % 300 + 39, {_RINT.format("(o_orderkey % 7 + 3) * 12.5::DOUBLE")}) AS z,
+  o_orderkey % 1900 + 20 AS wd, o_orderkey % 1080 + 20 AS ht FROM orders)
+SELECT k, list_transform(range(0, 6), lambda i: {_RINT.format("a + i * (z - a) / 5.0::DOUBLE")}) AS idx, list_transform(range(0, 6), lambda i: {_RINT.format("a + i * (z - a) / 5.0::DOUBLE")} - a) AS local,
+  CAST(greatest(32, {_RINT.format("wd * least(1.0::DOUBLE, 640.0::DOUBLE / greatest(wd, ht)) / 32")} * 32) AS INTEGER) AS w, CAST(greatest(32, {_RINT.format("ht * least(1.0::DOUBLE, 640.0::DOUBLE / greatest(wd, ht)) / 32")} * 32) AS INTEGER) AS h FROM x""")
+def window_geometry(spark, d):
+    k = F.col("o_orderkey")
+    s = (k % 7).cast("double")
+    f, size = N.window_frames(s, s + 3, F.lit(12.5), k % 300 + 40, 6), N.fit_size(k % 1900 + 20, k % 1080 + 20, 640)
+    return t(spark, d, "orders").select(k.alias("k"), f["idx"].alias("idx"), f["local"].alias("local"), size["w"].alias("w"), size["h"].alias("h"))
+
+
+@query(f"""WITH e AS (SELECT event_id, (event_id % 21) / 10.0::DOUBLE AS s, (event_id % 21) / 10.0::DOUBLE + (event_id % 4) / 10.0::DOUBLE AS e FROM events),
+o AS (SELECT event_id, list_min(list_transform({GRID}, lambda g: {{'d': abs(g - s), 'k': g}})).k AS ns, list_min(list_transform({GRID}, lambda g: {{'d': abs(g - e), 'k': g}})).k AS ne FROM e)
+SELECT event_id, ns, CASE WHEN ne <= ns THEN coalesce(list_min([g FOR g IN {GRID} IF g > ns]), 2.0::DOUBLE) ELSE ne END AS ne FROM o""")
+def snap_nearest(spark, d):
+    grid = F.array(*(F.lit(x) for x in (0.0, 0.5, 1.0, 1.5, 2.0)))
+    s = (F.col("event_id") % 21) / 10.0
+    x = N.snap_nearest(grid, s, s + (F.col("event_id") % 4) / 10.0)
+    return t(spark, d, "events").select("event_id", x["s"].alias("ns"), x["e"].alias("ne"))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, o_orderkey % 90 AS cls, (o_orderkey % 400) AS x1, (o_orderkey % 100) / 100.0::DOUBLE AS u, (o_orderkey % 20) AS light FROM orders),
+y AS (SELECT *, CAST(format('{:.4f}', x1 / 640.0::DOUBLE) AS DOUBLE) AS left_, CAST(format('{:.4f}', (x1 + 55) / 640.0::DOUBLE) AS DOUBLE) AS right_, light >= 12 AND u >= 0.25 AND cls IN (0, 1, 2, 3, 5, 7, 9, 11) AS seen FROM x)
+SELECT k, CASE WHEN seen THEN left_ END AS x1, CASE WHEN seen THEN CAST(floor(right_ * 640) AS INTEGER) END AS right_pixel, CASE WHEN u < 0.3 THEN 'off' WHEN u > 0.85 THEN 'corrupt' ELSE 'correct' END AS mode,
+  CASE WHEN u > 0.85 THEN [[0, 255, 0], [0, 0, 255], [255, 165, 0], [255, 255, 0]][CAST(floor(u * 4) AS INTEGER) + 1]
+    WHEN cls IN (0, 1) THEN [0, 255, 0] WHEN cls IN (2, 5, 7) THEN [0, 0, 255] WHEN cls = 3 THEN [255, 165, 0] WHEN cls IN (9, 11) THEN [255, 255, 0] ELSE [200, 200, 200] END AS colour FROM y""")
+def box_cues(spark, d):
+    k = F.col("o_orderkey")
+    u, left = (k % 100) / 100.0, (k % 400).cast("double")
+    box = F.struct((k % 90).cast("int").alias("cls"), left.alias("x1"), F.lit(0.0).alias("y1"), (left + 55).alias("x2"), F.lit(9.0).alias("y2"), u.alias("conf"))
+    small = N.scaled_boxes(F.array(box), F.lit(640.0), F.lit(360.0), (k % 20).cast("double"), sorted(N.COLOURS))
+    mode = N.cue_mode(u)
+    first = lambda c: F.try_element_at(c, F.lit(1))
+    return t(spark, d, "orders").select(k.alias("k"), first(small)["x1"].alias("x1"), first(N.pixel_boxes(small, F.lit(640), F.lit(360)))["x2"].alias("right_pixel"), mode.alias("mode"), N.box_colour((k % 90), mode, u).alias("colour"))
+
+
+@query("""SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events""")
+def previous_value(spark, d):
+    return P.with_previous(t(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
+
+
+@query("""WITH b AS (SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 6)
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS k FROM b""")
+def top_in_order(spark, d):
+    return P.top_in_order(t(spark, d, "events"), "user_id", "value", "event_id", 6).select("user_id", "event_id", "k")
+
+
+@query("""SELECT user_id AS video, min(event_id) AS ord FROM events GROUP BY 1""")
+def first_seen(spark, d):
+    from corvane.sources.readers import first_seen as of
+
+    return of(t(spark, d, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("ord")))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 7 < 2) AS flagged FROM documents""")
+def flag_counts(spark, d):
+    return K.flagged(t(spark, d, "documents").select(F.when(F.col("doc_id") % 7 < 2, 0.7).otherwise(1.0).alias("downweight")))
+
+
+_RICH = """c0 AS (SELECT user_id AS item, event_id AS pos, concat(event_type, ' k', event_id % 7, ' m', event_id % 3) AS value FROM events WHERE user_id % 5 < 4),
+x AS (SELECT item, 0 AS part, pos, value FROM c0 WHERE item % 5 < 2 AND pos % 2 = 0 UNION ALL SELECT item, 1, pos, value FROM c0 WHERE item % 5 < 3),
+g AS (SELECT item, 0 AS part, pos, value FROM c0 WHERE item % 5 = 3 AND pos % 2 = 0),
+n AS (SELECT item, part, pos, value FROM x UNION ALL SELECT item, part, pos, value FROM g WHERE item IN (SELECT item FROM g GROUP BY 1 HAVING count(*) >= 2) UNION ALL
+  SELECT item, 1, pos, value FROM c0 WHERE item % 5 = 3 AND item NOT IN (SELECT item FROM g GROUP BY 1 HAVING count(*) >= 2)),
+c AS (SELECT item, value, row_number() OVER (PARTITION BY item ORDER BY part, pos) AS pos FROM n)"""
+
+
+@query(_medoid_sql("""SELECT item, value, pos FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY pos) AS k FROM (SELECT item, value, min(pos) AS pos FROM c GROUP BY 1, 2)) WHERE item % 5 = 2 OR k <= 48""").replace(MEDOID, _RICH))
+def descriptive_recipes(spark, d):
+    """The compliant form: two tasks with evidence before the rich pool, one with the rich pool alone and without a
+    cap, and the temporal task, whose grounded texts speak alone if there are two."""
+    from corvane.plans.assemble import open_recipes
+
+    c = medoid_pool(spark, d).filter("item % 5 < 4")
+    task = F.element_at(F.array(*map(F.lit, ("open_qa", "causal_linkage", "scene_description", "temporal_description"))), (F.col("item") % 5 + 1).cast("int"))
+    items = c.select("item").distinct().withColumn("task", task)
+    source = F.when(F.col("item") % 5 == 3, "event").otherwise("evidence")
+    pools = c.filter("item % 5 <> 2 and pos % 2 = 0").select(source.alias("source"), F.lit(0).alias("src_ord"), "item", F.lit("samples").alias("kind"), "pos", F.concat(F.lit("<think>hm</think><answer> "), "value", F.lit("</answer>")).alias("value"), task.alias("task"))
+    return open_recipes(items, pools, c, compliant=True)
+
+
+@query("""WITH m AS (SELECT o_custkey AS grp, o_orderkey AS item, CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'No' ELSE 'Yes' END AS p0, (o_orderkey % 11) / 11.0::DOUBLE AS m, CASE o_orderkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS v FROM orders),
+t AS (SELECT *, CASE WHEN v <> 'unknown' AND m <= 0.5 THEN CASE WHEN v = 'yes' THEN 'Yes' ELSE 'No' END ELSE p0 END AS p FROM m),
+n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS c, row_number() OVER o AS r, coalesce(lead(p) OVER o, lag(p) OVER o) AS op, coalesce(lead(m) OVER o, lag(m) OVER o) AS om, coalesce(lead(v) OVER o, lag(v) OVER o) AS ov FROM t WINDOW o AS (PARTITION BY grp ORDER BY item)),
+q AS (SELECT *, v <> 'unknown' AND v <> lower(p) AS dis, ov <> 'unknown' AND ov <> lower(op) AS odis FROM n),
+f AS (SELECT item, CASE WHEN c = 2 AND p = op AND (CASE WHEN dis AND NOT odis THEN true WHEN odis AND NOT dis THEN false WHEN r = 1 THEN m <= om ELSE m < om END) THEN CASE WHEN p = 'Yes' THEN 'No' ELSE 'Yes' END ELSE p END AS p FROM q),
+a AS (SELECT item, p FROM f UNION ALL SELECT -f.item - 1, CASE WHEN f.p = 'No' AND f.item % 3 = 0 THEN 'no, it is not' WHEN f.item % 2 = 0 THEN ' ' ELSE 'open text' END FROM f)
+SELECT item, CASE WHEN trim(p) <> '' THEN trim(p) WHEN item % 10 = -1 OR item % 10 = 0 THEN 'fall back' ELSE 'No' END AS prediction FROM a""")
+def final_answers(spark, d):
+    """Override, pair repair, no-stance texts and guard over closed items (each order) and open ones over closed items (each order) and open ones (below 0).."""
+    from corvane.plans.assemble import finished
+
+    o = t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("k"))
+    k = F.col("k")
+    closed = o.select(k.alias("item"), F.when(k % 8 == 0, "").when(k % 8 == 1, "No").otherwise("Yes").alias("prediction"))
+    pred = closed.unionByName(o.select((-k - 1).alias("item"), F.when(k % 2 == 0, " ").otherwise("open text").alias("prediction")))
+    verdicts = o.select(k.alias("item"), F.when(k % 5 == 0, "yes").when(k % 5 == 1, "no").otherwise("unknown").alias("verdict"))
+    margins = o.select(k.alias("item"), ((k % 11) / 11.0).alias("margin_a"))
+    texts = o.select((-k - 1).alias("item"), F.when(k % 3 == 0, "no, it is not").otherwise("yes, it is").alias("value"))
+    back = pred.filter("item % 10 in (0, -1)").select("item", F.lit("fall back").alias("value"))
+    return finished(pred, o.select(F.col("o_custkey").alias("group"), k.alias("item"), k.alias("ord")), verdicts, margins, o.select((-k - 1).alias("item"), k.alias("sibling")), texts, back)
+
+
 # --- no SQL: model calls behind fakes, whole plans ---------------------------------------------------------------------
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.rounding import hundredths
+from corvane.functions.rounding import hundredths, python_round
 from corvane.functions.text import find, strip, text
 
 
@@ -112,3 +112,9 @@ def minutes_hundredths(c: Column) -> Column:
 
 def clip_seconds(frames: Column, fps: Column) -> Column:
     return frames / F.when(fps > 0, fps).otherwise(30.0)
+
+
+def seconds_target(c: Column, duration: Column) -> Column:
+    """A JSON interval answer as JSON of two numbers of seconds, two digits, read by the clip's duration."""
+    s, e = (python_round(clock_within(F.get_json_object(c, f"$.{k}"), duration), 2) for k in ("start", "end"))
+    return F.concat(F.lit('{"start": '), s.cast("string"), F.lit(', "end": '), e.cast("string"), F.lit("}"))

@@ -183,6 +183,33 @@ def pixel_boxes(boxes: Column, width: Column, height: Column) -> Column:
     return F.transform(boxes, lambda b: F.struct(b["cls"].alias("cls"), F.floor(b["x1"] * width).cast("int").alias("x1"), F.floor(b["y1"] * height).cast("int").alias("y1"), F.floor(b["x2"] * width).cast("int").alias("x2"), F.floor(b["y2"] * height).cast("int").alias("y2")))
 
 
+# Colours (red, green, blue) by class, of classes without one, and the colours that corrupt boxes take.
+COLOURS = {0: (0, 255, 0), 1: (0, 255, 0), 2: (0, 0, 255), 3: (255, 165, 0), 5: (0, 0, 255), 7: (0, 0, 255), 9: (255, 255, 0), 11: (255, 255, 0)}
+OTHER_COLOUR = (200, 200, 200)
+PALETTE = ((0, 255, 0), (0, 0, 255), (255, 165, 0), (255, 255, 0))
+
+
+def _colour(rgb) -> Column:
+    return F.array(*map(F.lit, rgb))
+
+
+def box_colour(cls: Column, mode: Column, draw: Column) -> Column:
+    """The class's colour; in mode corrupt that of a draw from 0 (included) to 1."""
+    known = F.create_map(*(x for k, rgb in COLOURS.items() for x in (F.lit(k), _colour(rgb))))
+    drawn = F.element_at(F.array(*map(_colour, PALETTE)), F.floor(draw * len(PALETTE)).cast("int") + 1)
+    return F.when(mode == "corrupt", drawn).otherwise(F.coalesce(F.try_element_at(known, cls.cast("int")), _colour(OTHER_COLOUR)))
+
+
+def cue_mode(draw: Column, off: float = 0.30, corrupt: float = 0.15) -> Column:
+    """off, correct or corrupt, by a draw from 0 (included) to 1."""
+    return F.when(draw < off, "off").when(draw > 1.0 - corrupt, "corrupt").otherwise("correct")
+
+
+def draw_of(*key: Column, seed: int = 0) -> Column:
+    """A draw that belongs to a key, the same in every run and partitioning."""
+    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+
+
 def timed_prompt(idx: Column, fps: Column, question: Column) -> Column:
     from corvane.functions.clock import minutes_hundredths
 

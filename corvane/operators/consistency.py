@@ -77,3 +77,8 @@ def consistency(items: DataFrame, pairs=tuple(RULES), below: float = 0.4, weight
     cells = [x for k, s in scores for x in (F.lit(k), s)]
     out = wide.select(key, (F.create_map(*cells) if cells else F.create_map().cast("map<string,double>")).alias("pair_scores"), mean.alias("mean_score"))
     return out.withColumn("downweight", F.when(F.col("mean_score") < below, weight).otherwise(1.0))
+
+
+def flagged(rows: DataFrame) -> DataFrame:
+    """(n, flagged): how many rows there are and how many weigh less than 1."""
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("downweight") < 1.0).alias("flagged"))

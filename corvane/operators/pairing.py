@@ -29,8 +29,16 @@ def choice_siblings(items: DataFrame, closed: str = "mcq", open_: str = "mcq_ope
 
 
 def stance_siblings(items: DataFrame, closed: str = "bcq", open_: str = "bcq_openended") -> DataFrame:
+    """Equal stem. Without a further condition every x of a (video, stem) meets the same first y, so no pairs are made.
+
+    An item given by several rows has one sibling, the first over all of them."""
     q = items.select("item", "video", "task", "ord", T.pair_stem(F.col("question")).alias("stem"))
-    return _matched(q.filter(F.col("task") == closed), q.filter(F.col("task") == open_), ["video", "stem"])
+    keys = ["video", "stem"]
+    first = q.filter(F.col("task") == open_).groupBy(*keys).agg(F.min(F.struct("ord", "item")).alias("y"))
+    met = q.filter(F.col("task") == closed).join(first, keys)
+    forth = met.groupBy("item").agg(F.min("y").alias("y"), F.max("ord").alias("ord"))
+    back = forth.groupBy("y.item").agg(F.max(F.struct("ord", forth["item"]))["item"].alias("sibling"))
+    return forth.select("item", F.col("y.item").alias("sibling")).union(back.select("item", "sibling"))
 
 
 def stance_by_line(items: DataFrame, predictions: DataFrame, closed: str = "bcq", open_: str = "bcq_openended") -> DataFrame:

@@ -63,3 +63,14 @@ def upsert(old: DataFrame, new: DataFrame, item: str = "item") -> DataFrame:
 def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*")
+
+
+def top_in_order(rows: DataFrame, key: str, score: str, pos: str, n: int) -> DataFrame:
+    """Of each key its n best-scored rows, the earlier of equals, numbered again by position (k from 1)."""
+    best = rows.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(F.desc(score), pos))).filter(F.col("k") <= n)
+    return best.withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(pos)))
+
+
+def with_previous(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
+    """Each row with its predecessor's value (previous), null at the first."""
+    return rows.withColumn("previous", F.lag(value).over(W.partitionBy(key).orderBy(pos)))

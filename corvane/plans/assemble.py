@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import medoid as M
 from corvane.operators import pools as P
+from corvane.operators import repair as R
 from corvane.operators.vote import majority
 
 
@@ -121,3 +122,17 @@ def open_recipes(items: DataFrame, pools: DataFrame, rich: DataFrame, similarity
     for d in full[1:]:
         out = out.unionByName(d)
     return out
+
+
+def finished(pred: DataFrame, groups: DataFrame, verdicts: DataFrame, margins: DataFrame, closed: DataFrame, texts: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The decisions after the vote in their order: judge override, pair repair, no-stance texts, guard against blanks.
+
+    pred (item, prediction); groups (group, item, ord), pairs whose answers must differ; verdicts (item, verdict);
+    margins (item, margin_a); closed (item, sibling), the closed item whose repaired answer is an open item's stance; texts
+    and fallback (item, value). Every step is an equi-join on item, or an aggregate by group."""
+    told = R.override(pred, verdicts, margins)
+    members = groups.join(told, "item").join(margins.select("item", "margin_a"), "item", "left").join(verdicts.select("item", "verdict"), "item", "left")
+    mended = R.pair_repair(members).select("item", F.col("prediction").alias("mended"))
+    said = told.join(mended, "item", "left").select("item", F.coalesce("mended", "prediction").alias("prediction"))
+    stances = closed.join(said.select(F.col("item").alias("sibling"), F.lower(T.strip(T.text("prediction"))).alias("stance")), "sibling").select("item", "stance")
+    return R.guard(R.no_stance_texts(said, stances, texts), fallback)

@@ -160,3 +160,8 @@ def shard(rows: DataFrame, order: str, k: int, n: int) -> DataFrame:
     at = spark.createDataFrame(starts, "p long, before long")
     got = ranged.withColumn("p", part).join(F.broadcast(at), "p")
     return got.filter((F.col("before") + F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))) % n == k).drop("_i", "p", "before")
+
+
+def first_seen(items: DataFrame, key: str = "video", order: str = "ord") -> DataFrame:
+    """Distinct keys with the position (ord) at which each comes first: sorting by it gives the order of first sight."""
+    return items.groupBy(key).agg(F.min(order).alias("ord"))
