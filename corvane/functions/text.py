@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.frames import let
+
 # Fixed values.
 CLOCK = r"\d{1,2}:\d{2}(?:\.\d{1,3})?"
 PLACE_WORDS = (
@@ -212,19 +214,21 @@ MARK = r"(?md)^\s*([A-D])[.)]\s+"
 
 def options(q: Column) -> Column:
     """struct(A, B, C, D), or null unless exactly these four are listed; of a repeated letter the last counts."""
-    tail = F.regexp_extract(text(q), r"(?sm)^\s*A[.)]\s.*\z", 0)
-    names = F.regexp_extract_all(tail, F.lit(MARK), F.lit(1))
-    bodies = F.slice(F.split(tail, MARK), 2, 1 << 20)
-    both = F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("n"), b.alias("b")))
 
-    def last_of(letter: str) -> Column:
-        return F.try_element_at(F.filter(both, lambda x: x["n"] == letter), F.lit(-1))["b"]
+    def marked(tail: Column) -> Column:
+        bodies = F.slice(F.split(tail, MARK), 2, 1 << 20)
+        return F.zip_with(F.regexp_extract_all(tail, F.lit(MARK), F.lit(1)), bodies, lambda n, b: F.struct(n.alias("n"), b.alias("b")))
+
+    def last_of(both: Column, letter: str) -> Column:
+        b = F.try_element_at(F.filter(both, lambda x: x["n"] == letter), F.lit(-1))["b"]
+        return b if letter != LETTERS[-1] else F.element_at(F.split(b, r"\n\s*\n|\bChoose the correct\b|\bAnswer with\b", 2), 1)
+
+    def whole(last: Column) -> Column:
+        tidy = F.struct(*(strip(F.regexp_replace(squeeze(last[l]), r"\?+$", "")).alias(l) for l in LETTERS))
+        return F.when(last["A"].isNotNull() & last["B"].isNotNull() & last["C"].isNotNull() & last["D"].isNotNull(), tidy)
 
-    last = [last_of(l) for l in LETTERS]
-    last[3] = F.element_at(F.split(last[3], r"\n\s*\n|\bChoose the correct\b|\bAnswer with\b", 2), 1)
-    tidy = [strip(F.regexp_replace(squeeze(x), r"\?+$", "")) for x in last]
-    whole = last[0].isNotNull() & last[1].isNotNull() & last[2].isNotNull() & last[3].isNotNull()
-    return F.when(whole, F.struct(*(x.alias(l) for l, x in zip(LETTERS, tidy))))
+    listed = let(let(F.regexp_extract(text(q), r"(?sm)^\s*A[.)]\s.*\z", 0), marked), lambda both: F.struct(*(last_of(both, l).alias(l) for l in LETTERS)))
+    return let(listed, whole)
 
 
 DEFAULT_ORDER = "Choose the correct option."
@@ -237,7 +241,7 @@ def question_parts(q: Column) -> Column:
 
 
 def option_array(o: Column) -> Column:
-    return F.when(o.isNotNull(), F.array(*(o[l] for l in LETTERS)))
+    return let(o, lambda v: F.when(v.isNotNull(), F.array(*(v[l] for l in LETTERS))))
 
 
 def normal_options(o: Column) -> Column:

@@ -9,23 +9,25 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 
 
-def _matched(x: DataFrame, y: DataFrame, keys: list[str], condition=None) -> DataFrame:
-    """(item, sibling) both ways. Each x takes its first y; a y chosen by several is paired back with the last x."""
-    a = x.select(*keys, F.col("item").alias("x"), F.col("ord").alias("ox"), *[F.col(c).alias(f"x_{c}") for c in x.columns if c == "opts"])
-    b = y.select(*keys, F.col("item").alias("y"), F.col("ord").alias("oy"), *[F.col(c).alias(f"y_{c}") for c in y.columns if c == "opts"])
-    met = a.join(b, keys)
-    if condition is not None:
-        met = met.filter(condition)
-    first = met.withColumn("k", F.row_number().over(W.partitionBy("x").orderBy("oy"))).filter("k = 1")
-    back = first.withColumn("r", F.row_number().over(W.partitionBy("y").orderBy(F.desc("ox")))).filter("r = 1")
-    return first.select(F.col("x").alias("item"), F.col("y").alias("sibling")).union(back.select("y", "x"))
+def _both_ways(first: DataFrame) -> DataFrame:
+    """first (x, ox, y), one row an x, to (item, sibling) both ways: a y chosen by several is paired back with the last x."""
+    back = F.row_number().over(W.partitionBy("y").orderBy(F.desc("ox"))) == 1
+    ways = F.array(F.struct(F.col("x").alias("item"), F.col("y").alias("sibling")), F.struct(F.col("y").alias("item"), F.col("x").alias("sibling")))
+    return first.select("x", "y", back.alias("back")).select(F.explode(F.slice(ways, 1, F.when(F.col("back"), 2).otherwise(1))).alias("p")).select("p.*")
 
 
 def choice_siblings(items: DataFrame, closed: str = "mcq", open_: str = "mcq_openended", least: int = 3) -> DataFrame:
-    """items (item, video, task, question, ord): equal stem and at least `least` common normal options."""
-    q = items.withColumn("o", T.options(F.col("question"))).filter("o is not null")
-    q = q.select("item", "video", "task", "ord", T.stem(F.col("question")).alias("stem"), F.array_distinct(T.normal_options(F.col("o"))).alias("opts"))
-    return _matched(q.filter(F.col("task") == closed), q.filter(F.col("task") == open_), ["video", "stem"], F.expr(f"size(array_intersect(x_opts, y_opts)) >= {least}"))
+    """items (item, video, task, question, ord): equal stem and at least `least` common normal options. Each x takes its
+    first y. Only lines that look like options are parsed; a question without four of them shares none."""
+
+    def side(task: str, name: str) -> DataFrame:
+        q = items.filter((F.col("task") == task) & F.regexp_like(T.text("question"), F.lit(T.MARK)))
+        opts = F.array_distinct(T.normal_options(T.options(F.col("question"))))
+        return q.select("video", T.stem(F.col("question")).alias("stem"), F.col("item").alias(name), F.col("ord").alias(f"o{name}"), opts.alias(f"{name}_opts"))
+
+    met = side(closed, "x").join(side(open_, "y"), ["video", "stem"]).filter(F.expr(f"size(array_intersect(x_opts, y_opts)) >= {least}"))
+    first = met.groupBy("x").agg(F.min(F.struct("oy", "ox", "y")).alias("m")).select("x", "m.*")
+    return _both_ways(first)
 
 
 def stance_siblings(items: DataFrame, closed: str = "bcq", open_: str = "bcq_openended") -> DataFrame:
@@ -36,9 +38,8 @@ def stance_siblings(items: DataFrame, closed: str = "bcq", open_: str = "bcq_ope
     keys = ["video", "stem"]
     first = q.filter(F.col("task") == open_).groupBy(*keys).agg(F.min(F.struct("ord", "item")).alias("y"))
     met = q.filter(F.col("task") == closed).join(first, keys)
-    forth = met.groupBy("item").agg(F.min("y").alias("y"), F.max("ord").alias("ord"))
-    back = forth.groupBy("y.item").agg(F.max(F.struct("ord", forth["item"]))["item"].alias("sibling"))
-    return forth.select("item", F.col("y.item").alias("sibling")).union(back.select("item", "sibling"))
+    forth = met.groupBy(F.col("item").alias("x")).agg(F.min("y").alias("y"), F.max("ord").alias("ox"))
+    return _both_ways(forth.select("x", "ox", F.col("y.item").alias("y")))
 
 
 def stance_by_line(items: DataFrame, predictions: DataFrame, closed: str = "bcq", open_: str = "bcq_openended") -> DataFrame:
