@@ -1,5 +1,7 @@
 """Tie rules, defaults and small plans."""
 
+from pyspark.sql import functions as F
+
 from corvane.operators import medoid as M
 from corvane.operators import pairing as J
 from corvane.operators import pools as P
@@ -138,3 +140,26 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(k) from w").first()[0] == spark.read.parquet(src).count()
+
+
+def test_siblings_without_keys_or_options(spark):
+    """Null subjects and questions without four options have no sibling; a y that several x choose is paired with the last."""
+    asked = lambda k: "Which?\n" + "\n".join(f"{x}. way {k + j}" for j, x in enumerate("ABCD"))
+    rows = [("a", 1, "mcq", asked(0), 1), ("b", 1, "mcq", asked(1), 2), ("y", 1, "mcq_openended", asked(0), 3), ("z", 1, "mcq_openended", asked(1), 4),
+            ("c", None, "mcq", asked(0), 5), ("d", 1, "mcq", None, 6), ("e", 1, "mcq", "Which?\nA. way 0", 7), ("f", 1, "mcq_openended", "", 8)]
+    items = spark.createDataFrame(rows, "item string, video long, task string, question string, ord long")
+    assert sorted(map(tuple, J.choice_siblings(items).collect())) == [("a", "y"), ("b", "y"), ("y", "b")]
+    polar = items.withColumn("task", F.when(F.col("task") == "mcq", "bcq").otherwise("bcq_openended")).filter("item in ('a', 'b', 'c', 'y')")
+    assert sorted(map(tuple, J.stance_siblings(polar).collect())) == [("a", "y"), ("b", "y"), ("y", "b")]
+    assert J.choice_siblings(items.limit(0)).count() == 0
+
+
+def test_decisions_in_order(spark):
+    """A judge overrides, then equal pairs part, then an open item follows its closed one, then blanks are filled."""
+    from corvane.plans.assemble import finished
+
+    df = lambda rows, s: spark.createDataFrame(rows, s)
+    pred = df([("a", "No"), ("b", "Yes"), ("o", "some text"), ("n", None), ("m", " ")], "item string, prediction string")
+    out = finished(pred, df([("g", "a", 1), ("g", "b", 2), (None, "m", 3)], "group string, item string, ord long"), df([("a", "yes"), ("b", None)], "item string, verdict string"),
+                   df([("a", 0.5), ("b", 0.25)], "item string, margin_a double"), df([("o", "b")], "item string, sibling string"), df([("o", "No, it is not")], "item string, value string"), df([("n", "filled")], "item string, value string"))
+    assert dict(map(tuple, out.collect())) == {"a": "Yes", "b": "No", "o": "No, it is not", "n": "filled", "m": "No"}
