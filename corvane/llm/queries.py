@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and their SQL, where SQL can express them."""
+"""Queries op1 to op13 and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
@@ -76,6 +76,24 @@ def op10_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_counts(docs.withColumn("edits", F.expr(f"array({edits})")), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.language import predict_languages
+
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.periodic import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), repeat=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op")}
 
