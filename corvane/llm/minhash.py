@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import Tables, bit_set, keep_in_set, lean_worker, slots
 from corvane.llm.graph import components
-from corvane.llm.words import shingles, slices, word_hashes
+from corvane.llm.words import mix, shingles, slices, word_hashes
 
-#: A signature has 16 bits of each minhash: two that differ agree in them once in 65,536 times, which prunes no pair.
+#: A signature has 16 bits of each minhash, the low ones once it is mixed again: the high ones of a minimum of many
+#: values are few. Two that differ agree once in 65,536 times, which prunes no pair.
 SIG = np.dtype("<u2")
 
 
@@ -42,7 +43,7 @@ def signature(x: np.ndarray, mult: np.ndarray) -> np.ndarray:
     low = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(x), 512):
         np.minimum(low, (x[k : k + 512, None] * mult).min(axis=0), out=low)
-    return (low >> np.uint64(48)).astype(SIG)
+    return mix(low).astype(SIG)
 
 
 def signatures(base: DataFrame, k: int, n_hashes: int) -> DataFrame:
