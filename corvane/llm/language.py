@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.bpe import groups
-from corvane.llm.common import lean_worker
+from corvane.llm.common import Tables, lean_worker
 
 GRAM = 4
 _BLANK = np.uint32(0x20202020)
@@ -128,7 +128,7 @@ class Mixture:
 def learn(rows: DataFrame, bits: int = 16, smooth: float = 0.5, most: int = 256) -> Mixture:
     """The model of all rows (lang, t): 2**bits numbers a language, of at most the `most` languages with the most n-grams
     (by name among equals), whatever the number of rows."""
-    counts = gram_counts(rows, bits)
+    counts = Tables(rows.sparkSession, "language").write(gram_counts(rows, bits), "counts")
     kept = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(most)
     got = counts.join(F.broadcast(kept.select("lang")), "lang").toArrow()
     names = np.array(got["lang"].to_pylist(), object).astype(str)
