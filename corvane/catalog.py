@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import clock as C
 from corvane.functions import frames as N
 from corvane.functions import text as T
+from corvane.operators import best_match as X
 from corvane.operators import consistency as K
 from corvane.operators import medoid as M
 from corvane.operators import pairing as J
@@ -19,6 +20,8 @@ from corvane.operators import repair as R
 from corvane.operators import split as S
 from corvane.operators import tiers as Q
 from corvane.operators import vote as V
+from corvane.operators.asof import nearest_keys
+from corvane.operators.ranks import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -144,9 +147,8 @@ def tier_assignment(spark, d):
 c AS (SELECT quantile_cont(s, 0.75) AS hi, quantile_cont(s, 0.25) AS lo FROM g)
 SELECT CASE WHEN s >= hi THEN 'S' WHEN s >= lo THEN 'A' ELSE 'B' END AS tier, count(*) AS n FROM g, c GROUP BY 1""")
 def percentile_tiers(spark, d):
-    g = t(spark, d, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("s"))
-    cuts = g.agg(F.expr("percentile(s, 0.75)").alias("hi"), F.expr("percentile(s, 0.25)").alias("lo"))
-    return g.join(F.broadcast(cuts)).groupBy(F.when(F.col("s") >= F.col("hi"), "S").when(F.col("s") >= F.col("lo"), "A").otherwise("B").alias("tier")).agg(F.count("*").alias("n"))
+    g = checkpointed(t(spark, d, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("s")))
+    return g.groupBy(Q.tier_of(g, "s").alias("tier")).agg(F.count("*").alias("n"))
 
 
 TIERED = "CASE doc_id % 4 WHEN 0 THEN 'S' WHEN 1 THEN 'A' WHEN 2 THEN 'B' ELSE 'X' END"
@@ -362,9 +364,16 @@ def snap_outward(spark, d):
 @query("""WITH k AS (SELECT user_id, list_sort(list_distinct(list(event_id))) AS ks FROM events WHERE event_id % 3 = 0 GROUP BY 1)
 SELECT event_id, (SELECT arg_min(x, (abs(x - event_id), x)) FROM (SELECT unnest(ks) AS x)) AS near FROM events JOIN k USING (user_id) WHERE event_id % 3 <> 0""")
 def nearest_detection(spark, d):
-    e = t(spark, d, "events")
-    keys = e.filter("event_id % 3 = 0").groupBy("user_id").agg(F.collect_set("event_id").alias("ks"))
-    return e.filter("event_id % 3 <> 0").join(keys, "user_id").select("event_id", N.nearest(F.col("ks"), F.col("event_id")).alias("near"))
+    e = t(spark, d, "events").select("user_id", "event_id")
+    return nearest_keys(e.filter("event_id % 3 <> 0"), e.filter("event_id % 3 = 0"), "user_id", "event_id").select("event_id", "near")
+
+
+@query("""SELECT a.event_id, arg_min(b.event_id, (abs(b.event_id - a.event_id), b.event_id)) AS near
+FROM events a JOIN events b ON a.event_type = b.event_type AND b.event_id % 97 = 5 WHERE a.event_id % 97 <> 5 GROUP BY 1""")
+def nearest_in_blocks(spark, d):
+    """Few hot groups with sparse keys, in blocks that often hold none."""
+    e = t(spark, d, "events").select("event_type", "event_id")
+    return nearest_keys(e.filter("event_id % 97 <> 5"), e.filter("event_id % 97 = 5"), "event_type", "event_id", width=128).select("event_id", "near")
 
 
 # --- pairing, medoids, repair ---------------------------------------------------------------------------------------------
@@ -409,6 +418,14 @@ def medoid_nodedup(spark, d):
     return M.medoid(medoid_pool(spark, d), distinct=False)
 
 
+@query("""WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL),
+p AS (SELECT a.label, a.vec_id, CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_cosine_similarity(a.x, b.x) END AS s FROM e a JOIN e b ON a.label = b.label),
+u AS (SELECT label, vec_id, sum(s) AS u, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT label, arg_max(vec_id, (round(u, 9), -vec_id)) AS vec_id, max(n) AS n, round(max(u) / greatest(max(n) - 1, 1), 9) AS mean_similarity FROM u GROUP BY 1""")
+def medoid_embedding(spark, d):
+    return M.medoid_vectors(t(spark, d, "embeddings"), "label", "vec_id", "embedding").withColumn("mean_similarity", F.round("mean_similarity", 9))
+
+
 @query("""WITH m AS (SELECT o_custkey AS grp, o_orderkey AS item, CASE WHEN o_orderkey % 3 = 0 THEN 'No' ELSE 'Yes' END AS p, (o_orderkey % 11) / 11.0::DOUBLE AS m, CASE o_orderkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS v FROM orders),
 n AS (SELECT *, count(*) OVER w AS c, row_number() OVER (PARTITION BY grp ORDER BY item) AS r, lead(p) OVER o AS p2, lag(p) OVER o AS p0, lead(m) OVER o AS m2, lag(m) OVER o AS m0, lead(v) OVER o AS v2, lag(v) OVER o AS v0
   FROM m WINDOW w AS (PARTITION BY grp), o AS (PARTITION BY grp ORDER BY item)),
@@ -451,6 +468,16 @@ def last_wins(spark, d):
     return P.last_wins(e, "user_id", F.col("event_id"))
 
 
+@query("""WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> '')) AS xs FROM documents),
+b AS (SELECT item_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' '), lambda w: w <> '')) AS ys FROM benchmark),
+p AS (SELECT doc_id, item_id, count(*) AS k FROM (SELECT doc_id, unnest(xs) AS w FROM d) JOIN (SELECT item_id, unnest(ys) AS w FROM b) USING (w) GROUP BY 1, 2),
+j AS (SELECT doc_id, item_id, k::DOUBLE / (len(xs) + len(ys) - k) AS j FROM p JOIN d USING (doc_id) JOIN b USING (item_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j DESC, item_id) AS r FROM j)
+SELECT d.doc_id, r.item_id, coalesce(r.j, 0) AS jaccard FROM d LEFT JOIN r ON r.doc_id = d.doc_id AND r.r = 1""")
+def best_match(spark, d):
+    return X.best_match(t(spark, d, "documents"), t(spark, d, "benchmark"), "doc_id", "item_id")
+
+
 @query("""WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark), p AS (SELECT a.item_id AS x, b.item_id AS y, a.w AS wx, b.w AS wy FROM b a JOIN b b ON b.item_id = a.item_id + 1)
 SELECT x, y, len(list_intersect(wx, wy))::DOUBLE / greatest(len(list_distinct(list_concat(wx, wy))), 1) AS jaccard FROM p""")
 def token_jaccard(spark, d):
@@ -523,6 +550,15 @@ def training_targets(spark, d):
     return t(spark, d, "orders").select(k.alias("k"), T.thought_answer(F.col("o_orderpriority"), F.col("o_orderstatus")).alias("thought"), T.target(task, why, answer, False).alias("plain"), T.target(task, why, answer, True).alias("target"))
 
 
+@query("""SELECT o_orderkey AS k, concat('{"start": ', CAST((o_orderkey % 4001 - 2000) / 8.0::DOUBLE AS VARCHAR), ', "end": "caf\\u00e9 \\ud83d\\ude00 ', o_orderkey, '", "all": [', o_orderkey, ', null, 100.0, {"a": "x, y: z"}]}') AS target FROM orders""")
+def json_targets(spark, d):
+    """Numbers with zeros behind and with exponents, letters beyond ASCII, escapes and white space in the answers."""
+    k = F.col("o_orderkey")
+    number = F.format_string("%.5f", (k % 4001 - 2000) / 8.0)
+    said = F.concat(F.lit('{ "start":'), number, F.lit(' ,\n"end" : "caf\u00e9 \\ud83d\\ude00 '), k.cast("string"), F.lit('","all":['), k.cast("string"), F.lit(',null,1e2,{"a":"x, y: z"}] }'))
+    return t(spark, d, "orders").select("o_orderkey", T.target(F.lit("temporal_localization"), F.lit(""), said, False).alias("target")).withColumnRenamed("o_orderkey", "k")
+
+
 @query("""SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN '{"start": "0:05", "end": "0:1' || o_orderkey % 10 || '"}' WHEN 1 THEN '{"start": "1.5", "end": "' || o_orderkey % 50 || '"}'
   WHEN 2 THEN '{"start": "00:01.20", "end": "0:02"}' WHEN 3 THEN '{"start": "0:05", "end": "0:03.1"}' WHEN 4 THEN '{"start": "a", "end": "True"}'
   ELSE concat('{"start": "00:00", "end": "', lpad(CAST((o_orderkey % 200) // 60 AS VARCHAR), 2, '0'), ':', format('{:05.2f}', (o_orderkey % 200) % 60 + 0.125::DOUBLE), '"}') END AS interval FROM orders""")
@@ -659,15 +695,20 @@ def frame_plan_tasks(spark, d):
 _RINT = "CAST(round_even({0}, 0) AS BIGINT)"
 
 
-@query(f"""WITH x AS (SELECT o_orderkey AS k, o_orderkey % 300 + 40 AS total, greatest(0, least(o_orderkey % 300 + 39, {_RINT.format("(o_orderkey % 7) * 12.5::DOUBLE")})) AS a, least(o_orderkey % 300 + 39, {_RINT.format("(o_orderkey % 7 + 3) * 12.5::DOUBLE")}) AS z,
-  o_orderkey % 1900 + 20 AS wd, o_orderkey % 1080 + 20 AS ht FROM orders)
-SELECT k, list_transform(range(0, 6), lambda i: {_RINT.format("a + i * (z - a) / 5.0::DOUBLE")}) AS idx, list_transform(range(0, 6), lambda i: {_RINT.format("a + i * (z - a) / 5.0::DOUBLE")} - a) AS local,
+#: Windows from their middle to past the clip's end, some shorter than the frames asked for; rates with fractions; speeds.
+@query(f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 300 + 40 AS total, CASE o_orderkey % 3 WHEN 0 THEN 12.5 WHEN 1 THEN 30.0 ELSE 23.976 END::DOUBLE AS fps, (o_orderkey % 97) * 0.13::DOUBLE AS ws,
+  (o_orderkey % 97) * 0.13::DOUBLE + (o_orderkey % 11) * 0.37::DOUBLE AS we, CASE o_orderkey % 4 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS speed, o_orderkey % 1900 + 20 AS wd, o_orderkey % 1080 + 20 AS ht FROM orders),
+i AS (SELECT *, greatest(0, CAST(trunc(ws * fps) AS BIGINT)) AS i0, least(total - 1, greatest(1, CAST(trunc(we * fps) AS BIGINT) - 1)) AS i1 FROM o),
+m AS (SELECT *, least(8, greatest(2, i1 - i0 + 1)) AS m FROM i), n AS (SELECT *, m - m % 2 AS n FROM m),
+x AS (SELECT *, list_transform(range(0, n), lambda j: CASE WHEN j = n - 1 THEN i1 ELSE {_RINT.format("j * ((i1 - i0)::DOUBLE / (n - 1)) + i0")} END) AS idx FROM n)
+SELECT k, idx, list_transform(idx, lambda j: j - i0) AS local, greatest(i1 - i0 + 1, idx[-1] - i0 + 1) AS frames, fps * speed AS fps,
   CAST(greatest(32, {_RINT.format("wd * least(1.0::DOUBLE, 640.0::DOUBLE / greatest(wd, ht)) / 32")} * 32) AS INTEGER) AS w, CAST(greatest(32, {_RINT.format("ht * least(1.0::DOUBLE, 640.0::DOUBLE / greatest(wd, ht)) / 32")} * 32) AS INTEGER) AS h FROM x""")
 def window_geometry(spark, d):
     k = F.col("o_orderkey")
-    s = (k % 7).cast("double")
-    f, size = N.window_frames(s, s + 3, F.lit(12.5), k % 300 + 40, 6), N.fit_size(k % 1900 + 20, k % 1080 + 20, 640)
-    return t(spark, d, "orders").select(k.alias("k"), f["idx"].alias("idx"), f["local"].alias("local"), size["w"].alias("w"), size["h"].alias("h"))
+    s = (k % 97) * 0.13
+    rate = F.when(k % 3 == 0, 12.5).when(k % 3 == 1, 30.0).otherwise(23.976)
+    f, size = N.window_frames(s, s + (k % 11) * 0.37, rate, k % 300 + 40, 8, F.when(k % 4 == 0, 0.5).otherwise(1.0)), N.fit_size(k % 1900 + 20, k % 1080 + 20, 640)
+    return t(spark, d, "orders").select(k.alias("k"), f.alias("f"), size.alias("s")).select("k", "f.idx", "f.local", "f.frames", "f.fps", "s.w", "s.h")
 
 
 @query(f"""WITH e AS (SELECT event_id, (event_id % 21) / 10.0::DOUBLE AS s, (event_id % 21) / 10.0::DOUBLE + (event_id % 4) / 10.0::DOUBLE AS e FROM events),
@@ -740,6 +781,14 @@ def descriptive_recipes(spark, d):
     return open_recipes(items, pools, c, compliant=True)
 
 
+@query("""WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL),
+p AS (SELECT a.label, a.vec_id, CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_cosine_similarity(a.x, b.x) END AS s FROM e a JOIN e b ON a.label = b.label),
+u AS (SELECT label, vec_id, sum(s) AS u, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT label, arg_max(vec_id, (round(u, 9), -vec_id)) AS vec_id, max(n) AS n, round(max(u) / greatest(max(n) - 1, 1), 9) AS mean_similarity FROM u GROUP BY 1""")
+def medoid_embedding(spark, d):
+    return M.medoid_vectors(t(spark, d, "embeddings"), "label", "vec_id", "embedding").withColumn("mean_similarity", F.round("mean_similarity", 9))
+
+
 @query("""WITH m AS (SELECT o_custkey AS grp, o_orderkey AS item, CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'No' ELSE 'Yes' END AS p0, (o_orderkey % 11) / 11.0::DOUBLE AS m, CASE o_orderkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS v FROM orders),
 t AS (SELECT *, CASE WHEN v <> 'unknown' AND m <= 0.5 THEN CASE WHEN v = 'yes' THEN 'Yes' ELSE 'No' END ELSE p0 END AS p FROM m),
 n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS c, row_number() OVER o AS r, coalesce(lead(p) OVER o, lag(p) OVER o) AS op, coalesce(lead(m) OVER o, lag(m) OVER o) AS om, coalesce(lead(v) OVER o, lag(v) OVER o) AS ov FROM t WINDOW o AS (PARTITION BY grp ORDER BY item)),

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.rounding import hundredths, python_round
-from corvane.functions.text import find, strip, text
+from corvane.functions.text import ascii_string, find, strip, text
 
 
 def _parts(c: Column) -> tuple[Column, list[Column]]:
@@ -91,8 +91,7 @@ def interval_json(c: Column, duration: Column) -> Column:
     last = F.concat(F.format_string("%02d", F.floor(duration / 60).cast("long")), F.lit(":"), hundredths(F.pmod(duration.cast("double"), F.lit(60.0))))
     start = F.when(has, said("start")).when(F.size(clocks) >= 2, F.try_element_at(clocks, F.lit(1))).otherwise("00:00")
     end = F.when(has, said("end")).when(F.size(clocks) >= 2, F.try_element_at(clocks, F.lit(2))).otherwise(last)
-    quoted = lambda x: F.regexp_extract(F.to_json(F.array(x)), r"(?s)\A\[(.*)\]\z", 1)
-    return F.concat(F.lit('{"start": '), quoted(start), F.lit(', "end": '), quoted(end), F.lit("}"))
+    return F.concat(F.lit('{"start": '), ascii_string(start), F.lit(', "end": '), ascii_string(end), F.lit("}"))
 
 
 def interval_or_clip(c: Column, duration: Column) -> Column:

@@ -129,11 +129,24 @@ def adaptive_count(duration: Column, fps: Column, cap: int, floor: int = 8) -> C
     return n + n % 2
 
 
-def window_frames(start: Column, end: Column, fps: Column, total: Column, n: int) -> Column:
-    """struct(idx, local): frames spread over a window by rounding, and their place counted from the window's start."""
-    a, z = frame_at(start, fps, total), frame_at(end, fps, total)
-    at = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(a + i * (z - a) / max(n - 1, 1)).cast("long"))
-    return F.struct(at.alias("idx"), F.transform(at, lambda x: x - a).alias("local"))
+def window_frames(start: Column, end: Column, fps: Column, total: Column, n: int, speed: Column | None = None) -> Column:
+    """struct(idx, local, frames, fps): an even number of frames, at most n, spread over a window by rounding half to
+    even; their place counted from the window's start; how many frames the window has, and the rate a viewer is told,
+    scaled by the speed. The window's ends are cut off to whole frames, and the frame at its end is left out."""
+    rate = fps.cast("double")
+    first = F.greatest(F.lit(0).cast("long"), (start * rate).cast("long"))
+    last = F.least((total - 1).cast("long"), F.greatest(F.lit(1).cast("long"), (end * rate).cast("long") - 1))
+
+    def run(v: Column) -> Column:
+        a, z = v["a"], v["z"]
+        count = F.least(F.lit(n).cast("long"), F.greatest(F.lit(2).cast("long"), z - a + 1))
+        count = count - count % 2
+        step = (z - a) / (count - 1)
+        at = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.when(i == count - 1, z).otherwise(F.rint(i * step + a).cast("long")))
+        told = rate * (F.lit(1.0) if speed is None else F.coalesce(speed, F.lit(1.0)))
+        return F.struct(at.alias("idx"), F.transform(at, lambda x: x - a).alias("local"), F.greatest(z - a + 1, F.element_at(at, -1) - a + 1).alias("frames"), told.alias("fps"))
+
+    return let(F.struct(first.alias("a"), last.alias("z")), run)
 
 
 def fit_size(width: Column, height: Column, longest: int) -> Column:

@@ -297,10 +297,57 @@ def thought_answer(reasoning: Column, answer: Column) -> Column:
     return F.concat(F.lit("<think>"), text(reasoning), F.lit("</think>\n<answer>"), text(answer), F.lit("</answer>"))
 
 
+def ascii_string(c: Column) -> Column:
+    """A text as a JSON string of ASCII characters, others as \\u and four hexadecimal digits (two such above U+FFFF)."""
+    quoted = F.regexp_extract(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", 1)
+    four = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def written(x: Column) -> Column:
+        code = F.ascii(x).cast("long")
+        pair = F.concat(four(F.lit(0xD800).cast("long") + F.shiftright(code - 0x10000, 10)), four(F.lit(0xDC00).cast("long") + (code - 0x10000).bitwiseAND(F.lit(0x3FF).cast("long"))))
+        return F.when(code < 128, x).when(code < 0x10000, four(code)).otherwise(pair)
+
+    plain = F.regexp_like(quoted, F.lit(r"\A[\x00-\x7f]*\z"))
+    return F.when(plain, quoted).otherwise(F.array_join(F.transform(F.regexp_extract_all(quoted, F.lit("(?s)."), F.lit(0)), written), ""))
+
+
+def python_number(c: Column) -> Column:
+    """The text of a JSON number as Python writes the number it reads: whole numbers as they stand, others shortest,
+    without an exponent from 1e-4 up to 1e16."""
+    value = F.abs(c.cast("double"))
+    # Java before 19 writes some numbers with a digit more than they need: sixteen digits are tried.
+    sixteen = F.format_string("%.15e", value)
+    java = F.when((F.length(F.regexp_replace(value.cast("string"), r"E.*|\D", "")) > 16) & (sixteen.cast("double") == value), F.regexp_replace(sixteen, r"0*e\+?(-?)0*(\d+)$", "E$1$2")).otherwise(value.cast("string"))
+    sign = F.when(F.startswith(c, F.lit("-")), "-").otherwise("")
+    parts = F.regexp_extract_all(java, F.lit(r"[0-9]+|E-?[0-9]+"), F.lit(0))
+
+    def shaped(p: Column) -> Column:
+        exponent = F.substring(F.get(p, F.lit(2)), 2, 9).cast("int")
+        rest = F.when(F.get(p, F.lit(1)) == "0", "").otherwise(F.get(p, F.lit(1)))
+        digits = F.concat(F.get(p, F.lit(0)), rest)
+        long = F.rpad(digits, 17, "0")
+        tail = F.regexp_replace(F.substr(long, exponent + 2), "0+$", "")
+        large = F.concat(F.substr(long, F.lit(1), exponent + 1), F.lit("."), F.when(tail == "", "0").otherwise(tail))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+        power = F.concat(F.get(p, F.lit(0)), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+        power = F.when(F.abs(exponent) > 99, F.regexp_replace(power, r"e([+-])\d\d$", F.concat(F.lit("e$1"), F.abs(exponent).cast("string")))).otherwise(power)
+        return F.when(exponent.isNull(), java).when(exponent.between(0, 15), large).when(exponent.between(-4, -1), small).otherwise(power)
+
+    whole = F.when(F.regexp_like(c, F.lit(r"\A-0+\z")), "0").otherwise(c)
+    special = F.when(F.startswith(java, F.lit("Inf")), "Infinity")
+    return F.when(~F.regexp_like(c, F.lit("[.eE]")), whole).otherwise(F.concat(sign, F.coalesce(special, let(parts, shaped))))
+
+
 def json_spaced(c: Column) -> Column:
-    """JSON with one space behind commas and colons and none elsewhere, strings and numbers as they stand."""
-    tokens = F.regexp_extract_all(c, F.lit(r'(?s)("(?:[^"\\]|\\.)*"|[^\s",:]+|[,:])'), F.lit(1))
-    return F.array_join(F.transform(tokens, lambda x: F.when(x.isin(",", ":"), F.concat(x, F.lit(" "))).otherwise(x)), "")
+    """JSON written anew: one space behind commas and colons and none elsewhere, strings in ASCII, numbers as Python has them."""
+    tokens = F.regexp_extract_all(c, F.lit(r'(?s)("(?:[^"\\]|\\.)*"|[^\s",:{}\[\]]+|[,:{}\[\]])'), F.lit(1))
+
+    def again(x: Column) -> Column:
+        said = F.get_json_object(F.concat(F.lit('{"s":'), x, F.lit("}")), "$.s")
+        number = F.regexp_like(x, F.lit(r"\A-?[0-9]"))
+        return F.when(x.isin(",", ":"), F.concat(x, F.lit(" "))).when(F.startswith(x, F.lit('"')), F.coalesce(ascii_string(said), x)).when(number, python_number(x)).otherwise(x)
+
+    return F.array_join(F.transform(tokens, again), "")
 
 
 def target(task: Column, reasoning: Column, answer: Column, with_thought: bool) -> Column:

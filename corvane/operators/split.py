@@ -8,19 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.operators.ranks import at_ranks
+
 
 def split_size(n: int, ratio: float) -> int:
     return max(1, int(n * ratio))
 
 
 def by_hash(rows: DataFrame, key: str, ratio: float = 0.05, seed: int = 42) -> DataFrame:
-    """split: the subjects with the least md5(seed, key) are validation. The ranks come from one sort by range."""
-    ids = rows.select(key).distinct()
-    n = ids.count()
-    if not n:
+    """split: the subjects with the least (md5(seed, key), key) are validation. The last of them is found by its rank;
+    rows are then told by comparison with it, without a join. A null key is never validation."""
+    md5 = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    ids = rows.select(md5.alias("h_"), key).distinct()
+    n = ids.filter(F.col(key).isNotNull()).count()
+    last = at_ranks(ids, ["h_", key], [split_size(n, ratio) - 1]) if n else {}
+    if not last:
         return rows.withColumn("split", F.lit("train"))
-    val = ids.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(split_size(n, ratio))
-    return rows.join(val.withColumn("v", F.lit(True)), key, "left").withColumn("split", F.when(F.col("v"), "val").otherwise("train")).drop("v")
+    (end,) = last.values()
+    low = (md5 < F.lit(end["h_"])) | ((md5 == F.lit(end["h_"])) & (F.col(key) <= F.lit(end[key]).cast(rows.schema[key].dataType)))
+    return rows.withColumn("split", F.when(low & F.col(key).isNotNull(), "val").otherwise("train"))
 
 
 def by_shuffle(rows: DataFrame, key: str, ratio: float = 0.05, seed: int = 42) -> DataFrame:

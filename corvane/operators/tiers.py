@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators.ranks import checkpointed, quantiles
 
 
 def signals(items: DataFrame, key: str = "video_id", text_col: str = "reasoning") -> DataFrame:
@@ -15,16 +16,23 @@ def signals(items: DataFrame, key: str = "video_id", text_col: str = "reasoning"
 
 
 def scored(sig: DataFrame) -> DataFrame:
-    """s_score from the signals and the median of the lengths. The median is one row, so its join is no shuffle of sig."""
-    med = sig.agg(F.expr("coalesce(percentile(avg_reasoning_len, 0.5), 0.0)").alias("med"))
-    score = F.least(F.col("timestamp_hits") / 6.0, F.lit(2.0)) * 1.2 + F.least(F.col("spatial_hits") / 4.0, F.lit(2.0)) * 1.0 + F.when(F.col("avg_reasoning_len") >= F.col("med"), 1.0).otherwise(0.0) * 0.6 - F.col("generic_ratio") * 5.0
-    return sig.join(F.broadcast(med)).withColumn("s_score", score).drop("med")
+    """s_score from the signals and the median of the lengths, which is found by ranks before the plan is made; the
+    signals are computed once."""
+    sig = checkpointed(sig)
+    med = F.lit(quantiles(sig, "avg_reasoning_len", [0.5])[0] or 0.0)
+    score = F.least(F.col("timestamp_hits") / 6.0, F.lit(2.0)) * 1.2 + F.least(F.col("spatial_hits") / 4.0, F.lit(2.0)) * 1.0 + F.when(F.col("avg_reasoning_len") >= med, 1.0).otherwise(0.0) * 0.6 - F.col("generic_ratio") * 5.0
+    return sig.withColumn("s_score", score)
 
 
 def tiers(sig: DataFrame, s_at: float = 75.0, a_at: float = 25.0) -> DataFrame:
     s = scored(sig)
-    cuts = s.agg(F.expr(f"percentile(s_score, {s_at / 100})").alias("s_cut"), F.expr(f"percentile(s_score, {a_at / 100})").alias("a_cut"))
-    return s.join(F.broadcast(cuts)).withColumn("tier", F.when(F.col("s_score") >= F.col("s_cut"), "S").when(F.col("s_score") >= F.col("a_cut"), "A").otherwise("B")).drop("s_cut", "a_cut")
+    return s.withColumn("tier", tier_of(s, "s_score", s_at, a_at))
+
+
+def tier_of(rows: DataFrame, score: str, s_at: float = 75.0, a_at: float = 25.0) -> Column:
+    """S, A or B by the percentiles of a score over all rows."""
+    s_cut, a_cut = quantiles(rows, score, [s_at / 100, a_at / 100])
+    return F.when(F.col(score) >= F.lit(s_cut), "S").when(F.col(score) >= F.lit(a_cut), "A").otherwise("B")
 
 
 def replicate(rows: DataFrame, weights: dict[str, int], tier: str = "tier") -> DataFrame:

@@ -25,20 +25,20 @@ def task_file(spark: SparkSession, path: str, task: str, task_ord: int = 0) -> D
     named = [r[0] for r in raw.filter("items is not null").select("metadata.task").distinct().limit(2).collect() if r[0]]
     if named and named != [task]:
         log.warning("%s says task %s, read as %s", path, named, task)
-    listed = raw.filter("items is not null").select(F.posexplode("items").alias("item_ord", "i")).select("item_ord", "i.*")
-    bare = raw.filter("items is null").withColumn("item_ord", F.monotonically_increasing_id().cast("int")).select("item_ord", "video_id", "question", "answer", "reasoning")
+    listed = raw.filter("items is not null").select(F.posexplode("items").alias("item_ord", "i")).select(F.col("item_ord").cast("long").alias("item_ord"), "i.*")
+    bare = raw.filter("items is null").withColumn("item_ord", F.monotonically_increasing_id()).select("item_ord", "video_id", "question", "answer", "reasoning")
     return listed.unionByName(bare).withColumns({"task": F.lit(task), "task_ord": F.lit(task_ord)})
 
 
 def all_tasks(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Missing files are reported and skipped. ord follows (task, item); items without video_id go."""
-    out = spark.createDataFrame([], f"item_ord int, {ITEM}, task string, task_ord int")
+    out = spark.createDataFrame([], f"item_ord long, {ITEM}, task string, task_ord int")
     for k, (task, path) in enumerate(paths.items()):
         if exists(spark, path):
             out = out.unionByName(task_file(spark, path, task, k))
         else:
             log.warning("no %s", path)
-    return out.filter("video_id is not null").withColumn("ord", F.col("task_ord").cast("long") * (1 << 32) + F.col("item_ord"))
+    return out.filter("video_id is not null").withColumn("ord", F.col("task_ord").cast("long") * (1 << 50) + F.col("item_ord"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -76,9 +76,10 @@ def first_filled(spark: SparkSession, paths: list[str], schema: str) -> DataFram
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """item_index,prediction; the last of repeated items counts."""
+    """item_index,prediction; the last of repeated items counts: of several files that of the last name, within a file
+    the last row. A file of quoted line breaks isn't split, so its rows are numbered in order."""
     raw = spark.read.schema("item_index string, prediction string").options(header=True, multiLine=True, escape='"').csv(path)
-    at = raw.select("*", F.monotonically_increasing_id().alias("k"))
+    at = raw.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("i")).alias("k"))
     return at.groupBy(F.col("item_index").alias("item")).agg(F.max_by(F.coalesce("prediction", F.lit("")), "k").alias("prediction"))
 
 

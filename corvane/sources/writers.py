@@ -11,9 +11,9 @@ from corvane.functions.rounding import python_round
 def jsonl(rows: DataFrame, path: str, order: list[str] | None = None, single: bool = False) -> None:
     """One JSON object a line, fields that are null left out, non-ASCII kept."""
     cols = rows.columns
-    out = rows.orderBy(*order) if order else rows
-    out = out.select(F.to_json(F.struct(*cols)).alias("value"))
-    (out.coalesce(1) if single else out).write.mode("overwrite").text(path)
+    out = rows.repartition(1) if single else rows  # the rows meet in one task, but aren't computed in it
+    out = (out.sortWithinPartitions(*order) if single else out.orderBy(*order)) if order else out
+    out.select(F.to_json(F.struct(*cols)).alias("value")).write.mode("overwrite").text(path)
 
 
 def split_jsonl(records: DataFrame, path: str) -> None:

@@ -11,6 +11,14 @@ def windowed_counts(stream: DataFrame, item: str, value: str, ts: str, pos: str,
     return w.agg(F.count("*").alias("k"), F.min(pos).alias("p"))
 
 
+def winners_stream(counts: DataFrame, width: str = "1 hour") -> DataFrame:
+    """The vote of each window and item as a stream, in append mode: a second aggregate over the windows of the counts,
+    which gives a window's winner once, when the watermark has passed its end. State: one row a window, item and
+    value, then one a window and item; both go with the watermark."""
+    w = counts.groupBy(F.window(F.window_time("window"), width).alias("window"), "item")
+    return w.agg(F.max_by("value", F.struct("k", (-F.col("p")).alias("q"))).alias("value"), F.sum("k").alias("n"))
+
+
 def winners(counts: DataFrame) -> DataFrame:
     """The vote of each window's counts; for batches, as in foreachBatch."""
     return counts.groupBy("window", "item").agg(F.max_by("value", F.struct("k", (-F.col("p")).alias("q"))).alias("value"), F.sum("k").alias("n"))

@@ -100,7 +100,7 @@ def test_interval_and_targets(spark):
     assert tuple(df.limit(1).select(interval_or_clip(F.col("x"), F.lit(75.5)).alias("i")).first()["i"]) == (5.0, 10.0)
     one = spark.createDataFrame([('{ "a":1.50,\n"b" : "x, y: \\"z\\"" ,"c":[1,2]}', "t")], "j string, r string")
     row = one.select(json_spaced(F.col("j")), target(F.lit("temporal_localization"), F.col("r"), F.col("j"), True), target(F.lit("open_qa"), F.lit(""), F.col("j"), True) == F.col("j")).first()
-    spaced = '{"a": 1.50, "b": "x, y: \\"z\\"", "c": [1, 2]}'
+    spaced = '{"a": 1.5, "b": "x, y: \\"z\\"", "c": [1, 2]}'
     assert tuple(row) == (spaced, f"<think>t</think>\n<answer>{spaced}</answer>", True)
     prompts = spark.createDataFrame([([0, 7, 1303],), ([],)], "i array<long>").select(timed_prompt(F.col("i"), F.lit(20.0), F.lit("Q?"))).collect()
     assert prompts[0][0] == "Video duration: 01:05.15. 3 frames sampled:\n[t=00:00.00] <image>\n[t=00:00.35] <image>\n[t=01:05.15] <image>\nQ?" and prompts[1][0] == "Video duration: 00:00.00. 0 frames sampled:\n\nQ?"
