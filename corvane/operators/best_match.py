@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import token_set
+from corvane.operators.ranks import checkpointed
 
 
-def best_match(texts: DataFrame, entries: DataFrame, key: str, entry: str, text_col: str = "text", entry_text: str = "text", probe: int = 2) -> DataFrame:
+def best_match(texts: DataFrame, entries: DataFrame, key: str, entry: str, text_col: str = "text", entry_text: str = "text", probe: int = 6) -> DataFrame:
     """key, entry, jaccard of each row of texts: the first entry among equals; null and 0 where no token is shared. Keys
     and entries are unique and not null.
 
@@ -20,28 +21,30 @@ def best_match(texts: DataFrame, entries: DataFrame, key: str, entry: str, text_
     e = entries.select(F.col(entry), token_set(F.col(entry_text)).alias("ys")).filter(F.size("ys") > 0)
     lists = e.select(entry, F.size("ys").alias("ny"), F.explode("ys").alias("token"))
     count = lists.groupBy("token").agg(F.count("*").alias("f"))
-    # A token's place in the order: how many entries hold it, then the token itself.
-    vocab = count.select("token", F.struct("f", "token").alias("r"))
-    of_entry = lists.join(vocab, "token").groupBy(entry, "ny").agg(F.array_sort(F.collect_list("r")).alias("ys"))
+    # A token's place in the order, as one text: how many entries hold it, then the token itself.
+    vocab = count.select("token", F.concat(F.lpad(F.col("f").cast("string"), 12, "0"), "token").alias("r"))
+    of_entry = checkpointed(lists.join(vocab, "token").groupBy(entry, "ny").agg(F.array_sort(F.collect_list("r")).alias("ys")))
     postings = of_entry.select(entry, "ny", F.posexplode("ys").alias("at_y", "r"))
 
     x = texts.select(F.col(key), token_set(F.col(text_col)).alias("xs"))
-    of_text = x.select(key, F.size("xs").alias("nx"), F.explode("xs").alias("token")).join(vocab, "token").groupBy(key, "nx").agg(F.array_sort(F.collect_list("r")).alias("xs"))
+    of_text = checkpointed(x.select(key, F.size("xs").alias("nx"), F.explode("xs").alias("token")).join(vocab, "token").groupBy(key, "nx").agg(F.array_sort(F.collect_list("r")).alias("xs")))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """(key, nx, xs, entry) -> with j."""
+        """(key, entry) -> with j. Pairs meet the entry's tokens first, then come to the text's, which don't move per pair."""
         both = F.size(F.array_intersect("xs", "ys")).cast("double")
-        return pairs.join(of_entry, entry).withColumn("j", both / (F.col("nx") + F.col("ny") - both))
+        return pairs.distinct().join(of_entry, entry).join(of_text, key).select(key, entry, (both / (F.col("nx") + F.col("ny") - both)).alias("j"))
 
     def least_shared(b: Column, n: Column) -> Column:
         return F.greatest(F.ceil(b * n - 1e-9), F.lit(1))
 
-    first = of_text.select(key, "nx", "xs", F.explode(F.slice("xs", 1, probe)).alias("r")).join(postings.select("r", entry), "r").select(key, "nx", "xs", entry).dropDuplicates([key, entry])
-    bound = compared(first).groupBy(key).agg(F.max("j").alias("b"))
-    own = of_text.join(bound, key)
-    most = F.least(F.size("xs"), F.col("ny"))
-    prefix = F.slice("xs", F.lit(1), F.greatest(F.size("xs") - least_shared(F.col("b"), F.col("nx")) + 1, F.lit(0)).cast("int"))
-    met = own.select(key, "nx", "xs", "b", F.explode(prefix).alias("r")).join(postings, "r")
+    rare = of_text.select(key, F.explode(F.slice("xs", 1, probe)).alias("r"))
+    first = checkpointed(compared(rare.join(postings.select("r", entry), "r").select(key, entry)))
+    own = of_text.join(first.groupBy(key).agg(F.max("j").alias("b")), key)
+    size = F.size("xs")
+    prefix = F.slice("xs", F.lit(1), F.greatest(size - least_shared(F.col("b"), F.col("nx")) + 1, F.lit(0)).cast("int"))
+    most = F.least(F.col("size"), F.col("ny"))
+    met = own.select(key, "nx", "b", size.alias("size"), F.explode(prefix).alias("r")).join(postings, "r")
     met = met.filter((F.col("at_y") <= F.col("ny") - least_shared(F.col("b"), F.col("ny"))) & (most >= (F.col("b") - 1e-9) * (F.col("nx") + F.col("ny") - most)))
-    found = compared(met.select(key, "nx", "xs", entry).dropDuplicates([key, entry])).groupBy(key).agg(F.max(F.struct("j", (-F.col(entry)).alias("k"))).alias("m"))
+    fresh = met.select(key, entry).distinct().join(first, [key, entry], "left_anti")
+    found = first.unionByName(compared(fresh)).groupBy(key).agg(F.max(F.struct("j", (-F.col(entry)).alias("k"))).alias("m"))
     return texts.select(key).join(found, key, "left").select(key, (-F.col("m.k")).alias(entry), F.coalesce("m.j", F.lit(0.0)).alias("jaccard"))
