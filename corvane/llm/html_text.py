@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import Tables
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>", re.S)
+SHOWN = re.compile(r">\s*[^<\s]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp template".split())
 JUNK = frozenset("head nav header footer aside form menu dialog svg canvas object button select script style textarea title noscript iframe template".split())
@@ -42,6 +43,10 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 BOX_WORDS = frozenset("area bar block body box buttons container content form footer header icons inner item items left link links list main menu nav overlay panel primary right row secondary section slot thread top unit widget wrap wrapper".split())
 NOT_ITSELF = frozenset("has hide hides no not show shows with without".split())
 ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: An element that isn't shown; quoted values are blanked before, but for style.
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+UNSHOWN = re.compile(r"(?:^|\s)style\s*=\s*(?:\"[^\"]*|'[^']*)\bdisplay\s*:\s*none", re.I)
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -51,6 +56,8 @@ def is_mark(value: str) -> bool:
         parts = [x for x in re.split("[-_]+", name) if x]
         if parts and parts[0] not in NOT_ITSELF and (parts[-1] in MARKS or parts[0] in MARKS and parts[-1] in BOX_WORDS):
             return True
+        if len(parts) == 1 and any(parts[0][:k] in MARKS and parts[0][k:] in BOX_WORDS for k in range(2, len(parts[0]) - 2)):
+            return True  # "commentlist"
     return False
 
 
@@ -106,6 +113,8 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, int, str]]]:
         marked = name not in ("html", "body", "article", "main") and any(is_mark(x[0] or x[1] or x[2]) for x in ATTR.findall(m[3]))
         if name == "article" and main and any(is_mark(x[0] or x[1] or x[2]) for x in ATTR.findall(m[3])):
             marked = True
+        if "hidden" in m[3].lower() and HIDDEN.search(QUOTED.sub('=""', m[3])) or "display" in m[3].lower() and UNSHOWN.search(m[3]):
+            marked = name not in ("html", "body")
         e = Element(name, m.start(), name in JUNK or marked, main > 0)
         elements.append(e)
         stack.append(e)
@@ -118,6 +127,7 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, int, str]]]:
                 tags.append((end.start(), end.end(), name))
     close(0, size)
     lift(page, elements)
+    lift_forms(page, elements, tags)
     return elements, tags
 
 
@@ -135,8 +145,49 @@ def lift(page: str, elements: list[Element]) -> None:
         x.junk = False
 
 
-def key(page: str, e: Element) -> int:
-    return xxhash.xxh3_64_intdigest(page[e.start : e.end].encode("utf-8", "surrogatepass")) - (1 << 63)
+def lift_forms(page: str, elements: list[Element], tags: list[tuple[int, int, str]]) -> None:
+    """On a page without <article> and <main>, a form that holds most of the text, most of it in paragraphs, headings
+    and the like, is a frame around the page and none to be filled in."""
+    forms = [e for e in elements if e.tag == "form" and e.junk]
+    if not forms or any(e.tag in ("article", "main") for e in elements):
+        return
+    for x in forms:
+        x.junk = False
+    starts, sums = main_chars(page, elements, tags)
+
+    def chars(e: Element) -> int:
+        return sums[bisect_left(starts, e.end)] - sums[bisect_left(starts, e.start)]
+
+    for x in forms:
+        prose, at = 0, x.start
+        for e in elements:
+            if e.tag in TEXT and at <= e.start < x.end:
+                prose, at = prose + chars(e), e.end
+        x.junk = not (2 * chars(x) > sums[-1] and 2 * prose > chars(x))
+
+
+class Shape:
+    """The page with tags reduced to their names: what a subtree's hash is made of, so an entry marked as the current
+    one, or links that differ, don't make two templates of one."""
+
+    def __init__(self, page: str, tags: list[tuple[int, int, str]]):
+        parts, self.at, self.to, last, size = [], [0], [0], 0, 0
+        for s, e, name in tags:
+            closing = "/" if page.startswith("</", s) else ""
+            for text, end in ((page[last:s], s), (f"<{closing}{name}>" if name else "", e)):
+                parts.append(text)
+                size += len(text)
+                self.at.append(end)
+                self.to.append(size)
+            last = e
+        parts.append(page[last:])
+        self.at.append(len(page))
+        self.to.append(size + len(parts[-1]))
+        self.text = "".join(parts)
+
+    def key(self, e: Element) -> int:
+        a, z = (self.to[bisect_left(self.at, x)] for x in (e.start, e.end))
+        return xxhash.xxh3_64_intdigest(self.text[a:z].encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def may_be_template(e: Element) -> bool:
@@ -144,8 +195,9 @@ def may_be_template(e: Element) -> bool:
 
 
 def main_roots(page: str, elements: list[Element]) -> list[tuple[int, int]]:
-    """Spans of what holds the main text: <article>, else <main>, else <body>, else the whole page."""
-    roots = [e for e in elements if e.tag == "article" and not e.in_main] or [e for e in elements if e.tag == "main" and not e.in_main] or [e for e in elements if e.tag == "body"]
+    """Spans of what holds the main text: <main> if it has text, else <article>, else <body>, else the whole page."""
+    mains = [e for e in elements if e.tag == "main" and not e.in_main and SHOWN.search(page, e.start, e.end)]
+    roots = mains or [e for e in elements if e.tag == "article" and not e.in_main] or [e for e in elements if e.tag == "body"]
     return [(e.start, e.end) for e in roots] or [(0, len(page))]
 
 
@@ -183,17 +235,19 @@ def subtree_hashes(page: str) -> tuple[bytes, list[int]]:
     main text is the page's own text, not its template."""
     elements, tags = parse(page)
     starts, sums = main_chars(page, elements, tags)
+    shape = Shape(page, tags)
 
     def own(e: Element) -> bool:
         return 2 * (sums[bisect_left(starts, e.end)] - sums[bisect_left(starts, e.start)]) > sums[-1]
 
     roots = "".join(page[s:e] for s, e in main_roots(page, elements))
-    return xxhash.xxh3_128_digest(roots.encode("utf-8", "surrogatepass")), list({key(page, e) for e in elements if may_be_template(e) and not own(e)})
+    return xxhash.xxh3_128_digest(roots.encode("utf-8", "surrogatepass")), list({shape.key(e) for e in elements if may_be_template(e) and not own(e)})
 
 
 def main_text(page: str, template: frozenset | set = frozenset()) -> str:
     elements, tags = parse(page)
-    gone = [(e.start, e.end) for e in elements if e.junk or template and may_be_template(e) and key(page, e) in template]
+    shape = Shape(page, tags) if template else None
+    gone = [(e.start, e.end) for e in elements if e.junk or shape and may_be_template(e) and shape.key(e) in template]
     spans, cuts = main_roots(page, elements), merged(gone)
     blocks: list[str] = []
     for lo, hi in spans:

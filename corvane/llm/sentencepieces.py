@@ -28,6 +28,44 @@ SPACE = "▁"
 NONE = np.int64(1 << 40)
 
 
+def fields(message: bytes) -> list[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer message's fields, numbers and byte strings."""
+    out, at = [], 0
+
+    def number() -> int:
+        nonlocal at
+        x = shift = 0
+        while True:
+            b = message[at]
+            at += 1
+            x |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return x
+
+    while at < len(message):
+        tag = number()
+        size = {0: None, 1: 8, 5: 4}.get(tag & 7, -1)
+        if size is None:
+            out.append((tag >> 3, number()))
+            continue
+        size = number() if size < 0 else size
+        out.append((tag >> 3, message[at : at + size]))
+        at += size
+    return out
+
+
+def check_model(proto: bytes) -> None:
+    """ValueError unless the model is a BPE model (trainer field 3 is 2) with the identity normaliser (field 1, its name)
+    that adds a space in front (3, if not 0) and keeps spaces (4, 0)."""
+    parts = dict(x for x in fields(proto) if x[0] in (2, 3))
+    trainer, norm = (dict(fields(parts.get(k, b""))) for k in (2, 3))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("not a BPE model")
+    if norm.get(1, b"") != b"identity" or not norm.get(3, 1) or norm.get(4, 1):
+        raise ValueError("the model's normaliser changes texts")
+
+
 class Pieces:
     """encode(texts) -> ids as little-endian u32 bytes; decode(ids) -> text. At most `words` chunks are kept."""
 
@@ -35,6 +73,7 @@ class Pieces:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        check_model(sp.serialized_model_proto())
         self.words, self.long, self.cache = words, long_chunk, {"": b""}
         n = sp.vocab_size()
         self.bytes_of: list[bytes] = [b""] * n
@@ -50,6 +89,8 @@ class Pieces:
                 self.bytes_of[i] = s.encode().replace(SPACE.encode(), b" ")
         if any(SPACE in s.lstrip(SPACE) for s, _, _ in pieces):
             raise ValueError("a piece crosses a word boundary")
+        if max(len(s) for s, _, _ in pieces) > 62:
+            raise ValueError("a piece of more than 62 letters")
         self.depth = -(-max(len(s) for s, _, _ in pieces) // 4) * 4
         self.letters = {c: k + 1 for k, c in enumerate(sorted({c for s, _, _ in pieces for c in s}))}
         top = max(map(ord, self.letters)) + 1
