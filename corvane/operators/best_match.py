@@ -21,8 +21,9 @@ def best_match(texts: DataFrame, entries: DataFrame, key: str, entry: str, text_
     e = entries.select(F.col(entry), token_set(F.col(entry_text)).alias("ys")).filter(F.size("ys") > 0)
     lists = e.select(entry, F.size("ys").alias("ny"), F.explode("ys").alias("token"))
     count = lists.groupBy("token").agg(F.count("*").alias("f"))
-    # A token's place in the order, as one text: how many entries hold it, then the token itself.
-    vocab = count.select("token", F.concat(F.lpad(F.col("f").cast("string"), 12, "0"), "token").alias("r"))
+    # Numbers that rise with a token's place in the order: written, so that every later read finds the same.
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    vocab = checkpointed(count.repartitionByRange(parts, "f", "token").sortWithinPartitions("f", "token").select("token", F.monotonically_increasing_id().alias("r")))
     of_entry = checkpointed(lists.join(vocab, "token").groupBy(entry, "ny").agg(F.array_sort(F.collect_list("r")).alias("ys")))
     postings = of_entry.select(entry, "ny", F.posexplode("ys").alias("at_y", "r"))
 

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+_LOCAL: list[str] = []
+
+
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """rows computed once and kept in the folder of spark.checkpoint.dir, for plans that look at them several times. On a
-    local master without that setting the folder is a temporary one; elsewhere it is an error."""
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        d = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not d and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(d or tempfile.mkdtemp(prefix="corvane-ranks-"))
-    return rows.checkpoint()
+    """rows computed once and written as a table below spark.checkpoint.dir, for plans that look at them several times. On
+    a local master without that setting the folder is a temporary one; elsewhere it is an error."""
+    spark = rows.sparkSession
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not d and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not d and not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="corvane-tables-"))
+    path = f"{(d or _LOCAL[0]).rstrip('/')}/corvane-tables/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def at_ranks(rows: DataFrame, by: list[str], ranks: list[int], parts: int | None = None) -> dict[int, Row]:
