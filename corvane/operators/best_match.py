@@ -9,7 +9,7 @@ from corvane.functions.text import token_set
 from corvane.operators.ranks import checkpointed
 
 
-def best_match(texts: DataFrame, entries: DataFrame, key: str, entry: str, text_col: str = "text", entry_text: str = "text", probe: int = 6) -> DataFrame:
+def best_match(texts: DataFrame, entries: DataFrame, key: str, entry: str, text_col: str = "text", entry_text: str = "text", probe: int = 6, small: int = 1_000_000) -> DataFrame:
     """key, entry, jaccard of each row of texts: the first entry among equals; null and 0 where no token is shared. Keys
     and entries are unique and not null.
 
@@ -25,15 +25,19 @@ def best_match(texts: DataFrame, entries: DataFrame, key: str, entry: str, text_
     parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     vocab = checkpointed(count.repartitionByRange(parts, "f", "token").sortWithinPartitions("f", "token").select("token", F.monotonically_increasing_id().alias("r")))
     of_entry = checkpointed(lists.join(vocab, "token").groupBy(entry, "ny").agg(F.array_sort(F.collect_list("r")).alias("ys")))
+    few = (of_entry.agg(F.sum("ny")).first()[0] or 0) <= small
     postings = of_entry.select(entry, "ny", F.posexplode("ys").alias("at_y", "r"))
 
     x = texts.select(F.col(key), token_set(F.col(text_col)).alias("xs"))
     of_text = checkpointed(x.select(key, F.size("xs").alias("nx"), F.explode("xs").alias("token")).join(vocab, "token").groupBy(key, "nx").agg(F.array_sort(F.collect_list("r")).alias("xs")))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """(key, entry) -> with j. Pairs meet the entry's tokens first, then come to the text's, which don't move per pair."""
+        """(key, entry) -> with j. A list of few tokens is broadcast, so pairs move as two numbers; of a longer one each
+        pair takes its entry's tokens along to the text's."""
         both = F.size(F.array_intersect("xs", "ys")).cast("double")
-        return pairs.distinct().join(of_entry, entry).join(of_text, key).select(key, entry, (both / (F.col("nx") + F.col("ny") - both)).alias("j"))
+        pairs = pairs.distinct()
+        met = pairs.join(of_text, key).join(F.broadcast(of_entry), entry) if few else pairs.join(of_entry, entry).join(of_text, key)
+        return met.select(key, entry, (both / (F.col("nx") + F.col("ny") - both)).alias("j"))
 
     def least_shared(b: Column, n: Column) -> Column:
         return F.greatest(F.ceil(b * n - 1e-9), F.lit(1))

@@ -96,7 +96,8 @@ def test_medoid_vectors(spark):
     assert got == want
 
 
-def test_best_match(spark):
+@pytest.mark.parametrize("small", [1_000_000, 0])
+def test_best_match(spark, small):
     from corvane.operators.best_match import best_match
 
     r = random.Random(8)
@@ -104,7 +105,7 @@ def test_best_match(spark):
     some = lambda n: " ".join(r.choice(words[: r.choice((5, 60))]) for _ in range(n))
     texts = [(k, some(r.choice((1, 4, 30)))) for k in range(300)] + [(900, None), (901, ""), (902, "unknown here"), (903, "W1, w2!")]
     entries = [(k, some(r.choice((1, 3, 12)))) for k in range(40)] + [(90, None), (91, ""), (92, "w1 w2"), (93, "w2 w1")]
-    got = {x["k"]: (x["e"], x["jaccard"]) for x in best_match(spark.createDataFrame(texts, "k long, text string").repartition(3), spark.createDataFrame(entries, "e long, text string"), "k", "e").collect()}
+    got = {x["k"]: (x["e"], x["jaccard"]) for x in best_match(spark.createDataFrame(texts, "k long, text string").repartition(3), spark.createDataFrame(entries, "e long, text string"), "k", "e", small=small).collect()}
     token = lambda s: set("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789 " else " " for c in (s or "").lower()).split())
     for k, text in texts:
         x = token(text)
