@@ -679,8 +679,9 @@ b AS (SELECT *, flatten(list_transform(spans, lambda v: {_spread_sql("v.s", "v.e
   list_filter(range(0, total), lambda f: len(list_filter(spans, lambda v: f >= v.s AND f <= v.e)) = 0) AS rest FROM s),
 c AS (SELECT *, least(32 - len(near), len(rest)) AS more, len(rest) - 1 AS top FROM b),
 p AS (SELECT k, total, list_sort(list_distinct(list_concat(near, CASE WHEN more <= 0 THEN CAST([] AS BIGINT[]) ELSE list_transform({_spread_sql("0", "top", "more")}, lambda j: rest[j + 1]) END))) AS idx FROM c),
-e AS (SELECT *, least(32, total) AS m, total - 1 AS z FROM p)
-SELECT k, idx, CASE WHEN len(idx) < 32 THEN list_sort(list_distinct(list_concat(idx, {_spread_sql("0", "z", "m")})))[1:32] ELSE list_sort(idx)[1:32] END AS filled FROM e""")
+e AS (SELECT *, list_filter(range(0, total), lambda f: NOT list_contains(idx, f)) AS free FROM p),
+f AS (SELECT *, least(32 - len(idx), len(free)) AS m, len(free) - 1 AS z FROM e)
+SELECT k, idx, CASE WHEN m > 0 THEN list_sort(list_distinct(list_concat(idx, list_transform({_spread_sql("0", "z", "m")}, lambda j: free[j + 1]))))[1:32] ELSE list_sort(idx)[1:32] END AS filled FROM f""")
 def frame_plan_tasks(spark, d):
     """All branches: around the answer's window, the question's, two of the question's, and none."""
     k = F.col("o_orderkey")
@@ -781,14 +782,6 @@ def descriptive_recipes(spark, d):
     return open_recipes(items, pools, c, compliant=True)
 
 
-@query("""WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL),
-p AS (SELECT a.label, a.vec_id, CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_cosine_similarity(a.x, b.x) END AS s FROM e a JOIN e b ON a.label = b.label),
-u AS (SELECT label, vec_id, sum(s) AS u, count(*) AS n FROM p GROUP BY 1, 2)
-SELECT label, arg_max(vec_id, (round(u, 9), -vec_id)) AS vec_id, max(n) AS n, round(max(u) / greatest(max(n) - 1, 1), 9) AS mean_similarity FROM u GROUP BY 1""")
-def medoid_embedding(spark, d):
-    return M.medoid_vectors(t(spark, d, "embeddings"), "label", "vec_id", "embedding").withColumn("mean_similarity", F.round("mean_similarity", 9))
-
-
 @query("""WITH m AS (SELECT o_custkey AS grp, o_orderkey AS item, CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN 'No' ELSE 'Yes' END AS p0, (o_orderkey % 11) / 11.0::DOUBLE AS m, CASE o_orderkey % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'unknown' END AS v FROM orders),
 t AS (SELECT *, CASE WHEN v <> 'unknown' AND m <= 0.5 THEN CASE WHEN v = 'yes' THEN 'Yes' ELSE 'No' END ELSE p0 END AS p FROM m),
 n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS c, row_number() OVER o AS r, coalesce(lead(p) OVER o, lag(p) OVER o) AS op, coalesce(lead(m) OVER o, lag(m) OVER o) AS om, coalesce(lead(v) OVER o, lag(v) OVER o) AS ov FROM t WINDOW o AS (PARTITION BY grp ORDER BY item)),
@@ -797,7 +790,7 @@ f AS (SELECT item, CASE WHEN c = 2 AND p = op AND (CASE WHEN dis AND NOT odis TH
 a AS (SELECT item, p FROM f UNION ALL SELECT -f.item - 1, CASE WHEN f.p = 'No' AND f.item % 3 = 0 THEN 'no, it is not' WHEN f.item % 2 = 0 THEN ' ' ELSE 'open text' END FROM f)
 SELECT item, CASE WHEN trim(p) <> '' THEN trim(p) WHEN item % 10 = -1 OR item % 10 = 0 THEN 'fall back' ELSE 'No' END AS prediction FROM a""")
 def final_answers(spark, d):
-    """Override, pair repair, no-stance texts and guard over closed items (each order) and open ones over closed items (each order) and open ones (below 0).."""
+    """Override, pair repair, no-stance texts and guard over closed items (each order) and open ones (ids below 0)."""
     from corvane.plans.assemble import finished
 
     o = t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("k"))

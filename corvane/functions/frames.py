@@ -40,24 +40,50 @@ def spread(first: Column, last: Column, n: Column) -> Column:
 def dense(first: Column, last: Column, n, total: Column) -> Column:
     a = F.greatest(F.lit(0), first)
     ends = F.struct(a.cast("long").alias("a"), F.greatest(a, F.least(total - 1, last)).cast("long").alias("z"))
-    return let(ends, lambda v: F.array_sort(F.array_distinct(spread(v["a"], v["z"], F.least(F.lit(n), v["z"] - v["a"] + 1)))))
+    return let(ends, lambda v: F.sort_array(F.array_distinct(spread(v["a"], v["z"], F.least(F.lit(n), v["z"] - v["a"] + 1)))))
 
 
-def outside(total: Column, closed: Column) -> Column:
-    """All frames in none of the closed intervals (array<struct<s, e>>)."""
-    every = F.when(total > 0, F.sequence(F.lit(0).cast("long"), (total - 1).cast("long"))).otherwise(_none())
-    return let(closed, lambda c: F.filter(every, lambda i: ~F.exists(c, lambda x: (i >= x["s"]) & (i <= x["e"]))))
+def covered(total: Column, closed: Column) -> Column:
+    """struct(parts, free) of closed intervals (array<struct<s, e>>; they may overlap, touch, repeat and leave the clip):
+    each interval's frames that no earlier one has, as (how many free frames lie before them, how many they are), and
+    how many frames of the clip are free. Work and memory follow the intervals, not the clip's length."""
+    last = (total - 1).cast("long")
+    clipped = F.transform(closed, lambda x: F.struct(F.greatest(F.lit(0).cast("long"), x["s"].cast("long")).alias("s"), F.least(last, x["e"].cast("long")).alias("e")))
+    start = F.struct(F.lit(-1).cast("long").alias("z"), F.lit(0).cast("long").alias("n"), F.array().cast("array<struct<before:bigint,n:bigint>>").alias("parts"))
 
+    def add(acc: Column, x: Column) -> Column:
+        def run(v: Column) -> Column:
+            part = F.struct((v["first"] - acc["n"]).alias("before"), v["n"].alias("n"))
+            grown = F.struct(x["e"].alias("z"), (acc["n"] + v["n"]).alias("n"), F.array_append(acc["parts"], part).alias("parts"))
+            return F.when(v["n"] > 0, grown).otherwise(acc)
 
-def uniform_of(pool: Column, n: Column) -> Column:
+        first = F.greatest(x["s"], acc["z"] + 1)
+        return let(F.struct(first.alias("first"), (x["e"] - first + 1).alias("n")), run)
+
+    def end(acc: Column) -> Column:
+        return F.struct(acc["parts"].alias("parts"), F.greatest(F.lit(0).cast("long"), total.cast("long") - acc["n"]).alias("free"))
+
+    return F.aggregate(F.sort_array(clipped), start, add, end)
+
+
+def nth_free(parts: Column, k: Column) -> Column:
+    """The k-th frame (from 0) in none of the intervals: k and the lengths of the parts with at most k free frames before."""
+    return F.aggregate(parts, k.cast("long"), lambda at, x: F.when(x["before"] <= k, at + x["n"]).otherwise(at))
+
+
+def uniform_outside(total: Column, closed: Column, n: Column) -> Column:
+    """n frames (all, if there are fewer) evenly over those in none of the closed intervals."""
 
     def run(v: Column) -> Column:
-        size = F.size(v["p"])
-        count = F.least(v["n"], size)
-        at = spread(F.lit(0), size - 1, count)
-        return F.when(count > 0, F.array_sort(F.array_distinct(F.transform(at, lambda i: F.element_at(v["p"], (i + 1).cast("int")))))).otherwise(_none())
+        count = F.least(v["n"].cast("long"), v["c"]["free"])
+        at = spread(F.lit(0), v["c"]["free"] - 1, count)
+        return F.when(count > 0, F.array_distinct(F.transform(at, lambda k: nth_free(v["c"]["parts"], k)))).otherwise(_none())
+
+    return let(F.struct(covered(total, closed).alias("c"), n.alias("n")), run)
+
 
-    return let(F.struct(pool.alias("p"), n.cast("int").alias("n")), run)
+def _points(idx: Column) -> Column:
+    return F.transform(idx, lambda i: F.struct(i.alias("s"), i.alias("e")))
 
 
 def uniform(total: Column, n: Column) -> Column:
@@ -78,16 +104,15 @@ def uniform_even(total: Column, n: int) -> Column:
 def resize(idx: Column, total: Column, n: int) -> Column:
     """Exactly n (made even) indices where the clip has them: every k-th of too many, filled up evenly if too few."""
     n += n % 2
-    every = F.when(total > 0, F.sequence(F.lit(0).cast("long"), (total - 1).cast("long"))).otherwise(_none())
 
     def cut(have: Column) -> Column:
         fewer = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(have, (F.floor(i * F.size(have) / n) + 1).cast("int"))))
         return F.when(F.size(have) > n, fewer).otherwise(have)
 
     def fill(have: Column) -> Column:
-        return F.slice(F.array_sort(F.array_union(have, uniform_of(F.array_except(every, have), F.lit(n) - F.size(have)))), 1, n)
+        return F.slice(F.sort_array(F.array_union(have, uniform_outside(total, _points(have), F.lit(n) - F.size(have)))), 1, n)
 
-    return let(let(F.array_sort(F.array_distinct(idx.cast("array<bigint>"))), cut), fill)
+    return let(let(F.sort_array(F.array_distinct(idx.cast("array<bigint>"))), cut), fill)
 
 
 def span(window: Column, fps: Column, total: Column) -> Column:
@@ -100,7 +125,7 @@ def plan(task: Column, question_pairs: Column, answer_window: Column, total: Col
 
     def around(window: Column, n: int) -> Column:
         def run(s: Column) -> Column:
-            return let(dense(s["s"], s["e"], n, total), lambda d: F.array_sort(F.array_union(d, uniform_of(outside(total, F.array(s)), F.lit(N_FRAMES) - F.size(d)))))
+            return let(dense(s["s"], s["e"], n, total), lambda d: F.sort_array(F.array_union(d, uniform_outside(total, F.array(s), F.lit(N_FRAMES) - F.size(d)))))
 
         return let(span(window, fps, total), run)
 
@@ -108,7 +133,7 @@ def plan(task: Column, question_pairs: Column, answer_window: Column, total: Col
 
     def around_all(two: Column) -> Column:
         parts = F.flatten(F.transform(two, lambda s: dense(s["s"], s["e"], DENSE_CAUSAL, total)))
-        return let(parts, lambda d: F.array_sort(F.array_union(d, uniform_of(outside(total, two), F.lit(N_FRAMES) - F.size(d)))))
+        return let(parts, lambda d: F.sort_array(F.array_union(d, uniform_outside(total, two, F.lit(N_FRAMES) - F.size(d)))))
 
     causal = let(F.transform(F.slice(question_pairs, 1, 2), lambda w: span(w, fps, total)), around_all)
     return (
@@ -120,8 +145,9 @@ def plan(task: Column, question_pairs: Column, answer_window: Column, total: Col
 
 
 def filled(idx: Column, total: Column) -> Column:
-    """Filled to N_FRAMES from an even spread of the clip, then cut."""
-    return F.slice(F.array_sort(F.when(F.size(idx) < N_FRAMES, F.array_union(idx, uniform(total, F.lit(N_FRAMES)))).otherwise(idx)), 1, N_FRAMES)
+    """Filled to N_FRAMES evenly from the frames that aren't in idx, then cut."""
+    more = lambda have: F.array_union(have, uniform_outside(total, _points(have), F.lit(N_FRAMES) - F.size(have)))
+    return let(idx, lambda have: F.slice(F.sort_array(F.when(F.size(have) < N_FRAMES, more(have)).otherwise(have)), 1, N_FRAMES))
 
 
 def adaptive_count(duration: Column, fps: Column, cap: int, floor: int = 8) -> Column:
@@ -159,7 +185,7 @@ def fit_size(width: Column, height: Column, longest: int) -> Column:
 # --- grids
 
 def shown_grid(idx: Column, fps: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(idx, lambda i: python_round(i / F.when(fps > 0, fps).otherwise(30.0), 1))))
+    return F.sort_array(F.array_distinct(F.transform(idx, lambda i: python_round(i / F.when(fps > 0, fps).otherwise(30.0), 1))))
 
 
 def _after(grid: Column, s: Column, e: Column) -> Column:

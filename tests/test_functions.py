@@ -104,3 +104,31 @@ def test_interval_and_targets(spark):
     assert tuple(row) == (spaced, f"<think>t</think>\n<answer>{spaced}</answer>", True)
     prompts = spark.createDataFrame([([0, 7, 1303],), ([],)], "i array<long>").select(timed_prompt(F.col("i"), F.lit(20.0), F.lit("Q?"))).collect()
     assert prompts[0][0] == "Video duration: 01:05.15. 3 frames sampled:\n[t=00:00.00] <image>\n[t=00:00.35] <image>\n[t=01:05.15] <image>\nQ?" and prompts[1][0] == "Video duration: 00:00.00. 0 frames sampled:\n\nQ?"
+
+
+def test_frames_outside_intervals(spark):
+    """Against all frames listed: intervals that overlap, touch, are empty, repeat or leave the clip; clips without frames."""
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from corvane.functions import frames as N
+
+    def even(pool, n):
+        n = min(n, len(pool))
+        return sorted({pool[j] for j in np.linspace(0, len(pool) - 1, n).astype(int)}) if n > 0 else []
+
+    r, rows = random.Random(1), []
+    for i in range(200):
+        spans = [(a, a + r.randint(-2, 40)) for a in (r.randint(-5, 210) for _ in range(r.randint(0, 4)))]
+        total = r.choice([0, 1, 5, 40, 200])
+        rows.append((i, total, spans, r.randint(0, 40), sorted(r.sample(range(total), min(total, r.randint(0, 40))))))
+    df = spark.createDataFrame(rows, "i int, total int, spans array<struct<s:int,e:int>>, n int, idx array<bigint>")
+    for x in df.select("*", N.uniform_outside(F.col("total"), F.col("spans"), F.col("n")).alias("out"), N.filled(F.col("idx"), F.col("total")).alias("full")).collect():
+        assert x.out == even([f for f in range(x.total) if not any(a <= f <= z for a, z in x.spans)], x.n)
+        have = list(x.idx)
+        more = even([f for f in range(x.total) if f not in have], 32 - len(have))
+        assert x.full == sorted(set(have + more))[:32]
+    long = spark.range(1).select(N.uniform_outside(F.lit(1 << 40), F.array(F.struct(F.lit(5).alias("s"), F.lit(9).alias("e"))), F.lit(3)).alias("o")).first()["o"]
+    assert long[0] == 0 and long[-1] == (1 << 40) - 1 and len(long) == 3
