@@ -34,3 +34,14 @@ def merge(train: DataFrame, external: DataFrame, video_dir: str) -> DataFrame:
     a = train.filter("split = 'train'").withColumns({"video_path": F.concat(F.lit(video_dir.rstrip("/") + "/"), F.col("video_id")), "tier": F.coalesce("tier", F.lit("B")), "source": F.lit("challenge")})
     b = external.withColumns({"question": F.lit("") if "question" not in external.columns else F.col("question"), "tier": F.lit("A"), "source": F.lit("external")})
     return a.select(*cols, F.lit(0).alias("src_ord")).unionByName(b.select(*cols, F.lit(1).alias("src_ord")))
+
+
+def write_merged(train: DataFrame, external: DataFrame | None, video_dir: str, path: str, tasks: list[str]) -> dict[str, dict[str | None, int]]:
+    """The merged corpus as JSON lines below path, and its counts by source and by task, taken while it is written. tasks
+    are those expected; others are counted too. Without external records the challenge's stand alone. Records of the two
+    sources stay apart in files, the challenge's first; nothing is sorted for it."""
+    from corvane.sources.writers import counted_jsonl
+
+    none = "video_path string, task string, answer string, reasoning string"
+    both = merge(train, train.sparkSession.createDataFrame([], none) if external is None else external, video_dir)
+    return counted_jsonl(both.drop("src_ord"), path, {"source": ["challenge", "external"], "task": tasks})

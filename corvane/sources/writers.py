@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corvane.functions.rounding import python_round
@@ -16,6 +16,30 @@ def jsonl(rows: DataFrame, path: str, order: list[str] | None = None, single: bo
     out.select(F.to_json(F.struct(*cols)).alias("value")).write.mode("overwrite").text(path)
 
 
+def counted_jsonl(rows: DataFrame, path: str, known: dict[str, list[str]]) -> dict[str, dict[str | None, int]]:
+    """Writes one JSON object a line, null fields kept, and returns how many rows each value of some columns has.
+
+    Values named in `known` are counted while the rows are written, in the writing tasks themselves, so nothing is read
+    twice and a repeated attempt of a task isn't counted twice. Only if rows are left over (other values, or null) are
+    they counted from the written files. Values without rows are left out."""
+    watch = Observation()
+    named = {f"n{i}_{j}": (c, v) for i, (c, vs) in enumerate(known.items()) for j, v in enumerate(vs)}
+    counts = [F.count_if(F.col(c) == v).alias(name) for name, (c, v) in named.items()]
+    lines = rows.observe(watch, F.count("*").alias("all"), *counts)
+    lines.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    seen = watch.get
+    out: dict[str, dict[str | None, int]] = {c: {} for c in known}
+    for name, (c, v) in named.items():
+        if seen[name]:
+            out[c][v] = seen[name]
+    for c, vs in known.items():
+        if sum(out[c].values()) < seen["all"]:
+            back = rows.sparkSession.read.schema(rows.select(c).schema).json(path)
+            rest = back.filter(F.col(c).isNull() | ~F.col(c).isin(*vs)).groupBy(c).count()
+            out[c] |= {r[c]: r["count"] for r in rest.collect()}
+    return out
+
+
 def split_jsonl(records: DataFrame, path: str) -> None:
     """A folder split=train and one split=val; records keep their split column."""
     records.withColumn("part", F.col("split")).select("part", F.to_json(F.struct(*records.columns)).alias("value")).withColumnRenamed("part", "split").write.mode("overwrite").partitionBy("split").text(path)
