@@ -21,7 +21,7 @@ from corvane.operators import split as S
 from corvane.operators import tiers as Q
 from corvane.operators import vote as V
 from corvane.operators.asof import nearest_keys
-from corvane.operators.ranks import checkpointed
+from corvane.operators.ranks import checkpointed, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -804,6 +804,81 @@ def final_answers(spark, d):
     return finished(pred, o.select(F.col("o_custkey").alias("group"), k.alias("item"), k.alias("ord")), verdicts, margins, o.select((-k - 1).alias("item"), k.alias("sibling")), texts, back)
 
 
+# --- written and read back -----------------------------------------------------------------------------------------
+
+@query("""SELECT doc_id AS id, 'videos/' || source || '/' || doc_id AS video_path, coalesce(lang, 'none') AS task, text AS answer, source AS reasoning, 'B' AS tier, 'challenge' AS source FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT -conv_id * 1000 - turn, 'c/' || conv_id, role, text, NULL, 'A', 'external' FROM conversations""")
+def merged_corpus(spark, d):
+    """The merged corpus as its files give it back: training records and external ones in one form, null fields kept."""
+    from corvane.plans.corpus import write_merged
+    from corvane.sources.readers import jsonl
+
+    x = t(spark, d, "documents")
+    train = x.select(F.concat_ws("/", "source", "doc_id").alias("video_id"), F.coalesce("lang", F.lit("none")).alias("task"), F.concat(F.lit("d"), "doc_id").alias("question"), F.col("text").alias("answer"), F.col("source").alias("reasoning"), F.lit(None).cast("string").alias("tier"), F.when(F.col("doc_id") % 7 == 0, "val").otherwise("train").alias("split"))
+    c = t(spark, d, "conversations")
+    other = c.select(F.concat(F.lit("c/"), "conv_id").alias("video_path"), F.col("role").alias("task"), F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("question"), F.col("text").alias("answer"), F.lit(None).cast("string").alias("reasoning"))
+    path = shared_folder(spark)
+    write_merged(train, other, "videos", path, ["none", "user", "assistant"])
+    back = jsonl(spark, path, "video_path string, task string, question string, answer string, reasoning string, tier string, source string")
+    number = lambda k: F.element_at(F.split("question", "-"), k).cast("long")
+    key = F.when(F.col("source") == "external", -number(2) * 1000 - number(3)).otherwise(F.substring("question", 2, 30).cast("long"))
+    return back.select(key.alias("id"), "video_path", "task", "answer", "reasoning", "tier", "source")
+
+
+@query("""SELECT l_orderkey AS item, arg_max(l_returnflag || ' ' || l_partkey, (l_linenumber, l_returnflag || ' ' || l_partkey)) AS value, max(l_linenumber) AS number FROM lineitem GROUP BY 1""")
+def pool_log(spark, d):
+    """A pool written as three batches by line number, compacted after the second: the last batch of an item counts."""
+    from corvane.sources import pool_log as L
+
+    rows = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.concat_ws(" ", "l_returnflag", "l_partkey").alias("value"), F.col("l_linenumber").cast("int").alias("number"))
+    path, schema = shared_folder(spark), "item long, value string, number int"
+    for k, some in enumerate((F.col("number") <= 2, F.col("number").between(3, 4), F.col("number") > 4)):
+        L.append(P.last_wins(rows.filter(some), "item", F.struct("number", "value")).select("item", "value", "number"), path)
+        if k == 1:
+            L.compact(spark, path, schema)
+    return L.current(spark, path, schema)
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS item, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || ', ' || o_orderdate WHEN o_orderkey % 3 = 1 THEN 'say "' || o_orderpriority || '",' || chr(10) || 'then' ELSE '' END AS prediction FROM orders""")
+def submissions(spark, d):
+    """Predictions with quotes, commas and line breaks through the CSV sink and scan; a later file overrides an earlier."""
+    from corvane.sources import readers, writers
+
+    k = F.col("o_orderkey")
+    o = t(spark, d, "orders").select(k.cast("string").alias("item"), F.when(k % 3 == 0, F.concat_ws(", ", "o_orderstatus", F.col("o_orderdate").cast("string"))).when(k % 3 == 1, F.concat(F.lit('say "'), "o_orderpriority", F.lit('",\nthen'))).otherwise("").alias("prediction"), k.alias("k"))
+    path = shared_folder(spark)
+    writers.submission(o.filter(k % 5 != 1).select("item", F.lit("old").alias("prediction")), f"{path}/part=1")
+    writers.submission(o.select("item", "prediction"), f"{path}/part=2")
+    return readers.predictions(spark, path)
+
+
+#: Answers of `digest_client`: by the first digit of the digest of prompt and draw.
+_SAID = "md5({0} || '|' || {1})"
+_ROTATED = "opts[(k + {0}) % 4 + 1]"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, conv_id || '-' || turn AS item, coalesce(text, '') AS text, (conv_id + turn) % 3 AS form FROM conversations WHERE (conv_id + turn) % 5 <> 0),
+v AS (SELECT item, 'bcq' AS task, list_transform(range(5), lambda k: {_SAID.format("text", "k")}) AS m FROM c WHERE form = 0),
+s AS (SELECT item, 'bcq_openended' AS task, list_transform(range(5), lambda k: {_SAID.format("text", "k")}) AS m FROM c WHERE form = 1),
+o AS (SELECT item, ['one ' || conv_id, 'two', 'three ' || turn, 'four'] AS opts FROM c WHERE form = 2),
+q AS (SELECT item, k, opts, md5('Which is it?' || chr(10) || 'A. ' || {_ROTATED.format(0)} || chr(10) || 'B. ' || {_ROTATED.format(1)} || chr(10) || 'C. ' || {_ROTATED.format(2)} || chr(10) || 'D. ' || {_ROTATED.format(3)} || chr(10) || 'Choose the correct option. Answer with the letter.|0') AS m FROM o, range(4) r(k)),
+p AS (SELECT item, list(opts[(k + ascii(m[1]) % 4) % 4 + 1] ORDER BY k) AS picks FROM q GROUP BY 1)
+SELECT item, task, list_transform(m, lambda x: CASE WHEN x[1] < '8' THEN 'yes' ELSE 'no' END) AS votes, CAST([] AS VARCHAR[]) AS picks, CAST([] AS VARCHAR[]) AS samples FROM v
+UNION ALL SELECT item, task, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), list_transform(m, lambda x: CASE WHEN x[1] < '8' THEN 'Yes ' ELSE 'No ' END || x) FROM s
+UNION ALL SELECT item, 'mcq', CAST([] AS VARCHAR[]), picks, CAST([] AS VARCHAR[]) FROM p""")
+def generator_candidates(spark, d):
+    """Votes, samples and picks of the second model for all turns that aren't done yet (a fifth are)."""
+    from corvane.plans.candidates import candidates
+    from corvane.sources.generate import digest_client
+
+    k = (F.col("conv_id") + F.col("turn")) % 3
+    c = t(spark, d, "conversations").withColumn("item", F.concat_ws("-", "conv_id", "turn"))
+    listed = F.concat(F.lit("Which is it?\nA. one "), "conv_id", F.lit("\nB. two\nC. three "), "turn", F.lit("\nD. four?\nAnswer with the letter."))
+    items = c.select("item", F.when(k == 0, "bcq").when(k == 1, "bcq_openended").otherwise("mcq").alias("task"), F.when(k == 2, listed).otherwise(F.col("text")).alias("question"), F.lit("v").alias("video"))
+    done = c.filter((F.col("conv_id") + F.col("turn")) % 5 == 0).select("item", F.lit(None).cast("string").alias("err"))
+    return candidates(items, done, "second", digest_client).select("item", "task", "votes", "picks", "samples")
+
+
 # --- no SQL: model calls behind fakes, whole plans ---------------------------------------------------------------------
 
 @query()

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,16 +14,21 @@ from pyspark.sql import functions as F
 _LOCAL: list[str] = []
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """rows computed once and written as a table below spark.checkpoint.dir, for plans that look at them several times. On
-    a local master without that setting the folder is a temporary one; elsewhere it is an error."""
-    spark = rows.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name below spark.checkpoint.dir. On a local master without that setting it lies in a temporary folder;
+    elsewhere that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not d and not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="corvane-tables-"))
-    path = f"{(d or _LOCAL[0]).rstrip('/')}/corvane-tables/{uuid.uuid4().hex}"
+    return f"{(d or _LOCAL[0]).rstrip('/')}/corvane-tables/{uuid.uuid4().hex}"
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows computed once and written as a table in a shared folder, for plans that look at them several times."""
+    spark = rows.sparkSession
+    path = shared_folder(spark)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 

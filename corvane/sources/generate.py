@@ -34,6 +34,22 @@ def fake_client() -> Client:
     return ask
 
 
+def digest_client() -> Client:
+    """Deterministic answers to questions for tests: `Yes` or `No` by the first digit of the digest of prompt and draw, with
+    the digest; to questions that ask for a letter one by the same digit."""
+
+    def ask(calls: list[dict]) -> list:
+        def say(prompt: str, k: int) -> str:
+            m = hashlib.md5(f"{prompt}|{k}".encode()).hexdigest()
+            if prompt.endswith("Answer with the letter."):
+                return f"({'ABCD'[ord(m[0]) % 4]})."
+            return f"{'Yes' if m[0] < '8' else 'No'} {m}"
+
+        return [[say(c["prompt"], k) for k in range(c["n"])] for c in calls]
+
+    return ask
+
+
 def generate(work: DataFrame, done: DataFrame, factory: Callable[[], Client], n: int = 12, temperature: float = 0.8, keep_errors: bool = True, retry_errors: bool = False, fail_fast: bool = False) -> DataFrame:
     """work (item, task, prompt) not in done -> SCHEMA. An error is a finished row with err (keep_errors), no row, or
     ends the run (fail_fast)."""
