@@ -879,6 +879,30 @@ def generator_candidates(spark, d):
     return candidates(items, done, "second", digest_client).select("item", "task", "votes", "picks", "samples")
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 97 + 1 AS total, o_orderkey % 3 AS form FROM orders), c AS (SELECT *, least(32, total) AS n FROM o),
+p AS (SELECT *, CASE WHEN form = 0 THEN range(0, 64, 2) ELSE list_sort(list_distinct([CASE WHEN n = 1 THEN 0 WHEN i = n - 1 THEN total - 1 ELSE floor(i * ((total - 1)::DOUBLE / (n - 1)))::BIGINT END FOR i IN range(n)])) END AS idx FROM c)
+SELECT k, form = 0 AS cached, idx, CASE form WHEN 0 THEN 0 WHEN 1 THEN greatest(0, len(idx) - 5) ELSE len(idx) END AS to_decode, CASE k % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS turns,
+  'f/v__' || k || '__' || md5('v/' || k || '.mp4Is it?')[1:8] || '/frame_00000.jpg' AS first_image FROM p""")
+def keyframe_stage(spark, d):
+    """Records of all orders against a listing in which a third of the sets are whole, a third hold five frames and the
+    rest are absent: indices, frames still to be decoded, and copies by tier."""
+    from corvane.plans import keyframes as Y
+
+    k = F.col("k")
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    r = o.select("k", F.concat(F.lit("v/"), k, F.lit(".mp4")).alias("video_id"), F.lit("bcq").alias("task"), F.lit("Is it?").alias("question"), F.lit("Yes").alias("answer"), F.lit("").alias("reasoning"), F.lit(1.0).alias("init_weight"), F.when(k % 4 == 0, "S").when(k % 4 == 1, "A").when(k % 4 == 2, "B").alias("tier"))
+    slug = T.slug(F.col("video_id"), F.col("question"))
+    there = F.when(k % 3 == 0, 32).otherwise(5)
+    name = lambda i: F.concat(F.lit("f/"), slug, F.lit("/frame_"), F.lpad(i.cast("string"), 5, "0"), F.lit(".jpg"))
+    listing = r.filter(k % 3 < 2).select(F.explode(F.transform(F.sequence(F.lit(0), there - 1), name)).alias("path"))
+    saved = r.filter(k % 3 == 0).select(slug.alias("slug"), F.sequence(F.lit(0), F.lit(62), F.lit(2)).cast("array<bigint>").alias("idx"), F.lit(25.0).alias("fps"))
+    staged = checkpointed(Y.stage(r, r.select("video_id", (k % 97 + 1).alias("total"), F.lit(30.0).alias("fps")), Y.whole_sets(listing, saved), "f"))
+    todo = Y.missing_frames(staged, listing).groupBy("video_id").agg(F.count("*").alias("n"))
+    turns = Y.training_turns(staged, True).groupBy(F.col("images")[0].alias("first_image")).agg(F.count("*").cast("int").alias("turns"))
+    out = staged.withColumn("first_image", F.col("images")[0]).join(todo, "video_id", "left").join(turns, "first_image")
+    return out.select("k", "cached", "idx", F.coalesce("n", F.lit(0)).cast("int").alias("to_decode"), "turns", "first_image")
+
+
 # --- no SQL: model calls behind fakes, whole plans ---------------------------------------------------------------------
 
 @query()
