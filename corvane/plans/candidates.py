@@ -1,7 +1,8 @@
 """Candidate generation as one plan: a generator is a table of steps, and all generators run the same way.
 
 An item becomes one row with all its requests, is asked in its partition, and its answers are read into votes, picks and
-samples by column functions. Nothing is shuffled and nothing is grouped: an item never leaves its row."""
+samples by column functions. Items are shuffled only against what is done already, and nothing is grouped: an item never
+leaves its row."""
 
 from __future__ import annotations
 
