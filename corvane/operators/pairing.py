@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,17 +19,26 @@ def _both_ways(first: DataFrame) -> DataFrame:
 
 
 def choice_siblings(items: DataFrame, closed: str = "mcq", open_: str = "mcq_openended", least: int = 3) -> DataFrame:
-    """items (item, video, task, question, ord): equal stem and at least `least` common normal options. Each x takes its
-    first y. Only lines that look like options are parsed; a question without four of them shares none."""
+    """items (item, video, task, question, ord): equal stem and at least `least` (1 to 4) common normal options. Each x
+    takes its first y. Only lines that look like options are parsed; a question without four of them shares none.
 
-    def side(task: str, name: str) -> DataFrame:
-        q = items.filter((F.col("task") == task) & F.regexp_like(T.text("question"), F.lit(T.MARK)))
-        opts = F.array_distinct(T.normal_options(T.options(F.col("question"))))
-        return q.select("video", T.stem(F.col("question")).alias("stem"), F.col("item").alias(name), F.col("ord").alias(f"o{name}"), opts.alias(f"{name}_opts"))
+    Two sets share `least` options exactly if they share a subset of that size, and four options have six such subsets
+    at most. So questions meet by (video, stem, subset), where only the first y of each key is kept: no pairs of a stem
+    are made, and the work grows with the number of questions."""
+    if not 1 <= least <= len(T.LETTERS):
+        raise ValueError(f"least must lie between 1 and {len(T.LETTERS)}: {least}")
+    keys = ["video", "stem", "shared"]
 
-    met = side(closed, "x").join(side(open_, "y"), ["video", "stem"]).filter(F.expr(f"size(array_intersect(x_opts, y_opts)) >= {least}"))
-    first = met.groupBy("x").agg(F.min(F.struct("oy", "ox", "y")).alias("m")).select("x", "m.*")
-    return _both_ways(first)
+    def side(task: str) -> DataFrame:
+        q = items.filter((F.col("task") == task) & F.regexp_like(T.text("question"), F.lit(T.MARK)))
+        opts = F.array_sort(F.array_distinct(T.normal_options(T.options(F.col("question")))))
+        q = q.select("video", T.stem(F.col("question")).alias("stem"), "item", "ord", opts.alias("o")).filter("video is not null and stem is not null")
+        subsets = F.array(*(F.array(*(F.get("o", F.lit(i)) for i in some)) for some in combinations(range(len(T.LETTERS)), least)))
+        return q.select("video", "stem", "item", "ord", F.explode(F.filter(subsets, lambda x: F.forall(x, lambda v: v.isNotNull()))).alias("shared"))
+
+    first = side(open_).groupBy(*keys).agg(F.min(F.struct(F.col("ord").alias("oy"), F.col("item").alias("y"))).alias("m"))
+    met = side(closed).select(*keys, F.col("item").alias("x"), F.col("ord").alias("ox")).join(first, keys)
+    return _both_ways(met.groupBy("x").agg(F.min(F.struct("m.oy", "ox", "m.y")).alias("m")).select("x", "m.*"))
 
 
 def stance_siblings(items: DataFrame, closed: str = "bcq", open_: str = "bcq_openended") -> DataFrame:

@@ -154,6 +154,29 @@ def test_siblings_without_keys_or_options(spark):
     assert J.choice_siblings(items.limit(0)).count() == 0
 
 
+def test_choice_siblings_equal_all_pairs(spark):
+    """Against all pairs: repeated options, a hot stem, ties in order, other numbers of common options."""
+    import random
+
+    rng, norm = random.Random(5), lambda o: o.lower()
+    rows = [(f"q{k}", rng.choice([1, 1, 1, 2, None]), rng.choice(["mcq", "mcq_openended"]), [rng.choice("abcdef") for _ in "ABCD"], rng.randrange(40)) for k in range(120)]
+    asked = [(i, v, t, "Which?\n" + "\n".join(f"{x}. {o}" for x, o in zip("ABCD", os)), n) for i, v, t, os, n in rows]
+    items = spark.createDataFrame(asked, "item string, video long, task string, question string, ord long")
+    for least in (1, 3, 4):
+        first = {}
+        for i, v, t, os, n in rows:
+            near = [(m, j) for j, w, u, ps, m in rows if t == "mcq" and u == "mcq_openended" and v is not None and v == w and len(set(map(norm, os)) & set(map(norm, ps))) >= least]
+            if near:
+                first[i] = (min(near)[1], n)
+        last = {}
+        for x, (y, n) in first.items():
+            last[y] = max(last.get(y, (-1, "")), (n, ""))
+        got = J.choice_siblings(items, least=least).collect()
+        assert {(r["item"], r["sibling"]) for r in got if r["item"] in first} == {(x, y) for x, (y, _) in first.items()}
+        back = {r["item"]: r["sibling"] for r in got if r["item"] in last}
+        assert set(back) == set(last) and all(first[x] == (y, last[y][0]) for y, x in back.items())
+
+
 def test_decisions_in_order(spark):
     """A judge overrides, then equal pairs part, then an open item follows its closed one, then blanks are filled."""
     from corvane.plans.assemble import finished
