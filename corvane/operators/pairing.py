@@ -30,11 +30,12 @@ def choice_siblings(items: DataFrame, closed: str = "mcq", open_: str = "mcq_ope
     keys = ["video", "stem", "shared"]
 
     def side(task: str) -> DataFrame:
+        # explode_outer: for explode the optimizer adds a filter that parses the question once for each use of o.
         q = items.filter((F.col("task") == task) & F.regexp_like(T.text("question"), F.lit(T.MARK)))
         opts = F.array_sort(F.array_distinct(T.normal_options(T.options(F.col("question")))))
-        q = q.select("video", T.stem(F.col("question")).alias("stem"), "item", "ord", opts.alias("o")).filter("video is not null and stem is not null")
+        q = q.select("video", T.stem(F.col("question")).alias("stem"), "item", "ord", opts.alias("o"))
         subsets = F.array(*(F.array(*(F.get("o", F.lit(i)) for i in some)) for some in combinations(range(len(T.LETTERS)), least)))
-        return q.select("video", "stem", "item", "ord", F.explode(F.filter(subsets, lambda x: F.forall(x, lambda v: v.isNotNull()))).alias("shared"))
+        return q.select("video", "stem", "item", "ord", F.explode_outer(F.filter(subsets, lambda x: F.forall(x, lambda v: v.isNotNull()))).alias("shared"))
 
     first = side(open_).groupBy(*keys).agg(F.min(F.struct(F.col("ord").alias("oy"), F.col("item").alias("y"))).alias("m"))
     met = side(closed).select(*keys, F.col("item").alias("x"), F.col("ord").alias("ox")).join(first, keys)
