@@ -768,9 +768,9 @@ n AS (SELECT item, part, pos, value FROM x UNION ALL SELECT item, part, pos, val
 c AS (SELECT item, value, row_number() OVER (PARTITION BY item ORDER BY part, pos) AS pos FROM n)"""
 
 
-@query(_medoid_sql("""SELECT item, value, pos FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY pos) AS k FROM (SELECT item, value, min(pos) AS pos FROM c GROUP BY 1, 2)) WHERE item % 5 = 2 OR k <= 48""").replace(MEDOID, _RICH))
+@query(_medoid_sql("""SELECT item, value, pos FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY pos) AS k FROM (SELECT item, value, min(pos) AS pos FROM c GROUP BY 1, 2)) WHERE k <= 48""").replace(MEDOID, _RICH))
 def descriptive_recipes(spark, d):
-    """The compliant form: two tasks with evidence before the rich pool, one with the rich pool alone and without a
+    """The compliant form: two tasks with evidence before the rich pool, one with the rich pool alone, each of 48 texts at
     cap, and the temporal task, whose grounded texts speak alone if there are two."""
     from corvane.plans.assemble import open_recipes
 
@@ -921,17 +921,51 @@ def build_corpus(spark, d):
     return build_records(talk_items(spark, d).withColumn("reasoning", F.col("answer")))
 
 
-@query()
-def assembled_answers(spark, d):
-    """Choice assembly over pools dealt from orders: two sources vote on each customer's questions."""
-    from corvane.plans.assemble import choices
+_ASSEMBLED = f"""i AS (SELECT o_orderkey AS item, o_custkey AS v, o_orderkey % 3 AS k FROM orders),
+l AS (SELECT l_orderkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS n,
+  CASE WHEN l_returnflag = 'N' THEN 'no' ELSE 'yes' END AS said, l_returnflag AS f FROM lineitem),
+y AS (SELECT v, min(item) AS y FROM i WHERE k = 1 GROUP BY 1), x AS (SELECT v, max(item) AS x FROM i WHERE k = 0 GROUP BY 1),
+votes AS (SELECT i.item, n AS pos, said AS value FROM i JOIN l USING (item) WHERE k < 2 UNION ALL
+  SELECT i.item, 1000000 + n, said FROM i JOIN y USING (v) JOIN l ON l.item = y.y WHERE k = 0 UNION ALL
+  SELECT y.y, 1000000 + n, said FROM y JOIN x USING (v) JOIN l ON l.item = x.x), {MAJORITY},
+won AS (SELECT item, value FROM ranked WHERE r = 1),
+c AS (SELECT item, n AS pos, said || ' because ' || f AS value FROM (SELECT i.item, k, n, said, f, said = coalesce(won.value, 'no') AS ok FROM i JOIN l USING (item) LEFT JOIN won USING (item) WHERE k > 0)
+  QUALIFY k = 2 OR ok OR NOT bool_or(ok) OVER (PARTITION BY item))"""
+
 
+def _assembled_sql(pool: str, silent: str) -> str:
+    last = "SELECT item, arg_max(v, (u, -pos)) AS value FROM u GROUP BY 1"
+    return _medoid_sql(pool).replace(MEDOID, _ASSEMBLED).replace(last, f"""SELECT CAST(i.item AS VARCHAR) AS item, CASE WHEN k > 0 THEN coalesce(m.value, '') WHEN won.value = 'yes' THEN 'Yes' WHEN won.value = 'no' THEN 'No' ELSE '{silent}' END AS prediction
+FROM i LEFT JOIN won USING (item) LEFT JOIN ({last}) m USING (item)""")
+
+
+def assembly_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Each customer's orders are questions of three tasks; their lines are what two sources say, in a total order."""
     o = t(spark, d, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 3).alias("k"))
     task = F.when(F.col("k") == 0, "bcq").when(F.col("k") == 1, "bcq_openended").otherwise("open_qa")
     items = o.select(F.col("o_orderkey").cast("string").alias("item"), F.col("o_custkey").alias("video"), task.alias("task"), F.lit("Is it there? Answer with yes or no").alias("question"), F.col("o_orderkey").alias("ord"))
-    l = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("item"), "l_linenumber", "l_returnflag", "l_shipdate", (F.col("l_orderkey") % 3).alias("k"))
+    place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag"))
+    l = t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("item"), place.alias("n"), "l_returnflag", (F.col("l_orderkey") % 3).alias("k"))
     said = F.when(F.col("l_returnflag") == "N", "no").otherwise("yes")
     source = F.when(F.col("k") == 0, "base").when(F.col("k") == 1, "second").otherwise("second_desc")
-    pools = l.select(source.alias("source"), F.lit(0).alias("src_ord"), "item", F.when(F.col("k") == 0, "votes").otherwise("samples").alias("kind"), F.col("l_linenumber").alias("pos"), F.when(F.col("k") == 0, said).otherwise(F.concat(said, F.lit(" because "), F.col("l_returnflag"))).alias("value"))
+    pools = l.select(source.alias("source"), F.lit(0).alias("src_ord"), "item", F.when(F.col("k") == 0, "votes").otherwise("samples").alias("kind"), F.col("n").alias("pos"), F.when(F.col("k") == 0, said).otherwise(F.concat(said, F.lit(" because "), F.col("l_returnflag"))).alias("value"))
+    return items, pools
+
+
+@query(_assembled_sql("SELECT item, value, pos FROM c", "No"))
+def assembled_answers(spark, d):
+    """The full recipe: own votes, stances of siblings, medoids of the texts that take the stance that won."""
+    from corvane.plans.assemble import choices
+
+    items, pools = assembly_tables(spark, d)
     pred, _ = choices(items, pools, J.stance_siblings(items), items.select("item", F.lit("").alias("prediction")))
     return pred
+
+
+@query(_assembled_sql(_CAPPED, ""))
+def compliant_assembly(spark, d):
+    """The recipe of two models, end to end: medoids without repeats, no answer where nothing speaks."""
+    from corvane.plans.assemble import compliant_answers
+
+    items, pools = assembly_tables(spark, d)
+    return compliant_answers(items, pools, J.stance_siblings(items))

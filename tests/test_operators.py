@@ -101,6 +101,34 @@ def test_assembly(spark):
     assert pool.first()["pool"] == ["no", "yes", "yes", "no"]
 
 
+def test_compliant_assembly_and_switches(spark):
+    """Expected by hand: two models' votes, orphans, further orders, draws in turn, evidence after the vote, switches."""
+    from corvane.plans.assemble import compliant_answers
+
+    q = "What?\nA. red car\nB. blue\nC. green\nD. none"
+    rows = [("1", 1, "bcq", "Is it?", 0), ("2", 1, "bcq_openended", "Is it?", 1), ("3", 1, "bcq", "Was it?", 2), ("4", 1, "mcq", q, 3), ("5", 1, "mcq_openended", q, 4), ("6", 1, "open_qa", "Why?", 5),
+            ("7", 1, "temporal_description", "When?", 6), ("8", 2, "scene_description", "What?", 7), ("9", 2, "bcq", "Alone?", 8), ("10", 2, "temporal_localization", "When?", 9)]
+    items = spark.createDataFrame(rows, "item string, video long, task string, question string, ord long")
+    votes = [("base", "1", "votes", ["no", "no", ""]), ("second", "1", "votes", ["yes"]), ("second", "2", "samples", ["<answer>Yes, a car</answer>", "no car", "no car at all"]), ("second", "3", "votes", ["no"]), ("o_second", "3", "votes", ["no", "yes"]),
+             ("base", "4", "picks", ["blue", "blue"]), ("extra_base", "4", "picks", ["elsewhere"]), ("extra", "5", "picks", ["green", "green", "green"]), ("o_second", "9", "votes", ["", "yes"]), ("o_second", "1", "votes", ["yes", "yes", "yes"]),
+             ("second_desc", "6", "samples", ["it rained", "it rained"]), ("second_draw", "6", "samples", ["", "the road was wet"]), ("event", "7", "samples", ["only one"]), ("second_desc", "7", "samples", ["a car turns left", "a car turns", "a car"]), ("second_draw", "8", "samples", ["a quiet street"])]
+    long = [(s, i, k, n, v, None) for s, i, k, vs in votes for n, v in enumerate(vs)] + [("evidence", "2", "samples", 0, "no, there was none", "bcq_oe_no"), ("evidence", "6", "samples", 0, "wet road, it rained", "open_qa"), ("evidence", "6", "samples", 1, "other", "bcq_oe_no")]
+    pools = spark.createDataFrame(long, "source string, item string, kind string, pos int, value string, task string")
+    siblings = spark.createDataFrame([("1", "2"), ("2", "1"), ("4", "5"), ("5", "4")], "item string, sibling string")
+    got = lambda **k: dict(map(tuple, compliant_answers(items, pools, siblings, **k).collect()))
+    # 1: no no yes + yes no no of its sibling; 4: two blue against three green of its sibling's further orders.
+    assert got() == {"1": "No", "2": "no, there was none", "3": "No", "4": "C", "5": "C. green", "6": "wet road, it rained", "7": "a car turns", "8": "a quiet street", "9": "Yes", "10": ""}
+    # 1 and 3 agree: 1 has the lower margin (4 of 6 against 2 of 3 are equal: the first flips), so 2 keeps its text.
+    flipped = got(pair_repair=True)
+    assert (flipped["1"], flipped["3"], flipped["2"]) == ("Yes", "No", "no car")
+    alone = got(single_model=True)  # 1: yes + yes no no, the first seen wins
+    assert (alone["1"], alone["4"], alone["2"]) == ("Yes", "C", "no car")
+    more = pools.unionByName(spark.createDataFrame([("event", "7", "samples", 1, "only one more", None)], pools.schema))
+    assert dict(map(tuple, compliant_answers(items, more, siblings).collect()))["7"] == "only one"
+    assert dict(map(tuple, compliant_answers(items, more, siblings, events=False).collect()))["7"] == "a car turns"
+    assert compliant_answers(items.limit(0), pools.limit(0), siblings.limit(0)).count() == 0
+
+
 def test_generation_errors_and_resume(spark):
     from corvane.sources.generate import SCHEMA, fake_client, generate
 
