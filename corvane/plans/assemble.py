@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 from corvane.operators import medoid as M
 from corvane.operators import repair as R
+from corvane.operators.ranks import checkpointed
 from corvane.operators.vote import interleaved, majority, pool_arrays
 
 
@@ -110,13 +111,14 @@ def voted(items: DataFrame, pools: DataFrame, siblings: DataFrame, base: DataFra
     prediction) answers where pools are silent; texts (item, pos, value) are the candidates of the descriptive tasks
     (DESCRIBED's if none are given); distinct: medoids without repeats.
 
-    All tasks vote in one aggregate, and all free texts have one medoid."""
-    got = gather(items, pools, siblings, recipe)
+    All tasks vote in one aggregate, and all free texts have one medoid. What was gathered and what won are used several
+    times, so they are written once; later steps read that."""
+    got = checkpointed(gather(items, pools, siblings, recipe))
     opts = items.filter(F.col("task").isin("mcq", "mcq_openended")).select("item", "task", T.options(F.col("question")).alias("o")).filter("o is not null")
     listed = got.filter(F.col("task").isin("mcq", "mcq_openended")).join(opts.select("item", T.normal_options(F.col("o")).alias("opts")), "item").filter(F.array_contains("opts", F.col("value")))
     polar = got.filter("task = 'bcq' and value <> ''")
     votes = polar.unionByName(got.filter("task = 'bcq_openended'")).select("item", "pos", "value").unionByName(listed.select("item", "pos", "value"))
-    won = majority(votes).select("item", F.col("value").alias("won"))
+    won = checkpointed(majority(votes).select("item", F.col("value").alias("won")))
     asked = items.select("item", "task").join(won, "item", "left").join(opts.drop("task"), "item", "left")
     letter = T.letter_of(F.col("o"), F.col("won"))
     body = F.element_at(T.option_array(F.col("o")), F.array_position(F.array(*map(F.lit, T.LETTERS)), letter).cast("int"))
