@@ -129,6 +129,20 @@ def test_compliant_assembly_and_switches(spark):
     assert compliant_answers(items.limit(0), pools.limit(0), siblings.limit(0)).count() == 0
 
 
+def test_scenes_choose_from_all_texts(spark):
+    """A scene's best text may stand behind the 48th; the whole compliant assembly chooses from the first 48, as its medoid does."""
+    from corvane.plans.assemble import compliant_answers, open_recipes
+
+    items = spark.createDataFrame([("s", 1, "scene_description", "What?", 0), ("q", 1, "open_qa", "Why?", 1)], "item string, video long, task string, question string, ord long")
+    texts = [f"t{n} u{n}" for n in range(48)] + ["t0 late"] + [f"late t{n} u{n}" for n in range(60, 80)]
+    rows = [("second_desc", i, "samples", n, v, None) for i in "sq" for n, v in enumerate(texts)]
+    pools = spark.createDataFrame(rows, "source string, item string, kind string, pos int, value string, task string")
+    got = dict(map(tuple, open_recipes(items, pools, pools.select("item", "pos", "value"), compliant=True).collect()))
+    assert got == {"s": "t0 late", "q": "t0 u0"}
+    none = spark.createDataFrame([], "item string, sibling string")
+    assert dict(map(tuple, compliant_answers(items, pools, none).collect())) == {"s": "t0 u0", "q": "t0 u0"}
+
+
 def test_generation_errors_and_resume(spark):
     from corvane.sources.generate import SCHEMA, fake_client, generate
 
