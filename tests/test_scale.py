@@ -57,6 +57,22 @@ def test_nearest_keys(spark, width):
     assert got == want
 
 
+def test_nearest_keys_looks_at_no_block_twice(spark):
+    """What lies beyond a block comes from groups of blocks; no window shrinks to the end, which is quadratic in a hot group's blocks."""
+    from corvane.operators.asof import _beyond, nearest_keys
+
+    r = random.Random(3)
+    blocks = {(u, b): r.choice((None, (10 * b, 10 * b + 7))) for u in "ab" for b in r.sample(range(-40, 40), 30)}
+    rows = [(u, b, *(x or (None, None))) for (u, b), x in blocks.items()]
+    got = {(x["u"], x["b_"]): (x["before_"], x["after_"]) for x in _beyond(spark.createDataFrame(rows, "u string, b_ long, lo_ long, hi_ long"), "u", 2, fan=4).collect()}
+    for u, b in blocks:
+        has = [(c, x) for (w, c), x in blocks.items() if w == u and x]
+        assert got[u, b] == (max((x[1] for c, x in has if c < b), default=None), min((x[0] for c, x in has if c > b), default=None))
+    e = spark.range(100).select((F.col("id") % 2).alias("u"), "id")
+    plan = nearest_keys(e, e.filter("id % 9 = 0"), "u", "id", 4)._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_medoid_of_many_candidates_equals_arrays(spark):
     """Candidates of thousands of votes are solved by pairs of distinct values, to the same choice."""
     from corvane.operators.medoid import medoid
