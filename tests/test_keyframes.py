@@ -39,3 +39,22 @@ def test_stage(spark, tmp_path):
     turns = K.training_turns(staged, True).collect()
     assert len(turns) == 3 + 2 + 1 + 1 and {t["tier"] for t in turns} == {"S", "A", "B"} and {t["init_weight"] for t in turns} == {1.0}
     assert K.training_turns(staged, False).count() == 4 and turns[0]["conversations"][0]["value"].startswith("Video duration: ")
+
+
+def test_sets_and_missing_frames_by_folder(spark):
+    """Names that stage() doesn't give count too, one slug may lie in two folders, records that share a folder give each
+    file once with its least index; a folder's names move as one number."""
+    from corvane.plans import keyframes as K
+
+    f = lambda d, ks: [f"{d}/frame_{k:05d}.jpg" for k in ks]
+    paths = f("r/mixed", range(30)) + ["r/mixed/frame_x.jpg", "r/mixed/frame_00077.jpg", "r/mixed/frame_00077.jpg", "r/mixed/frame_1.png"] + f("r/p/two", range(20)) + f("r/q/two", range(12)) + f("r/less", range(31)) + f("r/more", range(33)) + f("s/twin", (0, 2)) + ["s/twin/frame_ 0001.jpg", None]
+    listing = spark.createDataFrame([(p,) for p in paths], "path string").repartition(3)
+    saved = spark.createDataFrame([(s, [1], 2.0) for s in ("mixed", "two", "less", "more")], "slug string, idx array<bigint>, fps double")
+    got = {r["slug"]: r["images"] for r in K.whole_sets(listing, saved).select("slug", K._paths(K.F.col("held")).alias("images")).collect()}
+    assert got == {"mixed": sorted(set(paths[:32])), "two": sorted(f("r/p/two", range(20)) + f("r/q/two", range(12)))}
+    names = f("s/twin", range(4))
+    rows = [("b", [5, 6, 7, 8], names, False), ("a", [5, 7, 7, 7], names, False), ("c", [1, 2], f("s/new", range(2)), False), ("d", [], [], False), ("w", [3], f("r/mixed", [0]), True)]
+    staged = spark.createDataFrame(rows, "video_id string, idx array<bigint>, images array<string>, cached boolean")
+    todo = sorted(tuple(r) for r in K.missing_frames(staged, listing).collect())
+    assert todo == [("s/new/frame_00000.jpg", "c", 1), ("s/new/frame_00001.jpg", "c", 2), ("s/twin/frame_00001.jpg", "b", 6), ("s/twin/frame_00003.jpg", "a", 7)]
+    assert K.frame_files(listing.filter("path like 'r/less/%'")).count() == 1
