@@ -219,6 +219,24 @@ def test_choice_siblings_equal_all_pairs(spark):
         assert set(back) == set(last) and all(first[x] == (y, last[y][0]) for y, x in back.items())
 
 
+def test_compliant_assembly_makes_medoids_once(spark):
+    """Predictions are read twice, for themselves and as a closed sibling's stance: what is written isn't chosen again. Two
+    draws in turn share one shuffle, and rows without an item go."""
+    from corvane.operators.vote import interleaved
+    from corvane.plans.assemble import compliant_answers
+
+    items = spark.createDataFrame([("1", 1, "bcq", "Is it?", 0), ("2", 1, "bcq_openended", "Is it?", 1)], "item string, video long, task string, question string, ord long")
+    pools = spark.createDataFrame([("second", "2", "samples", 0, "no car", None)], "source string, item string, kind string, pos int, value string, task string")
+    siblings = spark.createDataFrame([("1", "2"), ("2", "1")], "item string, sibling string")
+    out = compliant_answers(items, pools, siblings)
+    assert dict(map(tuple, out.collect())) == {"1": "No", "2": "no car"}
+    scans = out._jdf.queryExecution().optimizedPlan().toString()
+    assert scans.count("max_by(") == 1  # the evidence's medoid alone
+    a, b = (spark.createDataFrame([(i, p, f"{n}{p}") for i, k in ps for p in range(k)], "item string, pos int, value string") for n, ps in (("a", [("x", 1), (None, 2), ("z", 1)]), ("b", [("x", 3), ("y", 1)])))
+    got = sorted((r["item"], r["pos"], r["value"]) for r in interleaved(a, b).collect())
+    assert got == [("x", 0, "a0"), ("x", 1, "b0"), ("x", 2, "b1"), ("x", 3, "b2"), ("y", 0, "b0"), ("z", 0, "a0")]
+
+
 def test_decisions_in_order(spark):
     """A judge overrides, then equal pairs part, then an open item follows its closed one, then blanks are filled."""
     from corvane.plans.assemble import finished
