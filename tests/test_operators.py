@@ -237,6 +237,17 @@ def test_compliant_assembly_makes_medoids_once(spark):
     assert got == [("x", 0, "a0"), ("x", 1, "b0"), ("x", 2, "b1"), ("x", 3, "b2"), ("y", 0, "b0"), ("z", 0, "a0")]
 
 
+def test_choice_siblings_parses_each_text_once(spark):
+    """Texts that many subjects share are parsed apart from the rows and broadcast; rows in their place give the same."""
+    q = lambda k: "Which?\n" + "\n".join(f"{x}. way {k + n}" for n, x in enumerate("ABCD"))
+    rows = [(f"{v}-{k}", v, ("mcq", "mcq_openended")[k % 2], q(k % 3), k) for v in range(4) for k in range(6)] + [("n", 1, "mcq", None, 9), ("o", 1, "mcq", "What?", 10)]
+    items = spark.createDataFrame(rows, "item string, video long, task string, question string, ord int")
+    shared, own = J.choice_siblings(items), J.choice_siblings(items, few=0)
+    assert sorted(map(tuple, shared.collect())) == sorted(map(tuple, own.collect())) and shared.count()
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (shared, own)]
+    assert "regexp_extract_all" not in plans[0] and "regexp_extract_all" in plans[1]
+
+
 def test_decisions_in_order(spark):
     """A judge overrides, then equal pairs part, then an open item follows its closed one, then blanks are filled."""
     from corvane.plans.assemble import finished
