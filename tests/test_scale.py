@@ -129,6 +129,20 @@ def test_best_match(spark, small):
         assert got[k] == ((-j[1], j[0]) if j[0] > 0 else (None, 0.0)), k
 
 
+def test_best_match_tells_pairs_apart_where_their_text_is(spark):
+    """No exchange of pairs, whose hash tables would grow with the input, and more tasks for more texts."""
+    import re
+
+    from corvane.operators.best_match import _tasks, best_match
+
+    texts = spark.range(50).select(F.col("id").alias("k"), F.concat(F.lit("all w"), F.col("id") % 7).alias("text"))
+    entries = spark.range(9).select(F.col("id").alias("e"), F.concat(F.lit("all w"), "id").alias("text"))
+    out = best_match(texts, entries, "k", "e")
+    assert not re.search(r"hashpartitioning\(k#\d+L?, e#", out._jdf.queryExecution().executedPlan().toString())
+    assert {r["k"]: r["e"] for r in out.collect()} == {k: k % 7 for k in range(50)}
+    assert _tasks(10, 200, 8) == 8 and _tasks(3_000_000, 200, 8) == 300 and _tasks(3_000_000, 10**7, 8) == 3000 and _tasks(0, 0, 8) == 8
+
+
 def test_vote_on_a_stream_with_late_rows_and_a_restart(spark, tmp_path):
     """Each window's winner comes once, when the watermark has passed it; rows behind it are dropped; a restarted query
     goes on where it stopped; the winners are those of a batch over the rows that were in time."""
