@@ -120,6 +120,19 @@ def keep_in_set(rows: DataFrame, column: str, have: np.ndarray, bits: int) -> Da
     return rows.mapInArrow(run, rows.schema)
 
 
+def keep_in_bits(rows: DataFrame, column: str, wanted: DataFrame, bits: int) -> DataFrame:
+    """The rows whose column, of longs, may be among wanted's of that name: a bit set of fixed size, as in keep_in_set, but
+    looked up by a broadcast join, so that rows don't pass through Python."""
+    spark, h = rows.sparkSession, F.xxhash64(column)
+    word, bit = F.shiftrightunsigned(h, 64 - bits + 6).cast("int"), F.shiftrightunsigned(h, 64 - bits).bitwiseAND(F.lit(63)).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    got = wanted.select(word.alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    have = np.zeros(1 << (bits - 6), np.int64)
+    have[got["w"].to_numpy()] = got["m"].to_numpy()
+    sets = spark.createDataFrame(pa.table({"corvane_set": pa.array([have], pa.list_(pa.int64()))}))
+    return rows.join(F.broadcast(sets), F.get("corvane_set", word).bitwiseAND(mask) != 0, "left_semi")
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the files behind a frame, by the optimizer's statistics (0 if unknown)."""
     try:

@@ -13,15 +13,20 @@ NOT_ALNUM = np.array([not (x >= 128 or chr(x).isalnum()) for x in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: A block's lowest 0 to 8 bytes.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 #: Words of more bytes are hashed one by one.
 _LONG = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finalizer (fixed values)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +71,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1
         live = np.flatnonzero(left <= _LONG)
         at, left = at[live], left[live]
         while len(live):
-            block = block_at[at]
-            short = left < 8
-            block = np.where(short, block & ((np.uint64(1) << (np.where(short, left, 0).astype(np.uint64) * np.uint64(8))) - np.uint64(1)), block)
+            block = block_at[at] & _LOW[np.minimum(left, 8)]
             h[live] = mix((h[live] ^ block) * _ODD + np.uint64(1))
             more = left > 8
             live, at, left = live[more], at[more] + 8, left[more] - 8
